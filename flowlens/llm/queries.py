@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.llm.common import table
+from flowlens.llm.mixing import OP10_SQL, mix_sources
 from flowlens.llm.packing import concat_and_cut
+from flowlens.llm.sharding import shard
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +19,18 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op4_packing": op4_packing}
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of equal bytes; a row for each document."""
+    out = shard(table(spark, sf_dir, "documents"), 16, keep=["doc_id"])
+    return out.select("doc_id", F.col("shard_size").alias("size"), F.col("shard_crc32").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
-SQL: dict[str, str] = {}
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, and how many words of each the mix takes."""
+    mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
+
+
+QUERIES = {"op4_packing": op4_packing, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
+
+SQL = {"op10_mixing": OP10_SQL}
