@@ -9,6 +9,13 @@ from flowlens.llm.common import table
 from flowlens.llm.mixing import OP10_SQL, mix_sources
 from flowlens.llm.packing import concat_and_cut
 from flowlens.llm.sharding import shard
+from flowlens.llm.substring import dedup_substrings
+
+
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of 50-word windows that an earlier document has."""
+    out = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"), 50)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +38,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 
 
-QUERIES = {"op4_packing": op4_packing, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
+QUERIES = {"op1_substring": op1_substring, "op4_packing": op4_packing, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
 
 SQL = {"op10_mixing": OP10_SQL}
