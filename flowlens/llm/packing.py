@@ -78,7 +78,7 @@ class ChunkEncoder:
         except (KeyError, TypeError):
             if len(cache) > CACHE:
                 cache.clear()
-            for p in set(rest) - cache.keys():
+            for p in {p for p in rest if p not in cache}:
                 cache[p] = self._chunk(p)
             if all(cache[p] is not None for p in rest):
                 return b"".join([self.encode_whole(head), *map(cache.__getitem__, rest)])
