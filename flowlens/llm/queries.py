@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowlens.llm.common import table
 from flowlens.llm.mixing import OP10_SQL, mix_sources
+from flowlens.llm.ngram_join import ngram_components
 from flowlens.llm.packing import concat_and_cut
 from flowlens.llm.sharding import shard
 from flowlens.llm.substring import dedup_substrings
@@ -26,6 +27,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the component of near duplicates that each is in."""
+    return ngram_components(table(spark, sf_dir, "documents"), 5, 75)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of equal bytes; a row for each document."""
     out = shard(table(spark, sf_dir, "documents"), 16, keep=["doc_id"])
@@ -38,6 +44,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 
 
-QUERIES = {"op1_substring": op1_substring, "op4_packing": op4_packing, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
+QUERIES = {"op1_substring": op1_substring, "op4_packing": op4_packing, "op7_ngram_join": op7_ngram_join, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
 
 SQL = {"op10_mixing": OP10_SQL}
