@@ -11,6 +11,7 @@ from flowlens.llm.ngram_join import ngram_components
 from flowlens.llm.packing import concat_and_cut
 from flowlens.llm.sharding import shard
 from flowlens.llm.substring import dedup_substrings
+from flowlens.llm.toxicity import held_out, score_toxicity
 
 
 def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +20,12 @@ def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the toxicity that their nearest labelled examples vote for."""
+    scored = score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return scored.select("doc_id", held_out().alias("held_out"), F.col("tox_score").alias("score"), F.col("tox_predicted").alias("predicted"), F.slice("tox_evidence", 1, 3).alias("evidence"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens; a row for each piece."""
     import public_tokenizers
@@ -44,6 +51,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 
 
-QUERIES = {"op1_substring": op1_substring, "op4_packing": op4_packing, "op7_ngram_join": op7_ngram_join, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
+QUERIES = {"op1_substring": op1_substring, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op7_ngram_join": op7_ngram_join, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
 
 SQL = {"op10_mixing": OP10_SQL}
