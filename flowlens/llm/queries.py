@@ -12,6 +12,7 @@ from flowlens.llm.packing import concat_and_cut
 from flowlens.llm.sharding import shard
 from flowlens.llm.substring import dedup_substrings
 from flowlens.llm.toxicity import held_out, score_toxicity
+from flowlens.llm.warc import page_round_trip
 
 
 def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +40,11 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), 5, 75)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through WARC archives and back."""
+    return page_round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of equal bytes; a row for each document."""
     out = shard(table(spark, sf_dir, "documents"), 16, keep=["doc_id"])
@@ -51,6 +57,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 
 
-QUERIES = {"op1_substring": op1_substring, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op7_ngram_join": op7_ngram_join, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
+QUERIES = {"op1_substring": op1_substring, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op7_ngram_join": op7_ngram_join, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
 
 SQL = {"op10_mixing": OP10_SQL}
