@@ -9,6 +9,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
+_PLAIN = _LOWER.copy()
+_PLAIN[[c for c in range(128) if not chr(c).isalnum()]] = 0x20
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 
@@ -23,10 +25,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """The words of a column of texts: byte ranges of one buffer, in order. Null texts have none.
 
+    lower: A-Z in lower case; plain: also with ASCII punctuation as space.
     start, end: of each word in buf; doc: its row; first: index of each row's first word (one more entry than rows).
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, plain: bool = False):
         texts = texts.cast(pa.large_binary()) if not pa.types.is_large_binary(texts.type) else texts
         if texts.null_count:
             texts = texts.fill_null(b"")
@@ -35,7 +38,8 @@ class Words:
         base, size = int(offsets[0]), int(offsets[-1] - offsets[0])
         raw = np.frombuffer(texts.buffers()[2], np.uint8, size, base) if size else np.zeros(0, np.uint8)
         self.buf = np.zeros(size + 8, np.uint8)  # room to read 8 bytes anywhere
-        self.buf[:size] = _LOWER[raw] if lower else raw
+        raw = _PLAIN[raw] if plain else _LOWER[raw] if lower else raw
+        self.buf[:size] = raw
         offsets = offsets - base
         solid = np.zeros(size + 1, bool)
         solid[:size] = ~_SPACE[raw]
@@ -47,7 +51,7 @@ class Words:
         self.start, self.end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, offsets)
         self.doc = np.repeat(np.arange(n), np.diff(self.first))
-        self.rows = n
+        self.rows, self.offsets = n, offsets
 
     def __len__(self) -> int:
         return len(self.start)

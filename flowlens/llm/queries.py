@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import table
+from flowlens.llm.audio import fingerprint_turns, match_recordings
+from flowlens.llm.common import table, written
+from flowlens.llm.licenses import scan_licenses
 from flowlens.llm.mixing import OP10_SQL, mix_sources
 from flowlens.llm.ngram_join import ngram_components
 from flowlens.llm.packing import concat_and_cut
+from flowlens.llm.search import bm25_search
 from flowlens.llm.sharding import shard
 from flowlens.llm.substring import dedup_substrings
 from flowlens.llm.toxicity import held_out, score_toxicity
@@ -21,6 +24,12 @@ def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations played as recordings: their classes, and where those with an id divisible by 50 align with others."""
+    prints = written(fingerprint_turns(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")), "prints")
+    return match_recordings(prints, prints.where("rec_id % 50 = 0"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the toxicity that their nearest labelled examples vote for."""
     scored = score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
@@ -35,6 +44,17 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document with an id divisible by 50 the ten best of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bm25_search(docs, docs.where("doc_id % 50 = 0"), 10)
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents."""
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the component of near duplicates that each is in."""
     return ngram_components(table(spark, sf_dir, "documents"), 5, 75)
@@ -57,6 +77,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 
 
-QUERIES = {"op1_substring": op1_substring, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op7_ngram_join": op7_ngram_join, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
+QUERIES = {"op1_substring": op1_substring, "op2_audio": op2_audio, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_search": op5_search, "op6_licenses": op6_licenses, "op7_ngram_join": op7_ngram_join, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
 
 SQL = {"op10_mixing": OP10_SQL}
