@@ -47,7 +47,7 @@ def ipv4(text: str | Column) -> Column:
     """An IPv4 address as a number; null for anything else."""
     c = F.col(text) if isinstance(text, str) else text
     p = F.split(c, r"\.")
-    parts = [p[i].try_cast("long") for i in range(4)]
+    parts = [F.get(p, F.lit(i)).try_cast("long") for i in range(4)]
     good = (F.size(p) == 4) & parts[0].between(0, 255) & parts[1].between(0, 255) & parts[2].between(0, 255) & parts[3].between(0, 255)
     return F.when(good, ((parts[0] * 256 + parts[1]) * 256 + parts[2]) * 256 + parts[3])
 
