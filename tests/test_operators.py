@@ -271,3 +271,39 @@ def test_sources(spark, tmp_path):
     spark.range(6).write.mode("overwrite").parquet(f"{tmp_path}/b/refs")
     with pytest.raises(clean.DataError, match="checksum"):
         io.load_bundle(spark, f"{tmp_path}/b")
+
+
+def test_batch_scoring(spark):
+    from flowlens.operators import batch
+
+    rng = np.random.default_rng(5)
+    latent = rng.normal(size=(400, 2))
+    x = np.exp(1 + 0.4 * latent @ rng.normal(size=(2, 4)) + 0.05 * rng.normal(size=(400, 4)))
+    rows = [(i, *map(str, v.tolist()), "6", "80") for i, v in enumerate(x)]
+    rows += [(1000 + i, *map(str, (x[i] * 100).tolist()), "6", "80") for i in range(10)] + [(2000, "x", "1", "1", "1", "6", "80"), (2001, "1", "1", "1", "1", "6", "70000")]
+    df = spark.createDataFrame(rows, "row_id long, a string, b string, c string, d string, proto string, port string")
+    num = clean.numeric(df.where("row_id < 400"), ["a", "b", "c", "d"]).withColumn("role", F.lit(0))
+    m = batch.fit_model(num.where("row_id < 300"), num.where("row_id >= 300"), {"p": ["a", "b"], "q": ["c", "d"]}, "role", "row_id", 0.05, epochs=4, min_ref=50, batch=64)
+    good, bad = batch.score_batch(df, m, "row_id", None, "proto", "port", None, 2)
+    got = {r.row_id: r for r in good.collect()}
+    assert len(got) == 410 and {r.row_id for r in bad.collect()} == {2000, 2001}
+    assert all(got[1000 + i].alert and len(got[1000 + i].top_features) == 2 for i in range(10)) and sum(got[i].alert for i in range(400)) < 60
+    x4 = num.withColumn("x", F.array("a", "b", "c", "d")).select("row_id", "x")
+    assert math.isclose(batch.linear_cka(x4, x4, "row_id").first().cka, 1, abs_tol=1e-9)
+    assert {r.modality: r.share for r in batch.batch_duplicates(x4.unionByName(x4), {"p": (0, 2)}, "row_id").collect()}["p"] == 1
+    probe = batch.linear_probe(x4.withColumn("y", (F.col("x")[0] > 3).cast("int")), "y", "row_id").first().accuracy
+    assert probe > 0.8
+    step = batch.replaced(x4.where("row_id < 2").withColumnRenamed("row_id", "id"), spark.createDataFrame([(0, 5), (1, 6)], "id long, ref_id long"), x4.withColumnRenamed("row_id", "id"), spark.createDataFrame([(0, [1, 0]), (1, [2])], "id long, top array<int>"))
+    s = explain.scored(step, lambda v: v.sum(1)).withColumn("threshold", F.lit(1e9))
+    assert {r.id: r.counterfactual_size for r in batch.aopc(s).collect()} == {0: 0, 1: 0}
+    assert 0 <= batch.pseudo_time(x4, "row_id").agg(F.min("ts")).first()[0] < 1
+
+
+def test_seen_and_unseen_families(spark):
+    from flowlens.operators import batch
+
+    rng = np.random.default_rng(1)
+    rows = [(i, (rng.normal(size=3) + [0, 0, 0]).tolist(), 0, None) for i in range(200)] + [(200 + i, (rng.normal(size=3) + [4 * (i % 2), 4 * (1 - i % 2), 0]).tolist(), 1, "ab"[i % 2]) for i in range(100)]
+    df = spark.createDataFrame(rows, "row_id long, x array<double>, y int, family string")
+    got = {(r.family, r.seen): r.roc_auc for r in batch.lofo(df, "family", ["a"], "row_id", trees=5).collect()}
+    assert got[("a", True)] > 0.9 and set(got) == {("a", True), ("a", False)}
