@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowlens.llm.common import written
-from flowlens.llm.kernels import Words, grams, mix, sliding_argmin
+from flowlens.llm.kernels import Words, grams, mix, pieces, sliding_argmin
 
 #: Words of the grams that minimisers are taken from.
 GRAM = 8
-#: Different super-k-mers of a minimiser that travel to one bucket; with more, windows travel alone.
-BUCKET = 1000
+#: Different super-k-mers of a minimiser that travel to one bucket (2 to 3 MB of text); with more, windows travel alone.
+BUCKET = 5000
 _NONE = -(1 << 63)
 
 
@@ -57,7 +57,7 @@ KMERS = "doc_id long, key long, minimiser long, content long, start int, n int"
 
 
 def _kmers(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches, 2):
         doc, start, n, low, content = super_kmers(Words(batch.column(2)), k)
         row = pa.array(doc)
         yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(low.view(np.int64)), pa.array(content.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc_id", "key", "minimiser", "content", "start", "n"])
@@ -68,7 +68,7 @@ PACKED = "bucket long, packed binary, doc_id long, key long, start int"
 
 def _pack(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """The wanted super-k-mers of each text as packed strings, or their windows as digests."""
-    for batch in batches:
+    for batch in pieces(batches, 2):
         words = Words(batch.column(2))
         rows: list[tuple] = []
         for i, (doc_id, key, wanted) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)):
@@ -114,11 +114,11 @@ def _bucket(group: pa.Table, k: int) -> pa.Table:
     return pa.table({"doc_id": pa.array([ids[r] for r, _, _ in spans], pa.int64()), "key": pa.array([keys[r] for r, _, _ in spans], pa.int64()), "start": pa.array([starts[r] + i for r, i, _ in spans], pa.int32()), "length": pa.array([j - i + k - 1 for _, i, j in spans], pa.int32())})
 
 
-def _cut(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """n_words, n_removed and kept_text from the columns _text and _spans."""
+def _cut(batches: Iterator[pa.RecordBatch], names: list[str], text_col: str) -> Iterator[pa.RecordBatch]:
+    """n_words, n_removed and kept_text from the text and the column _spans."""
     for batch in batches:
         total, gone, kept = [], [], []
-        for text, spans in zip(batch.column("_text"), batch.column("_spans"), strict=True):
+        for text, spans in zip(batch.column(text_col), batch.column("_spans"), strict=True):
             words = text.as_buffer().to_pybytes().split() if text.is_valid else []
             total.append(len(words))
             spans = spans.as_py()
@@ -155,10 +155,13 @@ def dedup_substrings(docs: DataFrame, k: int = 50, id_col: str = "doc_id", text_
     names = [c for c in docs.columns if c not in made]
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
     ident: Column = F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE))
-    keyed = docs.select(*names, F.col(text_col).alias("_text"), ident.alias("_id"), F.xxhash64(text_col).alias("_key"))
+    others = [c for c in names if c not in (id_col, text_col)]
+    # Without other columns the last join reads the same exchange of texts as the join that packs them.
+    keyed = docs.select(ident.alias("_id"), F.xxhash64(text_col).alias("_key"), F.col(text_col).alias("_text"), *others)
     kmers = keyed.where(F.col("_id") != _NONE).select("_id", "_key", "_text").mapInArrow(lambda b: _kmers(b, k), KMERS)
 
     shared = kmers.groupBy("minimiser").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("minimiser")
+    shared = written(shared, "shared_minimisers")  # as a table both sides of the join are exchanges, and Spark can split a hot minimiser
     kmers = written(kmers.join(shared, "minimiser", "left_semi"), "shared_kmers")
     firsts = kmers.groupBy("minimiser", "content").agg(F.min(F.struct("doc_id", "key", "start", "n")).alias("first"), F.max("doc_id").alias("hi"))
     firsts = written(firsts.select("minimiser", "content", F.col("first.doc_id").alias("doc_id"), F.col("first.key").alias("key"), F.col("first.start").alias("start"), F.col("first.n").alias("n"), "hi"), "first_kmers")
@@ -171,9 +174,11 @@ def dedup_substrings(docs: DataFrame, k: int = 50, id_col: str = "doc_id", text_
     inside = _packed(keyed, firsts.join(several.where("NOT alone"), "minimiser"), k).groupBy("bucket").applyInArrow(lambda g: _bucket(g, k), SPANS)
     found = copies.unionByName(inside)
     if not several.where("alone").isEmpty():
-        single = written(_packed(keyed, firsts.join(several.where("alone"), "minimiser"), k), "lone_windows")
+        single = _packed(keyed, firsts.join(several.where("alone"), "minimiser"), k)
         least = single.groupBy("bucket", "packed").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("hi")).where("hi > least")
         found = found.unionByName(single.join(least, ["bucket", "packed"]).where("doc_id > least").select("doc_id", "key", "start", F.lit(k).alias("length")))
     spans = found.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_set(F.struct("start", "length")).alias("_spans"))
     joined = keyed.join(spans, ["_id", "_key"], "left")
-    return joined.select(*names, "_text", "_spans").mapInArrow(lambda b: _cut(b, names), schema)
+    own = {id_col: F.nullif("_id", F.lit(_NONE)).cast(docs.schema[id_col].dataType).alias(id_col), text_col: F.col("_text").alias(text_col)}
+    back = [own.get(c, F.col(c)) for c in names]
+    return joined.select(*back, "_spans").mapInArrow(lambda b: _cut(b, names, text_col), schema)
