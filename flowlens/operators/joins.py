@@ -101,21 +101,25 @@ def nearest(rows: DataFrame, refs: DataFrame, k: int, role: str | None = None, e
 
         def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                got = []
                 for r, g in pdf.groupby("role"):
                     if r not in held.value:
                         continue
                     ids, m = held.value[r]
-                    x = np.stack(g["x"].to_list()).astype(np.float64)
-                    for lo in range(0, len(x), 512):
-                        part, own = x[lo : lo + 512], g["id"].to_numpy()[lo : lo + 512]
-                        d = np.sqrt(np.maximum(((part[:, None, :] - m[None, :, :]) ** 2).sum(2), 0)) if m.size * len(part) < 4_000_000 else np.sqrt(np.maximum((part**2).sum(1)[:, None] + (m**2).sum(1)[None] - 2 * part @ m.T, 0))
+                    norm = (m**2).sum(1)
+                    x, own = np.stack(g["x"].to_list()).astype(np.float64), g["id"].to_numpy()
+                    for lo in range(0, len(x), 1024):
+                        part, who = x[lo : lo + 1024], own[lo : lo + 1024]
+                        d = norm[None] - 2 * part @ m.T
                         if exclude_self:
-                            d[own[:, None] == ids[None]] = np.inf
-                        top = np.argsort(d, axis=1, kind="stable")[:, :k]
-                        for a, b in zip(own, range(len(own)), strict=True):
-                            got += [(int(a), int(ids[j]), float(d[b, j])) for j in top[b] if np.isfinite(d[b, j])]
-                yield pd.DataFrame(got, columns=["id", "ref_id", "distance"])
+                            d[who[:, None] == ids[None]] = np.inf
+                        n = min(len(m), k + 8)  # some more than k, whose distances are then taken exactly
+                        near = np.argpartition(d, n - 1, axis=1)[:, :n] if n < len(m) else np.broadcast_to(np.arange(len(m)), d.shape)
+                        exact = np.sqrt(((part[:, None, :] - m[near]) ** 2).sum(2))
+                        exact[np.isinf(np.take_along_axis(d, near, 1))] = np.inf
+                        order = np.lexsort((ids[near], exact), axis=1)[:, :k]
+                        dist, ref = np.take_along_axis(exact, order, 1).ravel(), np.take_along_axis(ids[near], order, 1).ravel()
+                        real = np.isfinite(dist)
+                        yield pd.DataFrame({"id": np.repeat(who, order.shape[1])[real], "ref_id": ref[real], "distance": dist[real]})
 
         asked = rows.select(F.col("id").cast("long").alias("id"), F.col("x").cast("array<double>").alias("x"), (F.col(role) if role else F.lit(0)).cast("int").alias("role"))
         part = asked.mapInPandas(run, "id long, ref_id long, distance double")
