@@ -14,13 +14,24 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+#: Dates and times that queries return as text, so that any client compares them alike.
+AS_TEXT = {
+    "p04_split_summary": ["day"], "t01_t04_sorts": ["day"], "g10_time_to_detect": ["day"], "g11_incidents": ["day"], "q06_label_windows": ["day"], "q08_splits": ["day"],
+    "w07_w10_bins": ["day"], "e20_day_build": ["day"], "l04_l07_scalars": ["h"], "z06_tumbling": ["w"], "z07_sessions": ["first"],
+}
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query and its SQL. {EV} and the like stand for the views' definitions."""
 
+    texts = AS_TEXT.get(name, [])
+
     def put(f: Query) -> Query:
-        QUERIES[name] = f
+        QUERIES[name] = (lambda spark, d: f(spark, d).withColumns({c: F.col(c).cast("string") for c in texts})) if texts else f
         if sql is not None:
-            SQL[name] = sql.replace("{EV}", EV).replace("{DIRTY}", DIRTY).replace("{SCHED}", SCHED).replace("{SCORES}", SCORES).replace("{CONN}", CONN)
+            casts = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in texts)
+            whole = f"SELECT * REPLACE ({casts}) FROM ({sql})" if texts else sql
+            SQL[name] = whole.replace("{EV}", EV).replace("{DIRTY}", DIRTY).replace("{SCHED}", SCHED).replace("{SCORES}", SCORES).replace("{CONN}", CONN)
         return f
 
     return put
