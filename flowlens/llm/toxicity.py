@@ -6,6 +6,7 @@ whose share of toxic examples stands out; their document frequencies are counted
 
 from __future__ import annotations
 
+import hashlib
 import math
 import string
 from collections import Counter
@@ -135,9 +136,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 10_000, max_terms:
     def known_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [Counter([t for t in terms(x) if t in vocabulary]) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(c.items()) for c in got], pa.map_(pa.string(), pa.int64()))], names=["doc_id", "toxic", "counts"])
+            place = pa.array([hashlib.md5((x or "").encode()).hexdigest() for x in batch.column(2).to_pylist()])
+            yield pa.RecordBatch.from_arrays([place, batch.column(0), batch.column(1), pa.array([list(c.items()) for c in got], pa.map_(pa.string(), pa.int64()))], names=["place", "doc_id", "toxic", "counts"])
 
-    rows = examples.select("doc_id", F.col("toxic").cast("int"), "text").mapInArrow(known_terms, "doc_id long, toxic int, counts map<string,long>").orderBy("doc_id").collect()  # at most 2 * per_class
+    rows = examples.select("doc_id", F.col("toxic").cast("int"), "text").mapInArrow(known_terms, "place string, doc_id long, toxic int, counts map<string,long>").orderBy("place", "toxic").collect()  # at most 2 * per_class
     model = Examples([r["doc_id"] for r in rows], [r["toxic"] for r in rows], [r["counts"] for r in rows], idf, k)
     if p and q:
         share = np.array([model.vote(r["counts"], i)[0] for i, r in enumerate(rows)])
@@ -154,7 +156,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Every row returns. Null and empty texts, and texts without a known term, have no neighbours and get the score of
     a share of 0. Labels with null id or a value other than 0 and 1 are not used; of several labels of one id the
     highest counts; labels of ids that docs lacks are ignored. Repeated rows get equal scores. Without labels of
-    both classes all scores are near that of the one class (0 if none). Neighbours with equal cosine: smaller ids.
+    both classes all scores are near that of the one class (0 if none). Neighbours with equal cosine: in order of a hash of their texts, so that no id has a part in a score.
     Columns of docs named like the new ones are replaced. options: those of fit().
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
