@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.kernels import Words, grams
+from flowlens.llm.kernels import Words, grams, pieces
 
 #: Words of a fingerprinted gram, and grams of a winnowing window: any shared run of GRAM + WINDOW - 1 words is found.
 GRAM, WINDOW = 3, 2
@@ -120,7 +120,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
     index = Templates(templates if templates is not None else TEMPLATES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1):
             ids = batch.column(0).to_pylist()
             rows = [(ids[m[0]], *m[1:]) for m in index.scan(batch.column(1), least)]
             c = list(zip(*rows, strict=True)) or [()] * 6

@@ -1,9 +1,11 @@
 """N-gram Jaccard join by T-occurrence search (DivideSkip), and the components of its links.
 
 1. Rows with the same words are one class, kept by its smallest id.
-2. Of each class the shingles with the smallest hashes go to buckets, so many that a similar pair must share several
-   of them. Classes that share too few with any other class have no partner and leave.
-3. Classes that share a shingle of their plain prefix (a similar pair must) make up candidate groups.
+2. Of each class the shingles with the smallest hashes go to buckets, so many that a similar pair must share a known
+   number of them. Classes that share fewer with all others together have no partner and leave.
+3. Among those that stay the same is counted again. A pair must share one of the shingles that are left when each
+   class drops the most frequent ones, one fewer than the known number; classes with such a shingle in common make
+   up candidate groups.
 4. Within a group, texts meet in blocks. Each text asks an inverted index of the block which texts have at least the
    required number of its shingles: short lists are merged, long ones probed by binary search. Pairs that links
    already join are not looked at again.
@@ -22,7 +24,7 @@ from pyspark.sql import types as T
 
 from flowlens.llm.common import partitions, written
 from flowlens.llm.graph import components
-from flowlens.llm.kernels import Words, grams, mix
+from flowlens.llm.kernels import Words, grams, mix, pieces
 
 #: Shingles that meet in one task, by number: larger groups are compared block by block.
 BLOCK = 2_000_000
@@ -36,8 +38,8 @@ def need(n: np.ndarray | int, percent: int):
 
 
 def extra(n: np.ndarray | int):
-    """How many shared shingles a pair must show beyond the first in the longer prefix."""
-    return n // 10
+    """How many shingles the prefix is longer than one that a similar set must meet once. Of a pair, the set whose prefix ends first shares 1 + extra() of its prefix at least, and these lie in both prefixes."""
+    return n // 4
 
 
 def shingle_sets(words: Words, size: int) -> list[np.ndarray]:
@@ -68,7 +70,7 @@ SETS = "doc_id long, c1 long, c2 long, n_shingles long"
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches, 1):
         words = Words(batch.column(1), lower=True)
         c = np.frombuffer(b"".join(contents(words)), "<i8").reshape(-1, 2)
         n = np.fromiter(map(len, shingle_sets(words, size)), np.int64, words.rows)
@@ -78,8 +80,8 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
 POSTINGS = "bucket int, tokens binary, rows binary, nodes binary"
 
 
-def _blobs(sets: list[np.ndarray], nodes: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-    """The postings of a batch, by bucket of the shingle's hash: shingles, rows and the nodes that rows count in."""
+def _blobs(sets: list[np.ndarray], nodes: np.ndarray, buckets: int, width: int = 8) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """The postings of a batch, by bucket of the shingle's hash: shingles (width bytes of the hash), rows and the nodes that rows count in."""
     if not sets or not sum(map(len, sets)):
         return
     tokens = np.concatenate(sets)
@@ -90,16 +92,23 @@ def _blobs(sets: list[np.ndarray], nodes: np.ndarray, buckets: int) -> Iterator[
     for b in np.flatnonzero(np.diff(edges)):
         at = order[edges[b] : edges[b + 1]]
         used, inverse = np.unique(row[at], return_inverse=True)
-        yield int(b), tokens[at].tobytes(), inverse.astype(np.uint16 if len(used) < 65536 else np.uint32).tobytes(), nodes[used].tobytes()
+        kept = tokens[at] if width == 8 else (tokens[at] >> np.uint64(32)).astype(np.uint32)
+        yield int(b), kept.tobytes(), inverse.astype(np.uint16 if len(used) < 65536 else np.uint32).tobytes(), nodes[used].tobytes()
+
+
+def _posted(rows: list[tuple[int, bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(rows), 64):
+        c = list(zip(*rows[i : i + 64], strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), *(pa.array(x, pa.binary()) for x in c[1:])], names=["bucket", "tokens", "rows", "nodes"])
 
 
-def _postings(batches: Iterator[pa.RecordBatch], size: int, percent: int, buckets: int, longer: bool) -> Iterator[pa.RecordBatch]:
-    """Prefixes in hash order. longer: with extra() more shingles, and each class once a task, its node being its content."""
+def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, buckets: int, by_content: bool) -> Iterator[pa.RecordBatch]:
+    """Longer prefixes in hash order. by_content: a class's node is its content, each class comes once a task, and half of the hash will do: equal halves can only keep a class that could go."""
     seen: set[int] = set()
-    for batch in batches:
+    for batch in pieces(batches, 1):
         words = Words(batch.column(1), lower=True)
         sets = shingle_sets(words, size)
-        if longer:
+        if by_content:
             nodes = np.frombuffer(b"".join(contents(words)), "<i8").reshape(-1, 2)[:, 0]
             keep = []
             for i, c in enumerate(nodes.tolist()):
@@ -108,18 +117,15 @@ def _postings(batches: Iterator[pa.RecordBatch], size: int, percent: int, bucket
                     keep.append(i)
         else:
             nodes, keep = batch.column(0).to_numpy().astype(np.int64), list(range(len(sets)))
-        cut = [sets[i][: len(sets[i]) - need(len(sets[i]), percent) + 1 + (extra(len(sets[i])) if longer else 0)] for i in keep]
-        rows = list(_blobs(cut, nodes[keep], buckets))
-        for i in range(0, len(rows), 64):
-            c = list(zip(*rows[i : i + 64], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), *(pa.array(x, pa.binary()) for x in c[1:])], names=["bucket", "tokens", "rows", "nodes"])
+        cut = [sets[i][: len(sets[i]) - need(len(sets[i]), percent) + 1 + extra(len(sets[i]))] for i in keep]
+        yield from _posted(list(_blobs(cut, nodes[keep], buckets, 4 if by_content else 8)))
 
 
-def _lists(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (shingle, node) of a bucket where two nodes have the shingle: start flags of the lists, and nodes in order."""
+def _lists(group: pa.Table, width: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (shingle, node) of a bucket where two nodes have the shingle, in order: start flags of the lists, nodes, shingles and lengths of the lists."""
     tokens, nodes = [], []
     for t, r, n in zip(group.column("tokens").to_pylist(), group.column("rows").to_pylist(), group.column("nodes").to_pylist(), strict=True):
-        t, n = np.frombuffer(t, np.uint64), np.frombuffer(n, np.int64)
+        t, n = np.frombuffer(t, np.uint64 if width == 8 else np.uint32), np.frombuffer(n, np.int64)
         tokens.append(t)
         nodes.append(n[np.frombuffer(r, np.uint16 if len(r) == 2 * len(t) else np.uint32)])
     token, node = np.concatenate(tokens), np.concatenate(nodes)
@@ -131,20 +137,44 @@ def _lists(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     head = np.ones(len(token), bool)
     head[1:] = token[1:] != token[:-1]
     which = np.cumsum(head) - 1
-    several = np.bincount(which)[which] > 1
-    return head[several], node[several], which[several]
+    length = np.bincount(which)[which]
+    several = length > 1
+    return head[several], node[several], token[several], length[several]
 
 
 def _shared(group: pa.Table) -> pa.Table:
     """How many shingles of the bucket each node shares with another."""
-    _, node, _ = _lists(group)
+    _, node, _, _ = _lists(group, 4)
     nodes, n = np.unique(node, return_counts=True)
     return pa.table({"c1": pa.array(nodes), "n": pa.array(n.astype(np.int64))})
 
 
+def _frequent(group: pa.Table) -> pa.Table:
+    """The shingles of the bucket that each node shares, and how many nodes have them."""
+    _, node, token, length = _lists(group)
+    order = np.argsort(node, kind="stable")
+    node, token, length = node[order], token[order], length[order].astype(np.int32)
+    first = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.zeros(0, np.int64)
+    ends = np.append(first[1:], len(node))
+    return pa.table({"node": pa.array(node[first]), "tokens": pa.array([token[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()), "lengths": pa.array([length[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())})
+
+
+def _rare(batches: Iterator[pa.RecordBatch], percent: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Postings of each node's shared shingles without the most frequent ones, of which a partner has one more."""
+    for batch in batches:
+        nodes, sets = [], []
+        for node, n, tokens, lengths in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            token, length = np.frombuffer(b"".join(tokens), np.uint64), np.frombuffer(b"".join(lengths), np.int32)
+            spare = int(extra(need(n, percent)))
+            if len(token) > spare:
+                nodes.append(node)
+                sets.append(token[np.lexsort((token, length))[: len(token) - spare]])
+        yield from _posted(list(_blobs(sets, np.array(nodes, np.int64), buckets)))
+
+
 def _stars(group: pa.Table) -> pa.Table:
     """Edges between the smallest node of each list and the others."""
-    head, node, _ = _lists(group)
+    head, node, _, _ = _lists(group)
     first = node[head][np.cumsum(head) - 1] if len(node) else node
     pairs = np.unique(np.stack([node[~head], first[~head]], 1), axis=0) if len(node) else np.zeros((0, 2), np.int64)
     return pa.table({"u": pa.array(pairs[:, 0]), "v": pa.array(pairs[:, 1])})
@@ -239,22 +269,25 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 75, id_col:
     named = narrow.where("doc_id IS NOT NULL")
     buckets = 4 * partitions(docs.sparkSession)
 
-    prefixes = named.mapInArrow(lambda b: _postings(b, size, percent, buckets, True), POSTINGS)
+    prefixes = named.mapInArrow(lambda b: _prefixes(b, size, percent, buckets, True), POSTINGS)
     shared = prefixes.groupBy("bucket").applyInArrow(_shared, "c1 long, n long").groupBy("c1").agg(F.sum("n").alias("shared"))
     # A partner has at least percent of n shingles, and the pair shares 1 + extra() of the partner's number at least.
-    least = F.floor(F.ceil(F.col("n") * percent / 100) / 10) + 1
+    least = F.floor(F.ceil(F.col("n") * percent / 100) / 4) + 1
     chosen = classes.join(shared, "c1").where(F.col("shared") >= least).select("node", "c1", "c2", "n")
     texts = named.join(chosen, F.col("doc_id") == F.col("node")).select("node", "text", "c1", "c2", "n")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # an id may have rows with other texts
-        for batch in batches:
+        for batch in pieces(batches, 1):
             got = contents(Words(batch.column(1), lower=True))
             want = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
             same = pa.array([np.frombuffer(g, "<i8").tolist() == list(w) for g, w in zip(got, want, strict=True)], pa.bool_())
             yield batch.filter(same)
 
     texts = written(texts.mapInArrow(own, texts.schema).select("node", "text", "n"), "candidates")
-    stars = texts.select("node", "text").mapInArrow(lambda b: _postings(b, size, percent, buckets, False), POSTINGS).groupBy("bucket").applyInArrow(_stars, "u long, v long")
+    again = texts.select("node", "text").mapInArrow(lambda b: _prefixes(b, size, percent, buckets, False), POSTINGS)
+    own_tokens = again.groupBy("bucket").applyInArrow(_frequent, "node long, tokens binary, lengths binary").groupBy("node").agg(F.collect_list("tokens").alias("tokens"), F.collect_list("lengths").alias("lengths"))
+    rare = own_tokens.join(texts.select("node", "n"), "node").select("node", "n", "tokens", "lengths").mapInArrow(lambda b: _rare(b, percent, buckets), POSTINGS)
+    stars = rare.groupBy("bucket").applyInArrow(_stars, "u long, v long")
     groups = written(components(stars, "candidate_groups"), "candidate_groups")
 
     blocks = groups.join(texts.select("node", "n"), "node").groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
