@@ -34,14 +34,15 @@ def chroma(samples: np.ndarray) -> np.ndarray:
     n = (len(samples) - FRAME) // HOP + 1
     if n <= 0:
         return np.zeros((0, 12))
-    frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
-    power = np.abs(np.fft.rfft(frames * np.hanning(FRAME), axis=1)) ** 2
+    frames, shape = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP], np.hanning(FRAME).astype(np.float32)
     freq = np.fft.rfftfreq(FRAME, 1 / RATE)
     use = np.flatnonzero((freq >= 100) & (freq <= 1800))
     pitch = np.round(12 * np.log2(freq[use] / 440)).astype(int) % 12
     out = np.zeros((n, 12))
-    for c in range(12):
-        out[:, c] = power[:, use[pitch == c]].sum(1)
+    for lo in range(0, n, 512):  # memory does not grow with the recording's spectra
+        power = np.abs(np.fft.rfft(frames[lo : lo + 512] * shape, axis=1)) ** 2
+        for c in range(12):
+            out[lo : lo + 512, c] = power[:, use[pitch == c]].sum(1)
     size = np.sqrt((out**2).sum(1, keepdims=True))
     return np.where(size > 1e-6, out / np.maximum(size, 1e-12), 0.0)
 
@@ -106,12 +107,48 @@ def align(query: np.ndarray, other: np.ndarray) -> tuple[int, int, int, float]:
     return best, int(votes.max()), m, wrong / (32 * m)
 
 
-def match_recordings(prints: DataFrame, queries: DataFrame, most_wrong: float = 0.3, least: int = 16) -> DataFrame:
+class Queries:
+    """The integers of some recordings, sorted, with their owners and places."""
+
+    def __init__(self, held: list[tuple[int, np.ndarray]]):
+        self.ids, self.prints = [q for q, _ in held], [p for _, p in held]
+        items = np.concatenate(self.prints) if held else np.zeros(0, np.uint32)
+        order = np.argsort(items, kind="stable")
+        self.items = items[order]
+        self.owner = np.repeat(np.arange(len(held)), [len(p) for p in self.prints])[order]
+        self.place = np.concatenate([np.arange(len(p)) for p in self.prints])[order] if held else order
+
+    def match(self, rec: int, own: np.ndarray, hits: int, least: int, most_wrong: float) -> list[tuple]:
+        """(query, offset, equal, overlap, bit error): of each query the offset that most equal integers agree on, if `hits` do."""
+        lo, hi = np.searchsorted(self.items, own), np.searchsorted(self.items, own, "right")
+        n = hi - lo
+        at = np.repeat(lo, n) + ranges(n)
+        width = 1 << 32
+        key, votes = np.unique(self.owner[at] * width + (np.repeat(np.arange(len(own)), n) - self.place[at] + (width >> 1)), return_counts=True)
+        enough = votes >= hits
+        key, votes = key[enough], votes[enough]
+        out = []
+        for q in np.unique(key // width).tolist():
+            if self.ids[q] == rec:
+                continue
+            mine = key // width == q
+            best = int(np.argmax(votes[mine]))
+            offset = int(key[mine][best] % width) - (width >> 1)
+            a, b = self.prints[q][max(0, -offset) :], own[max(0, offset) :]
+            m = min(len(a), len(b))
+            wrong = int(np.bitwise_count(a[:m] ^ b[:m]).sum()) / (32 * m)
+            if m >= least and wrong <= most_wrong:
+                out.append((self.ids[q], offset, int(votes[mine][best]), m, round(wrong, 6)))
+        return out
+
+
+def match_recordings(prints: DataFrame, queries: DataFrame, most_wrong: float = 0.3, least: int = 16, hits: int = 4) -> DataFrame:
     """prints: rec_id, prints (binary, little-endian 32-bit). queries: the rec_ids to look up.
 
     Rows of kind `member` give each recording's class (the smallest id with equal prints) as query_id; rows of kind
     `match` align a class that has a query (query_id) with another class (rec_id): frame_offset, equal, overlap,
-    bit_error. A match overlaps by `least` frames, of whose bits at most most_wrong differ. Recordings without
+    bit_error. At a match `hits` equal integers agree on the offset, and of the bits of at least `least` overlapping
+    frames at most most_wrong differ. Recordings without
     prints (null, empty, short) and rows without an id are left out; copies are matched once, by class. Empty tables
     give no row. Queries travel in broadcast blocks of at most about QUERY_FRAMES integers.
     """
@@ -126,27 +163,11 @@ def match_recordings(prints: DataFrame, queries: DataFrame, most_wrong: float =
     out = member
     for b in range(blocks):
         rows = chosen.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).orderBy("query_id").toArrow()
-        shared = spark.sparkContext.broadcast([(q, np.frombuffer(p, "<u4")) for q, p in zip(rows.column("query_id").to_pylist(), rows.column("prints").to_pylist(), strict=True)])
+        shared = spark.sparkContext.broadcast(Queries([(q, np.frombuffer(p, "<u4")) for q, p in zip(rows.column("query_id").to_pylist(), rows.column("prints").to_pylist(), strict=True)]))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            held = shared.value
-            items = np.concatenate([p for _, p in held]) if held else np.zeros(0, np.uint32)
-            owner = np.repeat(np.arange(len(held)), [len(p) for _, p in held])
-            order = np.argsort(items, kind="stable")
-            items, owner = items[order], owner[order]
             for batch in batches:
-                rows = []
-                for rec, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    own = np.frombuffer(blob, "<u4")
-                    seen = np.unique(own)
-                    lo, hi = np.searchsorted(items, seen), np.searchsorted(items, seen, "right")
-                    touched = np.unique(owner[np.repeat(lo, hi - lo) + ranges(hi - lo)])
-                    for q in touched.tolist():
-                        if held[q][0] == rec:
-                            continue
-                        offset, equal, overlap, wrong = align(held[q][1], own)
-                        if overlap >= least and wrong <= most_wrong:
-                            rows.append(("match", held[q][0], rec, offset, equal, overlap, round(wrong, 6)))
+                rows = [("match", q, rec, *rest) for rec, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for q, *rest in shared.value.match(rec, np.frombuffer(blob, "<u4"), hits, least, most_wrong)]
                 c = list(zip(*rows, strict=True)) or [()] * 7
                 kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], names=["kind", "query_id", "rec_id", "frame_offset", "equal", "overlap", "bit_error"])
