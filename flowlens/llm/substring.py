@@ -3,7 +3,8 @@
 A window's minimiser is the smallest hash of the m-word grams in it. Consecutive windows of a document that share
 one make up a super-k-mer. Only super-k-mers whose minimiser occurs in two documents can hold a repeated window, so
 a first pass over the hashes drops the rest. Of equal super-k-mers the one in the smallest document stands for all:
-the others lie wholly in repeated windows. Where different super-k-mers share a minimiser they travel as packed
+those in other documents lie wholly in repeated windows, and those in the same document get the windows found for it.
+Where different super-k-mers share a minimiser they travel as packed
 strings to its bucket, and sorting their windows finds the equal ones. A minimiser with very many different
 super-k-mers is split further: its windows travel alone, as digests, and are pre-aggregated before the shuffle.
 """
@@ -63,7 +64,7 @@ def _kmers(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(low.view(np.int64)), pa.array(content.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc_id", "key", "minimiser", "content", "start", "n"])
 
 
-PACKED = "bucket long, packed binary, doc_id long, key long, start int"
+PACKED = "bucket long, packed binary, doc_id long, key long, start int, first int"
 
 
 def _pack(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -76,16 +77,17 @@ def _pack(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
             for x in wanted:
                 s, n = x["start"], x["n"]
                 if not x["alone"]:
-                    rows.append((x["minimiser"], words.text(base + s, base + s + n + k - 1), doc_id, key, s))
+                    rows.append((x["minimiser"], words.text(base + s, base + s + n + k - 1), doc_id, key, s, s))
                     continue
                 for j in range(s, s + n):
                     d = xxhash.xxh3_128_digest(words.text(base + j, base + j + k))
-                    rows.append((int.from_bytes(d[:8], "little", signed=True), d, doc_id, key, j))
-        cols = list(zip(*rows, strict=True)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["bucket", "packed", "doc_id", "key", "start"])
+                    rows.append((int.from_bytes(d[:8], "little", signed=True), d, doc_id, key, j, s))
+        cols = list(zip(*rows, strict=True)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["bucket", "packed", "doc_id", "key", "start", "first"])
 
 
-SPANS = "doc_id long, key long, start int, length int"
+#: first: the start of the super-k-mer that the span lies in.
+SPANS = "doc_id long, key long, first int, start int, length int"
 
 
 def _bucket(group: pa.Table, k: int) -> pa.Table:
@@ -111,7 +113,7 @@ def _bucket(group: pa.Table, k: int) -> pa.Table:
         else:
             spans.append([row, i, i + 1])
     keys = group.column("key").to_pylist()
-    return pa.table({"doc_id": pa.array([ids[r] for r, _, _ in spans], pa.int64()), "key": pa.array([keys[r] for r, _, _ in spans], pa.int64()), "start": pa.array([starts[r] + i for r, i, _ in spans], pa.int32()), "length": pa.array([j - i + k - 1 for _, i, j in spans], pa.int32())})
+    return pa.table({"doc_id": pa.array([ids[r] for r, _, _ in spans], pa.int64()), "key": pa.array([keys[r] for r, _, _ in spans], pa.int64()), "first": pa.array([starts[r] for r, _, _ in spans], pa.int32()), "start": pa.array([starts[r] + i for r, i, _ in spans], pa.int32()), "length": pa.array([j - i + k - 1 for _, i, j in spans], pa.int32())})
 
 
 def _cut(batches: Iterator[pa.RecordBatch], names: list[str], text_col: str) -> Iterator[pa.RecordBatch]:
@@ -163,20 +165,26 @@ def dedup_substrings(docs: DataFrame, k: int = 50, id_col: str = "doc_id", text_
     shared = kmers.groupBy("minimiser").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("minimiser")
     shared = written(shared, "shared_minimisers")  # as a table both sides of the join are exchanges, and Spark can split a hot minimiser
     kmers = written(kmers.join(shared, "minimiser", "left_semi"), "shared_kmers")
-    firsts = kmers.groupBy("minimiser", "content").agg(F.min(F.struct("doc_id", "key", "start", "n")).alias("first"), F.max("doc_id").alias("hi"))
-    firsts = written(firsts.select("minimiser", "content", F.col("first.doc_id").alias("doc_id"), F.col("first.key").alias("key"), F.col("first.start").alias("start"), F.col("first.n").alias("n"), "hi"), "first_kmers")
+    firsts = kmers.groupBy("minimiser", "content").agg(F.min(F.struct("doc_id", "key", "start", "n")).alias("first"), F.max("doc_id").alias("hi"), F.count("*").alias("n_rows"))
+    firsts = written(firsts.select("minimiser", "content", F.col("first.doc_id").alias("doc_id"), F.col("first.key").alias("key"), F.col("first.start").alias("start"), F.col("first.n").alias("n"), "hi", "n_rows"), "first_kmers")
 
     repeated = firsts.where("hi > doc_id").select("minimiser", "content", F.col("doc_id").alias("least"))
     copies = kmers.join(repeated, ["minimiser", "content"]).where("doc_id > least").select("doc_id", "key", "start", (F.col("n") + (k - 1)).alias("length"))
 
-    several = firsts.groupBy("minimiser").agg(F.count("*").alias("different"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("top")).where("different > 1 AND lo < top").select("minimiser", (F.col("different") > BUCKET).alias("alone"))
+    several = firsts.groupBy("minimiser").agg(F.count("*").alias("different"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("top")).where("different > 1 AND lo < top").select("minimiser", "lo", (F.col("different") > BUCKET).alias("alone"))
     several = written(several, "buckets")
     inside = _packed(keyed, firsts.join(several.where("NOT alone"), "minimiser"), k).groupBy("bucket").applyInArrow(lambda g: _bucket(g, k), SPANS)
-    found = copies.unionByName(inside)
     if not several.where("alone").isEmpty():
         single = _packed(keyed, firsts.join(several.where("alone"), "minimiser"), k)
         least = single.groupBy("bucket", "packed").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("hi")).where("hi > least")
-        found = found.unionByName(single.join(least, ["bucket", "packed"]).where("doc_id > least").select("doc_id", "key", "start", F.lit(k).alias("length")))
+        inside = inside.unionByName(single.join(least, ["bucket", "packed"]).where("doc_id > least").select("doc_id", "key", "first", "start", F.lit(k).alias("length")))
+    inside = written(inside, "spans")
+
+    # The first's document may hold its words at other places, which have the same spans; the smallest document of a bucket has none.
+    late = firsts.where("n_rows > 1").join(several, "minimiser").where("doc_id > lo").select("minimiser", "content", "doc_id", F.col("key").alias("first_key"), F.col("start").alias("first"))
+    again = kmers.join(late, ["minimiser", "content", "doc_id"]).where("key <> first_key OR start <> first").select("doc_id", "first_key", "first", F.col("key").alias("_key"), F.col("start").alias("_start"))
+    repeats = inside.withColumnRenamed("key", "first_key").join(again, ["doc_id", "first_key", "first"]).select("doc_id", F.col("_key").alias("key"), (F.col("_start") + F.col("start") - F.col("first")).alias("start"), "length")
+    found = copies.unionByName(inside.drop("first")).unionByName(repeats)
     spans = found.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_set(F.struct("start", "length")).alias("_spans"))
     joined = keyed.join(spans, ["_id", "_key"], "left")
     own = {id_col: F.nullif("_id", F.lit(_NONE)).cast(docs.schema[id_col].dataType).alias(id_col), text_col: F.col("_text").alias(text_col)}

@@ -71,6 +71,18 @@ def test_substring_dedup(docs, rows, monkeypatch, bucket):
     assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got.collect()) == substrings(rows, 50)
 
 
+@pytest.mark.parametrize("bucket", [1000, 1])
+def test_substring_dedup_of_repeats_within_a_document(spark, monkeypatch, bucket):
+    from flowlens.llm import substring
+
+    monkeypatch.setattr(substring, "BUCKET", bucket)
+    rng = random.Random(3)
+    p, q, r = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in (60, 70, 90))
+    rows = [(1, p), (2, f"{q} {p} {q} {p} {q}"), (2, f"{p} {q} {p} {q} {r} {p}"), (3, f"{r} {q} {p} {q} {r} {p} {r} {p} {r}"), (3, f"{r} {q} {p} {q} {r} {p} {r} {p} {r}")]
+    got = substring.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), 50).collect()
+    assert collections.Counter((g.doc_id, g.n_words, g.n_removed, g.kept_text) for g in got) == substrings(rows, 50)
+
+
 def test_substring_dedup_empty(empty):
     from flowlens.llm.substring import dedup_substrings
 
