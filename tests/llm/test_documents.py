@@ -369,6 +369,32 @@ def test_licenses(spark):
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_license_bodies(spark):
+    from flowlens.llm import licenses
+
+    texts = {n: t for n, t in licenses.all_templates().items() if n.endswith("-text")}
+    rng = random.Random(5)
+    noise = " ".join(f"w{rng.randrange(10**4)}" for _ in range(400))
+
+    def edited(t):
+        w = t.split()
+        for j in range(20, len(w), 30):
+            w[j] = "edited"
+        return " ".join(w[: len(w) // 2] + ["put", "in"] * 10 + w[len(w) // 2 :])
+
+    names = sorted(texts)
+    data = [(i, f"{noise} {texts[n]} {noise}") for i, n in enumerate(names)] + [(100 + i, f"{noise} {edited(texts[n])}") for i, n in enumerate(names)]
+    data += [(200, f"{texts['mit-text']} {noise} {texts['mit-text']} {texts['isc-text']}"), (201, noise), (202, "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License."), (203, "Licensed under CC BY 4.0.")]
+    got = collections.defaultdict(list)
+    for r in licenses.scan_licenses(spark.createDataFrame(data, "doc_id long, text string")).collect():
+        got[r.doc_id].append((r.license, r.coverage))
+    for i, n in enumerate(names):
+        assert got[i] == [(n, 1.0)], (n, got[i])
+        assert [x for x, _ in got[100 + i]] == [n] and got[100 + i][0][1] > 0.9, (n, got[100 + i])
+    assert [x for x, _ in got[200]] == ["mit-text", "mit-text", "isc-text"] and 201 not in got
+    assert [x for x, _ in got[202]] == ["cc-by-sa-3.0-notice"] and [x for x, _ in got[203]] == ["cc-by-4.0"]
+
+
 def test_audio(spark):
     import numpy as np
 
