@@ -1,7 +1,7 @@
-"""Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine.
+"""Toxicity: votes of the nearest labelled examples by TF-IDF cosine over selected terms, exact on these.
 
 Examples are a bounded sample of the labelled rows; their index is small and goes to every task. Terms are those
-whose share of toxic examples stands out; their document frequencies are counted over all documents.
+whose share of toxic examples stands out (README has what all terms give instead); their document frequencies are counted over all documents.
 """
 
 from __future__ import annotations
