@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.operators import detectors, events, explain, features, metrics, resample
+from flowlens.operators import detectors, events, explain, features, metrics, resample, split
 from flowlens.plans.views import flows, query, r6, table
 
 MODALITIES = {"volume": ["l_quantity", "l_extendedprice"], "rate": ["l_discount", "l_tax"]}
@@ -76,17 +76,26 @@ def a03_group_shapley(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("value", F.round("value", 4))
 
 
+#: Rows of a background, chosen by a hash of the id.
+BACKGROUND = 500
+
+
+def alerts_and_background(v: DataFrame, score: explain.Score, limit: float) -> tuple[DataFrame, DataFrame]:
+    """All rows whose score is over the limit, and the background sample."""
+    v = v.select(F.col("row_id").alias("id"), "x")
+    return explain.scored(v, score).where(F.col("score") > limit).select("id", "x"), split.cap(v, BACKGROUND, "id")
+
+
 @query("a02_shapley")
 def a02_shapley(spark: SparkSession, d: str) -> DataFrame:
-    v = vectors(spark, d).select(F.col("row_id").alias("id"), "x")
     score = lambda m: np.abs(m).sum(1)
-    return r6(explain.permutation_shapley(v.where("id % 997 = 0"), v.where("id % 1999 = 0"), score, 4, 10))
+    return r6(explain.permutation_shapley(*alerts_and_background(vectors(spark, d), score, 6.0), score, 4, 10))
 
 
 @query("a04_surrogate")
 def a04_surrogate(spark: SparkSession, d: str) -> DataFrame:
-    v = vectors(spark, d).select(F.col("row_id").alias("id"), "x")
-    return r6(explain.local_surrogate(v.where("id % 997 = 0"), v.where("id % 1999 = 0"), lambda m: m.sum(1), 4, 60))
+    score = lambda m: m.sum(1)
+    return r6(explain.local_surrogate(*alerts_and_background(vectors(spark, d), score, 3.5), score, 4, 60))
 
 
 EVENTS_SQL = """WITH l AS (SELECT *, min(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS f FROM events)

@@ -307,3 +307,13 @@ def test_seen_and_unseen_families(spark):
     df = spark.createDataFrame(rows, "row_id long, x array<double>, y int, family string")
     got = {(r.family, r.seen): r.roc_auc for r in batch.lofo(df, "family", ["a"], "row_id", trees=5).collect()}
     assert got[("a", True)] > 0.9 and set(got) == {("a", True), ("a", False)}
+
+
+@pytest.mark.parametrize(("name", "score", "limit"), [("a02_shapley", lambda x: np.abs(x).sum(), 6.0), ("a04_surrogate", lambda x: x.sum(), 3.5)])
+def test_every_alert_is_explained(spark, name, score, limit):
+    from flowlens.plans import model_queries
+
+    d = "/root/testdata/sf0.001"
+    want = [r.row_id for r in model_queries.vectors(spark, d).collect() if score(np.array(r.x, float)) > limit]
+    got = [(r.id, r.feature) for r in getattr(model_queries, name)(spark, d).collect()]
+    assert want and sorted(got) == sorted((i, k) for i in want for k in range(4))
