@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from flowlens.llm.common import scratch_path
 from flowlens.llm.mixing import mix_sources
-from flowlens.llm.ngram_join import ngram_components
+from flowlens.llm.ngram_join import keep_first
 from flowlens.llm.packing import concat_and_cut
 from flowlens.llm.substring import dedup_substrings
 from flowlens.llm.toxicity import score_toxicity
@@ -26,10 +26,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays; of rows with one id and text, one."""
-    kept = ngram_components(docs, 5, 75).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").select(COLUMNS)
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL").select(COLUMNS))
+    """Of each group of near duplicates the document with the smallest id stays, of equal rows one; what is in no group (no words, no id) stays."""
+    return keep_first(docs.select(COLUMNS), 5, 75)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -128,10 +129,45 @@ def test_ngram_components_empty(empty):
     assert ngram_components(empty).count() == 0
 
 
-def test_divide_skip_finds_all_links():
+NEAR = " ".join(f"p{i}" for i in range(60))
+
+
+@pytest.mark.parametrize("parts", [1, 64])
+@pytest.mark.parametrize("rows", [[(1, NEAR)], [(1, NEAR), (2, NEAR + " more")], [(1, NEAR), (5, "an other text " * 9), (5, NEAR + " more"), (7, "one"), (7, "two"), (None, NEAR), (8, None), (8, "")]])
+def test_ngram_components_of_few_rows(spark, rows, parts):
+    """Buckets without a shared shingle, and ids whose rows have different texts."""
+    from flowlens.llm.ngram_join import keep_first, ngram_components
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("row", "component", "i", "node", "words")})
+        assert collections.Counter(map(tuple, ngram_components(docs).collect())) == components(rows)
+        if len(rows) > 2:
+            kept = keep_first(docs)
+            assert kept.columns == docs.columns
+            assert collections.Counter((r.doc_id, r.text) for r in kept.collect()) == collections.Counter(r for r in rows if r != (5, NEAR + " more"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_occurrences_merge_and_probe():
+    from flowlens.llm.ngram_join import occurrences
+
+    rng = random.Random(1)
+    for _ in range(200):
+        lists = [sorted(rng.sample(range(60), rng.choice([1, 2, 5, 40]))) for _ in range(rng.randrange(1, 30))]
+        least, low, high = rng.randrange(1, 12), rng.randrange(20), rng.randrange(30, 70)
+        count = collections.Counter(x for s in lists for x in s)
+        goal = {x: least + x % 3 for x in count}
+        want = [x for x in sorted(count) if low <= x < high and x % 7 and count[x] >= goal[x]]
+        assert list(occurrences(lists, least, low, high, lambda x: x % 7 == 0, goal.get)) == want
+
+
+def test_links_join_all_similar_sets():
     import numpy as np
 
-    from flowlens.llm.ngram_join import divide_skip
+    from flowlens.llm.ngram_join import links
 
     rng = np.random.default_rng(1)
     base = [np.unique(rng.integers(0, 500, 60)) for _ in range(12)]
@@ -148,7 +184,7 @@ def test_divide_skip_finds_all_links():
         x, y = lab[a], lab[b]
         return [min(x, y) if v in (x, y) else v for v in lab]
 
-    for a, b in divide_skip(sets, 75):
+    for a, b in links(sets, 75):
         inter = len(np.intersect1d(sets[a], sets[b]))
         assert 100 * inter >= 75 * (len(sets[a]) + len(sets[b]) - inter)
         got = join(got, a, b)
