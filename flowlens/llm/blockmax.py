@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 
-from flowlens.llm.kernels import ranges
+
+def spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... (count of them) for each start, in a row."""
+    ends = np.cumsum(count)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - ends + count, count)
 
 
 class BlockMaxIndex:
@@ -20,7 +24,7 @@ class BlockMaxIndex:
         new = np.ones(len(t), bool)
         new[1:] = (t[1:] != t[:-1]) | (b[1:] != b[:-1])
         self.start = np.flatnonzero(new)  # of each (term, block) in the postings
-        self.end = np.append(self.start[1:], len(t))
+        self.size = np.diff(np.append(self.start, len(t)))
         self.which = b[self.start]
         self.most = np.maximum.reduceat(self.impact, self.start) if len(t) else np.zeros(0)
         self.first = np.searchsorted(t[self.start], np.arange(n_terms + 1))  # of each term in the blocks
@@ -28,39 +32,39 @@ class BlockMaxIndex:
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k ids of the highest positive sums of weight * impact, and the sums; ties go to smaller ids. skip: an id left out.
 
-        WAND's condition, by blocks: a block is looked into only if its bound reaches the k-th score so far. Blocks
-        are taken by falling bound, so the first that does not reach it ends the search.
+        The blocks of the highest bounds give a k-th score; of the others only those are looked into whose bound
+        reaches it (a block is the pivot).
         """
         terms, weights = terms[weights > 0], weights[weights > 0]
-        lo, n = self.first[terms], self.first[terms + 1] - self.first[terms]
-        at = np.repeat(lo, n) + ranges(n)
-        w = np.repeat(weights, n)
-        nothing = np.zeros(0, np.int64), np.zeros(0)
-        if not len(at):
-            return nothing
-        blocks, own = np.unique(self.which[at], return_inverse=True)
-        bound = np.bincount(own, w * self.most[at]) * (1 + 1e-12)  # the bound's rounding must not hide a tie
-        by_block = np.argsort(own, kind="stable")
-        edges = np.searchsorted(own[by_block], np.arange(len(blocks) + 1))
-        best_id, best = nothing
+        lo = self.first[terms]
+        n = self.first[terms + 1] - lo
+        at, w = spread(lo, n), np.repeat(weights, n)
+        which = self.which[at]
+        bound = np.bincount(which, w * self.most[at], -(-self.n_ids // self.block)) * (1 + 1e-12)  # the bound's rounding must not hide a tie
         order = np.argsort(-bound, kind="stable")
-        done, step = 0, 4
+        order = order[bound[order] > 0]
+        best_id, best = np.zeros(0, np.int64), np.zeros(0)
+        done, step = 0, -(-2 * k // self.block)
         while done < len(order):
-            if len(best) == k and bound[order[done]] < best[-1]:
-                break
             take = order[done : done + step]
             if len(best) == k:
                 take = take[bound[take] >= best[-1]]
-            done += step
-            step *= 2
-            entries = by_block[np.repeat(edges[take], edges[take + 1] - edges[take]) + ranges(edges[take + 1] - edges[take])]
-            size = self.end[at[entries]] - self.start[at[entries]]
-            post = np.repeat(self.start[at[entries]], size) + ranges(size)
-            ids, slot = np.unique(self.ids[post], return_inverse=True)
-            score = np.bincount(slot, np.repeat(w[entries], size) * self.impact[post])
+                if not len(take):
+                    break
+            done, step = done + step, len(order)
+            wanted = np.zeros(len(bound), bool)
+            wanted[take] = True
+            entries = np.flatnonzero(wanted[which])
+            size = self.size[at[entries]]
+            post = spread(self.start[at[entries]], size)
+            score = np.bincount(self.ids[post], np.repeat(w[entries], size) * self.impact[post], self.n_ids)
             if skip >= 0:
-                score, ids = score[ids != skip], ids[ids != skip]
-            best_id, best = np.concatenate([best_id, ids]), np.concatenate([best, score])
+                score[skip] = 0
+            ids = np.flatnonzero(score > 0 if len(best) < k else score >= best[-1])
+            best_id, best = np.concatenate([best_id, ids]), np.concatenate([best, score[ids]])
+            if len(best) > k:
+                near = best >= np.partition(best, len(best) - k)[len(best) - k]
+                best_id, best = best_id[near], best[near]
             keep = np.lexsort((best_id, -best))[:k]
             best_id, best = best_id[keep], best[keep]
         return best_id, best

@@ -94,6 +94,17 @@ class Words:
         return b" ".join([b[s:e].tobytes() for s, e in zip(self.start[lo:hi], self.end[lo:hi])])
 
 
+def term_counts(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, hash and frequency of each distinct word of a row, by row and hash."""
+    h = words.hashes()
+    order = np.lexsort((h, words.doc))
+    d, h = words.doc[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
+    first = np.flatnonzero(new)
+    return d[first], h[first], np.diff(np.append(first, len(h)))
+
+
 def grams(h: np.ndarray, k: int) -> np.ndarray:
     """A hash of each k consecutive hashes; one for each place at which they fit (rows must be told apart by the caller)."""
     n = len(h) - k + 1

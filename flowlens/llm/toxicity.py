@@ -1,15 +1,13 @@
-"""Toxicity: votes of the nearest labelled examples by TF-IDF cosine over selected terms, exact on these.
+"""Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine.
 
-Examples are a bounded sample of the labelled rows; their index is small and goes to every task. Terms are those
-whose share of toxic examples stands out (README has what all terms give instead); their document frequencies are counted over all documents.
+Examples are a bounded sample of the labelled rows. All their terms make up the vocabulary; document frequencies are
+counted over all documents. The examples' vectors are an inverted index with block maxima, which goes to every task:
+its size is bounded by the examples. Cosines weigh the votes, and a logistic curve makes the share a probability.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
-import string
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,58 +17,50 @@ from pyspark.sql import functions as F
 
 from flowlens.llm.blockmax import BlockMaxIndex
 from flowlens.llm.common import written
+from flowlens.llm.kernels import Words, pieces, term_counts
 
-_BLANK = str.maketrans({c: " " for c in string.punctuation + string.digits})
 
+class Examples:
+    """The labelled examples' vectors under an index, and the calibration of their votes.
 
-def terms(text: str | None) -> list[str]:
-    """Words in lower case, without ASCII punctuation and digits."""
-    return text.lower().translate(_BLANK).split() if text else []
+    vocabulary: sorted hashes of the terms; frequency: documents (of n_docs) that have each.
+    bags: for each example the terms' places in the vocabulary, and how often it has them.
+    """
 
+    def __init__(self, ids: list[int], labels: list[int], bags: list[tuple[np.ndarray, np.ndarray]], vocabulary: np.ndarray, frequency: np.ndarray, n_docs: int, k: int):
+        self.ids, self.labels, self.k, self.vocabulary = np.array(ids, np.int64), np.array(labels, np.float64), k, vocabulary
+        self.idf = np.log(1 + n_docs / np.maximum(frequency, 1))
+        self.a, self.b = 0.0, 0.0
+        rows = [self.vector(*b) for b in bags]
+        ident = np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows]).astype(np.int64)
+        term, impact = (np.concatenate([r[i] for r in rows]) if rows else np.zeros(0) for i in (0, 1))
+        self.index = BlockMaxIndex(term.astype(np.int64), ident, impact, len(vocabulary), len(rows), block=64)
 
-class Examples:
-    """The labelled examples' vectors under an index, and the calibration of their votes."""
-
-    def __init__(self, ids: list[int], labels: list[int], counts: list[dict[str, int]], idf: dict[str, float], k: int):
-        self.ids, self.labels, self.k = np.array(ids, np.int64), np.array(labels, np.float64), k
-        self.terms = {t: i for i, t in enumerate(sorted(idf))}
-        self.idf = np.array([idf[t] for t in sorted(idf)])
-        self.a, self.b, self.base = 0.0, 0.0, 0.0
-        rows = [self.vector(c) for c in counts]
-        term = np.concatenate([t for t, _ in rows]) if rows else np.zeros(0, np.int64)
-        ident = np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows]) if rows else np.zeros(0, np.int64)
-        impact = np.concatenate([w for _, w in rows]) if rows else np.zeros(0)
-        self.index = BlockMaxIndex(term, ident, impact, len(idf), len(rows))
-
-    def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights (1 + ln tf) * idf, of length 1."""
-        known = sorted((self.terms[t], n) for t, n in counts.items() if t in self.terms)
-        if not known:
-            return np.zeros(0, np.int64), np.zeros(0)
-        t, n = np.array(known, np.int64).T
-        w = (1 + np.log(n)) * self.idf[t]
-        return t, w / np.sqrt(w @ w)
-
-    def count(self, text: str | None) -> dict[str, int]:
-        known = self.terms
-        return Counter([t for t in terms(text) if t in known])
-
-    def vote(self, counts: dict[str, int], skip: int = -1) -> tuple[float, list[tuple[int, float, int]]]:
-        """The neighbours' toxic share, weighted by cosine (with a pull to 0 when they are far), and the neighbours."""
-        t, w = self.vector(counts)
-        if not len(t):
-            return 0.0, []
-        near, cosine = self.index.top(t, w, self.k, skip)
-        share = float(cosine @ self.labels[near]) / (float(cosine.sum()) + 0.1)
-        return share, [(int(self.ids[i]), float(c), int(self.labels[i])) for i, c in zip(near, cosine, strict=True)]
-
-    def calibrate(self, share: np.ndarray, label: np.ndarray, weight: np.ndarray) -> None:
+        w = (1 + np.log(counts)) * self.idf[terms]
+        return terms, w / max(math.sqrt(float(w @ w)), 1e-300)
+
+    def bags(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The known terms of each text, and how often it has them."""
+        row, term, n = term_counts(Words(texts, plain=True))
+        at = np.minimum(np.searchsorted(self.vocabulary, term), max(len(self.vocabulary) - 1, 0))
+        known = self.vocabulary[at] == term if len(self.vocabulary) else np.zeros(len(term), bool)
+        row, at, n = row[known], at[known], n[known]
+        edges = np.searchsorted(row, np.arange(len(texts) + 1))
+        return [(at[a:b], n[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+    def vote(self, terms: np.ndarray, counts: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
+        """The neighbours' toxic share, weighted by cosine (0.1 of a cosine of 1 counts as not toxic), and the neighbours with their cosines. skip: an example left out."""
+        near, cosine = self.index.top(*self.vector(terms, counts), self.k, skip)
+        return float(cosine @ self.labels[near]) / (float(cosine.sum()) + 0.1), near, cosine
+
+    def calibrate(self, share: np.ndarray, weight: np.ndarray) -> None:
         """Logistic regression of the label on the share, by Newton steps, with a small ridge."""
         a = b = 0.0
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(a * share + b, -30, 30)))
-            r = weight * (p - label)
-            v = weight * p * (1 - p)
+            r, v = weight * (p - self.labels), weight * p * (1 - p)
             ga, gb = r @ share + 1e-2 * a, r.sum() + 1e-2 * b
             haa, hab, hbb = v @ (share * share) + 1e-2, v @ share, v.sum() + 1e-2
             det = haa * hbb - hab * hab
@@ -82,98 +72,88 @@ class Examples:
 
 
 def held_out(id_col: str = "doc_id"):
-    """Whether a row is kept from all fitting: CRC-32 of its id as text, modulo 5, is 0."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+    """Whether a row is kept from all fitting: CRC-32 of its id as text, modulo 5, is 0. False for a null id, which has no label."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 10_000, max_terms: int = 5_000, min_gain: float = 20.0, ratio: float = 4.0, k: int = 25) -> Examples:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2_000, k: int = 100) -> Examples:
     """docs: doc_id, text. labels: doc_id, toxic. At most per_class labelled rows of each class, chosen by a hash of the id, and one of rows with equal text and label, are the examples."""
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     usable = written(usable, "labelled")
     known = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     sample = [usable.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     chosen = written(sample[0].unionByName(sample[1]), "chosen")  # at most 2 * per_class ids
     found = docs.join(F.broadcast(chosen), "doc_id")
-    one = found.groupBy(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("m"), "toxic").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
-    examples = written(one.select("doc_id", "toxic", "text"), "examples")
-    total = {r["toxic"]: r["n"] for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    p, q = total.get(1, 0), total.get(0, 0)
-
-    def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: dict[tuple[str, int], int] = Counter()
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen.update((t, y) for t in set(terms(text)))
-            keys = list(seen)
-            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in keys], pa.string()), pa.array([y for _, y in keys], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["term", "toxic", "n"])
-
-    counts = examples.select("text", F.col("toxic").cast("int")).mapInArrow(presence, "term string, toxic int, n long")
-    by_term = counts.groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"))
-
-    def part(seen: str, of: int):
-        """A class's part of the log-likelihood ratio of having the term."""
-        rate, s = (F.col("a") + F.col("b")) / (p + q), F.col(seen)
-        return F.when(s > 0, s * F.log(s / (rate * of))).otherwise(0.0) + F.when(s < of, (of - s) * F.log((of - s) / ((1 - rate) * of))).otherwise(0.0)
-
-    words: list[str] = []
-    if p and q:
-        gain = by_term.where((F.col("a") + 0.5) / (p + 1) >= ratio * (F.col("b") + 0.5) / (q + 1)).withColumn("gain", 2 * (part("a", p) + part("b", q)))
-        words = [r["term"] for r in gain.where(F.col("gain") >= min_gain).orderBy(F.desc("gain"), "term").limit(max_terms).select("term").collect()]
-    vocabulary = frozenset(words)
-
-    def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(vocabulary.intersection(terms(text)))
-                seen[""] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
-
-    df = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(frequency, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # one row for each term
-    everything = df.pop("", 0)
-    idf = {t: math.log(1 + everything / df[t]) for t in words if t in df}
-
-    def known_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [Counter([t for t in terms(x) if t in vocabulary]) for x in batch.column(2).to_pylist()]
-            place = pa.array([hashlib.md5((x or "").encode()).hexdigest() for x in batch.column(2).to_pylist()])
-            yield pa.RecordBatch.from_arrays([place, batch.column(0), batch.column(1), pa.array([list(c.items()) for c in got], pa.map_(pa.string(), pa.int64()))], names=["place", "doc_id", "toxic", "counts"])
-
-    rows = examples.select("doc_id", F.col("toxic").cast("int"), "text").mapInArrow(known_terms, "place string, doc_id long, toxic int, counts map<string,long>").orderBy("place", "toxic").collect()  # at most 2 * per_class
-    model = Examples([r["doc_id"] for r in rows], [r["toxic"] for r in rows], [r["counts"] for r in rows], idf, k)
-    if p and q:
-        share = np.array([model.vote(r["counts"], i)[0] for i, r in enumerate(rows)])
-        weight = np.where(model.labels == 1, known.get(1, 0) / p, known.get(0, 0) / q)  # as often as in all labelled rows
-        model.calibrate(share, model.labels, weight)
+    place = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    one = found.groupBy(place.alias("place"), "toxic").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 3):
+            row, term, n = term_counts(Words(batch.column(3), plain=True))
+            edges = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            blobs = [[x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)] for x in (term, n.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *(pa.array(b, pa.binary()) for b in blobs)], names=["place", "doc_id", "toxic", "terms", "counts"])
+
+    rows = one.select("place", "doc_id", "toxic", "text").mapInArrow(bags, "place string, doc_id long, toxic int, terms binary, counts binary").orderBy("place", "toxic").collect()  # at most 2 * per_class
+    terms = [np.frombuffer(r["terms"], np.uint64) for r in rows]
+    vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *terms]))
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # of the examples' terms
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        seen, total = np.zeros(len(own), np.int64), 0
+        for batch in pieces(batches, 0):
+            _, term, _ = term_counts(Words(batch.column(0), plain=True))
+            total += batch.num_rows
+            if len(own):
+                at = np.minimum(np.searchsorted(own, term), len(own) - 1)
+                seen += np.bincount(at[own[at] == term], minlength=len(own))
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([*some, -1], pa.int64()), pa.array([*seen[some], total], pa.int64())], names=["term", "n"])
+
+    counted = docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # one row for each term of the examples
+    at, n = (counted.column(c).to_numpy() for c in ("term", "n"))
+    frequency = np.zeros(len(vocabulary), np.int64)
+    frequency[at[at >= 0]] = n[at >= 0]
+    own = [(np.searchsorted(vocabulary, t), np.frombuffer(r["counts"], np.int64)) for t, r in zip(terms, rows, strict=True)]
+    model = Examples([r["doc_id"] for r in rows], [r["toxic"] for r in rows], own, vocabulary, frequency, int(n[at < 0].sum()), k)
+    toxic = int(model.labels.sum())
+    clean = len(rows) - toxic
+    if toxic and clean:
+        share = np.array([model.vote(*b, i)[0] for i, b in enumerate(own)])
+        model.calibrate(share, np.where(model.labels == 1, known[1] / toxic, known[0] / clean))  # as often as in all labelled rows
     else:
-        model.b = 30.0 if p else -30.0
+        model.b = 30.0 if toxic else -30.0
     return model
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with tox_score (0 to 1), tox_predicted (score >= 0.5) and tox_evidence (neighbours: doc_id, cosine, toxic).
-
-    Every row returns. Null and empty texts, and texts without a known term, have no neighbours and get the score of
-    a share of 0. Labels with null id or a value other than 0 and 1 are not used; of several labels of one id the
-    highest counts; labels of ids that docs lacks are ignored. Repeated rows get equal scores. Without labels of
-    both classes all scores are near that of the one class (0 if none). Neighbours with equal cosine: in order of a hash of their texts, so that no id has a part in a score.
-    Columns of docs named like the new ones are replaced. options: those of fit().
+    """docs with tox_score (0 to 1), tox_predicted (score >= 0.5) and tox_evidence (the ten nearest neighbours: doc_id, cosine, toxic).
+
+    Terms are words with A-Z in lower case and ASCII punctuation as space, told apart by 64-bit hashes. Vectors have
+    all terms that any example has; other terms have no weight. Every row returns. Null and empty texts, and texts
+    without such a term, have no neighbours and get the score of a share of 0. Labels with null id or a value other
+    than 0 and 1 are not used; of several labels of one id the highest counts; labels of ids that docs lacks are
+    ignored. Repeated rows get equal scores. Without labels of both classes all scores are near that of the one class
+    (0 if none). Neighbours with equal cosine come in order of a hash of their texts, so that no id has a part in a
+    score. Columns of docs named like the new ones are replaced, others kept. options: those of fit().
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    model = docs.sparkSession.sparkContext.broadcast(fit(narrow, labels, **options))  # of at most 2 * per_class examples and max_terms terms
+    model = docs.sparkSession.sparkContext.broadcast(fit(narrow, labels, **options))  # of at most 2 * per_class examples
 
     evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
-    names = [c for c in docs.columns if c not in ("tox_score", "tox_predicted", "tox_evidence")]
+    made = ["tox_score", "tox_predicted", "tox_evidence"]
+    names = [c for c in docs.columns if c not in made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for batch in batches:
-            got = [m.vote(m.count(t)) for t in batch.column(len(names)).to_pylist()]
-            score = np.array([m.score(s) for s, _ in got])
-            near = [[{"doc_id": i, "cosine": c, "toxic": y} for i, c, y in e] for _, e in got]
+        for batch in pieces(batches, len(names)):
+            got = [m.vote(*b) for b in m.bags(batch.column(len(names)))]
+            score = np.array([m.score(s) for s, _, _ in got])
+            near = [[{"doc_id": int(m.ids[i]), "cosine": float(c), "toxic": int(m.labels[i])} for i, c in zip(e[:10], x[:10], strict=True)] for _, e, x in got]
             new = [pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32)), pa.array(near, evidence)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(names))), *new], names=[*names, "tox_score", "tox_predicted", "tox_evidence"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(names))), *new], names=[*names, *made])
 
-    source = docs.select(*names, F.col(text_col).alias("_text"))
+    text = F.col(text_col).alias("".join(names) + "_text")  # a name that docs does not have
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*names).dtypes)
-    return source.mapInArrow(run, f"{schema}, tox_score double, tox_predicted int, tox_evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
+    return docs.select(*names, text).mapInArrow(run, f"{schema}, tox_score double, tox_predicted int, tox_evidence array<struct<doc_id:long,cosine:double,toxic:int>>")

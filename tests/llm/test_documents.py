@@ -6,6 +6,7 @@ import hashlib
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -307,30 +308,60 @@ def test_mixing_empty(empty):
     assert mix_sources(empty).count() == 0
 
 
-def test_toxicity(spark, docs, rows):
-    from flowlens.llm.toxicity import held_out, score_toxicity
+def test_toxicity(spark):
+    """Neighbours, cosines, votes and scores against plain Python."""
+    import math
+    import string
+
+    from flowlens.llm.toxicity import fit, held_out, score_toxicity
 
     rng = random.Random(2)
     bad = ["nasty", "awful", "vile"]
     data, labels = [], []
-    for i in range(400):
-        w = [f"w{rng.randrange(300)}" for _ in range(40)]
-        y = i % 5 == 0
-        if y:
-            w[rng.randrange(40)] = rng.choice(bad)
-            w[rng.randrange(40)] = rng.choice(bad).upper() + "!"
+    for i in range(300):
+        w = [f"w{rng.randrange(80)}" for _ in range(rng.randrange(5, 40))]
+        if i % 5 == 0:
+            for j in range(0, len(w), 6):
+                w[j] = rng.choice(bad) if j else rng.choice(bad).upper() + "!"
         data.append((i, " ".join(w)))
-        labels.append((i, int(y)))
-    data += [(500, None), (501, ""), (None, "vile nasty"), (502, "nasty vile awful " * 5000)]
-    df = spark.createDataFrame([(i, t, "x") for i, t in data], "doc_id long, text string, tox_score string")
-    lab = spark.createDataFrame([*labels, (None, 1), (9999, 1), (7, None)], "doc_id long, toxic int")
-    got = {r.doc_id: r for r in score_toxicity(df, lab).select("*", held_out().alias("h")).collect()}
-    assert len(got) == len(data) and all(0 <= r.tox_score <= 1 and r.tox_predicted == (r.tox_score >= 0.5) for r in got.values())
-    held = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 5 == 0]
-    assert all(got[i].h for i in held)
-    assert sum(got[i].tox_predicted == dict(labels)[i] for i in held) >= 0.95 * len(held)
-    assert got[500].tox_predicted == got[501].tox_predicted == 0 and got[502].tox_predicted == 1
-    assert len(got[502].tox_evidence) and all(e.toxic in (0, 1) for e in got[502].tox_evidence)
+        labels.append((i, int(i % 5 == 0)))
+    data += [(500, None), (501, ""), (None, "vile nasty"), (502, "nasty vile awful " * 5000), (503, data[10][1]), (504, "unknown words only")]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in data], "doc_id long, text string, tox_score string, doc_id_text string")
+    lab = spark.createDataFrame([*labels, (None, 1), (9999, 1), (7, None), (8, 5), (10, 0)], "doc_id long, toxic int")
+    k = 7
+    model = fit(df.select("doc_id", "text"), lab, k=k)
+    got = {r.doc_id: r for r in score_toxicity(df, lab, k=k).select("*", held_out().alias("h")).collect()}
+    assert len(got) == len(data) and got[10].doc_id_text == "y"
+
+    blank = str.maketrans({c: " " for c in string.punctuation})
+    bags = {i: collections.Counter((t or "").lower().translate(blank).split()) for i, t in data}
+    held = {i for i, _ in labels if zlib.crc32(str(i).encode()) % 5 == 0}
+    examples = {i: y for i, y in labels if i not in held}
+    frequency = collections.Counter(w for b in bags.values() for w in b)
+    known = {w for i in examples for w in bags[i]}
+
+    def vector(bag):
+        v = {w: (1 + math.log(n)) * math.log(1 + len(data) / frequency[w]) for w, n in bag.items() if w in known}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1
+        return {w: x / norm for w, x in v.items()}
+
+    vectors = {i: vector(b) for i, b in bags.items()}
+    for i, _ in data:
+        cosine = {e: sum(x * vectors[e].get(w, 0) for w, x in vectors[i].items()) for e in examples}
+        best = sorted((c for c in cosine.values() if c > 0), reverse=True)[:k]
+        r = got[i]
+        assert r.h == (i in held)
+        assert [e.cosine for e in r.tox_evidence] == pytest.approx(best)
+        assert all(e.cosine == pytest.approx(cosine[e.doc_id]) and e.toxic == examples[e.doc_id] for e in r.tox_evidence)
+        share = sum(e.cosine * e.toxic for e in r.tox_evidence) / (sum(best) + 0.1)
+        assert r.tox_score == pytest.approx(model.score(share)) and r.tox_predicted == (r.tox_score >= 0.5)
+    # The curve minimises the weighted loss: all labelled rows are examples, so each weighs 1.
+    share = {i: model.vote(*model.bags(pa.array([dict(data)[i]]))[0], int(model.ids.tolist().index(i)))[0] for i in examples}
+    loss = lambda a, b: sum(math.log1p(math.exp(-(a * s + b) * (2 * examples[i] - 1))) for i, s in share.items()) + 5e-3 * (a * a + b * b)
+    here = loss(model.a, model.b)
+    assert all(loss(model.a + x, model.b + y) >= here for x, y in ((0.1, 0), (-0.1, 0), (0, 0.1), (0, -0.1)))
+    assert sum(got[i].tox_predicted == dict(labels)[i] for i in held) >= 0.9 * len(held)
+    assert got[500].tox_predicted == got[501].tox_predicted == got[504].tox_predicted == 0 and got[502].tox_predicted == 1
     none = score_toxicity(df, lab.limit(0)).collect()
     assert len(none) == len(data) and not any(r.tox_predicted for r in none)
     assert score_toxicity(df.limit(0), lab).count() == 0
