@@ -390,32 +390,39 @@ def test_block_max_search_is_exact():
             assert [(i, -s) for i, s in want] == list(zip(ids.tolist(), got.tolist()))
 
 
-def test_bm25(spark, docs, rows, empty, monkeypatch):
+@pytest.mark.parametrize("limits", [{"SHARD": 30_000, "BLOCK_TERMS": 900, "CHUNK": 3, "GROUP": 2, "BLOCK": 4}, {}])
+def test_bm25(spark, docs, rows, empty, monkeypatch, limits):
+    """Ids, ranks and scores against plain Python; repeated queries are one, an id with two texts is two."""
     import math
 
     from flowlens.llm import search
 
-    monkeypatch.setattr(search, "SHARD", 20)
-    monkeypatch.setattr(search, "BLOCK_TERMS", 900)
-    asked = docs.where("doc_id % 10 = 0 OR doc_id IS NULL OR doc_id = 101")
+    for name, value in limits.items():
+        monkeypatch.setattr(search, name, value)
+    k = 5
+    more = [(0, "w1 w2 w3 w1", "", "", 0), (0, "w1 w2 w3 w1", "", "", 0), (10, None, "", "", 0), (20, "", "", "", 0), (30, "notaword", "", "", 0)]
+    asked = docs.where("doc_id % 10 = 0 OR doc_id IS NULL").unionByName(spark.createDataFrame(more, SCHEMA))
     got = collections.defaultdict(list)
-    for r in search.bm25_search(docs, asked, 5).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.doc_id, round(r.score, 4)))
+    for r in search.bm25_search(docs.withColumnRenamed("lang", "query_id"), asked, k).orderBy("query_id", "query_key", "rank").collect():
+        got[r.query_id, r.query_key].append((r["rank"], r.doc_id, r.score))
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     bags = [(i, collections.Counter(words((t or "").translate(lower)))) for i, t, *_ in rows]
     mean = sum(sum(b.values()) for _, b in bags) / len(bags)
     df = collections.Counter(w for _, b in bags for w in b)
-    for q, bag in bags:
-        if q is None or q % 10 or q == 3:
-            continue
-        scored = []
+    want = []
+    for _, t in {(i, t) for i, t, *_ in [*rows, *more] if i is not None and i % 10 == 0}:
+        bag = collections.Counter(words((t or "").translate(lower)))
+        scored = collections.Counter()
         for i, b in bags:
             if i is not None:
                 s = sum(n * math.log(1 + (len(bags) - df[w] + 0.5) / (df[w] + 0.5)) * b[w] * 2.2 / (b[w] + 1.2 * (0.25 + 0.75 * sum(b.values()) / mean)) for w, n in bag.items() if w in b)
                 if s > 0:
-                    scored.append((-round(s, 6), i))
-        want = [(i, round(-s, 4)) for s, i in sorted(scored)[:5]]
-        assert [s for _, s in got[q]] == pytest.approx([s for _, s in want], abs=2e-4)
+                    scored[i, round(s, 6)] += 1
+        top = sorted(scored.elements(), key=lambda x: (-x[1], x[0]))[:k]
+        if top:
+            want.append([(j + 1, i, s) for j, (i, s) in enumerate(top)])
+    plain = lambda lists: sorted([(r, i, round(s, 5)) for r, i, s in x] for x in lists)
+    assert plain(got.values()) == plain(want)
     assert search.bm25_search(empty, empty).count() == 0
 
 
