@@ -1,7 +1,9 @@
-"""An inverted index with block maxima, and exact top-k search that skips blocks by them."""
+"""An inverted index with block maxima, and exact search that opens long lists only where they can matter."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 
@@ -12,59 +14,63 @@ def spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Postings of terms 0 .. n_terms - 1 over ids 0 .. n_ids - 1, in blocks of `block` consecutive ids.
+    """Postings of terms 0 .. n_terms - 1 over documents 0 .. n_docs - 1, given by term and document.
 
-    All lists share the block limits, so the sum of a query's block maxima bounds the score of every id in a block.
+    Lists that a `share`-th of the documents or more are in are long: they are rows of a matrix, and the highest
+    impact of each in every block of `block` documents is known.
     """
 
-    def __init__(self, term: np.ndarray, ident: np.ndarray, impact: np.ndarray, n_terms: int, n_ids: int, block: int = 128):
-        order = np.lexsort((ident, term))
-        self.ids, self.impact, self.block, self.n_ids = ident[order].astype(np.int64), impact[order].astype(np.float64), block, n_ids
-        t, b = term[order].astype(np.int64), self.ids // block
-        new = np.ones(len(t), bool)
-        new[1:] = (t[1:] != t[:-1]) | (b[1:] != b[:-1])
-        self.start = np.flatnonzero(new)  # of each (term, block) in the postings
-        self.size = np.diff(np.append(self.start, len(t)))
-        self.which = b[self.start]
-        self.most = np.maximum.reduceat(self.impact, self.start) if len(t) else np.zeros(0)
-        self.first = np.searchsorted(t[self.start], np.arange(n_terms + 1))  # of each term in the blocks
+    def __init__(self, terms: np.ndarray, docs: np.ndarray, impact: np.ndarray, n_terms: int, n_docs: int, block: int = 16, share: int = 16):
+        self.docs, self.impact, self.block = docs.astype(np.int64), impact, block
+        self.blocks = -(-n_docs // block)
+        self.first = np.searchsorted(terms, np.arange(n_terms + 1))
+        size = np.diff(self.first)
+        long = np.flatnonzero(size * share >= max(n_docs, 1))
+        self.row = np.full(n_terms, -1)
+        self.row[long] = np.arange(len(long))
+        self.matrix = np.zeros((len(long), self.blocks * block))
+        at = spread(self.first[long], size[long])
+        self.matrix[np.repeat(np.arange(len(long)), size[long]), self.docs[at]] = impact[at]
+        self.maxima = self.matrix.reshape(len(long), self.blocks, block).max(2) if len(long) else np.zeros((0, self.blocks))
 
-    def top(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k ids of the highest positive sums of weight * impact, and the sums; ties go to smaller ids. skip: an id left out.
+    def open(self, query: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, least: np.ndarray, group: int) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+        """Sums of weight * impact of n queries, where they can reach least[query]: queries, first document, and the sums (queries x documents from there).
 
-        The blocks of the highest bounds give a k-th score; of the others only those are looked into whose bound
-        reaches it (a block is the pivot).
+        The short lists are merged. WAND's condition is put to blocks: the merged sums and the block maxima of the long
+        lists bound what is in a block. Groups of blocks come by falling bound; `least` may rise between them.
         """
-        terms, weights = terms[weights > 0], weights[weights > 0]
-        lo = self.first[terms]
-        n = self.first[terms + 1] - lo
-        at, w = spread(lo, n), np.repeat(weights, n)
-        which = self.which[at]
-        bound = np.bincount(which, w * self.most[at], -(-self.n_ids // self.block)) * (1 + 1e-12)  # the bound's rounding must not hide a tie
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        best_id, best = np.zeros(0, np.int64), np.zeros(0)
-        done, step = 0, -(-2 * k // self.block)
-        while done < len(order):
-            take = order[done : done + step]
-            if len(best) == k:
-                take = take[bound[take] >= best[-1]]
-                if not len(take):
-                    break
-            done, step = done + step, len(order)
-            wanted = np.zeros(len(bound), bool)
-            wanted[take] = True
-            entries = np.flatnonzero(wanted[which])
-            size = self.size[at[entries]]
-            post = spread(self.start[at[entries]], size)
-            score = np.bincount(self.ids[post], np.repeat(w[entries], size) * self.impact[post], self.n_ids)
-            if skip >= 0:
-                score[skip] = 0
-            ids = np.flatnonzero(score > 0 if len(best) < k else score >= best[-1])
-            best_id, best = np.concatenate([best_id, ids]), np.concatenate([best, score[ids]])
-            if len(best) > k:
-                near = best >= np.partition(best, len(best) - k)[len(best) - k]
-                best_id, best = best_id[near], best[near]
-            keep = np.lexsort((best_id, -best))[:k]
-            best_id, best = best_id[keep], best[keep]
-        return best_id, best
+        row = self.row[terms]
+        asked = np.zeros((n, len(self.matrix)))
+        asked[query[row >= 0], row[row >= 0]] = weights[row >= 0]
+        query, terms, weights = query[row < 0], terms[row < 0], weights[row < 0]
+        size = self.first[terms + 1] - self.first[terms]
+        at = spread(self.first[terms], size)
+        docs = self.blocks * self.block
+        short = np.bincount(np.repeat(query * docs, size) + self.docs[at], np.repeat(weights, size) * self.impact[at], n * docs).reshape(n, docs)
+        bound = asked @ self.maxima + short.reshape(n, self.blocks, self.block).max(2)
+        highest = np.maximum.reduceat(bound, np.arange(0, self.blocks, group), 1) * (1 + 1e-9) + 1e-6  # rounding may not hide a tie
+        for g in np.argsort(-highest.max(0), kind="stable").tolist():
+            rows = np.flatnonzero(highest[:, g] >= least)
+            if len(rows):
+                base, end = g * group * self.block, min((g + 1) * group * self.block, docs)
+                yield rows, base, asked[rows] @ self.matrix[:, base:end] + short[rows, base:end]
+
+    def top(self, query: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, k: int, skip: np.ndarray | None = None, group: int = 64) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each of n queries the k documents of the highest positive sums, rounded to 12 digits, and the sums; ties go to smaller documents. skip: for each query a document left out."""
+        docs = self.blocks * self.block
+        found, least = np.zeros((n, docs)), np.zeros(n)
+        for rows, base, score in self.open(query, terms, weights, n, least, group):
+            found[rows, base : base + score.shape[1]] = np.round(score, 12)
+            if skip is not None:
+                found[np.arange(n), skip] = 0
+            if docs > k:
+                least[rows] = np.partition(found[rows], docs - k, 1)[:, docs - k]
+        good, ids = np.nonzero((found >= least[:, None]) & (found > 0))
+        edges = np.searchsorted(good, np.arange(n + 1))
+        out = []
+        for q in range(n):
+            own = ids[edges[q] : edges[q + 1]]
+            sums = found[q, own]
+            keep = np.lexsort((own, -sums))[:k]
+            out.append((own[keep], sums[keep]))
+        return out

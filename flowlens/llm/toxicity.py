@@ -19,6 +19,9 @@ from flowlens.llm.blockmax import BlockMaxIndex
 from flowlens.llm.common import written
 from flowlens.llm.kernels import Words, pieces, term_counts
 
+#: Texts that are asked together.
+CHUNK = 64
+
 
 class Examples:
     """The labelled examples' vectors under an index, and the calibration of their votes.
@@ -34,7 +37,8 @@ class Examples:
         rows = [self.vector(*b) for b in bags]
         ident = np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows]).astype(np.int64)
         term, impact = (np.concatenate([r[i] for r in rows]) if rows else np.zeros(0) for i in (0, 1))
-        self.index = BlockMaxIndex(term.astype(np.int64), ident, impact, len(vocabulary), len(rows), block=64)
+        order = np.argsort(term, kind="stable")
+        self.index = BlockMaxIndex(term[order].astype(np.int64), ident[order], impact[order], len(vocabulary), len(rows))
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights (1 + ln tf) * idf, of length 1."""
@@ -50,10 +54,15 @@ class Examples:
         edges = np.searchsorted(row, np.arange(len(texts) + 1))
         return [(at[a:b], n[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
-    def vote(self, terms: np.ndarray, counts: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        """The neighbours' toxic share, weighted by cosine (0.1 of a cosine of 1 counts as not toxic), and the neighbours with their cosines. skip: an example left out."""
-        near, cosine = self.index.top(*self.vector(terms, counts), self.k, skip)
-        return float(cosine @ self.labels[near]) / (float(cosine.sum()) + 0.1), near, cosine
+    def votes(self, bags: list[tuple[np.ndarray, np.ndarray]], own: bool = False) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """For each text the neighbours' toxic share, weighted by cosine (0.1 of a cosine of 1 counts as not toxic), and the neighbours with their cosines. own: the texts are the examples, which leave themselves out."""
+        for lo in range(0, len(bags), CHUNK):
+            rows = [self.vector(*b) for b in bags[lo : lo + CHUNK]]
+            query = np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows])
+            term, weight = (np.concatenate([r[i] for r in rows]) for i in (0, 1))
+            skip = np.arange(lo, lo + len(rows)) if own else None
+            for near, cosine in self.index.top(query, term, weight, len(rows), self.k, skip) if len(self.ids) else [(np.zeros(0, np.int64), np.zeros(0))] * len(rows):
+                yield float(cosine @ self.labels[near]) / (float(cosine.sum()) + 0.1), near, cosine
 
     def calibrate(self, share: np.ndarray, weight: np.ndarray) -> None:
         """Logistic regression of the label on the share, by Newton steps, with a small ridge."""
@@ -120,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2_000, k: int = 100
     toxic = int(model.labels.sum())
     clean = len(rows) - toxic
     if toxic and clean:
-        share = np.array([model.vote(*b, i)[0] for i, b in enumerate(own)])
+        share = np.array([s for s, _, _ in model.votes(own, True)])
         model.calibrate(share, np.where(model.labels == 1, known[1] / toxic, known[0] / clean))  # as often as in all labelled rows
     else:
         model.b = 30.0 if toxic else -30.0
@@ -148,7 +157,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in pieces(batches, len(names)):
-            got = [m.vote(*b) for b in m.bags(batch.column(len(names)))]
+            got = list(m.votes(m.bags(batch.column(len(names)))))
             score = np.array([m.score(s) for s, _, _ in got])
             near = [[{"doc_id": int(m.ids[i]), "cosine": float(c), "toxic": int(m.labels[i])} for i, c in zip(e[:10], x[:10], strict=True)] for _, e, x in got]
             new = [pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32)), pa.array(near, evidence)]

@@ -356,7 +356,8 @@ def test_toxicity(spark):
         share = sum(e.cosine * e.toxic for e in r.tox_evidence) / (sum(best) + 0.1)
         assert r.tox_score == pytest.approx(model.score(share)) and r.tox_predicted == (r.tox_score >= 0.5)
     # The curve minimises the weighted loss: all labelled rows are examples, so each weighs 1.
-    share = {i: model.vote(*model.bags(pa.array([dict(data)[i]]))[0], int(model.ids.tolist().index(i)))[0] for i in examples}
+    bags = model.bags(pa.array([dict(data)[i] for i in model.ids.tolist()]))
+    share = dict(zip(model.ids.tolist(), (s for s, _, _ in model.votes(bags, True))))
     loss = lambda a, b: sum(math.log1p(math.exp(-(a * s + b) * (2 * examples[i] - 1))) for i, s in share.items()) + 5e-3 * (a * a + b * b)
     here = loss(model.a, model.b)
     assert all(loss(model.a + x, model.b + y) >= here for x, y in ((0.1, 0), (-0.1, 0), (0, 0.1), (0, -0.1)))
@@ -376,18 +377,20 @@ def test_block_max_search_is_exact():
     term, ident = rng.integers(0, 30, 4000), rng.integers(0, 700, 4000)
     pairs = np.unique(np.stack([term, ident], 1), axis=0)
     impact = rng.integers(1, 5, len(pairs)) / 2
-    index = BlockMaxIndex(pairs[:, 0], pairs[:, 1], impact, 30, 700, block=16)
-    for k in (1, 5, 50):
-        for _ in range(20):
-            terms = rng.choice(30, 6, replace=False)
-            weight = rng.integers(0, 4, 6) / 2
+    index = BlockMaxIndex(pairs[:, 0], pairs[:, 1], impact, 30, 700, block=16, share=6)
+    assert 0 < len(index.matrix) < 30
+    for k in (1, 5, 50, 900):
+        queries = [(rng.choice(30, 6, replace=False), rng.integers(0, 4, 6) / 2) for _ in range(20)]
+        skip = rng.integers(0, 700, 20)
+        got = index.top(np.repeat(np.arange(20), 6), np.concatenate([t for t, _ in queries]), np.concatenate([w for _, w in queries]), 20, k, skip, group=3)
+        for (terms, weight), s, (ids, sums) in zip(queries, skip, got):
             score = np.zeros(700)
             for t, w in zip(terms, weight):
                 m = pairs[:, 0] == t
                 score[pairs[m, 1]] += w * impact[m]
+            score[s] = 0
             want = [(i, s) for s, i in sorted((-s, i) for i, s in enumerate(score) if s > 0)][:k]
-            ids, got = index.top(terms, weight, k)
-            assert [(i, -s) for i, s in want] == list(zip(ids.tolist(), got.tolist()))
+            assert [(i, -s) for i, s in want] == list(zip(ids.tolist(), sums.tolist()))
 
 
 @pytest.mark.parametrize("limits", [{"SHARD": 30_000, "BLOCK_TERMS": 900, "CHUNK": 3, "GROUP": 2, "BLOCK": 4}, {}])
