@@ -73,23 +73,29 @@ def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return state.select("source", "source_size", "target", "whole", (F.col("prefix") + F.when(nearer, 1).otherwise(0)).alias("below"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, cap: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs with mix_size (words), mix_source_size, mix_target (of the row's source) and mix_copies (how often the mix takes the row).
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, cap: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
+    """Rows of docs (the columns in keep, or all) with mix_size (words), mix_source_size, mix_target (of the row's source) and mix_copies (how often the mix takes the row).
 
     Every row returns. A null or empty text has size 0 and takes no part in the sums; null sources are one source,
     the last. Repeated rows (one id) have one hash and are taken or left together; rows without an id are told apart
-    by their text. An empty table gives no row. Columns of docs with other names are kept as they are. A row is
-    taken `whole` times, and once more if its hash is under its source's threshold, so never more than cap times.
-    The choice depends on ids and sizes alone: reruns agree.
+    by their text. An empty table gives no row. Columns of docs named like the new ones are replaced, others kept as
+    they are. A row is taken `whole` times, and once more if its hash is under its source's threshold, so never more
+    than cap times. The choice depends on ids and sizes alone: reruns agree. Without the text among the columns to
+    keep, texts are read once.
     """
-    row = docs.withColumns({"mix_size": word_count(text_col), "mix_hash": row_hash(id_col, text_col)})
-    sizes = written(row.select(F.col(source_col).alias("source"), F.col("mix_size").alias("size"), F.col("mix_hash").alias("h")), "sizes")
+    made = ["mix_size", "mix_source_size", "mix_target", "mix_copies"]
+    columns = [c for c in (keep or docs.columns) if c not in made]
+    # One struct of the columns to keep: none of them can clash with the names used here.
+    row = docs.select(F.struct(*columns).alias("row"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), row_hash(id_col, text_col).alias("h"))
+    if text_col not in columns:
+        row = written(row, "rows")
+    sizes = row.select("source", "size", "h") if text_col not in columns else written(row.select("source", "size", "h"), "sizes")
     targets = written(source_targets(sizes, weights, share, cap), "targets")
-    limits = written(thresholds(sizes, targets), "limits").select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), "whole", "below")
+    limits = written(thresholds(sizes, targets), "limits").withColumnRenamed("source", "s")
     # One row for each source, of a size that Spark knows from the files: it broadcasts them if they are few.
-    joined = row.join(limits, F.col(source_col).eqNullSafe(F.col("mix_source")))
-    copies = (F.col("whole") + F.when(F.col("mix_hash") < F.col("below"), 1).otherwise(0)).cast("long")
-    return joined.withColumn("mix_copies", copies).select(*docs.columns, "mix_size", "mix_source_size", "mix_target", "mix_copies")
+    joined = row.join(limits, F.col("source").eqNullSafe(F.col("s")))
+    copies = (F.col("whole") + F.when(F.col("h") < F.col("below"), 1).otherwise(0)).cast("long")
+    return joined.select("row.*", F.col("size").alias("mix_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), copies.alias("mix_copies"))
 
 
 OP10_SQL = r"""

@@ -73,7 +73,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, and how many words of each the mix takes."""
-    mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    mixed = mix_sources(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 
 

@@ -81,10 +81,12 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     no row. Columns of docs named like the new ones are replaced.
     """
     made = ["shard_size", "shard_crc32", "shard", "slot"]
+    columns = [c for c in (keep or docs.columns) if c not in made]
     text = F.coalesce(F.col(text_col), F.lit(""))
     number = F.coalesce(F.col(id_col).cast("long") + F.lit(1 << 59), F.lit(0))
-    row = docs.withColumns({"_h": hash48(text), "_i": number, "shard_size": (F.octet_length(text) + 1).cast("long"), "shard_crc32": F.crc32(text.cast("binary"))})
-    keys = written(row.select(F.col("_h").alias("h"), F.col("_i").alias("i"), F.col("shard_size").alias("size")), "keys")
+    # One struct of the columns to keep: none of them can clash with the names used here.
+    row = docs.select(F.struct(*columns).alias("row"), hash48(text).alias("h"), number.alias("i"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc32"))
+    keys = written(row.select("h", "i", "size"), "keys")
     spark = docs.sparkSession
     ranges = max(1, -(-partitions(spark) // shards))
     cuts = boundaries(keys, shards, ranges)
@@ -99,19 +101,18 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
         last = by_cell[cell][-1][2] if cell in by_cell else last
     lookup = F.broadcast(spark.createDataFrame(cells, "cell long, base int, cuts array<struct<h:long,i:long,j:int>>"))  # 2 ** BITS rows and the boundaries
 
-    def ranged(df: DataFrame, h: str, i: str) -> DataFrame:
-        passed = F.filter("cuts", lambda c: (c.h < F.col(h)) | ((c.h == F.col(h)) & (c.i <= F.col(i))))
+    def ranged(df: DataFrame) -> DataFrame:
+        passed = F.filter("cuts", lambda c: (c.h < F.col("h")) | ((c.h == F.col("h")) & (c.i <= F.col("i"))))
         at = F.greatest("base", F.coalesce(F.array_max(F.transform(passed, lambda c: c.j)), F.lit(0)))
-        return df.join(lookup, F.shiftright(F.col(h), top) == F.col("cell")).withColumn("_range", at).drop("cell", "base", "cuts")
+        return df.join(lookup, F.shiftright("h", top) == F.col("cell")).withColumn("range", at).drop("cell", "base", "cuts")
 
-    counts = {r["_range"]: r["n"] for r in ranged(keys, "h", "i").groupBy("_range").agg(F.count("*").alias("n")).collect()}  # one row for each range
+    counts = {r["range"]: r["n"] for r in ranged(keys).groupBy("range").agg(F.count("*").alias("n")).collect()}  # one row for each range
     bases, seen = [], 0
     for r in range(shards * ranges):
         seen = 0 if r % ranges == 0 else seen
         bases.append((r, seen))
         seen += counts.get(r, 0)
-    base = F.broadcast(spark.createDataFrame(bases, "_range int, _base long"))
-    columns = [c for c in (keep or docs.columns) if c not in made]
-    placed = ranged(row.select(*columns, "_h", "_i", "shard_size", "shard_crc32"), "_h", "_i").join(base, "_range")
-    slot = F.row_number().over(Window.partitionBy("_range").orderBy("_h", "_i")) - 1 + F.col("_base")
-    return placed.withColumn("slot", slot.cast("long")).withColumn("shard", F.floor(F.col("_range") / ranges).cast("int")).select(*columns, *made)
+    first = F.broadcast(spark.createDataFrame(bases, "range int, first long"))
+    slot = F.row_number().over(Window.partitionBy("range").orderBy("h", "i")) - 1 + F.col("first")
+    placed = ranged(row).join(first, "range")
+    return placed.select("row.*", F.col("size").alias("shard_size"), F.col("crc32").alias("shard_crc32"), F.floor(F.col("range") / ranges).cast("int").alias("shard"), slot.cast("long").alias("slot"))

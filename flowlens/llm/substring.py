@@ -116,12 +116,12 @@ def _bucket(group: pa.Table, k: int) -> pa.Table:
     return pa.table({"doc_id": pa.array([ids[r] for r, _, _ in spans], pa.int64()), "key": pa.array([keys[r] for r, _, _ in spans], pa.int64()), "first": pa.array([starts[r] for r, _, _ in spans], pa.int32()), "start": pa.array([starts[r] + i for r, i, _ in spans], pa.int32()), "length": pa.array([j - i + k - 1 for _, i, j in spans], pa.int32())})
 
 
-def _cut(batches: Iterator[pa.RecordBatch], names: list[str], text_col: str) -> Iterator[pa.RecordBatch]:
-    """n_words, n_removed and kept_text from the text and the column _spans."""
+def _cut(batches: Iterator[pa.RecordBatch], names: list[str], text: int) -> Iterator[pa.RecordBatch]:
+    """n_words, n_removed and kept_text from the text and the spans, the column after `names`."""
     for batch in batches:
         total, gone, kept = [], [], []
-        for text, spans in zip(batch.column(text_col), batch.column("_spans"), strict=True):
-            words = text.as_buffer().to_pybytes().split() if text.is_valid else []
+        for text_of, spans in zip(batch.column(text), batch.column(len(names)), strict=True):
+            words = text_of.as_buffer().to_pybytes().split() if text_of.is_valid else []
             total.append(len(words))
             spans = spans.as_py()
             if spans:
@@ -132,7 +132,7 @@ def _cut(batches: Iterator[pa.RecordBatch], names: list[str], text_col: str) ->
             gone.append(total[-1] - len(words))
             kept.append(b" ".join(words))
         new = [pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *new], names=[*names, "n_words", "n_removed", "kept_text"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *new], names=[*names, "n_words", "n_removed", "kept_text"])
 
 
 def _packed(keyed: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
@@ -159,7 +159,8 @@ def dedup_substrings(docs: DataFrame, k: int = 50, id_col: str = "doc_id", text_
     ident: Column = F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE))
     others = [c for c in names if c not in (id_col, text_col)]
     # Without other columns the last join reads the same exchange of texts as the join that packs them.
-    keyed = docs.select(ident.alias("_id"), F.xxhash64(text_col).alias("_key"), F.col(text_col).alias("_text"), *others)
+    # One struct of them: none can clash with the names used here.
+    keyed = docs.select(ident.alias("_id"), F.xxhash64(text_col).alias("_key"), F.col(text_col).alias("_text"), *([F.struct(*others).alias("_row")] if others else []))
     kmers = keyed.where(F.col("_id") != _NONE).select("_id", "_key", "_text").mapInArrow(lambda b: _kmers(b, k), KMERS)
 
     shared = kmers.groupBy("minimiser").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("minimiser")
@@ -187,6 +188,7 @@ def dedup_substrings(docs: DataFrame, k: int = 50, id_col: str = "doc_id", text_
     found = copies.unionByName(inside.drop("first")).unionByName(repeats)
     spans = found.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_set(F.struct("start", "length")).alias("_spans"))
     joined = keyed.join(spans, ["_id", "_key"], "left")
-    own = {id_col: F.nullif("_id", F.lit(_NONE)).cast(docs.schema[id_col].dataType).alias(id_col), text_col: F.col("_text").alias(text_col)}
-    back = [own.get(c, F.col(c)) for c in names]
-    return joined.select(*back, "_spans").mapInArrow(lambda b: _cut(b, names, text_col), schema)
+    own = {id_col: F.nullif("_id", F.lit(_NONE)).cast(docs.schema[id_col].dataType), text_col: F.col("_text")}
+    back = [own.get(c, F.col("_row")[c]).alias(c) for c in names]
+    rows = joined.select(*back, F.col("_spans").alias("".join(names) + "_spans"))  # a name that docs does not have
+    return rows.mapInArrow(lambda b: _cut(b, names, names.index(text_col)), schema)

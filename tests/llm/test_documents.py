@@ -302,6 +302,33 @@ def test_mixing(docs, rows):
     assert all(abs(taken[s] - target[s]) <= largest[s] for s in size)
 
 
+#: Names that the operators use for columns of their own.
+INTERNAL = "_h _i _id _key _range _base _row _spans _text _wanted at base bucket cell content crc32 cuts first h i key minimiser n n_rows node piece prefix range rank rest row s size source_size t target text_key whole below words".split()
+
+
+@pytest.mark.parametrize("name", ["mix_sources", "dedup_substrings", "shard", "keep_first", "score_toxicity"])
+def test_columns_with_clashing_names(spark, name):
+    from flowlens.llm import mixing, ngram_join, sharding, substring, toxicity
+
+    rows = [(i, "some words of a text " * i, "s") for i in range(1, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(c) for c in INTERNAL})
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 6)], "doc_id long, toxic int")
+    run = {"mix_sources": mixing.mix_sources, "dedup_substrings": lambda d: substring.dedup_substrings(d, 4), "shard": lambda d: sharding.shard(d, 2), "keep_first": ngram_join.keep_first, "score_toxicity": lambda d: toxicity.score_toxicity(d, labels)}[name]
+    got = run(docs)
+    assert got.columns[: len(docs.columns)] == docs.columns
+    assert all(r[c] == c for r in got.collect() for c in INTERNAL)
+    again = run(got.drop("kept_text")) if name != "keep_first" else run(got)  # columns of the new names are replaced
+    assert len(again.columns) == len(set(again.columns)) == len(got.columns) and again.count() == got.count()
+
+
+def test_mixing_keeps_columns(docs):
+    from flowlens.llm.mixing import mix_sources
+
+    whole, narrow = mix_sources(docs), mix_sources(docs, keep=["doc_id"])
+    assert narrow.columns == ["doc_id", "mix_size", "mix_source_size", "mix_target", "mix_copies"]
+    assert sorted(map(str, narrow.collect())) == sorted(map(str, whole.select(narrow.columns).collect()))
+
+
 def test_mixing_empty(empty):
     from flowlens.llm.mixing import mix_sources
 
