@@ -7,6 +7,7 @@ every task. Texts are scanned where they lie: nothing is shuffled.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -25,20 +26,21 @@ BAND = 8
 LONG = 32
 
 #: Customary license notices. The texts in license_texts (bodies and standard headers) stand beside them.
+#: What is in brackets names the license and its version: a match has these words as they are, without others between them.
 TEMPLATES = {
-    "apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "mit": "Released under the MIT License.",
-    "apache-2.0-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+    "apache-2.0": "Licensed under the [Apache] License, Version [2.0].",
+    "cc-by-nc-4.0": "Licensed under [CC BY-NC 4.0].",
+    "gpl-3.0": "This work is licensed under the [GNU General Public License], version [3].",
+    "mit": "Released under the [MIT] License.",
+    "apache-2.0-notice": 'Licensed under the [Apache] License, Version [2.0] (the "License"); you may not use this file except in compliance with the License.',
     "mit-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
     "bsd-conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "cc0-1.0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
 }
 for _code, _name in {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nd": "Attribution-NoDerivatives", "by-nc": "Attribution-NonCommercial", "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}.items():
-    TEMPLATES.setdefault(f"cc-{_code}-4.0", f"Licensed under CC {_code.upper()} 4.0.")
-    TEMPLATES[f"cc-{_code}-4.0-notice"] = f"This work is licensed under a Creative Commons {_name} 4.0 International License."
-    TEMPLATES[f"cc-{_code}-3.0-notice"] = f"This work is licensed under a Creative Commons {_name} 3.0 Unported License."
+    TEMPLATES.setdefault(f"cc-{_code}-4.0", f"Licensed under [CC {_code.upper()} 4.0].")
+    TEMPLATES[f"cc-{_code}-4.0-notice"] = f"This work is licensed under a [Creative Commons {_name} 4.0] International License."
+    TEMPLATES[f"cc-{_code}-3.0-notice"] = f"This work is licensed under a [Creative Commons {_name} 3.0] Unported License."
 
 
 def all_templates() -> dict[str, str]:
@@ -147,6 +149,8 @@ class Templates:
         words = Words(pa.array([templates[n] for n in self.names], pa.string()), plain=True)
         h = words.hashes()
         self.words = [h[lo:hi] for lo, hi in zip(words.first[:-1], words.first[1:], strict=True)]
+        groups = [re.findall(r"\[(.*?)\]", templates[n]) if len(own) <= LONG else [] for n, own in zip(self.names, self.words, strict=True)]
+        self.named = [[Words(pa.array([g]), plain=True).hashes().tolist() for g in own] for own in groups]
         prints: dict[int, list[tuple[int, int]]] = {}
         for t, own in enumerate(self.words):
             if len(own) > LONG:
@@ -165,6 +169,10 @@ class Templates:
         self.long_t = np.repeat(np.array(long, np.int64), [len(x) for x in g])[order]
         self.long_q = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(x)) for x in g)])[order].astype(np.int64)
 
+    def is_named(self, t: int, text: list[int]) -> bool:
+        """Whether the words that name the license are in the text as they are."""
+        return all(any(text[i : i + len(g)] == g for i in range(len(text) - len(g) + 1)) for g in self.named[t])
+
     def chains(self, words: Words, h: np.ndarray, g: np.ndarray, least: float) -> Iterator[tuple[int, tuple]]:
         """Row and match of the long templates.
 
@@ -214,7 +222,7 @@ class Templates:
             n = len(self.words[t])
             lo, hi = max(int(words.first[row]), diagonal - BAND), min(int(words.first[row + 1]), diagonal + n + BAND)
             matched, start, end = align(self.words[t].tolist(), h[lo:hi].tolist(), diagonal - lo)
-            if matched >= least * n:
+            if matched >= least * n and self.is_named(t, h[lo + start : lo + end].tolist()):
                 found.setdefault(row, []).append((-matched, n, t, lo + start, lo + end))
         for row, match in self.chains(words, h, g, least):
             found.setdefault(row, []).append(match)
@@ -237,7 +245,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
     stays (then the higher coverage). Null, empty and short texts have none; null ids are kept as null; repeated rows
     repeat their matches. An empty table or no templates give no row. Other columns are not read. A template with
     fewer than GRAM words, or a match without GRAM + WINDOW - 1 common words in a row, is not looked for; of templates
-    of over LONG words the grams left must be those that Templates.chains asks for. Without `templates`: all_templates().
+    of over LONG words the grams left must be those that Templates.chains asks for. In templates of up to LONG words,
+    words in brackets must be in a match as they are, next to each other: names and versions. Without `templates`:
+    all_templates().
     """
     index = Templates(templates if templates is not None else all_templates())
 

@@ -231,14 +231,11 @@ def test_packing_empty(empty):
 
 @pytest.mark.parametrize("text", ["a b", "a  b", " a", "a ", "a \n b", "a　b c", "x<|endoftext|> y", "\n\nThe end.\n of", "é è", "tab\t tab", "don't 12 !!  "])
 def test_encoder_equals_tokenizers(text):
-    import numpy as np
     from tokenizers import Tokenizer
 
-    from flowlens.llm.packing import ChunkEncoder
+    from flowlens.llm.packing import Encoder
 
-    enc = ChunkEncoder(TOKENIZER)
-    for _ in range(2):
-        assert np.frombuffer(enc.encode(text), "<u4").tolist() == Tokenizer.from_file(TOKENIZER).encode(text, add_special_tokens=False).ids
+    assert Encoder(TOKENIZER).encode(text) == Tokenizer.from_file(TOKENIZER).encode(text, add_special_tokens=False).ids
 
 
 def test_sharding(docs, rows):
@@ -473,6 +470,69 @@ def test_licenses(spark):
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("text", ["Released under the BSD License.", "Released under the Apache License.", "It is released under the GPL license", "Licensed under CC BY-XX 4.0.", "Licensed under the Apache License, Version 1.1.", "This work is licensed under the GNU Lesser General Public License, version 3.", "This work is licensed under the GNU General Public License, version 2."])
+def test_licenses_without_a_template_are_not_misnamed(text):
+    from flowlens.llm.licenses import Templates, all_templates
+
+    assert Templates(all_templates()).scan(pa.array([f"some words {text} and more"]), 0.8) == []
+
+
+def test_license_notices_by_brute_force():
+    """Notices with edits, against whole local alignments of every template. Recall of what has GRAM + WINDOW - 1 template words in a row is 1."""
+    import re
+
+    from flowlens.llm.licenses import GRAM, TEMPLATES, WINDOW, Templates
+
+    plain = lambda t: re.sub(r"[^0-9A-Za-z]+", " ", t).lower().split()
+
+    def matched(template, text):
+        """Words and span of the best local alignment (match 2, else -1)."""
+        best, prev = (0, 0, 0, 0), [(0, 0, j) for j in range(len(text) + 1)]
+        for i in range(len(template)):
+            row = [(0, 0, 0)]
+            for j in range(len(text)):
+                same = template[i] == text[j]
+                s, m, start = prev[j] if prev[j][0] > 0 else (0, 0, j)
+                cell = max((s + 2, m + 1, start) if same else (s - 1, m, start), (prev[j + 1][0] - 1, *prev[j + 1][1:]), (row[j][0] - 1, *row[j][1:]), (0, 0, j + 1))
+                row.append(cell)
+                if same and cell[0] > best[0]:
+                    best = (*cell, j + 1)
+            prev = row
+        return best[1:]
+
+    rng = random.Random(7)
+    index, short = Templates(TEMPLATES), {n: t for n, t in TEMPLATES.items()}
+    texts = []
+    for n, t in sorted(short.items()):
+        for _ in range(4):
+            w = t.replace("[", "").replace("]", "").split()
+            for _ in range(rng.randrange(3)):
+                i = rng.randrange(len(w))
+                w[i : i + 1] = rng.choice([[], ["other"], [w[i], "added"]])
+            texts.append(" ".join(["noise", "before", *w, "and", "after"]))
+    got = index.scan(pa.array(texts), 0.8)
+    names = collections.defaultdict(list)
+    for row, name, *_, m, n in got:
+        names[row].append((name, m))
+    found = wanted = 0
+    for i, text in enumerate(texts):
+        w, options = plain(text), []
+        for name, t in short.items():
+            p = plain(t)
+            m, start, end = matched(p, w)
+            runs = {tuple(p[j : j + GRAM + WINDOW - 1]) for j in range(len(p) - GRAM - WINDOW + 2)} & {tuple(w[j : j + GRAM + WINDOW - 1]) for j in range(len(w))}
+            groups = [plain(g) for g in re.findall(r"\[(.*?)\]", t)]
+            if m >= 0.8 * len(p) and runs and all(any(w[j : j + len(g)] == g for j in range(start, end - len(g) + 1)) for g in groups):
+                options.append((-m, len(p), name))
+        if options:
+            wanted += 1
+            found += any(x == (sorted(options)[0][2], -sorted(options)[0][0]) for x in names[i])
+            assert all(any(x == (name, -m) for m, _, name in options) for x in names[i])
+        else:
+            assert not names[i]
+    assert wanted >= 60 and found == wanted
+
+
 def test_license_bodies(spark):
     from flowlens.llm import licenses
 
