@@ -126,26 +126,42 @@ def jaccard(a: str | Column, b: str | Column) -> Column:
     return F.size(F.array_intersect(col(a), col(b))) / F.greatest(F.size(F.array_union(col(a), col(b))), F.lit(1))
 
 
+#: The phrases for a value against its usual range.
+WORDS = {"far": "far above normal", "above": "above normal", "well": "well below normal", "below": "below normal", "within": "normal alone, unusual in combination"}
+
+
 def wording(value: str | Column, typical: str | Column, low: str | Column, high: str | Column) -> Column:
-    """How a value lies against its usual range."""
+    """How a value lies against its usual range: far above if over ten times the typical value (or that is not positive), well below if under a tenth of a positive one."""
     v, t, lo, hi = map(col, (value, typical, low, high))
-    return F.when(v > hi, F.when(v > 10 * F.greatest(F.abs(hi), F.lit(1e-9)), "far above normal").otherwise("above normal")).when(v < lo, F.when(v < t / 10, "well below normal").otherwise("below normal")).otherwise("normal on its own")
+    above = F.when((t > 0) & (v / t <= 10), WORDS["above"]).otherwise(WORDS["far"])
+    below = F.when((t > 0) & (v < t * 0.1), WORDS["well"]).otherwise(WORDS["below"])
+    return F.when(v > hi, above).when(v < lo, below).otherwise(WORDS["within"])
+
+
+def decimals(v: Column, n: int, grouped: bool = False) -> Column:
+    """A number with n decimals, half to even; grouped: commas between thousands."""
+    text = F.format_number(v, n)
+    return text if grouped else F.translate(text, ",", "")
 
 
 def format_unit(value: str | Column, unit: str) -> Column:
-    """bytes, us, s, rate, flag or plain numbers as text."""
-    v = col(value)
+    """bytes, us, s, rate, flag, count or plain numbers as text."""
+    v = col(value).cast("double")
     if unit == "bytes":
-        return F.when(F.abs(v) >= 1e6, F.concat(F.format_number(v / 1e6, 1), F.lit(" MB"))).when(F.abs(v) >= 1e3, F.concat(F.format_number(v / 1e3, 1), F.lit(" kB"))).otherwise(F.concat(F.format_number(v, 0), F.lit(" B")))
-    if unit == "us":
-        return F.when(F.abs(v) >= 1e6, F.concat(F.format_number(v / 1e6, 2), F.lit(" s"))).when(F.abs(v) >= 1e3, F.concat(F.format_number(v / 1e3, 1), F.lit(" ms"))).otherwise(F.concat(F.format_number(v, 0), F.lit(" us")))
-    if unit == "s":
-        return F.concat(F.format_number(v, 1), F.lit(" s"))
+        text = F
+        for name, size in (("GB", 1e9), ("MB", 1e6), ("KB", 1e3)):
+            text = text.when(F.abs(v) >= size, F.concat(decimals(v / size, 1), F.lit(f" {name}")))
+        return text.otherwise(F.concat(decimals(v, 0), F.lit(" B")))
+    if unit in ("us", "s"):
+        sec = v / 1e6 if unit == "us" else v
+        return F.when(sec < 1, F.concat(decimals(sec * 1000, 0), F.lit(" ms"))).otherwise(F.concat(decimals(sec, 1), F.lit(" s")))
     if unit == "rate":
-        return F.concat(F.format_number(v, 1), F.lit("/s"))
+        return F.concat(decimals(v, 0, True), F.lit(" /s"))
     if unit == "flag":
-        return F.when(v > 0.5, "yes").otherwise("no")
-    return F.format_number(v, 2)
+        return F.when(v >= 0.5, "yes").otherwise("no")
+    if unit == "count":
+        return decimals(v, 0, True)
+    return F.when(F.abs(v) < 100, decimals(v, 2, True)).otherwise(decimals(v, 0, True))
 
 
 def row_hash(columns: list[str], seed: int = 0) -> Column:

@@ -70,12 +70,33 @@ def l08_l13_hashes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").agg(F.count_distinct(C.row_hash(["text"])).alias("texts"), F.min(F.sha2(F.col("text").cast("binary"), 256)).alias("first_digest"))
 
 
-@query("l11_l12_wording", "WITH q AS (SELECT quantile_cont(l_extendedprice, 0.5) AS t, quantile_cont(l_extendedprice, 0.05) AS lo, quantile_cont(l_extendedprice, 0.95) AS hi FROM lineitem) SELECT l_orderkey, l_linenumber, CASE WHEN v > hi THEN CASE WHEN v > 10 * greatest(abs(hi), 1e-9) THEN 'far above normal' ELSE 'above normal' END WHEN v < lo THEN CASE WHEN v < t / 10 THEN 'well below normal' ELSE 'below normal' END ELSE 'normal on its own' END AS words, CASE WHEN l_discount > 0.5 THEN 'yes' ELSE 'no' END AS flag FROM (SELECT *, l_extendedprice AS v FROM lineitem), q")
+@query(
+    "l11_l12_wording",
+    """WITH q AS (SELECT quantile_cont(l_extendedprice, 0.5) AS t, quantile_cont(l_extendedprice, 0.05) AS lo, quantile_cont(l_extendedprice, 0.95) AS hi FROM lineitem),
+    d AS (SELECT quantile_cont(l_discount - 0.05, 0.5) AS t, quantile_cont(l_discount - 0.05, 0.05) AS lo, quantile_cont(l_discount - 0.05, 0.95) AS hi FROM lineitem),
+    m AS (SELECT *, l_extendedprice * l_extendedprice * l_quantity AS b, CAST(l_extendedprice * 100 AS BIGINT) AS us, CAST(l_quantity * l_quantity * l_quantity AS BIGINT) AS n FROM lineitem)
+    SELECT l_orderkey, l_linenumber,
+     CASE WHEN l_extendedprice > q.hi THEN CASE WHEN q.t <= 0 OR l_extendedprice / q.t > 10 THEN 'far above normal' ELSE 'above normal' END
+      WHEN l_extendedprice < q.lo THEN CASE WHEN q.t > 0 AND l_extendedprice < 0.1 * q.t THEN 'well below normal' ELSE 'below normal' END ELSE 'normal alone, unusual in combination' END AS words,
+     CASE WHEN l_discount - 0.05 > d.hi THEN CASE WHEN d.t <= 0 OR (l_discount - 0.05) / d.t > 10 THEN 'far above normal' ELSE 'above normal' END
+      WHEN l_discount - 0.05 < d.lo THEN CASE WHEN d.t > 0 AND l_discount - 0.05 < 0.1 * d.t THEN 'well below normal' ELSE 'below normal' END ELSE 'normal alone, unusual in combination' END AS around_zero,
+     CASE WHEN b >= 1e9 THEN format('{:.1f} GB', b / 1e9) WHEN b >= 1e6 THEN format('{:.1f} MB', b / 1e6) WHEN b >= 1e3 THEN format('{:.1f} KB', b / 1e3) ELSE format('{:.0f} B', b) END AS bytes,
+     CASE WHEN us / 1e6 < 1 THEN format('{:.0f} ms', us / 1e6 * 1000) ELSE format('{:.1f} s', us / 1e6) END AS us,
+     CASE WHEN l_tax * 20 < 1 THEN format('{:.0f} ms', l_tax * 20 * 1000) ELSE format('{:.1f} s', l_tax * 20) END AS secs,
+     format('{:,} /s', n) AS rate, format('{:,}', n) AS count, CASE WHEN l_discount * 10 >= 0.5 THEN 'yes' ELSE 'no' END AS flag,
+     CASE WHEN n < 100 THEN format('{:.2f}', CAST(n AS DOUBLE)) ELSE format('{:,}', n) END AS num
+    FROM m, q, d""",
+)
 def l11_l12_wording(spark: SparkSession, d: str) -> DataFrame:
+    """Words for two columns against their quantiles, and texts of every unit."""
+    around = F.col("l_discount") - 0.05
     li = table(spark, d, "lineitem")
-    q = li.agg(F.percentile("l_extendedprice", F.array(F.lit(0.5), F.lit(0.05), F.lit(0.95))).alias("q"))
+    q = li.agg(*[F.percentile(c, F.array(F.lit(0.5), F.lit(0.05), F.lit(0.95))).alias(n) for n, c in (("q", F.col("l_extendedprice")), ("d", around))])
     words = C.wording("l_extendedprice", F.col("q")[0], F.col("q")[1], F.col("q")[2])
-    return li.crossJoin(F.broadcast(q)).select("l_orderkey", "l_linenumber", words.alias("words"), C.format_unit("l_discount", "flag").alias("flag"))
+    n = (F.col("l_quantity") * F.col("l_quantity") * F.col("l_quantity")).cast("long")
+    units = {"bytes": (F.col("l_extendedprice") * F.col("l_extendedprice") * F.col("l_quantity"), "bytes"), "us": (F.round(F.col("l_extendedprice") * 100).cast("long"), "us"), "secs": (F.col("l_tax") * 20, "s"), "rate": (n, "rate"), "count": (n, "count"), "flag": (F.col("l_discount") * 10, "flag"), "num": (n, "num")}
+    texts = [C.format_unit(v, u).alias(c) for c, (v, u) in units.items()]
+    return li.crossJoin(F.broadcast(q)).select("l_orderkey", "l_linenumber", words.alias("words"), C.wording(around, F.col("d")[0], F.col("d")[1], F.col("d")[2]).alias("around_zero"), *texts)
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:

@@ -17,11 +17,15 @@ def test_aliases_keep_a_canonical_column(spark):
     df = spark.createDataFrame([(1, 2, 3)], [" Destination Port", "Dst Port", "Total Fwd Packets "])
     assert clean.canonical_columns(df).columns == ["Destination Port", "Dst Port", "Tot Fwd Pkts"]
     assert clean.canonical_columns(df.select(F.lit(1).alias("theirs")), {"theirs": "ours"}).columns == ["ours"]
+    several = spark.createDataFrame([(1, 2, 3)], ["a", " b", "c"])
+    assert clean.canonical_columns(several, {"a": "c", "b": "d"}).columns == ["a", "d", "c"]
+    assert clean.canonical_columns(several.drop("c"), {"a": "d", "b": "d"}).columns == ["d", "b"]
 
 
 def test_missing_columns_are_named(spark):
-    with pytest.raises(clean.DataError, match="a, b"):
-        clean.require_columns(spark.range(1), ["a", "b", "id"])
+    with pytest.raises(clean.MissingColumns, match="'a' or 'b'") as e:
+        clean.require_columns(spark.range(1), ["b", "a", "id"])
+    assert e.value.names == ["a", "b"]
     with pytest.raises(clean.DataError):
         clean.require_rows({"rows": 0})
 
