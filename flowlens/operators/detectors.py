@@ -13,12 +13,13 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.columns import row_hash
 from flowlens.operators.split import cap
+from flowlens.sources.scratch import scratch_path
 
 
 def matrix(x: pd.Series) -> np.ndarray:
@@ -39,9 +40,10 @@ def fit_isolation_forest(df: DataFrame, row_id: str, trees: int = 100, sample: i
     # Rows offer themselves to each tree by a hash; the offer is wide enough that a tree has its sample.
     n = df.count()
     rate = min(1.0, 4 * sample / max(n, 1))
-    offered = df.select(F.col(row_id).alias("_id"), "x", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    draw = F.pmod(F.xxhash64("_id", "tree", F.lit(seed)), F.lit(1_000_000)) / 1e6
-    ranked = offered.where(draw < rate).withColumn("_r", F.row_number().over(Window.partitionBy("tree").orderBy(F.xxhash64("_id", "tree", F.lit(seed)), "_id"))).where(F.col("_r") <= sample)
+    draw = lambda t: F.pmod(F.xxhash64(F.col(row_id), t, F.lit(seed)), F.lit(1_000_000)) / 1e6
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < rate)  # no row is copied to trees that don't draw it
+    offered = df.select(F.col(row_id).alias("_id"), "x", F.explode(drawn).alias("tree"))
+    ranked = offered.withColumn("_r", F.row_number().over(Window.partitionBy("tree").orderBy(F.xxhash64("_id", "tree", F.lit(seed)), "_id"))).where(F.col("_r") <= sample)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_id")
@@ -78,14 +80,7 @@ def score_isolation_forest(df: DataFrame, forest: DataFrame, sample: int = 256,
         for xs in batches:
             x, total = matrix(xs), np.zeros(len(xs))
             for t in shared.value:
-                at = np.zeros(len(x), np.int64)
-                while True:
-                    f = t[at, 1].astype(np.int64)
-                    go = np.flatnonzero(f >= 0)
-                    if not len(go):
-                        break
-                    low = x[go, f[go]] < t[at[go], 2]
-                    at[go] = np.where(low, t[at[go], 3], t[at[go], 4]).astype(np.int64)
+                at = descend(x, t[:, 1], lambda v, at, t=t: v < t[at, 2], t[:, 3], t[:, 4])
                 total += t[at, 6] + path_length(t[at, 5])
             yield pd.Series(2.0 ** (-total / max(1, len(shared.value)) / norm))
 
@@ -112,19 +107,44 @@ def score_pca(df: DataFrame, mean: np.ndarray, parts: np.ndarray, name: str = "s
     return df.withColumn(name, F.greatest(F.lit(0.0), square(centred) - square(dots)) / len(mean))
 
 
-def fit_random_forest(df: DataFrame, y: str, trees: int = 100, depth: int = 20, leaf: int = 2, seed: int = 0):
-    """A class-balanced forest of Spark ML."""
+def fit_random_forest(df: DataFrame, y: str, trees: int = 100, depth: int = 20, leaf: int = 2, seed: int = 0) -> list[np.ndarray]:
+    """A class-balanced forest of Spark ML, as a table of nodes for each tree: feature (-1: leaf), threshold, left, right, share of class 1."""
     n = {r[y]: r["n"] for r in df.groupBy(y).agg(F.count("*").alias("n")).collect()}
     total = sum(n.values())
     weight = F.when(F.col(y) == 1, total / (2 * max(1, n.get(1, 0)))).otherwise(total / (2 * max(1, n.get(0, 0))))
     data = df.select(array_to_vector(F.transform("x", lambda v: v.cast("double"))).alias("features"), F.col(y).cast("double").alias("label"), weight.alias("w"))
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, weightCol="w", seed=seed).fit(data)
+    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, weightCol="w", seed=seed).fit(data)
+    path = scratch_path(df.sparkSession, "forest")
+    model.save(path)
+    stats = F.col("nodeData.impurityStats")
+    share = F.coalesce(F.get(stats, 1), F.lit(0.0)) / F.aggregate(stats, F.lit(0.0), lambda s, v: s + v)
+    nodes = df.sparkSession.read.parquet(f"{path}/data").select("treeID", "nodeData.id", "nodeData.leftChild", "nodeData.rightChild", "nodeData.split.featureIndex", F.get("nodeData.split.leftCategoriesOrThreshold", 0).alias("threshold"), share.alias("share"))
+    rows = nodes.orderBy("treeID", "id").toPandas()  # the model's nodes: at most trees * 2 ** (depth + 1)
+    return [g.drop(columns=["treeID", "id"])[["featureIndex", "threshold", "leftChild", "rightChild", "share"]].to_numpy(np.float64) for _, g in rows.groupby("treeID")]
 
 
-def score_random_forest(df: DataFrame, model, name: str = "score") -> DataFrame:
-    """Probability of class 1; its threshold is 0.5."""
-    out = model.transform(df.withColumn("features", array_to_vector(F.transform("x", lambda v: v.cast("double")))))
-    return out.withColumn(name, vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+def descend(x: np.ndarray, feature: np.ndarray, goes_left, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The leaf of each row of x. goes_left(values, nodes)."""
+    at = np.zeros(len(x), np.int64)
+    while len(go := np.flatnonzero(feature[at] >= 0)):
+        f = feature[at[go]].astype(np.int64)
+        at[go] = np.where(goes_left(x[go, f], at[go]), left[at[go]], right[at[go]]).astype(np.int64)
+    return at
+
+
+def score_random_forest(df: DataFrame, forest: list[np.ndarray], name: str = "score") -> DataFrame:
+    """Probability of class 1, the mean over the trees; its threshold is 0.5. The forest goes to every task."""
+    shared = df.sparkSession.sparkContext.broadcast(forest)
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for xs in batches:
+            x, total = matrix(xs), np.zeros(len(xs))
+            for t in shared.value:
+                total += t[descend(x, t[:, 0], lambda v, at, t=t: v <= t[at, 1], t[:, 2], t[:, 3]), 4]
+            yield pd.Series(total / max(1, len(shared.value)))
+
+    return df.withColumn(name, score("x"))
 
 
 # --- encoder --------------------------------------------------------------------------------------------------------
