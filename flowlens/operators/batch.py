@@ -6,13 +6,13 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.columns import role_from_port, role_override, row_hash
 from flowlens.operators import clean, detectors, features, metrics, scoring
+from flowlens.operators.quantiles import quantiles
 
 
 @dataclass
@@ -44,7 +44,7 @@ def fit_model(df: DataFrame, val: DataFrame, modalities: dict[str, list[str]], r
     refs = detectors.fit_references(z(x), role, row_id, min_ref=known)
     scores = detectors.latent_distance(z(features.apply_space(val, space)), refs, role, row_id)
     stats = features.robust_stats(scores, F.col("score"), []).first()
-    limit = scores.agg(F.percentile((F.col("score") - stats["med"]) / stats["scale"], 1 - fpr)).first()[0]
+    limit = quantiles(scores.select(((F.col("score") - stats["med"]) / stats["scale"]).alias("z")), "z", {"limit": 1 - fpr}, []).first()["limit"]
     return Model(space, w, cut, refs, stats["med"], stats["scale"], limit)
 
 
@@ -121,14 +121,27 @@ def lofo(df: DataFrame, family: str, families: list[str], row_id: str, y: str =
     return out
 
 
+def fit_linear(df: DataFrame, label: str) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients (classes x features) and intercepts of a logistic regression on x, penalised on standardised features. With two classes the first's are 0."""
+    data = df.select(array_to_vector(F.transform("x", lambda v: v.cast("double"))).alias("features"), F.col(label).cast("double").alias("label"))
+    model = LogisticRegression(maxIter=50, regParam=0.01).fit(data)
+    w, b = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    return (np.vstack([np.zeros_like(w), w]), np.append(0.0, b)) if len(w) == 1 else (w, b)
+
+
+def linear_class(w: np.ndarray, b: np.ndarray) -> Column:
+    """The class of the highest linear score of x."""
+    scores = [F.aggregate(F.zip_with("x", F.array(*[F.lit(float(v)) for v in row]), lambda p, q: p * q), F.lit(float(i)), lambda s, v: s + v) for row, i in zip(w, b, strict=True)]
+    return F.array_position(F.array(*scores), F.greatest(*scores, F.lit(-float("inf")))) - 1
+
+
 def simulatability(df: DataFrame, label: str, row_id: str, folds: int = 5) -> DataFrame:
     """Accuracy of telling label (0, 1, ...) from attributions x by logistic regression, by hashed folds."""
-    data = df.select(F.col(label).cast("double").alias("label"), array_to_vector(F.transform("x", lambda v: v.cast("double"))).alias("raw"), F.pmod(row_hash([row_id]), F.lit(folds)).alias("_f"))
+    placed = df.withColumn("_f", F.pmod(row_hash([row_id]), F.lit(folds)))
     out = None
     for k in range(folds):
-        scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(data.where(F.col("_f") != k))
-        model = LogisticRegression(maxIter=50, regParam=0.01).fit(scaler.transform(data.where(F.col("_f") != k)))
-        got = model.transform(scaler.transform(data.where(F.col("_f") == k))).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"), F.count("*").alias("n")).withColumn("fold", F.lit(k))
+        guess = linear_class(*fit_linear(placed.where(F.col("_f") != k), label))
+        got = placed.where(F.col("_f") == k).agg(F.avg((guess == F.col(label)).cast("double")).alias("accuracy"), F.count("*").alias("n")).withColumn("fold", F.lit(k))
         out = got if out is None else out.unionByName(got)
     return out
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.columns import clip, signed_log
+from flowlens.operators.quantiles import quantiles
+from flowlens.sources.scratch import written
 
 MAX_GAP = 3600.0
 
@@ -52,14 +54,33 @@ def trailing_distinct(df: DataFrame, groups: list[str], value: str, sec: str, wi
 
 
 def add_context(df: DataFrame, day: str, sec: str, port: str, shape: list[str], short: int = 1, long: int = 60, wide: int = 10) -> DataFrame:
-    """The twelve context columns over whole days: load, load on the port, shares, port diversity, repetition, gaps."""
+    """The twelve context columns over whole days: load, load on the port, shares, port diversity, repetition, gaps.
+
+    df is reduced once to a row for each (day, port, shape, second); the coarser counts come from that table, and one
+    join brings all columns back to the rows. Keys must not be null.
+    """
     s, l = f"{short}s", f"{long}s"  # noqa: E741
-    out = trailing_count(df, [day], sec, {f"ctx_flows_{s}": short, f"ctx_flows_{l}": long})
-    out = trailing_count(out, [day, port], sec, {f"ctx_port_flows_{s}": short, f"ctx_port_flows_{l}": long}, "ctx_port_gap")
     keys = [day, *dict.fromkeys([port, *shape])]
-    out = trailing_count(out, keys, sec, {f"ctx_shape_{s}": short, f"ctx_shape_{l}": long}, "ctx_shape_gap")
+    base = written(df.groupBy(*keys, sec).agg(F.count("*").alias("_n")), "seconds")
+    by_port = base.groupBy(day, port, sec).agg(F.sum("_n").alias("_n"))
+    by_day = by_port.groupBy(day, sec).agg(F.sum("_n").alias("_n"))
+
+    def trailing(seconds: DataFrame, of: list[str], name: str, gap: str | None = None) -> DataFrame:
+        order = Window.partitionBy(*of).orderBy(sec)
+        out = {f"{name}_{w}s": F.sum("_n").over(order.rangeBetween(-(w - 1), 0)) for w in (short, long)}
+        if gap:
+            out[gap] = F.coalesce(F.least(F.col(sec) - F.lag(sec).over(order), F.lit(MAX_GAP)), F.lit(MAX_GAP)).cast("double")
+        return seconds.withColumns(out).drop("_n")
+
+    days = trailing(by_day, [day], "ctx_flows")
+    first = F.broadcast(by_day.groupBy(day).agg(F.min(sec).alias("_first")))  # a row for each day
     for w in (short, wide):
-        out = distinct_per_bucket(out, [day], port, sec, w, f"ctx_ports_{w}s")
+        bucket = F.floor((F.col(sec) - F.col("_first")) / w)
+        ports = by_port.join(first, day).groupBy(day, bucket.alias("_bucket")).agg(F.count_distinct(port).alias(f"ctx_ports_{w}s"))
+        days = days.join(first, day).withColumn("_bucket", bucket).join(ports, [day, "_bucket"]).drop("_bucket", "_first")
+    ports = trailing(by_port, [day, port], "ctx_port_flows", "ctx_port_gap").join(days, [day, sec])
+    context = trailing(base, keys, "ctx_shape", "ctx_shape_gap").join(ports, [day, port, sec])
+    out = df.join(context, [*keys, sec])
     return out.withColumns({f"ctx_port_share_{l}": F.col(f"ctx_port_flows_{l}") / F.col(f"ctx_flows_{l}"), f"ctx_shape_share_{l}": F.col(f"ctx_shape_{l}") / F.col(f"ctx_port_flows_{l}")})
 
 
@@ -98,18 +119,22 @@ def subset(space: list, keep: list[str]) -> tuple[list[int], dict[str, tuple[int
 
 
 def robust_stats(df: DataFrame, value: Column, keys: list[str]) -> DataFrame:
-    """Median, and 1.4826 times the median deviation plus 1e-6, of each group."""
-    v = df.select(*keys, value.alias("_v"))
-    med = v.groupBy(*keys).agg(F.median("_v").alias("med"))
-    dev = (v.join(med, keys) if keys else v.crossJoin(F.broadcast(med))).groupBy(*keys, "med").agg((F.median(F.abs(F.col("_v") - F.col("med"))) * 1.4826 + 1e-6).alias("scale"), F.count("*").alias("n"))
-    return dev
+    """Median, and 1.4826 times the median deviation plus 1e-6, of each group, with n. An empty table without keys: one row of nulls."""
+    v = df.select(*keys, value.cast("double").alias("_v"))
+    med = quantiles(v, "_v", {"med": 0.5}, keys)  # a row for each group
+    off = (v.join(F.broadcast(med.drop("n")), keys) if keys else v.crossJoin(F.broadcast(med.drop("n")))).withColumn("_d", F.abs(F.col("_v") - F.col("med")))
+    dev = quantiles(off, "_d", {"_s": 0.5}, keys).select(*keys, (F.col("_s") * 1.4826 + 1e-6).alias("scale"), "n")
+    return (med.drop("n").join(dev, keys) if keys else med.drop("n").crossJoin(dev)).select(*keys, "med", "scale", "n")
 
 
 def raw_baseline(df: DataFrame, features: list[str], role: str, min_n: int = 500) -> DataFrame:
     """Median, 5th and 95th percentile of each feature, over all rows (role null) and in roles with min_n rows."""
-    stats = [F.percentile(c, F.array(F.lit(0.5), F.lit(0.05), F.lit(0.95))).alias(c) for c in features]
-    whole = df.agg(F.count("*").alias("n"), *stats).withColumn("role", F.lit(None).cast("int"))
-    each = df.groupBy(F.col(role).cast("int").alias("role")).agg(F.count("*").alias("n"), *stats).where(F.col("n") >= min_n)
-    both = whole.select("role", "n", *features).unionByName(each.select("role", "n", *features))
-    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("p")) for c in features])
-    return both.select("role", "n", F.explode(rows).alias("x")).select("role", "n", "x.feature", F.col("x.p")[0].alias("typical"), F.col("x.p")[1].alias("p5"), F.col("x.p")[2].alias("p95"))
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in features])
+    long = df.select(F.col(role).cast("int").alias("role"), F.explode(pairs).alias("x")).select("role", "x.feature", "x.v")
+    counted = long.groupBy("role", "feature", "v").agg(F.count("*").alias("c"))  # values are counted once, for roles and for all rows
+    rows = counted.unionByName(counted.withColumn("role", F.lit(None).cast("int")))
+    stats = quantiles(rows, "v", {"typical": 0.5, "p5": 0.05, "p95": 0.95}, ["role", "feature"], "c")
+    size = long.where(F.col("feature") == features[0]).groupBy("role").agg(F.count("*").alias("rows"))
+    whole = size.agg(F.sum("rows").alias("rows")).select(F.lit(None).cast("int").alias("role"), "rows")
+    n = size.where((F.col("rows") >= min_n) & F.col("role").isNotNull()).unionByName(whole).withColumnRenamed("role", "r")
+    return stats.drop("n").join(F.broadcast(n), F.col("role").eqNullSafe(F.col("r"))).select("role", F.col("rows").alias("n"), "feature", "typical", "p5", "p95")

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.operators.scoring import prefix_sum
+from flowlens.operators.quantiles import prefix_sum, quantiles
 
 
 def confusion(df: DataFrame, y: str, flagged: Column, keys: list[str] | None = None) -> DataFrame:
@@ -43,7 +43,7 @@ def average_precision(df: DataFrame, y: str, score: str, keys: list[str] | None
     """Area under the precision-recall curve, as a sum over distinct thresholds."""
     keys = keys or []
     steps = by_score(df, y, score, keys).withColumn("_a", F.col("_p") + F.col("_q"))
-    steps = prefix_sum(prefix_sum(steps, keys, "_s", "_p", "_tp", True), keys, "_s", "_a", "_all", True)
+    steps = prefix_sum(steps, keys, "_s", "_p", "_tp", True, more={"_all": "_a"})
     area = F.sum(F.col("_p") * F.col("_tp") / F.col("_all")) / F.when(F.sum("_p") > 0, F.sum("_p"))
     return steps.groupBy(*keys).agg(area.alias("pr_auc")) if keys else steps.agg(area.alias("pr_auc"))
 
@@ -64,12 +64,13 @@ def auc_per_type(df: DataFrame, y: str, label: str, score: str) -> DataFrame:
 
 
 def incidents(df: DataFrame, day: str, label: str, time: str, flagged: str, gap: float) -> DataFrame:
-    """Attack rows (df) of a day and label, split where they pause for more than gap."""
-    order = Window.partitionBy(day, label).orderBy(time)
-    new = F.coalesce((F.col(time) - F.lag(time).over(order) > gap).cast("int"), F.lit(0))
-    run = df.withColumn("_new", new).withColumn("incident", F.sum("_new").over(order))
-    hit = F.min(F.when(F.col(flagged), F.col(time)))
-    out = run.groupBy(day, label, "incident").agg(F.min(time).alias("start"), (F.max(time) - F.min(time)).alias("duration"), F.count("*").alias("n_rows"), F.count_if(F.col(flagged)).alias("n_flagged"), (hit - F.min(time)).alias("seconds_to_detect"))
+    """Attack rows (df) of a day and label, split where they pause for more than gap. The window runs over one row for each time."""
+    times = df.groupBy(day, label, F.col(time).alias("_t")).agg(F.count("*").alias("_n"), F.count_if(F.col(flagged)).alias("_f"))
+    order = Window.partitionBy(day, label).orderBy("_t")
+    new = F.coalesce((F.col("_t") - F.lag("_t").over(order) > gap).cast("int"), F.lit(0))
+    run = times.withColumn("_new", new).withColumn("incident", F.sum("_new").over(order))
+    start, hit = F.min("_t"), F.min(F.when(F.col("_f") > 0, F.col("_t")))
+    out = run.groupBy(day, label, "incident").agg(start.alias("start"), (F.max("_t") - start).alias("duration"), F.sum("_n").alias("n_rows"), F.sum("_f").alias("n_flagged"), (hit - start).alias("seconds_to_detect"))
     return out.withColumn("detected", F.col("n_flagged") > 0)
 
 
@@ -92,21 +93,25 @@ def alert_groups(df: DataFrame, entity: str, time: str, width: int, flagged: Col
 
 
 def binomial_tail(df: DataFrame, k: str, n: str, q: float, name: str) -> DataFrame:
-    """df with -ln P(Binomial(n, q) >= k), in log space. Spark has no gamma function: numpy in Arrow batches."""
+    """df with -ln P(Binomial(n, q) >= k), in log space, computed once for each (k, n). Spark has no gamma function: numpy in Arrow batches."""
 
     @F.pandas_udf("double")
     def tail(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         import math
 
+        import numpy as np
+
         for ks, ns in pairs:
             out = []
-            for a, m in zip(ks, ns, strict=True):
-                terms = [math.lgamma(m + 1) - math.lgamma(i + 1) - math.lgamma(m - i + 1) + i * math.log(q) + (m - i) * math.log1p(-q) for i in range(int(a), int(m) + 1)]
-                top = max(terms)
-                out.append(0.0 if a <= 0 else -min(0.0, top + math.log(sum(math.exp(t - top) for t in terms))))
+            for a, m in zip(ks.astype(int), ns.astype(int), strict=True):
+                i = np.arange(max(a, 0), m + 1)
+                steps = np.log((m - i[:-1]) / (i[:-1] + 1)) + math.log(q) - math.log1p(-q)  # from each term to the next
+                first = math.lgamma(m + 1) - math.lgamma(i[0] + 1) - math.lgamma(m - i[0] + 1) + i[0] * math.log(q) + (m - i[0]) * math.log1p(-q) if len(i) else -math.inf
+                out.append(0.0 if a <= 0 else -min(0.0, float(np.logaddexp.reduce(first + np.append(0.0, np.cumsum(steps))))))
             yield pd.Series(out, dtype="float64")
 
-    return df.withColumn(name, tail(F.col(k), F.col(n)))
+    pairs = df.select(F.col(k).alias("_k"), F.col(n).alias("_m")).distinct().withColumn(name, tail("_k", "_m"))
+    return df.join(pairs, F.col(k).eqNullSafe(F.col("_k")) & F.col(n).eqNullSafe(F.col("_m"))).drop("_k", "_m")
 
 
 def seed_summary(df: DataFrame, keys: list[str], seed: str, values: list[str]) -> DataFrame:
@@ -117,12 +122,12 @@ def seed_summary(df: DataFrame, keys: list[str], seed: str, values: list[str]) -
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """count, mean, std, min, exact quartiles and max, a row for each column, in one pass."""
-    aggs = []
-    for c in columns:
-        aggs.append(F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max(c).cast("double").alias("max")).alias(c))
-    rows = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("x")) for c in columns])
-    return df.agg(*aggs).select(F.explode(rows).alias("r")).select("r.name", "r.x.n", "r.x.mean", "r.x.std", "r.x.min", F.col("r.x.q")[0].alias("p25"), F.col("r.x.q")[1].alias("p50"), F.col("r.x.q")[2].alias("p75"), "r.x.max")
+    """count, mean, std, min, exact quartiles and max, a row for each column."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns])
+    long = df.select(F.explode(pairs).alias("x")).select("x.name", "x.v")
+    stats = long.groupBy("name").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    q = quantiles(long, "v", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, ["name"]).drop("n")
+    return stats.join(F.broadcast(q), "name", "left").select("name", "n", "mean", "std", "min", "p25", "p50", "p75", "max")  # a row for each column
 
 
 def rank_bins(df: DataFrame, score: str, bins: int, name: str = "bin") -> DataFrame:

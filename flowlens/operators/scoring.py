@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.operators.features import robust_stats
+from flowlens.operators.quantiles import prefix_sum, quantiles
 
 EPS = 1e-8
 
@@ -28,34 +29,14 @@ def calibrated(df: DataFrame, component: str, role: str, whole: DataFrame, each:
 def rank_in(df: DataFrame, score: str, ref: DataFrame, ref_score: str, groups: list[str] | None = None) -> DataFrame:
     """df with at_most (reference scores <= the row's) and n (reference scores), by groups.
 
-    Both sides are reduced to distinct scores before the running count. Without groups the count is taken in ranges
-    of the score: totals of the ranges give each its start, so no task sees all.
+    Both sides are reduced to distinct scores before the running count, which no task takes over a whole group.
     """
     groups = groups or []
     own = df.select(*groups, F.col(score).cast("double").alias("_s"), F.lit(0).cast("long").alias("_c"))
     other = ref.select(*groups, F.col(ref_score).cast("double").alias("_s"), F.lit(1).cast("long").alias("_c"))
     steps = own.unionByName(other).groupBy(*groups, "_s").agg(F.sum("_c").alias("_c"))
-    counted = prefix_sum(steps, groups, "_s", "_c", "at_most").drop("_c")
-    n = ref.groupBy(*groups).agg(F.count(ref_score).alias("n")) if groups else ref.agg(F.count(ref_score).alias("n"))
-    out = df.withColumn("_s", F.col(score).cast("double")).join(counted, [*groups, "_s"]).drop("_s")
-    return out.join(n, groups) if groups else out.crossJoin(F.broadcast(n))
-
-
-def prefix_sum(df: DataFrame, groups: list[str], order: str, value: str, name: str, descending: bool = False) -> DataFrame:
-    """df with the running sum of value up to each row's order (ties must have been summed). With groups a window; without, ranges of the order and the sums of earlier ranges."""
-    key = F.desc(order) if descending else F.asc(order)
-    if groups:
-        return df.withColumn(name, F.sum(value).over(Window.partitionBy(*groups).orderBy(key)))
-    cells = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    limits = df.agg(F.percentile_approx(order, [i / cells for i in range(1, cells)]).alias("q")).first()["q"] or []
-    cell = F.lit(0)
-    for q in sorted(set(limits)):
-        cell = cell + (F.col(order) > q).cast("int")
-    placed = df.withColumn("_cell", -cell if descending else cell)
-    sums = placed.groupBy("_cell").agg(F.sum(value).alias("_sum"))
-    starts = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")  # a row for each range
-    inside = F.sum(value).over(Window.partitionBy("_cell").orderBy(key))
-    return placed.join(F.broadcast(starts), "_cell").withColumn(name, inside + F.col("_start")).drop("_cell", "_start")
+    counted = prefix_sum(steps, groups, "_s", "_c", "at_most", total="n").drop("_c")
+    return df.withColumn("_s", F.col(score).cast("double")).join(counted, [*groups, "_s"]).drop("_s")
 
 
 def tail(at_most: str | Column = "at_most", n: str | Column = "n") -> Column:
@@ -70,11 +51,13 @@ def tail_score(df: DataFrame, score: str, ref: DataFrame, ref_score: str, name:
 
 def extended_tail(df: DataFrame, score: str, ref: DataFrame, ref_score: str, name: str, q: float = 0.99) -> DataFrame:
     """tail_score() up to the reference score at place floor(q * n); above it an exponential tail with the mean excess (1 if 0)."""
-    ranked = ref.select(F.col(ref_score).alias("_r")).withColumn("_p", F.row_number().over(Window.orderBy("_r")) - 1).withColumn("_n", F.count("*").over(Window.partitionBy()))
-    cut = ranked.withColumn("_k", F.floor(F.col("_n") * q)).where(F.col("_p") >= F.col("_k"))
-    limit = cut.agg(F.min("_r").alias("_u"), F.avg("_r").alias("_mean"), F.max("_k").alias("_k"), F.max("_n").alias("_m"))
+    steps = ref.groupBy(F.col(ref_score).alias("_r")).agg(F.count("*").alias("_c"))
+    placed = prefix_sum(steps, [], "_r", "_c", "_upto", total="_m").withColumn("_k", F.floor(F.col("_m") * q))
+    # Of each distinct score, how many rows are at place _k or later.
+    late = placed.withColumn("_late", F.least("_c", F.col("_upto") - F.col("_k"))).where("_late > 0")
+    limit = late.agg(F.min("_r").alias("_u"), (F.sum(F.col("_r") * F.col("_late")) / F.sum("_late")).alias("_mean"), F.max("_k").alias("_k"), F.max("_m").alias("_m"))
     scaled = limit.withColumn("_scale", F.when(F.col("_mean") > F.col("_u"), F.col("_mean") - F.col("_u")).otherwise(1.0))
-    out = tail_score(df, score, ref, ref_score, name).crossJoin(F.broadcast(scaled))
+    out = tail_score(df, score, ref, ref_score, name).crossJoin(F.broadcast(scaled))  # one row
     above = -F.log((F.col("_m") - F.col("_k")) / (F.col("_m") + 1)) + (F.col(score) - F.col("_u")) / F.col("_scale")
     return out.withColumn(name, F.when(F.col(score) > F.col("_u"), above).otherwise(F.col(name))).drop("_u", "_mean", "_k", "_m", "_scale")
 
@@ -87,8 +70,7 @@ def fuse_long(scores: DataFrame, key: list[str], members: int | None = None, how
 
 def threshold(df: DataFrame, score: str, fpr: float, keys: list[str] | None = None) -> DataFrame:
     """The (1 - fpr) quantile, interpolated, of the benign validation scores."""
-    t = F.percentile(score, 1 - fpr).alias("threshold")
-    return df.groupBy(*keys).agg(t) if keys else df.agg(t)
+    return quantiles(df, score, {"threshold": 1 - fpr}, keys or []).drop("n")
 
 
 def adapt_by_day(df: DataFrame, day: str, time: str, score: str, window: int, fpr: float) -> DataFrame:
@@ -98,7 +80,7 @@ def adapt_by_day(df: DataFrame, day: str, time: str, score: str, window: int, fp
     ref = flagged.where("_ref")
     stats = robust_stats(ref, F.col(score), [day]).select(day, "med", "scale")
     z = (F.col(score) - F.col("med")) / F.col("scale")
-    limits = ref.join(F.broadcast(stats), day).withColumn("_z", z).groupBy(day).agg(F.percentile("_z", 1 - fpr).alias("threshold"))
+    limits = quantiles(ref.join(F.broadcast(stats), day).withColumn("_z", z), "_z", {"threshold": 1 - fpr}, [day]).drop("n")
     return flagged.where("NOT _ref").join(F.broadcast(stats), day).withColumn("adapted", z).join(F.broadcast(limits), day).drop("_t0", "_ref", "med", "scale")
 
 
@@ -125,8 +107,8 @@ def alert_rate(df: DataFrame, score: str, limit: Column) -> DataFrame:
 def recalibrate(df: DataFrame, score: str, fpr: float, min_n: int = 2000) -> DataFrame:
     """Median, scale and threshold of at least min_n assumed-benign scores; no row with fewer."""
     stats = robust_stats(df, F.col(score), [])
-    z = df.crossJoin(F.broadcast(stats)).withColumn("_z", (F.col(score) - F.col("med")) / F.col("scale"))
-    return z.groupBy("med", "scale", "n").agg(F.percentile("_z", 1 - fpr).alias("threshold")).where(F.col("n") >= min_n)
+    z = df.crossJoin(F.broadcast(stats)).select(((F.col(score) - F.col("med")) / F.col("scale")).alias("_z"))
+    return stats.crossJoin(quantiles(z, "_z", {"threshold": 1 - fpr}, []).drop("n")).where(F.col("n") >= min_n)  # one row each
 
 
 def pick_best(df: DataFrame, value: str, default: str, margin: float) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.columns import row_hash
 from flowlens.operators.clean import DataError
+from flowlens.operators.quantiles import prefix_sum, quantiles
 
 
 def time_split(df: DataFrame, day: str, time: str, row_id: str, part: float, benign: str) -> DataFrame:
@@ -14,8 +15,9 @@ def time_split(df: DataFrame, day: str, time: str, row_id: str, part: float, ben
 
     The cutoff is the time of the benign row at place floor(n * (1 - part)), counted from 0.
     """
-    ranked = df.where(F.col(benign)).select(day, time, F.row_number().over(Window.partitionBy(day).orderBy(time, row_id)).alias("_r"), F.count("*").over(Window.partitionBy(day)).alias("_c"))
-    cut = ranked.where(F.col("_r") - 1 == F.floor(F.col("_c") * (1 - part))).select(day, F.col(time).alias("cutoff"))
+    steps = df.where(F.col(benign)).groupBy(day, time).agg(F.count("*").alias("_c"))
+    placed = prefix_sum(steps, [day], time, "_c", "_upto", total="_n").withColumn("_place", F.floor(F.col("_n") * (1 - part)))
+    cut = placed.where((F.col("_upto") - F.col("_c") <= F.col("_place")) & (F.col("_place") < F.col("_upto"))).select(day, F.col(time).alias("cutoff"))
     before = F.col(time) < F.col("cutoff")
     return df.join(cut, day).withColumn("split", F.when(F.col(benign), F.when(before, "train").otherwise("val")).when(before, "sup"))
 
@@ -33,12 +35,12 @@ def cap_per_class(df: DataFrame, label: str, n: int, row_id: str, seed: int = 0)
 
 def halves(df: DataFrame, label: str, time: str) -> DataFrame:
     """df with late: whether a row lies at or after its label's median time."""
-    return df.join(df.groupBy(label).agg(F.median(time).alias("_m")), label).withColumn("late", F.col(time) >= F.col("_m")).drop("_m")
+    return df.join(quantiles(df, time, {"_m": 0.5}, [label]).drop("n"), label).withColumn("late", F.col(time) >= F.col("_m")).drop("_m")
 
 
 def last_part(df: DataFrame, time: str, row_id: str, part: float = 0.2) -> DataFrame:
     """df with held: whether a row is in the last part by time."""
-    at = df.agg(F.percentile(time, 1 - part).alias("_t"))
+    at = quantiles(df, time, {"_t": 1 - part}, []).drop("n")
     return df.crossJoin(F.broadcast(at)).withColumn("held", F.col(time) >= F.col("_t")).drop("_t")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions import columns as C
 from flowlens.operators import audit, features, joins, metrics, scoring, split
+from flowlens.operators.quantiles import quantiles
 from flowlens.plans.views import connections, flows, order_flows, query, r6, schedule, scores, table
 
 # --- scores ---------------------------------------------------------------------------------------------------------
@@ -142,7 +143,7 @@ def g06_macro_auc(spark: SparkSession, d: str) -> DataFrame:
 def g07_oracle_recall(spark: SparkSession, d: str) -> DataFrame:
     s = scores(spark, d)
     targets = [0.01, 0.02, 0.05]
-    t = s.where("y = 0").groupBy("method", "seed").agg(F.percentile("score", F.array(*[F.lit(1 - x) for x in targets])).alias("t"))
+    t = quantiles(s.where("y = 0"), "score", {f"t{i}": 1 - x for i, x in enumerate(targets)}, ["method", "seed"]).withColumn("t", F.array(*[f"t{i}" for i in range(len(targets))]))
     long = t.select("method", "seed", F.explode(F.arrays_zip(F.array(*[F.lit(x) for x in targets]).alias("fpr_target"), F.col("t").alias("t"))).alias("x")).select("method", "seed", F.col("x.fpr_target").alias("fpr_target"), F.col("x.t").alias("t"))
     return r6(s.where("y = 1").join(F.broadcast(long), ["method", "seed"]).groupBy("method", "seed", "fpr_target").agg(F.avg((F.col("score") > F.col("t")).cast("double")).alias("recall")))
 
@@ -159,7 +160,7 @@ def g08_recall_pivot(spark: SparkSession, d: str) -> DataFrame:
 def g09_trade_off(spark: SparkSession, d: str) -> DataFrame:
     s = scores(spark, d)
     targets = [0.001, 0.005, 0.01, 0.02, 0.05]
-    t = s.where("y = 0 AND is_val").groupBy("method").agg(F.percentile("score", F.array(*[F.lit(1 - x) for x in targets])).alias("t"))
+    t = quantiles(s.where("y = 0 AND is_val"), "score", {f"t{i}": 1 - x for i, x in enumerate(targets)}, ["method"]).withColumn("t", F.array(*[f"t{i}" for i in range(len(targets))]))
     long = t.select("method", F.posexplode("t")).select("method", F.element_at(F.array(*[F.lit(x) for x in targets]), F.col("pos") + 1).alias("fpr_target"), F.col("col").alias("t"))
     hit = (F.col("score") > F.col("t")).cast("double")
     out = s.where("NOT is_val").join(F.broadcast(long), "method").groupBy("method", "fpr_target")
