@@ -18,24 +18,14 @@ from pyspark.sql import functions as F
 
 from flowlens.llm.common import written
 
-#: Entries after which a worker's cache of encoded chunks is emptied.
-CACHE = 300_000
 
-
-class ChunkEncoder:
-    """A byte-level BPE tokeniser that encodes each distinct chunk of text once.
-
-    Pre-tokenisation never joins what a single space between two non-space characters parts, so a text's ids are
-    those of its chunks " word" in a row. Texts with other spacing around a chunk are encoded whole. Chunks not met
-    before are encoded by tiktoken when the file's vocabulary allows it (ids in merge order, no normaliser), else
-    by tokenizers; both give the same ids.
-    """
+class Encoder:
+    """A byte-level BPE tokeniser: tiktoken when the file's vocabulary allows it (ids in merge order, no normaliser) and the text has none of its special tokens, else tokenizers; both give the same ids."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes | None] = {}
         spec = json.load(open(path, encoding="utf-8"))
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.fast = self._ranked(spec)
@@ -59,39 +49,19 @@ class ChunkEncoder:
         pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         return tiktoken.Encoding("ranked", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-    def encode_whole(self, text: str) -> bytes:
+    def encode(self, text: str) -> list[int]:
         if self.fast is None or any(s in text for s in self.special):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
-
-    def _chunk(self, part: str) -> bytes | None:
-        """Ids of " " + part; None if the spaces around it may belong to it."""
-        return self.encode_whole(" " + part) if part and not part[0].isspace() and not part[-1].isspace() else None
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit numbers."""
-        head, *rest = text.split(" ")
-        cache = self.cache
-        try:
-            if head and not head[-1].isspace():
-                return b"".join([self.encode_whole(head), *map(cache.__getitem__, rest)])
-        except (KeyError, TypeError):
-            if len(cache) > CACHE:
-                cache.clear()
-            for p in {p for p in rest if p not in cache}:
-                cache[p] = self._chunk(p)
-            if all(cache[p] is not None for p in rest):
-                return b"".join([self.encode_whole(head), *map(cache.__getitem__, rest)])
-        return self.encode_whole(text)
-
-
-_encoders: dict[str, ChunkEncoder] = {}
-
-
-def encoder(path: str) -> ChunkEncoder:
+            return self.whole.encode(text, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(text)
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
     """One for each worker and file."""
     if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
@@ -104,10 +74,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
         kind = "<u2" if max(enc.whole.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
-        tail = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            ids = [np.frombuffer((enc.encode(t) if t else b"") + tail, "<u4").astype(kind) for t in texts]
+            ids = [np.array([*(enc.encode(t) if t else ()), end_id], kind) for t in batch.column(1).to_pylist()]
             n = np.fromiter(map(len, ids), np.int64, len(ids))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(n), pa.array(np.full(len(n), part, np.int32)), pa.array(before + np.cumsum(n) - n)], names=["doc_id", "ids", "n_tokens", "part", "before"])
             before += int(n.sum())
