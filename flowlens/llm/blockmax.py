@@ -21,7 +21,7 @@ class BlockMaxIndex:
     """
 
     def __init__(self, terms: np.ndarray, docs: np.ndarray, impact: np.ndarray, n_terms: int, n_docs: int, block: int = 16, share: int = 16):
-        self.docs, self.impact, self.block = docs.astype(np.int64), impact, block
+        self.docs, self.impact, self.block = docs, impact, block
         self.blocks = -(-n_docs // block)
         self.first = np.searchsorted(terms, np.arange(n_terms + 1))
         size = np.diff(self.first)
@@ -46,7 +46,7 @@ class BlockMaxIndex:
         size = self.first[terms + 1] - self.first[terms]
         at = spread(self.first[terms], size)
         docs = self.blocks * self.block
-        short = np.bincount(np.repeat(query * docs, size) + self.docs[at], np.repeat(weights, size) * self.impact[at], n * docs).reshape(n, docs)
+        short = np.bincount(np.repeat(query.astype(np.int64) * docs, size) + self.docs[at], np.repeat(weights, size) * self.impact[at], n * docs).reshape(n, docs)
         bound = asked @ self.maxima + short.reshape(n, self.blocks, self.block).max(2)
         highest = np.maximum.reduceat(bound, np.arange(0, self.blocks, group), 1) * (1 + 1e-9) + 1e-6  # rounding may not hide a tie
         for g in np.argsort(-highest.max(0), kind="stable").tolist():
