@@ -164,5 +164,13 @@ def format_unit(value: str | Column, unit: str) -> Column:
     return F.when(F.abs(v) < 100, decimals(v, 2, True)).otherwise(decimals(v, 0, True))
 
 
+def order_of(c: str | Column, values: list[str]) -> Column:
+    """A category's place in a list, for sorting; those that the list lacks come after it, nulls last."""
+    place = F.array_position(F.array(*[F.lit(v) for v in values]), col(c))
+    return F.when(place > 0, place).when(col(c).isNotNull(), len(values) + 1).otherwise(len(values) + 2)
+
+
 def row_hash(columns: list[str], seed: int = 0) -> Column:
-    return F.xxhash64(*[F.col(c) for c in columns], F.lit(seed))
+    """A number under 2 ** 60 from the MD5 of the columns' texts and the seed, joined by |; the same in any engine that has MD5. Nulls count as empty texts."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")

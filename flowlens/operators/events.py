@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowlens.functions.columns import flag_bits
 
@@ -32,6 +33,54 @@ def parse_events(lines: DataFrame, line: str = "value", seq: str = "seq") -> Dat
     return e.withColumn("dns", F.when(F.col("dns").isNotNull(), F.struct(kind.alias("type"), F.col("dns.id").alias("id"), name.alias("rrname"), rrtype.alias("rrtype"), F.col("dns.rcode").alias("rcode"), F.col("dns.answers").alias("answers"))))
 
 
+def _as_text(schema: T.DataType) -> T.DataType:
+    """The schema with texts in the place of numbers, so that they stay as they are written."""
+    if isinstance(schema, T.StructType):
+        return T.StructType([T.StructField(f.name, _as_text(f.dataType)) for f in schema])
+    if isinstance(schema, T.ArrayType):
+        return T.ArrayType(_as_text(schema.elementType))
+    return T.MapType(T.StringType(), _as_text(schema.valueType)) if isinstance(schema, T.MapType) else T.StringType()
+
+
+def pairs(value: Column, kind: T.DataType, key: Column) -> Column:
+    """`key: value` texts of a nested value: keys joined by _, list items by their place. The separators of the text form are taken out of values. Missing values have none."""
+    if isinstance(kind, T.StructType):
+        parts = [pairs(value[f.name], f.dataType, F.concat(key, F.lit(f"_{f.name}"))) for f in kind]
+        return F.when(value.isNull(), F.array().cast("array<string>")).otherwise(F.concat(*parts))
+    if isinstance(kind, T.ArrayType):
+        items = F.transform(value, lambda x, i: pairs(x, kind.elementType, F.concat(key, F.lit("_"), i.cast("string"))))
+        return F.coalesce(F.flatten(items), F.array().cast("array<string>"))
+    text = F.replace(F.replace(value.cast("string"), F.lit(" ; "), F.lit(" ;")), F.lit(", "), F.lit(","))
+    return F.when(value.isNull(), F.array().cast("array<string>")).otherwise(F.array(F.concat(key, F.lit(": "), text)))
+
+
+#: Fields of a flow event that its text leaves out (the detector's decision and absolute times).
+FLOW_DROP = ["alerted", "start", "end"]
+
+
+def event_text(lines: DataFrame, line: str = "value", seq: str = "seq") -> DataFrame:
+    """seq, flow_id, event_type and text (`event_type: flow, proto: TCP, flow_age: 3`) of the events that parse_log() reads: flow and application events. Fields come in the schema's order."""
+    schema = _as_text(T.StructType.fromDDL(SCHEMA))
+    e = lines.select(seq, F.from_json(line, schema).alias("e")).select(seq, "e.*").where(F.col("event_type").isin("flow", *APP_EVENTS))
+    q, v3 = F.try_element_at("dns.queries", F.lit(1)), F.coalesce(F.col("dns.version").try_cast("int"), F.lit(2)) >= 3
+    answer = F.col("dns.type") != "request"
+    dns3 = F.struct(F.when(answer, "answer").otherwise("query").alias("type"), F.col("dns.id").alias("id"), F.coalesce(q["rrname"], F.lit("")).alias("rrname"), F.coalesce(q["rrtype"], F.lit("")).alias("rrtype"), F.when(answer, F.coalesce("dns.rcode", F.lit(""))).alias("rcode"), F.when(answer, F.col("dns.answers")).alias("answers"))
+    e = e.withColumn("_dns3", F.when(v3, dns3))
+    body = F.array().cast("array<string>")
+    for name in APP_EVENTS:
+        own = pairs(F.col(name), schema[name].dataType, F.lit(name))
+        if name == "dns":
+            own = F.when(v3, pairs(F.col("_dns3"), e.schema["_dns3"].dataType, F.lit(name))).otherwise(own)
+        body = F.when(F.col("event_type") == name, own).otherwise(body)
+    flow = schema["flow"].dataType
+    kept = T.StructType([f for f in flow if f.name not in FLOW_DROP])
+    proto = F.array(F.concat(F.lit("proto: "), F.coalesce("proto", F.lit(""))))
+    flow_pairs = F.concat(proto, pairs(F.col("flow"), kept, F.lit("flow")), pairs(F.col("tcp"), schema["tcp"].dataType, F.lit("tcp")))
+    body = F.when(F.col("event_type") == "flow", flow_pairs).otherwise(body)
+    head = F.array(F.concat(F.lit("event_type: "), "event_type"))
+    return e.select(seq, F.col("flow_id").cast("long").alias("flow_id"), "event_type", F.array_join(F.concat(head, body), ", ").alias("text"))
+
+
 def flatten(x: dict | list | str | float | None, key: str) -> dict:
     """Nested keys joined by _, list items by their place."""
     if isinstance(x, dict | list):

@@ -11,17 +11,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str], slack: int = 0) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str], slack: int = 0, cell: int = 86_400) -> DataFrame:
     """left with the values of the last right row of its key at or before its time (+ slack); null if none. Ties on the right: the largest values.
 
-    Both sides are united and sorted once by key and time; the last right row so far is carried along.
+    Time is cut into cells, so that no key fills a task: within a cell both sides are sorted and the last right row is
+    carried along; what earlier cells hand on comes from a table of one row for each key and cell.
     """
+    place = lambda t: F.floor(t / cell).cast("long")
     one = right.groupBy(*keys, F.col(right_time).alias("_t")).agg(F.max(F.struct(F.col(right_time).alias("_rt"), *values)).alias("_v"))
     a = left.select(*keys, (F.col(left_time) + slack).alias("_t"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(one.schema["_v"].dataType).alias("_v"), F.lit(1).alias("_side"))
     b = one.select(*keys, "_t", F.lit(None).cast(a.schema["_l"].dataType).alias("_l"), "_v", F.lit(0).alias("_side"))
-    order = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    found = a.unionByName(b).withColumn("_last", F.last("_v", ignorenulls=True).over(order)).where("_side = 1")
-    return found.select("_l.*", F.col("_last._rt").alias(f"asof_{right_time}"), *[F.col(f"_last.{v}").alias(v) for v in values])
+    both = a.unionByName(b).withColumn("_cell", place(F.col("_t")))
+    inside = Window.partitionBy(*keys, "_cell").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_last", F.last("_v", ignorenulls=True).over(inside)).where("_side = 1")
+    ends = both.groupBy(*keys, "_cell").agg(F.max("_v").alias("_end"))  # values begin with their time: the last one
+    earlier = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    handed = ends.withColumn("_from", F.last("_end", ignorenulls=True).over(earlier)).drop("_end")
+    out = found.join(handed, [*keys, "_cell"]).withColumn("_last", F.coalesce("_last", "_from"))
+    return out.select("_l.*", F.col("_last._rt").alias(f"asof_{right_time}"), *[F.col(f"_last.{v}").alias(v) for v in values])
+
+
+def as_of_match(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, length: str, values: list[str], same: dict[str, str], slack: int = 2, grace: int = 5) -> DataFrame:
+    """as_of() with matched: the right row has not ended over `grace` ago, and its columns in `same` (left name: right name) are equal. Values of rows that don't match become null. keys must not be null."""
+    out = as_of(left, right.withColumnsRenamed({r: f"_same_{r}" for r in same.values()}), keys, left_time, right_time, [length, *values, *(f"_same_{r}" for r in same.values())], slack)
+    matched = F.col(left_time) <= F.col(f"asof_{right_time}") + F.col(length) + grace
+    for mine, theirs in same.items():
+        matched = matched & F.col(mine).eqNullSafe(F.col(f"_same_{theirs}"))
+    out = out.withColumn("matched", F.coalesce(matched, F.lit(False)))
+    return out.withColumns({v: F.when(F.col("matched"), F.col(v)) for v in (f"asof_{right_time}", *values)}).drop(length, *(f"_same_{r}" for r in same.values()))
 
 
 def within(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, most: int) -> DataFrame:
@@ -65,6 +82,28 @@ def cidr_ranges(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def networks(rules: DataFrame, text: str, lo: str, hi: str) -> DataFrame:
+    """rules with a row for each IPv4 network or address in a ;-separated list, and its first and last address as numbers; other entries are skipped."""
+    entry = F.trim("_x")
+    base = ipv4(F.regexp_extract(entry, r"^([0-9.]+)(/[0-9]+)?$", 1))
+    bits = F.coalesce(F.nullif(F.regexp_extract(entry, r"/([0-9]{1,2})$", 1), F.lit("")).try_cast("int"), F.when(F.contains(entry, F.lit("/")), F.lit(None)).otherwise(F.lit(32)))
+    size = F.pow(F.lit(2.0), 32 - bits).cast("long")
+    out = rules.withColumn("_x", F.explode(F.split(text, ";"))).withColumns({"_base": base, "_size": F.when(bits <= 32, size)}).where("_base IS NOT NULL AND _size IS NOT NULL")
+    first = F.col("_base") - F.col("_base") % F.col("_size")
+    return out.withColumns({lo: first, hi: first + F.col("_size") - 1}).drop("_x", "_base", "_size")
+
+
+def local_window(day: Column, start: str, end: str, zone: str) -> dict[str, Column]:
+    """start and end, texts HH:MM of the clock of a zone on a day, as seconds of UTC. The end minute belongs to the window: label_by_schedule() adds it."""
+    at = lambda c: F.unix_seconds(F.to_utc_timestamp(F.to_timestamp(F.concat_ws(" ", day.cast("string"), F.col(c)), "yyyy-MM-dd HH:mm"), zone))
+    return {start: at(start), end: at(end)}
+
+
+def expand_schedule(rules: DataFrame, attacker: str = "attacker", victim: str = "victim") -> DataFrame:
+    """A schedule with lists of networks as the member ranges that label_by_schedule() reads: a row for each pair of networks of a rule."""
+    return networks(networks(rules, attacker, "a_lo", "a_hi"), victim, "v_lo", "v_hi").drop(attacker, victim)
+
+
 def label_by_schedule(flows: DataFrame, rules: DataFrame, src: str, dst: str, time: str, row_id: str, pad: int = 0, minute: int = 60) -> DataFrame:
     """flows with label, rule and pad_zone from a small schedule; rows that must go are left out.
 
@@ -85,43 +124,71 @@ def label_by_schedule(flows: DataFrame, rules: DataFrame, src: str, dst: str, ti
     return out.select(*flows.columns, F.coalesce("_h.label", F.lit("Benign")).alias("label"), F.col("_h.rule").alias("rule"), F.coalesce("_h.pad_zone", F.lit(False)).alias("pad_zone"))
 
 
-def nearest(rows: DataFrame, refs: DataFrame, k: int, role: str | None = None, exclude_self: bool = False, block: int = 100_000) -> DataFrame:
+def closest(x: np.ndarray, own: np.ndarray, m: np.ndarray, ids: np.ndarray, k: int, exclude_self: bool) -> pd.DataFrame:
+    """id, ref_id and distance of the k nearest rows of m to each row of x; ties: the smaller ref_id."""
+    out, norm = [], (m**2).sum(1)
+    for lo in range(0, len(x), 1024):
+        part, who = x[lo : lo + 1024], own[lo : lo + 1024]
+        d = norm[None] - 2 * part @ m.T
+        if exclude_self:
+            d[who[:, None] == ids[None]] = np.inf
+        n = min(len(m), k + 8)  # some more than k, whose distances are then taken exactly
+        near = np.argpartition(d, n - 1, axis=1)[:, :n] if n < len(m) else np.broadcast_to(np.arange(len(m)), d.shape)
+        exact = np.sqrt(((part[:, None, :] - m[near]) ** 2).sum(2))
+        exact[np.isinf(np.take_along_axis(d, near, 1))] = np.inf
+        order = np.lexsort((ids[near], exact), axis=1)[:, :k]
+        dist, ref = np.take_along_axis(exact, order, 1).ravel(), np.take_along_axis(ids[near], order, 1).ravel()
+        real = np.isfinite(dist)
+        out.append(pd.DataFrame({"id": np.repeat(who, order.shape[1])[real], "ref_id": ref[real], "distance": dist[real]}))
+    return pd.concat(out) if out else pd.DataFrame({"id": np.zeros(0, np.int64), "ref_id": np.zeros(0, np.int64), "distance": np.zeros(0)})
+
+
+FOUND = "id long, ref_id long, distance double"
+
+
+def _points(df: DataFrame, role: str | None) -> DataFrame:
+    return df.select(F.col("id").cast("long").alias("id"), F.col("x").cast("array<double>").alias("x"), (F.col(role) if role else F.lit(0)).cast("int").alias("role"))
+
+
+def _best(pairs: DataFrame, k: int) -> DataFrame:
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("distance", "ref_id"))).where(F.col("rank") <= k)
+
+
+def nearest(rows: DataFrame, refs: DataFrame, k: int, role: str | None = None, exclude_self: bool = False) -> DataFrame:
     """The k nearest references of each row by Euclidean distance: id, ref_id, distance, rank. rows, refs: id, x array<float> and, with role, role.
 
-    References are a sample that the caller bounds: at most `block` of them travel to every task at once; more are
-    taken block by block and merged. Distances come from numpy in Arrow batches. Ties: the smaller ref_id.
+    References are a sample that the caller bounds (fit_references): they travel to every task. Distances come from
+    numpy in Arrow batches. Ties: the smaller ref_id. For whole tables: nearest_of_all().
     """
-    spark = rows.sparkSession
-    n = refs.count()
-    out, parts = None, max(1, -(-n // block))
-    cut = refs.select(F.col("id").cast("long").alias("id"), F.col("x").cast("array<double>").alias("x"), (F.col(role) if role else F.lit(0)).cast("int").alias("role"))
-    for i in range(parts):
-        pdf = cut.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == i).orderBy("id").toPandas()
-        held = spark.sparkContext.broadcast({r: (g["id"].to_numpy(), np.stack(g["x"].to_list()) if len(g) else np.zeros((0, 0))) for r, g in pdf.groupby("role")})
-
-        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for r, g in pdf.groupby("role"):
-                    if r not in held.value:
-                        continue
+    pdf = _points(refs, role).orderBy("id").toPandas()
+    held = rows.sparkSession.sparkContext.broadcast({r: (g["id"].to_numpy(), np.stack(g["x"].to_list())) for r, g in pdf.groupby("role")})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r, g in pdf.groupby("role"):
+                if r in held.value:
                     ids, m = held.value[r]
-                    norm = (m**2).sum(1)
-                    x, own = np.stack(g["x"].to_list()).astype(np.float64), g["id"].to_numpy()
-                    for lo in range(0, len(x), 1024):
-                        part, who = x[lo : lo + 1024], own[lo : lo + 1024]
-                        d = norm[None] - 2 * part @ m.T
-                        if exclude_self:
-                            d[who[:, None] == ids[None]] = np.inf
-                        n = min(len(m), k + 8)  # some more than k, whose distances are then taken exactly
-                        near = np.argpartition(d, n - 1, axis=1)[:, :n] if n < len(m) else np.broadcast_to(np.arange(len(m)), d.shape)
-                        exact = np.sqrt(((part[:, None, :] - m[near]) ** 2).sum(2))
-                        exact[np.isinf(np.take_along_axis(d, near, 1))] = np.inf
-                        order = np.lexsort((ids[near], exact), axis=1)[:, :k]
-                        dist, ref = np.take_along_axis(exact, order, 1).ravel(), np.take_along_axis(ids[near], order, 1).ravel()
-                        real = np.isfinite(dist)
-                        yield pd.DataFrame({"id": np.repeat(who, order.shape[1])[real], "ref_id": ref[real], "distance": dist[real]})
-
-        asked = rows.select(F.col("id").cast("long").alias("id"), F.col("x").cast("array<double>").alias("x"), (F.col(role) if role else F.lit(0)).cast("int").alias("role"))
-        part = asked.mapInPandas(run, "id long, ref_id long, distance double")
-        out = part if out is None else out.unionByName(part)
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("distance", "ref_id"))).where(F.col("rank") <= k)
+                    yield closest(np.stack(g["x"].to_list()), g["id"].to_numpy(), m, ids, k, exclude_self)
+
+    return _best(_points(rows, role).mapInPandas(run, FOUND), k)
+
+
+def nearest_of_all(rows: DataFrame, refs: DataFrame, k: int, role: str | None = None, exclude_self: bool = False, block: int = 20_000) -> DataFrame:
+    """nearest() with references of any number, which stay on Spark: blocks of rows meet blocks of references, and the blocks' best merge. Exact, so the work grows with rows times references; the k * blocks best of a row are what is shuffled."""
+    spark = rows.sparkSession
+    q = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // block))
+    r = max(1, -(-refs.count() // block))
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = _points(rows, role).withColumn("_q", deal(q)).withColumn("_r", every(r))
+    b = _points(refs, role).withColumn("_r", deal(r)).withColumn("_q", every(q))
+
+    def meet(x: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        parts = [pd.DataFrame({"id": [], "ref_id": [], "distance": []})]
+        for own, g in x.groupby("role"):
+            theirs = m[m["role"] == own]
+            if len(theirs):
+                parts.append(closest(np.stack(g["x"].to_list()), g["id"].to_numpy(), np.stack(theirs["x"].to_list()), theirs["id"].to_numpy(), k, exclude_self))
+        return pd.concat(parts)
+
+    return _best(a.groupBy("_q", "_r").cogroup(b.groupBy("_q", "_r")).applyInPandas(meet, FOUND), k)

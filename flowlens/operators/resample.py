@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.functions.columns import row_hash
 from flowlens.operators.metrics import rank_bins, roc_auc
+from flowlens.operators.split import cap
 
 
 def block_weights(blocks: DataFrame, day: str, block: str, resamples: int, seed: int = 0) -> DataFrame:
@@ -14,7 +16,7 @@ def block_weights(blocks: DataFrame, day: str, block: str, resamples: int, seed:
 
     placed = blocks.withColumn("_p", F.row_number().over(Window.partitionBy(day).orderBy(block)) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(day)))
     draws = placed.select(day, "_p", "_n", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("resample"))
-    pick = F.pmod(F.xxhash64(day, "_p", "resample", F.lit(seed)), F.col("_n"))
+    pick = row_hash([day, "_p", "resample"], seed) % F.col("_n")
     hits = draws.select(day, "resample", pick.alias("_p")).groupBy(day, "resample", "_p").agg(F.count("*").alias("weight"))
     return hits.join(placed.select(day, block, F.col("_p").cast("long").alias("_p")), [day, "_p"]).select(day, block, "resample", "weight")
 
@@ -42,10 +44,21 @@ def paired_difference(df: DataFrame, method: str, reference: str, value: str) ->
     return interval(df.where(F.col(method) != reference).join(ref, "resample").withColumn("difference", F.col("_r") - F.col(value)), "difference", [method])
 
 
-def row_bootstrap_mean(df: DataFrame, value: str, row_id: str, resamples: int = 200, seed: int = 0) -> DataFrame:
-    """Mean of each resample under Poisson(1) weights by hash; null with under three rows."""
-    u = (F.pmod(F.xxhash64(row_id, "resample", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+def drawn_rows(df: DataFrame, row_id: str, resamples: int, seed: int = 0) -> DataFrame:
+    """df once for each resample, with _w: a Poisson(1) weight by a hash of the row and the resample."""
+    u = (row_hash([row_id, "resample"], seed) + 0.5) / float(1 << 60)
     limits = [0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518, 0.99991675884]
     weight = sum(((u > x).cast("int") for x in limits), F.lit(0))
-    drawn = df.withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("_w", weight)
+    return df.withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("_w", weight)
+
+
+def row_bootstrap_auc(df: DataFrame, y: str, score: str, row_id: str, resamples: int = 200, most: int = 200_000, seed: int = 0) -> DataFrame:
+    """roc_auc of each resample of at most `most` rows (a sample by hash). Rows are counted by score and class before the area is taken."""
+    weighed = drawn_rows(cap(df.select(row_id, y, score), most, row_id, seed), row_id, resamples, seed).groupBy("resample", score, y).agg(F.sum("_w").alias("w"))
+    return roc_auc(weighed, y, score, ["resample"], "w")
+
+
+def row_bootstrap_mean(df: DataFrame, value: str, row_id: str, resamples: int = 200, seed: int = 0) -> DataFrame:
+    """Mean of each resample under Poisson(1) weights by hash; null with under three rows."""
+    drawn = drawn_rows(df, row_id, resamples, seed)
     return drawn.groupBy("resample").agg(F.when(F.count("*") >= 3, F.sum(F.col(value) * F.col("_w")) / F.sum("_w")).alias("mean"))

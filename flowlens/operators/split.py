@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +51,13 @@ def leave_one_out(families: list[str]) -> list[tuple[str, list[str]]]:
     return [(f, [x for x in families if x != f]) for f in families]
 
 
+def dev_test(df: DataFrame, day: str, test: list, measure: Callable[[DataFrame], DataFrame], name: str, value: str) -> DataFrame:
+    """A measure (name, value) of each candidate on the days outside and inside `test`: name, dev_<value>, test_<value>, and chosen: the best on the development days (all of several equal ones)."""
+    dev, held = (measure(df.where(F.col(day).isin(test) == inside)).select(name, F.col(value).alias(f"{part}_{value}")) for part, inside in (("dev", False), ("test", True)))
+    best = dev.agg(F.max(f"dev_{value}").alias("_best"))
+    return dev.join(held, name, "left").crossJoin(F.broadcast(best)).withColumn("chosen", F.col(f"dev_{value}") == F.col("_best")).drop("_best")  # one row
+
+
 def check_days(train: list[str], test: list[str]) -> None:
     if both := sorted(set(train) & set(test)):
         raise DataError(f"days in train and test: {', '.join(both)}")

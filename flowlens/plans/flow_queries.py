@@ -172,7 +172,7 @@ def p01_p02_split(spark: SparkSession, d: str) -> DataFrame:
     return split.time_split(flows(spark, d).withColumn("benign", F.col("y") == 0), "day", "sec", "row_id", 0.2, "benign").select("row_id", "cutoff", "split")
 
 
-@query("p03_cap")
+@query("p03_cap", "WITH {EV} SELECT row_id FROM ev ORDER BY CAST('0x' || substr(md5(CAST(row_id AS VARCHAR) || '|7'), 1, 15) AS BIGINT), row_id LIMIT 500")
 def p03_cap(spark: SparkSession, d: str) -> DataFrame:
     return split.cap(flows(spark, d), 500, "row_id", 7).select("row_id")
 
@@ -188,7 +188,7 @@ def p05_roles(spark: SparkSession, d: str) -> DataFrame:
     return flows(spark, d).groupBy("role").agg(F.count("*").alias("n"))
 
 
-@query("p06_p09_per_class")
+@query("p06_p09_per_class", "WITH {EV} SELECT row_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY CAST('0x' || substr(md5(CAST(row_id AS VARCHAR) || '|3'), 1, 15) AS BIGINT), row_id) AS r FROM ev) WHERE r <= 100")
 def p06_p09_per_class(spark: SparkSession, d: str) -> DataFrame:
     return split.cap_per_class(flows(spark, d), "event_type", 100, "row_id", 3).select("row_id", "event_type")
 

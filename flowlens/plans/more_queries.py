@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions import columns as C
-from flowlens.operators import audit, batch, clean, detectors, events, explain, features, joins
+from flowlens.operators import audit, batch, clean, detectors, events, explain, features, joins, metrics, split
 from flowlens.plans.model_queries import MODALITIES, SLICES, event_lines, vectors
-from flowlens.plans.views import flows, query, r6, schedule, table
+from flowlens.plans.views import connections, flows, order_flows, query, r6, schedule, table
 from flowlens.sources import io
 from flowlens.streaming import stream
 
@@ -116,10 +116,20 @@ def a10_modality_share(spark: SparkSession, d: str) -> DataFrame:
     return r6(explain.modality_share(values(spark, d), of))
 
 
-@query("a06_agreement", "SELECT DISTINCT l_orderkey * 10 + l_linenumber AS id, 1.0::DOUBLE AS agreement FROM lineitem")
+@query(
+    "a06_agreement",
+    """WITH li AS (SELECT l_orderkey * 10 + l_linenumber AS id, max(l_quantity) AS q, max(l_discount) AS d, max(l_tax) AS t FROM lineitem GROUP BY 1),
+    v AS (SELECT id, run, f, v FROM li, LATERAL (SELECT unnest([{'r': 0, 'f': 'quantity', 'v': q - 25}, {'r': 0, 'f': 'discount', 'v': d * 300}, {'r': 0, 'f': 'tax', 'v': t * 200 - 5},
+      {'r': 1, 'f': 'quantity', 'v': (q - 25) * 0.5}, {'r': 1, 'f': 'discount', 'v': d * 300 - 20}, {'r': 1, 'f': 'tax', 'v': (t * 200 - 5) * 2}]) AS x) u, LATERAL (SELECT x.r AS run, x.f AS f, x.v AS v) y),
+    o AS (SELECT *, row_number() OVER (PARTITION BY id, run ORDER BY abs(v) DESC, f) AS p FROM v),
+    n AS (SELECT id, count(*) FILTER (n = 2) AS shared, count(*) AS either FROM (SELECT id, f, count(*) AS n FROM o WHERE p <= 2 GROUP BY 1, 2) GROUP BY id)
+    SELECT id, round(shared / either, 6) AS agreement FROM n""",
+)
 def a06_agreement(spark: SparkSession, d: str) -> DataFrame:
-    v = values(spark, d)
-    return explain.agreement(v, v.withColumn("value", -F.col("value")), 2)
+    """Top two features of two runs that weigh the columns differently."""
+    v, name = values(spark, d), F.col("feature")
+    other = F.when(name == "quantity", F.col("value") * 0.5).when(name == "discount", F.col("value") - 20).otherwise(F.col("value") * 2)
+    return r6(explain.agreement(v, v.withColumn("value", other), 2))
 
 
 @query("a11_a12_evidence", """WITH li AS (SELECT l_orderkey * 10 + l_linenumber AS id, max(l_quantity) AS l_quantity, max(l_discount) AS l_discount, max(l_tax) AS l_tax FROM lineitem GROUP BY 1), v AS (SELECT id, unnest([{'f': 'quantity', 'v': l_quantity - 25, 'r': l_quantity}, {'f': 'discount', 'v': l_discount * 300, 'r': l_discount}, {'f': 'tax', 'v': l_tax * 200 - 5, 'r': l_tax}]) AS x FROM li),
@@ -146,21 +156,79 @@ def a13_a15_reports(spark: SparkSession, d: str) -> DataFrame:
     return explain.report(a, none, spark.createDataFrame([], "id long, hypotheses array<string>")).select("id", "priority", "verdict", "ratio")
 
 
-@query("q09_parity", "SELECT name, 0::BIGINT AS extra, 0::BIGINT AS missing, 0::BIGINT AS null_differs, 0::BIGINT AS differs FROM (VALUES ('pos'), ('mean'), ('std')) v(name)")
+@query(
+    "q09_parity",
+    "WITH s AS (SELECT * FROM lineitem WHERE l_linenumber <= 2), b AS ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS f, abs((SELECT avg(v) FROM (SELECT sign({c}) * ln(1 + abs({c})) AS v FROM lineitem)) - (SELECT avg(v) FROM (SELECT sign({c}) * ln(1 + abs({c})) AS v FROM s))) > 0.002 AS m, abs((SELECT stddev_pop(v) FROM (SELECT sign({c}) * ln(1 + abs({c})) AS v FROM lineitem)) - (SELECT stddev_pop(v) FROM (SELECT sign({c}) * ln(1 + abs({c})) AS v FROM s))) > 0.002 AS s" for c in ("l_quantity", "l_extendedprice", "l_discount"))
+    + ") SELECT name, 0::BIGINT AS extra, 1::BIGINT AS missing, 0::BIGINT AS null_differs, CASE name WHEN 'pos' THEN 0 WHEN 'mean' THEN (SELECT count(*) FILTER (m) FROM b) ELSE (SELECT count(*) FILTER (s) FROM b) END AS differs FROM (VALUES ('pos'), ('mean'), ('std')) v(name)",
+)
 def q09_parity(spark: SparkSession, d: str) -> DataFrame:
-    fit = lambda n: features.fit_space(table(spark, d, "lineitem").repartition(n), MODALITIES).drop("modality")
-    return audit.diff_tables(fit(2), fit(5), ["name"])
+    """Stored statistics of all features against a refit of three of them on other rows: one is missing, others differ."""
+    li = table(spark, d, "lineitem")
+    refit = {m: [c for c in cs if c != "l_tax"] for m, cs in MODALITIES.items()}
+    return audit.diff_tables(features.fit_space(li, MODALITIES).drop("modality"), features.fit_space(li.where("l_linenumber <= 2"), refit).drop("modality"), ["name"], 0.002)
 
 
-@query("q22_batch_duplicates")
+@query(
+    "q22_batch_duplicates",
+    """WITH v AS (SELECT *, CAST('0x' || substr(md5(CAST(l_orderkey * 10 + l_linenumber AS VARCHAR) || '|0'), 1, 15) AS BIGINT) % greatest(1, (SELECT count(*) FROM lineitem) // 256) AS b FROM lineitem),
+    n AS (SELECT 'volume' AS modality, count(*) AS n FROM v GROUP BY b, l_quantity, l_extendedprice UNION ALL SELECT 'rate', count(*) FROM v GROUP BY b, l_discount, l_tax)
+    SELECT modality, round(coalesce(sum(n) FILTER (n > 1), 0) / sum(n), 6) AS share FROM n GROUP BY modality""",
+)
 def q22_batch_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return r6(batch.batch_duplicates(vectors(spark, d), SLICES, "row_id"))
 
 
-@query("q21_cka", "SELECT 1.0::DOUBLE AS cka")
+@query(
+    "q21_cka",
+    "WITH f AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings), a AS (SELECT vec_id, unnest(range(1, 9)) AS i, unnest(x[1:8]) AS v FROM f), b AS (SELECT vec_id, unnest(range(1, 7)) AS i, unnest(list_transform(x[5:10], lambda v: v * v + v)) AS v FROM f), "
+    + ", ".join(f"{n} AS (SELECT sum(c * c) AS s FROM (SELECT covar_pop(p.v, q.v) * count(*) AS c FROM {p} p JOIN {q} q USING (vec_id) GROUP BY p.i, q.i))" for n, p, q in (("ab", "a", "b"), ("aa", "a", "a"), ("bb", "b", "b")))
+    + " SELECT round(ab.s / sqrt(aa.s * bb.s), 6) AS cka FROM ab, aa, bb",
+)
 def q21_cka(spark: SparkSession, d: str) -> DataFrame:
-    v = vectors(spark, d).select("row_id", "x")
-    return r6(batch.linear_cka(v, v.withColumn("x", F.transform("x", lambda a: a * 2)), "row_id"))
+    """Likeness of the first eight places of the vectors and a bent copy of places five to ten."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("x"))
+    return r6(batch.linear_cka(e.withColumn("x", F.slice("x", 1, 8)), e.withColumn("x", F.transform(F.slice("x", 5, 6), lambda v: v * v + v)), "row_id"))
+
+
+@query(
+    "j05_matched",
+    """WITH {CONN}, c AS (SELECT *, row_number() OVER (PARTITION BY host, start_sec ORDER BY len DESC, uid DESC) AS r FROM conn),
+    j AS (SELECT fl.row_id, fl.sec, fl.row_id % 5 AS port, c.start_sec, c.len, c.uid, c.uid % 5 AS resp FROM fl ASOF LEFT JOIN (SELECT * FROM c WHERE r = 1) c ON fl.host = c.host AND fl.sec + 2 >= c.start_sec)
+    SELECT row_id, coalesce(sec <= start_sec + len + 5 AND port = resp, false) AS matched, CASE WHEN coalesce(sec <= start_sec + len + 5 AND port = resp, false) THEN uid END AS uid FROM j""",
+)
+def j05_matched(spark: SparkSession, d: str) -> DataFrame:
+    """The connection of a flow's host that began last, if it still ran and answers on the flow's port."""
+    left = order_flows(spark, d).withColumn("port", F.col("row_id") % 5)
+    right = connections(spark, d).withColumn("resp", F.col("uid") % 5)
+    return joins.as_of_match(left, right, ["host"], "sec", "start_sec", "len", ["uid"], {"port": "resp"}).select("row_id", "matched", "uid")
+
+
+@query(
+    "t01_t03_orders",
+    """WITH {EV}, o AS (SELECT * FROM (VALUES ('signup', 1), ('view', 2), ('click', 3), ('purchase', 4)) v(event_type, place))
+    SELECT row_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY coalesce(place, 5), day, row_id) AS INTEGER) AS r FROM ev LEFT JOIN o USING (event_type)""",
+)
+def t01_t03_orders(spark: SparkSession, d: str) -> DataFrame:
+    """A stable order by a category's place in a list, then by day; ties stay in input order. Categories that the list lacks come last."""
+    place = C.order_of("event_type", ["signup", "view", "click", "purchase"])
+    return flows(spark, d).select("row_id", F.row_number().over(Window.partitionBy("user_id").orderBy(place, "day", "row_id")).alias("r"))
+
+
+@query(
+    "p11_dev_test",
+    """WITH {EV}, k AS (SELECT day, CAST(row_number() OVER (ORDER BY day) AS BIGINT) AS i FROM (SELECT DISTINCT day FROM ev)), s AS (SELECT ev.*, CASE WHEN i % 3 = 0 THEN 'test' ELSE 'dev' END AS part FROM ev JOIN k USING (day)),
+    u AS (SELECT part, m, CASE WHEN m = 'a' THEN score ELSE score * (1 + k) END AS s, y FROM s, (VALUES ('a'), ('b')) v(m)), c AS (SELECT part, m, s, sum(y) AS p, sum(1 - y) AS q FROM u GROUP BY 1, 2, 3), b AS (SELECT *, sum(q) OVER (PARTITION BY part, m ORDER BY s) AS below FROM c),
+    a AS (SELECT part, m, sum(p * (below - q * 0.5)) / nullif(sum(p) * sum(q), 0) AS auc FROM b GROUP BY 1, 2)
+    SELECT d.m AS method, round(d.auc, 6) AS dev_auc, round(t.auc, 6) AS test_auc, d.auc = (SELECT max(auc) FROM a WHERE part = 'dev') AS chosen FROM a d JOIN a t USING (m) WHERE d.part = 'dev' AND t.part = 'test'""",
+)
+def p11_dev_test(spark: SparkSession, d: str) -> DataFrame:
+    """Methods are chosen on development days; the choice is recorded beside their areas on days kept for testing."""
+    f = flows(spark, d)
+    days = f.select("day").distinct().withColumn("i", F.row_number().over(Window.orderBy("day")))  # a row for each day
+    test = [r["day"] for r in days.where("i % 3 = 0").collect()]
+    long = f.withColumn("m", F.explode(F.array(F.lit("a"), F.lit("b")))).withColumn("s", F.when(F.col("m") == "a", F.col("score")).otherwise(F.col("score") * (1 + F.col("k"))))
+    return r6(split.dev_test(long, "day", test, lambda part: metrics.roc_auc(part, "y", "s", ["m"]), "m", "roc_auc")).withColumnsRenamed({"m": "method", "dev_roc_auc": "dev_auc", "test_roc_auc": "test_auc"})
 
 
 @query("m10_m32_methods")

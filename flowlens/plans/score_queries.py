@@ -325,25 +325,25 @@ def _emb(spark: SparkSession, d: str) -> DataFrame:
 @query("m11_latent_knn", "WITH " + KNN.format(on="a.label % 3 = b.label % 3 AND b.label < 7") + " SELECT id, round(avg(distance), 4) AS score FROM k WHERE rank <= 5 GROUP BY id")
 def m11_latent_knn(spark: SparkSession, d: str) -> DataFrame:
     e = _emb(spark, d)
-    return joins.nearest(e, e.where("label < 7"), 5, "role").groupBy("id").agg(F.round(F.avg("distance"), 4).alias("score"))
+    return joins.nearest_of_all(e, e.where("label < 7"), 5, "role").groupBy("id").agg(F.round(F.avg("distance"), 4).alias("score"))
 
 
 @query("j13_j14_self_knn", "WITH " + KNN.format(on="a.vec_id <> b.vec_id") + " SELECT id, ref_id, round(distance, 4) AS distance, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 2")
 def j13_j14_self_knn(spark: SparkSession, d: str) -> DataFrame:
     e = _emb(spark, d)
-    return joins.nearest(e, e, 2, None, True).withColumn("distance", F.round("distance", 4))
+    return joins.nearest_of_all(e, e, 2, None, True).withColumn("distance", F.round("distance", 4))
 
 
 @query("q11_near_duplicates", "WITH " + KNN.format(on="a.vec_id <> b.vec_id") + " SELECT round(avg(CASE WHEN distance < 0.1 THEN 1.0 ELSE 0.0 END), 6) AS near, round(median(distance), 4) AS median_distance FROM k WHERE rank = 1")
 def q11_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     e = _emb(spark, d)
-    return joins.nearest(e, e, 1, None, True).agg(F.round(F.avg((F.col("distance") < 0.1).cast("double")), 6).alias("near"), F.round(F.median("distance"), 4).alias("median_distance"))
+    return joins.nearest_of_all(e, e, 1, None, True).agg(F.round(F.avg((F.col("distance") < 0.1).cast("double")), 6).alias("near"), F.round(F.median("distance"), 4).alias("median_distance"))
 
 
 @query("q21_purity", "WITH " + KNN.format(on="a.vec_id <> b.vec_id") + " SELECT a.label, round(avg(CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END), 6) AS purity FROM k JOIN embeddings a ON a.vec_id = id JOIN embeddings b ON b.vec_id = ref_id WHERE rank <= 5 GROUP BY a.label")
 def q21_purity(spark: SparkSession, d: str) -> DataFrame:
     e = _emb(spark, d)
-    near = joins.nearest(e, e, 5, None, True)
+    near = joins.nearest_of_all(e, e, 5, None, True)
     own, other = e.select("id", "label"), e.select(F.col("id").alias("ref_id"), F.col("label").alias("other"))
     return r6(near.join(own, "id").join(other, "ref_id").groupBy("label").agg(F.avg((F.col("label") == F.col("other")).cast("double")).alias("purity")))
 

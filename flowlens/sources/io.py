@@ -7,6 +7,7 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowlens.operators.clean import DataError, require_columns
 
@@ -96,8 +97,33 @@ def write_splits(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("split", "day").parquet(path)
 
 
+def read_splits(spark: SparkSession, path: str, split: str, day: str | None = None) -> DataFrame:
+    """The rows of a split (of a day); other folders are not read."""
+    rows = spark.read.parquet(path).where(F.col("split") == split)
+    return rows.where(F.col("day") == day) if day is not None else rows
+
+
 def write_scores(df: DataFrame, path: str) -> None:
-    df.write.mode("append").partitionBy("method", "seed").parquet(path)
+    """Partitioned by method and seed; a partition that is written again is replaced."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("method", "seed").parquet(path)
+
+
+def read_scores(spark: SparkSession, path: str, labels: DataFrame, row_id: str, method: str | None = None) -> DataFrame:
+    """Scores with the columns of labels; a score without a label, or a labelled row without a score, is an error."""
+    scores = spark.read.parquet(path)
+    scores = scores.where(F.col("method") == method) if method is not None else scores
+    both = scores.join(labels.withColumn("_known", F.lit(True)), row_id, "full_outer")
+    odd = both.where("_known IS NULL OR method IS NULL").agg(F.count("*").alias("n")).first()["n"]
+    if odd:
+        raise DataError(f"{path}: {odd} rows have a score or a label only")
+    return both.drop("_known")
+
+
+def write_tables(tables: dict[str, DataFrame], path: str) -> None:
+    """Metric tables, or the scored and the rejected rows of a batch, as CSV with headers: a folder for each name."""
+    for name, df in tables.items():
+        plain = [F.to_json(c).alias(c) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(c) for c, f in zip(df.columns, df.schema, strict=True)]
+        df.select(*plain).write.mode("overwrite").csv(f"{path}/{name}", header=True)
 
 
 def checksum(df: DataFrame) -> str:
