@@ -7,12 +7,13 @@ the bits that differ there measure how alike they are.
 
 from __future__ import annotations
 
+import io
+import wave
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,29 +28,41 @@ FILTERS = [(0, 0, 3, 8), (0, 3, 3, 8), (0, 6, 3, 8), (0, 9, 3, 8), (1, 0, 12, 4)
 #: Quantiser limits of a filter's log ratio.
 LIMITS = np.array([-0.35, 0.0, 0.35])
 QUERY_FRAMES = 2_000_000
+#: Samples that are held at once.
+BLOCK_SAMPLES = 256_000
 
 
-def chroma(samples: np.ndarray) -> np.ndarray:
-    """Energy of the twelve pitch classes in each frame, of length 1 (silence: zeros)."""
-    n = (len(samples) - FRAME) // HOP + 1
-    if n <= 0:
-        return np.zeros((0, 12))
-    frames, shape = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP], np.hanning(FRAME).astype(np.float32)
+def chroma(blocks: Iterator[np.ndarray]) -> np.ndarray:
+    """Energy of the twelve pitch classes in each frame, of length 1 (silence: zeros). Samples come in blocks; only the classes' energies grow with the recording."""
+    shape = np.hanning(FRAME).astype(np.float32)
     freq = np.fft.rfftfreq(FRAME, 1 / RATE)
     use = np.flatnonzero((freq >= 100) & (freq <= 1800))
     pitch = np.round(12 * np.log2(freq[use] / 440)).astype(int) % 12
-    out = np.zeros((n, 12))
-    for lo in range(0, n, 512):  # memory does not grow with the recording's spectra
-        power = np.abs(np.fft.rfft(frames[lo : lo + 512] * shape, axis=1)) ** 2
-        for c in range(12):
-            out[lo : lo + 512, c] = power[:, use[pitch == c]].sum(1)
+    parts, held, size = [np.zeros((0, 12))], [np.zeros(0, np.float32)], 0
+
+    def frames(samples: np.ndarray) -> np.ndarray:
+        n = (len(samples) - FRAME) // HOP + 1
+        if n > 0:
+            power = np.abs(np.fft.rfft(np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP] * shape, axis=1)) ** 2
+            parts.append(np.stack([power[:, use[pitch == c]].sum(1) for c in range(12)], 1))
+        return samples[max(n, 0) * HOP :]
+
+    for block in blocks:
+        for lo in range(0, len(block), BLOCK_SAMPLES):
+            held.append(block[lo : lo + BLOCK_SAMPLES])
+            size += len(held[-1])
+            if size >= BLOCK_SAMPLES:
+                held = [frames(np.concatenate(held))]
+                size = len(held[0])
+    frames(np.concatenate(held))
+    out = np.concatenate(parts)
     size = np.sqrt((out**2).sum(1, keepdims=True))
     return np.where(size > 1e-6, out / np.maximum(size, 1e-12), 0.0)
 
 
-def fingerprint(samples: np.ndarray) -> np.ndarray:
-    """An unsigned 32-bit integer for each SPAN frames in a row."""
-    c = chroma(samples)
+def fingerprint(samples: np.ndarray | Iterator[np.ndarray]) -> np.ndarray:
+    """An unsigned 32-bit integer for each SPAN frames in a row of samples (RATE a second), given whole or in blocks. Fewer frames: none."""
+    c = chroma(iter([samples]) if isinstance(samples, np.ndarray) else samples)
     n = len(c) - SPAN + 1
     if n <= 0:
         return np.zeros(0, np.uint32)
@@ -76,23 +89,57 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
     return out
 
 
-def tones(text: str) -> np.ndarray:
-    """A text as a recording: a fifth of a second of sound for each word, of a pitch that its letters give."""
-    n = RATE // 4
-    t = np.arange(n) / RATE
+def tones(text: str) -> Iterator[np.ndarray]:
+    """A text as a recording, in blocks: a quarter of a second of sound for each word, of a pitch that its letters give. An empty text is silent and has no block."""
+    t = np.arange(RATE // 4) / RATE
     notes: dict[str, np.ndarray] = {}
-    out = []
     for w in text.split():
         if w not in notes:
             h = zlib.crc32(w.encode())
             f = 220 * 2 ** ((h % 24) / 12)
+            if len(notes) >= 1000:
+                notes.clear()
             notes[w] = (np.sin(2 * np.pi * f * t) + 0.5 * np.sin(2 * np.pi * f * 2 ** ((h >> 8) % 12 / 12) * t)).astype(np.float32)
-        out.append(notes[w])
-    return np.concatenate(out) if out else np.zeros(0, np.float32)
+        yield notes[w]
+
+
+def decode_wav(data: bytes | None) -> Iterator[np.ndarray]:
+    """Samples (RATE a second, one channel, -1 to 1) of a PCM WAV file of 8, 16 or 32 bits, in blocks. Null, empty and broken files, and other encodings, have none."""
+    try:
+        f = wave.open(io.BytesIO(data or b""))
+    except (wave.Error, EOFError):
+        return
+    kind = {1: np.uint8, 2: "<i2", 4: "<i4"}.get(f.getsampwidth())
+    if kind is None:
+        return
+    rate, scale, done, last = f.getframerate(), float(1 << (8 * f.getsampwidth() - 1)), 0, np.zeros(0, np.float32)
+    while raw := f.readframes(BLOCK_SAMPLES):
+        x = np.frombuffer(raw[: len(raw) // (f.getsampwidth() * f.getnchannels()) * f.getsampwidth() * f.getnchannels()], kind).reshape(-1, f.getnchannels()).mean(1)
+        x = ((x - 128) / 128 if f.getsampwidth() == 1 else x / scale).astype(np.float32)
+        # Places of the output samples that lie between the last sample of the block before and the last of this one.
+        joined, start = np.concatenate([last, x]), done - len(last)
+        lo, hi = -(-start * RATE // rate), ((done + len(x) - 1) * RATE) // rate
+        at = np.arange(lo, hi + 1)
+        at = at[at * rate > (done - 1) * RATE] if len(last) else at
+        if len(at):
+            yield np.interp(at * rate / RATE - start, np.arange(len(joined)), joined).astype(np.float32)
+        done, last = done + len(x), x[-1:]
+
+
+def fingerprint_media(media: DataFrame, id_col: str = "rec_id", media_col: str = "wav") -> DataFrame:
+    """rec_id, prints of a column of WAV files. Files without samples (see decode_wav) or shorter than SPAN frames have empty prints; rows without an id are kept with a null; equal files get equal prints; an empty table gives no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):  # a file at a time: files are large
+                blob = fingerprint(decode_wav(batch.column(1)[i].as_py())).astype("<u4").tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([blob], pa.binary())], names=["rec_id", "prints"])
+
+    return media.select(F.col(id_col).cast("long").alias("rec_id"), F.col(media_col).alias("media")).mapInArrow(run, "rec_id long, prints binary")
 
 
 def align(query: np.ndarray, other: np.ndarray) -> tuple[int, int, int, float]:
-    """Offset (place in other - place in query), equal integers there, overlap and share of differing bits."""
+    """Offset (place in other - place in query), equal integers there, overlap and share of differing bits. Of offsets with as many equal integers the smallest; without any: 0, 0, 0, 1."""
     order = np.argsort(other, kind="stable")
     lo, hi = np.searchsorted(other[order], query), np.searchsorted(other[order], query, "right")
     n = hi - lo
@@ -172,12 +219,19 @@ def match_recordings(prints: DataFrame, queries: DataFrame, most_wrong: float =
                 kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], names=["kind", "query_id", "rec_id", "frame_offset", "equal", "overlap", "bit_error"])
 
-        out = out.unionByName(classes.select("query_id", "prints").mapInArrow(run, "kind string, query_id long, rec_id long, frame_offset int, equal long, overlap long, bit_error double"))
+        found = classes.select("query_id", "prints").mapInArrow(run, "kind string, query_id long, rec_id long, frame_offset int, equal long, overlap long, bit_error double")
+        out = out.unionByName(written(found, "matches"))  # the block of queries can go
+        shared.destroy()
     return out
 
 
 def fingerprint_turns(turns: DataFrame) -> DataFrame:
-    """rec_id, prints of each conversation: its turns in order (null texts: none), played as tones(). turns: conv_id, turn, text."""
+    """rec_id, prints of each conversation: its turns in order, played as tones(). turns: conv_id, turn, text.
+
+    Null and empty texts play nothing; equal turn numbers come in order of their texts, null ones first; repeated rows
+    are played as often as they occur; rows without an id are left out. A conversation without words, or of few, has
+    empty prints. An empty table gives no row. Long conversations are played in blocks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

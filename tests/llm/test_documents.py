@@ -559,26 +559,97 @@ def test_license_bodies(spark):
     assert [x for x, _ in got[202]] == ["cc-by-sa-3.0-notice"] and [x for x, _ in got[203]] == ["cc-by-4.0"]
 
 
-def test_audio(spark):
+def recording(text):
     import numpy as np
 
-    from flowlens.llm.audio import align, fingerprint, fingerprint_turns, match_recordings, tones
+    from flowlens.llm.audio import tones
+
+    return np.concatenate([np.zeros(0, np.float32), *tones(text)])
+
+
+def test_audio(spark, monkeypatch):
+    import numpy as np
+
+    from flowlens.llm import audio
 
     rng = random.Random(4)
     a = " ".join(f"n{rng.randrange(60)}" for _ in range(120))
-    x = tones(a)
+    x = recording(a)
     noise = np.random.default_rng(0).normal(0, 0.05, len(x))
-    one, two = fingerprint(x), fingerprint(x + noise)
-    offset, _, overlap, wrong = align(one[30:], two)
+    one, two = audio.fingerprint(x), audio.fingerprint(x + noise)
+    offset, _, overlap, wrong = audio.align(one[30:], two)
     assert offset == 30 and overlap == len(one) - 30 and wrong < 0.1
-    other = fingerprint(tones(" ".join(f"m{rng.randrange(60)}" for _ in range(120))))
-    assert align(one, other)[3] > 0.3
+    other = audio.fingerprint(recording(" ".join(f"m{rng.randrange(60)}" for _ in range(120))))
+    assert audio.align(one, other)[3] > 0.3
     rows = [(50, 0, a[: len(a) // 2]), (50, 1, a[len(a) // 2 :]), (7, 0, a[: len(a) // 2]), (7, 1, a[len(a) // 2 :]), (8, 0, "start " * 4 + a), (9, 0, None), (10, 0, ""), (None, 0, a)]
-    prints = fingerprint_turns(spark.createDataFrame(rows, "conv_id long, turn long, text string"))
-    got = match_recordings(prints, prints.where("rec_id % 50 = 0")).collect()
+    prints = audio.fingerprint_turns(spark.createDataFrame(rows, "conv_id long, turn long, text string"))
+    got = audio.match_recordings(prints, prints.where("rec_id % 50 = 0")).collect()
     assert {(r.query_id, r.rec_id) for r in got if r.kind == "member"} == {(7, 50), (7, 7), (8, 8)}
     assert [(r.query_id, r.rec_id) for r in got if r.kind == "match"] == [(7, 8)]
-    assert match_recordings(prints.limit(0), prints.limit(0)).count() == 0
+    assert audio.match_recordings(prints.limit(0), prints.limit(0)).count() == 0
+    monkeypatch.setattr(audio, "BLOCK_SAMPLES", 3000)
+    assert (audio.fingerprint(audio.tones(a)) == one).all() and (audio.fingerprint(x) == one).all()
+
+
+def test_audio_matches_by_brute_force(spark):
+    """Every pair is aligned at every offset; excerpts with noise and other words around them are found."""
+    import numpy as np
+
+    from flowlens.llm.audio import fingerprint, match_recordings
+
+    rng, noise = random.Random(9), np.random.default_rng(9)
+    words_of = lambda n: [f"n{rng.randrange(400)}" for _ in range(n)]
+    base = [words_of(60) for _ in range(12)]
+    sound = [recording(" ".join(w)) for w in base]
+    for k in range(12):  # an excerpt of each, from an odd place, with noise
+        w = words_of(7) + base[k][10 + k : 50] + words_of(9)
+        y = recording(" ".join(w))
+        sound.append(y + noise.normal(0, 0.03, len(y)).astype(np.float32))
+    prints = {i: fingerprint(y) for i, y in enumerate(sound)}
+    df = spark.createDataFrame([(i, bytes(p.astype("<u4").tobytes())) for i, p in prints.items()], "rec_id long, prints binary")
+    got = {(r.query_id, r.rec_id): (r.frame_offset, r.equal, r.overlap, r.bit_error) for r in match_recordings(df, df).where("kind = 'match'").collect()}
+    want = {}
+    for q, p in prints.items():
+        for i, o in prints.items():
+            if q != i:
+                votes = collections.Counter(y - x for x, v in enumerate(p.tolist()) for y in np.flatnonzero(o == v).tolist())
+                if votes:
+                    n = max(votes.values())
+                    offset = min(d for d, v in votes.items() if v == n)
+                    a, b = p[max(0, -offset) :], o[max(0, offset) :]
+                    m = min(len(a), len(b))
+                    wrong = sum((int(x) ^ int(y)).bit_count() for x, y in zip(a[:m], b[:m])) / (32 * m)
+                    if n >= 4 and m >= 16 and wrong <= 0.3:
+                        want[q, i] = (offset, n, m, round(wrong, 6))
+    assert got == want
+    assert sum((k, 12 + k) in got for k in range(12)) >= 11 and all(abs(a - b) == 12 for a, b in got)
+
+
+@pytest.mark.parametrize(("rate", "width", "channels"), [(4000, 2, 1), (8000, 2, 2), (22050, 1, 1), (11025, 4, 2)])
+def test_wav_columns(spark, rate, width, channels):
+    import io
+    import wave
+
+    import numpy as np
+
+    from flowlens.llm.audio import align, decode_wav, fingerprint, fingerprint_media
+
+    x = recording(" ".join(f"n{i * 7 % 40}" for i in range(60)))
+    at = np.interp(np.arange(len(x) * rate // 4000) * 4000 / rate, np.arange(len(x)), x) / 2
+    whole = np.repeat((at * ((1 << (8 * width - 1)) - 1)).astype(np.int64), channels)
+    file = io.BytesIO()
+    with wave.open(file, "wb") as f:
+        f.setnchannels(channels)
+        f.setsampwidth(width)
+        f.setframerate(rate)
+        f.writeframes((whole + 128).astype(np.uint8).tobytes() if width == 1 else whole.astype(f"<i{width}").tobytes())
+    data = file.getvalue()
+    back = np.concatenate(list(decode_wav(data)))
+    assert abs(len(back) - len(x)) <= 2 and np.abs(back[: len(x) - 4] - x[: len(back)][: len(x) - 4] / 2).mean() < 0.05
+    rows = [(1, data), (2, None), (3, b""), (4, b"no wave"), (None, data)]
+    got = {r.rec_id: np.frombuffer(r.prints, "<u4") for r in fingerprint_media(spark.createDataFrame(rows, "rec_id long, wav binary")).collect()}
+    offset, _, _, wrong = align(fingerprint(x), got[1])
+    assert offset == 0 and wrong < 0.1 and (got[None] == got[1]).all() and not any(len(got[i]) for i in (2, 3, 4))
 
 
 def test_warc(spark, tmp_path):
