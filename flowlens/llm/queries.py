@@ -47,7 +47,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each document with an id divisible by 50 the ten best of all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bm25_search(docs, docs.where("doc_id % 50 = 0"), 10)
+    return bm25_search(docs, docs.where("doc_id % 50 = 0"), 10).drop("query_key")
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,4 +79,46 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_substring": op1_substring, "op2_audio": op2_audio, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_search": op5_search, "op6_licenses": op6_licenses, "op7_ngram_join": op7_ngram_join, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
 
-SQL = {"op10_mixing": OP10_SQL}
+#: All windows as texts, their smallest documents, and the words that no repeated window covers.
+OP1_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS s FROM w, LATERAL (SELECT unnest(range(1, len(ws) - 48)) AS i)),
+least AS (SELECT s, min(doc_id) AS first FROM win GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN least USING (s) WHERE doc_id > first)),
+kept AS (SELECT doc_id, p, word FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w) ANTI JOIN gone USING (doc_id, p)),
+texts AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM kept GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN texts USING (doc_id)
+"""
+
+#: Base 32 from the hexadecimal digest: each five digits are four characters.
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(t)) AS BIGINT) AS payload_bytes, sha1(t) AS h, min(page_id) OVER (PARTITION BY t) AS first FROM p)
+SELECT page_id, payload_bytes,
+ array_to_string(list_transform(range(0, 32), lambda c: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, 1 + 5 * CAST(floor(c / 4) AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (c % 4) AS INTEGER)) & 31), 1)), '') AS payload_digest,
+ CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to
+FROM d
+"""
+
+#: Scores of every document that shares a word.
+OP5_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+t AS (SELECT doc_id, word, count(*) AS tf FROM (SELECT doc_id, unnest(ws) AS word FROM w) GROUP BY ALL),
+n AS (SELECT count(*) AS n, sum(len(ws)) / count(*) AS mean FROM w), f AS (SELECT word, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM t, n GROUP BY word, n),
+i AS (SELECT doc_id, word, tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25 + 0.75 * len(ws) / mean)) AS impact FROM t JOIN w USING (doc_id), n),
+s AS (SELECT q.doc_id AS query_id, i.doc_id, round(sum(q.tf * idf * impact), 6) AS score FROM t q JOIN f USING (word) JOIN i USING (word) WHERE q.doc_id % 50 = 0 GROUP BY ALL)
+SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10
+"""
+
+#: Overlaps from shared shingles; what links reach from each document.
+OP7_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + 4], ' ')) AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
+r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, c.component_id FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)
+"""
+
+SQL = {"op1_substring": OP1_SQL, "op5_search": OP5_SQL, "op7_ngram_join": OP7_SQL, "op8_warc": OP8_SQL, "op10_mixing": OP10_SQL}
