@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,9 +51,13 @@ def profile(df: DataFrame, label: str, duration: str, port: str, columns: list[s
 
 
 def quality(df: DataFrame, columns: list[str]) -> DataFrame:
-    """missing, negative, zero_share, n_distinct and is_constant of each column, in one pass."""
-    rows = [F.struct(F.lit(c).alias("name"), F.count_if(F.col(c).isNull()).alias("missing"), F.count_if(F.col(c) < 0).alias("negative"), F.avg((F.col(c) == 0).cast("double")).alias("zero_share"), F.count_distinct(c).alias("n_distinct")) for c in columns]
-    return df.agg(*[r.alias(f"r{i}") for i, r in enumerate(rows)]).select(F.explode(F.array(*[f"r{i}" for i in range(len(rows))])).alias("r")).select("r.*").withColumn("is_constant", F.col("n_distinct") <= 1)
+    """missing, negative, zero_share, n_distinct and is_constant of each column. Values are counted by (column, value) first, so distinct ones need no further pass."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns])
+    counts = df.select(F.explode(pairs).alias("x")).groupBy("x.name", "x.v").agg(F.count("*").alias("n"))
+    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    v = F.col("v")
+    out = counts.groupBy("name").agg(n(v.isNull()).alias("missing"), n(v < 0).alias("negative"), (n(v == 0) / F.nullif(n(v.isNotNull()), F.lit(0))).alias("zero_share"), F.count("v").alias("n_distinct"))
+    return out.withColumn("is_constant", F.col("n_distinct") <= 1)
 
 
 def conflicts(df: DataFrame, features: list[str], label: str) -> DataFrame:
@@ -110,10 +117,27 @@ def drift(df: DataFrame, order: str, flagged: Column, design: float, size: int =
     return rated.select(order, state.alias("state"), (F.col("_rate") / design).alias("ratio"))
 
 
+def gram(df: DataFrame, x: str, y: str) -> DataFrame:
+    """i, j, c: sums over the rows of the products of centred x[i] and y[j]. Each task adds up its rows; a row for each task and pair of places is what is shuffled."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, parts = 0, None
+        for pdf in batches:
+            if len(pdf):
+                a, b = (np.stack([np.asarray(v, np.float64) for v in pdf[c]]) for c in ("left", "right"))
+                new = a.T @ b, a.sum(0), b.sum(0)
+                n, parts = n + len(a), new if parts is None else tuple(p + q for p, q in zip(parts, new, strict=True))
+        if parts is not None:
+            i, j = np.indices(parts[0].shape)
+            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "n": n, "p": parts[0].ravel(), "a": parts[1][i.ravel()], "b": parts[2][j.ravel()]})
+
+    sums = df.select(F.col(x).alias("left"), F.col(y).alias("right")).mapInPandas(run, "i int, j int, n long, p double, a double, b double").groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in "npab"])
+    return sums.select("i", "j", (F.col("p") - F.col("a") * F.col("b") / F.col("n")).alias("c"))
+
+
 def participation_ratio(df: DataFrame, x: str) -> DataFrame:
-    """tr(C) ** 2 / |C| ** 2 of the vectors' covariance, from sums over the pairs of places."""
-    items = df.select(F.posexplode(x).alias("i", "v"), F.col(x).alias("_x")).select("i", F.col("v").cast("double").alias("v"), F.posexplode("_x").alias("j", "w"))
-    cov = items.groupBy("i", "j").agg(F.covar_pop("v", F.col("w").cast("double")).alias("c"))
+    """tr(C) ** 2 / |C| ** 2 of the vectors' covariance C."""
+    cov = gram(df, x, x)
     return cov.agg((F.pow(F.sum(F.when(F.col("i") == F.col("j"), F.col("c")).otherwise(0.0)), 2) / F.sum(F.col("c") * F.col("c"))).alias("participation_ratio"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.columns import role_from_port, role_override, row_hash
-from flowlens.operators import clean, detectors, features, metrics, scoring
+from flowlens.operators import audit, clean, detectors, features, metrics, scoring
 from flowlens.operators.quantiles import quantiles
 
 
@@ -153,14 +153,9 @@ def linear_probe(df: DataFrame, label: str, row_id: str) -> DataFrame:
 
 def linear_cka(a: DataFrame, b: DataFrame, row_id: str) -> DataFrame:
     """Likeness of two representations (row_id, x) of the same rows, from sums over pairs of places of centred values."""
-    def gram(p: DataFrame, q: DataFrame) -> DataFrame:
-        left = p.select(row_id, F.posexplode("x").alias("i", "v"))
-        right = q.select(row_id, F.posexplode("x").alias("j", "w"))
-        c = left.join(right, row_id).groupBy("i", "j").agg((F.covar_pop(F.col("v").cast("double"), F.col("w").cast("double")) * F.count("*")).alias("c"))
-        return c.agg(F.sum(F.col("c") * F.col("c")).alias("s"))
-
-    ab, aa, bb = gram(a, b), gram(a, a).withColumnRenamed("s", "aa"), gram(b, b).withColumnRenamed("s", "bb")
-    return ab.crossJoin(aa).crossJoin(bb).select((F.col("s") / F.sqrt(F.col("aa") * F.col("bb"))).alias("cka"))  # one row each
+    both = a.select(row_id, F.col("x").alias("u")).join(b.select(row_id, F.col("x").alias("v")), row_id)
+    ab, aa, bb = (audit.gram(both, x, y).agg(F.sum(F.col("c") * F.col("c")).alias(n)) for n, x, y in (("ab", "u", "v"), ("aa", "u", "u"), ("bb", "v", "v")))
+    return ab.crossJoin(aa).crossJoin(bb).select((F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).alias("cka"))  # one row each
 
 
 def batch_duplicates(df: DataFrame, slices: dict[str, tuple[int, int]], row_id: str, batch: int = 256, seed: int = 0) -> DataFrame:

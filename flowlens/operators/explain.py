@@ -6,7 +6,7 @@ A score is a function from a matrix to a vector (numpy), applied in Arrow batche
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,24 +47,31 @@ def permutation_shapley(alerts: DataFrame, background: DataFrame, score: Score,
 
 
 def group_shapley(alerts: DataFrame, background: DataFrame, score: Score, slices: dict[str, tuple[int, int]]) -> DataFrame:
-    """Exact Shapley values of the groups of features: all coalitions, each averaged over the background, weighed by factorials. id, modality, value."""
+    """Exact Shapley values of the groups of features: all coalitions, each averaged over the background, weighed by factorials. id, modality, value.
+
+    background: a sample that the caller bounds; it travels to every task, where coalitions are mixed in Arrow batches.
+    """
     names, g = list(slices), len(slices)
-    masks = alerts.sparkSession.createDataFrame([(m,) for m in range(1 << g)], "mask int")
     owner = np.zeros(max(b for _, b in slices.values()), int)
     for k, (a, b) in enumerate(slices.values()):
         owner[a:b] = k
-    own = F.array(*[F.lit(int(k)) for k in owner])
-    rows = alerts.select("id", "x").crossJoin(F.broadcast(masks)).crossJoin(F.broadcast(background.select(F.col("x").alias("_b"))))  # 2 ** groups and a bounded background sample
-    mixed = F.zip_with(F.zip_with("x", "_b", lambda v, b: F.struct(v.cast("double").alias("v"), b.cast("double").alias("b"))), own, lambda p, k: F.when(F.floor(F.col("mask") / F.pow(F.lit(2.0), k)) % 2 == 1, p["v"]).otherwise(p["b"]))
-    value = scored(rows.withColumn("_x", mixed), score, "_x", "s").groupBy("id", "mask").agg(F.avg("s").alias("s"))
-    parts = []
-    for k, name in enumerate(names):
-        for m in range(1 << g):
-            size = bin(m & ~(1 << k)).count("1")
-            w = math.factorial(size) * math.factorial(g - size - 1) / math.factorial(g)
-            parts.append((m, name, w if m >> k & 1 else -w))
-    weights = alerts.sparkSession.createDataFrame(parts, "mask int, modality string, w double")
-    return value.join(F.broadcast(weights), "mask").groupBy("id", "modality").agg(F.sum(F.col("s") * F.col("w")).alias("value"))
+    held = alerts.sparkSession.sparkContext.broadcast(matrix(background.select("x").toPandas()["x"]))
+    share = [[math.factorial(bin(m & ~(1 << k)).count("1")) * math.factorial(g - bin(m & ~(1 << k)).count("1") - 1) / math.factorial(g) * (1 if m >> k & 1 else -1) for k in range(g)] for m in range(1 << g)]
+    part = max(1, 20_000 // max(1, len(held.value)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        back = held.value
+        for pdf in batches:
+            for lo in range(0, len(pdf), part):
+                x, ids = matrix(pdf["x"].iloc[lo : lo + part]), pdf["id"].to_numpy()[lo : lo + part]
+                value = np.zeros((len(x), g))
+                for m in range(1 << g):
+                    own = (m >> owner & 1).astype(bool)
+                    mixed = np.where(own, x[:, None, :], back[None]).reshape(-1, x.shape[1])
+                    value += np.asarray(score(mixed), np.float64).reshape(len(x), -1).mean(1)[:, None] * np.array(share[m])
+                yield pd.DataFrame({"id": np.repeat(ids, g), "modality": names * len(x), "value": value.ravel()})
+
+    return alerts.select(F.col("id").cast("long").alias("id"), "x").mapInPandas(run, "id long, modality string, value double")
 
 
 def local_surrogate(alerts: DataFrame, background: DataFrame, score: Score, d: int, samples: int = 200, ridge: float = 1.0, seed: int = 0) -> DataFrame:

@@ -71,7 +71,7 @@ def m29_synthetic(spark: SparkSession, d: str) -> DataFrame:
     return r6(out[0].unionByName(out[1]))
 
 
-PRODUCT = """WITH a AS (SELECT vec_id AS id, embedding AS x FROM embeddings WHERE vec_id % 50 = 0), b AS (SELECT embedding AS b FROM embeddings WHERE vec_id < 20),
+PRODUCT = """WITH a AS (SELECT vec_id AS id, embedding AS x FROM embeddings), b AS (SELECT embedding AS b FROM embeddings ORDER BY CAST('0x' || substr(md5(CAST(vec_id AS VARCHAR) || '|0'), 1, 15) AS BIGINT), vec_id LIMIT 20),
  s AS (SELECT id, list_sum(x[1:32]::DOUBLE[]) AS p, list_sum(x[33:64]::DOUBLE[]) AS q, list_sum(b[1:32]::DOUBLE[]) AS u, list_sum(b[33:64]::DOUBLE[]) AS v FROM a, b),
  m AS (SELECT id, avg(u * v) AS m0, avg(p * v) AS m1, avg(u * q) AS m2, avg(p * q) AS m3 FROM s GROUP BY id)
  SELECT id, 'first' AS modality, round(((m1 - m0) + (m3 - m2)) / 2, 4) AS value FROM m UNION ALL SELECT id, 'second', round(((m2 - m0) + (m3 - m1)) / 2, 4) FROM m"""
@@ -81,7 +81,7 @@ PRODUCT = """WITH a AS (SELECT vec_id AS id, embedding AS x FROM embeddings WHER
 def a03_group_shapley(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"))
     product = lambda m: m[:, :32].sum(1) * m[:, 32:].sum(1)
-    out = explain.group_shapley(e.where("id % 50 = 0"), e.where("id < 20"), product, {"first": (0, 32), "second": (32, 64)})
+    out = explain.group_shapley(e, split.cap(e, 20, "id"), product, {"first": (0, 32), "second": (32, 64)})
     return out.withColumn("value", F.round("value", 4))
 
 

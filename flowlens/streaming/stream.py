@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,7 +117,10 @@ class TrailingCount(StatefulProcessor):
         top = max(counts)
         for s in [s for s in counts if s <= top - self.width - 3600]:
             self.seconds.removeKey((s,))
-        n = [sum(c for s, c in counts.items() if t - self.width < s <= t) for t in new["sec"]]
+        seconds = np.array(sorted(counts), np.int64)
+        upto = np.concatenate([[0], np.cumsum([counts[int(s)] for s in seconds])])
+        t = new["sec"].to_numpy(np.int64)
+        n = upto[np.searchsorted(seconds, t, "right")] - upto[np.searchsorted(seconds, t - self.width, "right")]
         yield pd.DataFrame({"key": key[0], "row_id": new["row_id"], "sec": new["sec"], "n": n})
 
     def close(self) -> None:
