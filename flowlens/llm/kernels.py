@@ -88,15 +88,21 @@ class Words:
             more = more[left[more] > 8]
         return h
 
+    def stems(self, most: int) -> np.ndarray:
+        """64 bits for each word, of its first `most` bytes (8 at most)."""
+        eights = np.ndarray((len(self.buf) - 7,), "<u8", self.buf.data, 0, (1,))
+        left = np.minimum(self.end - self.start, most)
+        return mix(left.astype(np.uint64) * _K1 ^ (eights[self.start] & _MASK[left]))
+
     def text(self, lo: int, hi: int) -> bytes:
         """Words lo to hi (not included), joined by one space."""
         b = self.buf
         return b" ".join([b[s:e].tobytes() for s, e in zip(self.start[lo:hi], self.end[lo:hi])])
 
 
-def term_counts(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, hash and frequency of each distinct word of a row, by row and hash."""
-    h = words.hashes()
+def term_counts(words: Words, stem: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, hash and frequency of each distinct word of a row, by row and hash. stem: words count by that many first bytes."""
+    h = words.stems(stem) if stem else words.hashes()
     order = np.lexsort((h, words.doc))
     d, h = words.doc[order], h[order]
     new = np.ones(len(h), bool)
