@@ -47,6 +47,8 @@ def record_bytes(row: dict) -> bytes:
     lines = ["WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: <{row['record_id']}>", f"WARC-Date: {row['date']}"]
     if row.get("url") is not None:
         lines.append(f"WARC-Target-URI: {_field(row['url'])}")
+        if _field(row["url"]) != row["url"]:
+            lines.append("X-Target-URI-Escaped: line-breaks")
     lines.append(f"WARC-Payload-Digest: sha1:{digest}")
     if row["record_type"] == "revisit":
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{row['refers_to']}>"]
@@ -188,6 +190,8 @@ class WarcReader(DataSourceReader):
 
         def value(fields: dict, column: str):
             v = fields.get(HEADERS[column])
+            if v is not None and column == "url" and "x-target-uri-escaped" in fields:
+                return v.replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%")
             if v is not None and column in ("record_id", "refers_to"):
                 return v.strip("<>")
             return v.removeprefix("sha1:") if v is not None and column == "payload_digest" else v
@@ -230,36 +234,39 @@ class WarcWriter(DataSourceArrowWriter):
     """Options: path; maxFileBytes (128 MB of compressed records, then a new file). Files get their names when all tasks have ended well."""
 
     def __init__(self, options: dict):
-        self.path, self.most = options["path"], int(options.get("maxfilebytes", 128 << 20))
+        self.path, self.most, self.job = options["path"], int(options.get("maxfilebytes", 128 << 20)), uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Moves:
         fs, base = _filesystem(self.path)
-        job, moves, out = uuid.uuid4().hex, [], None
-        fs.create_dir(f"{base}/_tmp-{job}", recursive=True)
+        task, moves, out = uuid.uuid4().hex, [], None
+        fs.create_dir(f"{base}/_tmp-{self.job}", recursive=True)
         for batch in iterator:
             for row in batch.to_pylist():
                 if out is None or out.tell() > self.most:
                     if out is not None:
                         out.close()
-                    name = f"{job}-{len(moves):05d}.warc.gz"
-                    moves.append((f"{base}/_tmp-{job}/{name}", f"{base}/{name}"))
+                    name = f"{task}-{len(moves):05d}.warc.gz"
+                    moves.append((f"{base}/_tmp-{self.job}/{name}", f"{base}/{name}"))
                     out = fs.open_output_stream(moves[-1][0], compression=None)
                 out.write(gzip_member(record_bytes(row)))
         if out is not None:
             out.close()
-        return Moves([*moves, (f"{base}/_tmp-{job}", "")])
+        return Moves(moves)
 
     def commit(self, messages: list[Moves | None]) -> None:
-        fs, _ = _filesystem(self.path)
+        fs, base = _filesystem(self.path)
         for m in messages:
             for a, b in m.moves if m else []:
-                fs.move(a, b) if b else fs.delete_dir(a)
+                fs.move(a, b)
+        self._clear(fs, base)
 
     def abort(self, messages: list[Moves | None]) -> None:
-        fs, _ = _filesystem(self.path)
-        for m in messages:
-            if m:
-                fs.delete_dir(posixpath.dirname(m.moves[0][0]) if m.moves[0][1] else m.moves[0][0])
+        self._clear(*_filesystem(self.path))
+
+    def _clear(self, fs, base: str) -> None:
+        """The job's folder goes, with what failed attempts left in it."""
+        if fs.get_file_info(f"{base}/_tmp-{self.job}").type == pafs.FileType.Directory:
+            fs.delete_dir(f"{base}/_tmp-{self.job}")
 
 
 class WarcSource(DataSource):
