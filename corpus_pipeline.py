@@ -1,7 +1,8 @@
 """A corpus pipeline: toxicity, near duplicates, repeated passages, source mix, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet and gives what it reads
-back to the next stage. All stages but the last return the columns of documents.
+back to the next stage. All stages but the last return the columns of documents; other columns of docs are dropped.
+An empty table gives an empty table in every stage.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the labelled examples vote toxic go."""
+    """Documents that the labelled examples vote toxic go. Null and empty texts, and rows without an id, are scored like others; equal rows stay or go together."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     return score_toxicity(docs, labels).where("tox_predicted = 0").select(COLUMNS)
 
@@ -31,7 +32,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words and more that an earlier document has are cut out; documents with nothing left go."""
+    """Passages of 50 words and more that an earlier document has are cut out; documents that lose all their words go.
+
+    Null and short texts, and rows without an id, stay as they are. Equal rows get equal results; rows of one id do
+    not cut each other. A text that loses words has the others joined by one space, and n_chars of that.
+    """
     cut = F.col("n_removed") > 0
     out = dedup_substrings(docs.select(COLUMNS), 50).where("n_removed = 0 OR n_removed < n_words")
     text = F.when(cut, F.col("kept_text")).otherwise(F.col("text"))
@@ -39,13 +44,17 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it: up to three times, or not at all.
+
+    Null sources are one source. Texts without words weigh nothing: they are taken as often as their hash says. Equal
+    rows are taken alike.
+    """
     mixed = mix_sources(docs.select(COLUMNS)).where("mix_copies > 0")
     return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens; a row for each piece of a document."""
+    """Sequences of at most 2048 tokens; a row for each piece of a document. Null and empty texts are the end token alone; repeated rows are packed as often as they occur; null ids stay null."""
     import public_tokenizers
 
     pieces = concat_and_cut(docs, public_tokenizers.path("byte_bpe_50k.json"), 2048, 1)
