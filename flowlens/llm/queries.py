@@ -15,6 +15,7 @@ from flowlens.llm.search import bm25_search
 from flowlens.llm.sharding import shard
 from flowlens.llm.substring import dedup_substrings
 from flowlens.llm.toxicity import held_out, score_toxicity
+from flowlens.llm.trie import OP11_SQL, conversation_trie
 from flowlens.llm.warc import page_round_trip
 
 
@@ -77,7 +78,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 
 
-QUERIES = {"op1_substring": op1_substring, "op2_audio": op2_audio, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_search": op5_search, "op6_licenses": op6_licenses, "op7_ngram_join": op7_ngram_join, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the prefix trie of all rebuilt conversations."""
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {"op1_substring": op1_substring, "op2_audio": op2_audio, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_search": op5_search, "op6_licenses": op6_licenses, "op7_ngram_join": op7_ngram_join, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing, "op11_trie": op11_trie}
 
 #: All windows as texts, their smallest documents, and the words that no repeated window covers.
 OP1_SQL = r"""
@@ -121,4 +127,4 @@ r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM r JO
 SELECT w.doc_id, coalesce(n, 0) AS n_shingles, c.component_id FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)
 """
 
-SQL = {"op1_substring": OP1_SQL, "op5_search": OP5_SQL, "op7_ngram_join": OP7_SQL, "op8_warc": OP8_SQL, "op10_mixing": OP10_SQL}
+SQL = {"op1_substring": OP1_SQL, "op5_search": OP5_SQL, "op7_ngram_join": OP7_SQL, "op8_warc": OP8_SQL, "op10_mixing": OP10_SQL, "op11_trie": OP11_SQL}
