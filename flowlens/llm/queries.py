@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowlens.llm.audio import fingerprint_turns, match_recordings
 from flowlens.llm.common import table, written
 from flowlens.llm.licenses import scan_licenses
+from flowlens.llm.merkle import merkle_manifest, op12_sql
 from flowlens.llm.mixing import OP10_SQL, mix_sources
 from flowlens.llm.ngram_join import ngram_components
 from flowlens.llm.packing import concat_and_cut
@@ -15,7 +16,7 @@ from flowlens.llm.search import bm25_search
 from flowlens.llm.sharding import shard
 from flowlens.llm.substring import dedup_substrings
 from flowlens.llm.toxicity import held_out, score_toxicity
-from flowlens.llm.trie import OP11_SQL, conversation_trie
+from flowlens.llm.trie import CRC32_SQL, OP11_SQL, conversation_trie
 from flowlens.llm.warc import page_round_trip
 
 
@@ -83,7 +84,12 @@ def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {"op1_substring": op1_substring, "op2_audio": op2_audio, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_search": op5_search, "op6_licenses": op6_licenses, "op7_ngram_join": op7_ngram_join, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing, "op11_trie": op11_trie}
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents under the root of their manifest, with what their proofs say."""
+    return merkle_manifest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_substring": op1_substring, "op2_audio": op2_audio, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_search": op5_search, "op6_licenses": op6_licenses, "op7_ngram_join": op7_ngram_join, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing, "op11_trie": op11_trie, "op12_merkle": op12_merkle}
 
 #: All windows as texts, their smallest documents, and the words that no repeated window covers.
 OP1_SQL = r"""
@@ -127,4 +133,4 @@ r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM r JO
 SELECT w.doc_id, coalesce(n, 0) AS n_shingles, c.component_id FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)
 """
 
-SQL = {"op1_substring": OP1_SQL, "op5_search": OP5_SQL, "op7_ngram_join": OP7_SQL, "op8_warc": OP8_SQL, "op10_mixing": OP10_SQL, "op11_trie": OP11_SQL}
+SQL = {"op1_substring": OP1_SQL, "op5_search": OP5_SQL, "op7_ngram_join": OP7_SQL, "op8_warc": OP8_SQL, "op10_mixing": OP10_SQL, "op11_trie": OP11_SQL, "op12_merkle": op12_sql(CRC32_SQL)}

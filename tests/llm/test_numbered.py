@@ -28,7 +28,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", ["op1_substring", "op5_search", "op7_ngram_join", "op8_warc", "op10_mixing", "op11_trie"])
+@pytest.mark.parametrize("name", ["op1_substring", "op5_search", "op7_ngram_join", "op8_warc", "op10_mixing", "op11_trie", "op12_merkle"])
 def test_query_with_sql(spark, duck, name):
     from flowlens.llm.queries import QUERIES, SQL
 
