@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowlens.llm.audio import fingerprint_turns, match_recordings
 from flowlens.llm.common import table, written
+from flowlens.llm import language
 from flowlens.llm.licenses import scan_licenses
 from flowlens.llm.merkle import merkle_manifest, op12_sql
 from flowlens.llm.mixing import OP10_SQL, mix_sources
@@ -89,7 +90,15 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_substring": op1_substring, "op2_audio": op2_audio, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_search": op5_search, "op6_licenses": op6_licenses, "op7_ngram_join": op7_ngram_join, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing, "op11_trie": op11_trie, "op12_merkle": op12_merkle}
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the language that the field reads in them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(~language.held_out() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang"))
+    out = language.identify_languages(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", language.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.size("lang_spans").alias("runs"))
+
+
+QUERIES = {"op1_substring": op1_substring, "op2_audio": op2_audio, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_search": op5_search, "op6_licenses": op6_licenses, "op7_ngram_join": op7_ngram_join, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing, "op11_trie": op11_trie, "op12_merkle": op12_merkle, "op13_language": op13_language}
 
 #: All windows as texts, their smallest documents, and the words that no repeated window covers.
 OP1_SQL = r"""
