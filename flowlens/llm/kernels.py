@@ -76,7 +76,10 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """64 bits for each word, of its bytes and length."""
-        at, left = self.start.copy(), (self.end - self.start)
+        return self._hashed(self.start, self.end - self.start)
+
+    def _hashed(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        at, left = start.copy(), size.copy()
         h = left.astype(np.uint64) * _K1
         eights = np.ndarray((len(self.buf) - 7,), "<u8", self.buf.data, 0, (1,))
         h = mix(h ^ (eights[at] & _MASK[np.minimum(left, 8)]))
@@ -88,11 +91,14 @@ class Words:
             more = more[left[more] > 8]
         return h
 
-    def stems(self, most: int) -> np.ndarray:
-        """64 bits for each word, of its first `most` bytes (8 at most)."""
-        eights = np.ndarray((len(self.buf) - 7,), "<u8", self.buf.data, 0, (1,))
-        left = np.minimum(self.end - self.start, most)
-        return mix(left.astype(np.uint64) * _K1 ^ (eights[self.start] & _MASK[left]))
+    def stems(self, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """The words of more than `most` characters, and 64 bits for each, of its first `most` characters; other bits than those of a word."""
+        chars = np.flatnonzero((self.buf & 0xC0) != 0x80)  # where UTF-8 characters begin
+        after = np.searchsorted(chars, self.start) + most
+        long = np.flatnonzero(after < len(chars))
+        long = long[chars[after[long]] < self.end[long]]
+        start = self.start[long]
+        return long, mix(self._hashed(start, chars[after[long]] - start) + np.uint64(most * int(_K2) % (1 << 64)))
 
     def text(self, lo: int, hi: int) -> bytes:
         """Words lo to hi (not included), joined by one space."""
@@ -100,11 +106,14 @@ class Words:
         return b" ".join([b[s:e].tobytes() for s, e in zip(self.start[lo:hi], self.end[lo:hi])])
 
 
-def term_counts(words: Words, stem: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, hash and frequency of each distinct word of a row, by row and hash. stem: words count by that many first bytes."""
-    h = words.stems(stem) if stem else words.hashes()
-    order = np.lexsort((h, words.doc))
-    d, h = words.doc[order], h[order]
+def term_counts(words: Words, stems: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, hash and frequency of each distinct term of a row, by row and hash. Terms are the words, and of longer words the first characters, as many as `stems` says."""
+    h, d = words.hashes(), words.doc
+    for most in stems:
+        long, own = words.stems(most)
+        h, d = np.concatenate([h, own]), np.concatenate([d, words.doc[long]])
+    order = np.lexsort((h, d))
+    d, h = d[order], h[order]
     new = np.ones(len(h), bool)
     new[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
     first = np.flatnonzero(new)

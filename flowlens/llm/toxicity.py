@@ -19,8 +19,8 @@ from flowlens.llm.blockmax import BlockMaxIndex
 from flowlens.llm.common import written
 from flowlens.llm.kernels import Words, pieces, term_counts
 
-#: First bytes of a word that make it a term: forms of one stem count together.
-STEM = 6
+#: Terms are whole words and, for longer words, their first characters, so many: forms of a word share these.
+STEMS = (4, 6)
 #: Texts that are asked together.
 CHUNK = 64
 
@@ -49,7 +49,7 @@ class Examples:
 
     def bags(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         """The known terms of each text, and how often it has them."""
-        row, term, n = term_counts(Words(texts, plain=True), STEM)
+        row, term, n = term_counts(Words(texts, plain=True), STEMS)
         at = np.minimum(np.searchsorted(self.vocabulary, term), max(len(self.vocabulary) - 1, 0))
         known = self.vocabulary[at] == term if len(self.vocabulary) else np.zeros(len(term), bool)
         row, at, n = row[known], at[known], n[known]
@@ -87,7 +87,7 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2_000, k: int = 100) -> Examples:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2_000, k: int = 50) -> Examples:
     """docs: doc_id, text. labels: doc_id, toxic. At most per_class labelled rows of each class, chosen by a hash of the id, and one of rows with equal text and label, are the examples."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     usable = written(usable, "labelled")
@@ -100,7 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2_000, k: int = 100
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 3):
-            row, term, n = term_counts(Words(batch.column(3), plain=True), STEM)
+            row, term, n = term_counts(Words(batch.column(3), plain=True), STEMS)
             edges = np.searchsorted(row, np.arange(batch.num_rows + 1))
             blobs = [[x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)] for x in (term, n.astype(np.int64))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *(pa.array(b, pa.binary()) for b in blobs)], names=["place", "doc_id", "toxic", "terms", "counts"])
@@ -114,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2_000, k: int = 100
         own = shared.value
         seen, total = np.zeros(len(own), np.int64), 0
         for batch in pieces(batches, 0):
-            _, term, _ = term_counts(Words(batch.column(0), plain=True), STEM)
+            _, term, _ = term_counts(Words(batch.column(0), plain=True), STEMS)
             total += batch.num_rows
             if len(own):
                 at = np.minimum(np.searchsorted(own, term), len(own) - 1)
@@ -141,8 +141,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2_000, k: int = 100
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with tox_score (0 to 1), tox_predicted (score >= 0.5) and tox_evidence (the ten nearest neighbours: doc_id, cosine, toxic).
 
-    Terms are the first STEM bytes of words with A-Z in lower case and ASCII punctuation as space, told apart by 64-bit hashes. Vectors have
-    all terms that any example has; other terms have no weight. Every row returns. Null and empty texts, and texts
+    Terms are words with A-Z in lower case and ASCII punctuation as space, and the first characters (STEMS) of longer
+    words, told apart by 64-bit hashes. Vectors have all terms that any example has; other terms have no weight. Whole
+    texts are read, of any length. Every row returns. Null and empty texts, and texts
     without such a term, have no neighbours and get the score of a share of 0. Labels with null id or a value other
     than 0 and 1 are not used; of several labels of one id the highest counts; labels of ids that docs lacks are
     ignored. Repeated rows get equal scores. Without labels of both classes all scores are near that of the one class
