@@ -344,6 +344,7 @@ def test_toxicity(spark):
     data, labels = [], []
     for i in range(300):
         w = [f"w{rng.randrange(80)}" for _ in range(rng.randrange(5, 40))]
+        w += rng.sample(["intern", "internal", "internet", "international", "été", "étéàçê", "étéàçêü", "étéàçêüö", "日本語", "日本語日本語日"], 3)
         if i % 5 == 0:
             for j in range(0, len(w), 6):
                 w[j] = rng.choice(bad) if j else rng.choice(bad).upper() + "!"
@@ -358,7 +359,8 @@ def test_toxicity(spark):
     assert len(got) == len(data) and got[10].doc_id_text == "y"
 
     blank = str.maketrans({c: " " for c in string.punctuation})
-    bags = {i: collections.Counter(w.encode()[:6] for w in (t or "").lower().translate(blank).split()) for i, t in data}
+    terms = lambda w: [w, *(("first", n, w[:n]) for n in (4, 6) if len(w) > n)]
+    bags = {i: collections.Counter(x for w in (t or "").lower().translate(blank).split() for x in terms(w)) for i, t in data}
     held = {i for i, _ in labels if zlib.crc32(str(i).encode()) % 5 == 0}
     examples = {i: y for i, y in labels if i not in held}
     frequency = collections.Counter(w for b in bags.values() for w in b)
@@ -697,6 +699,44 @@ def test_warc_foreign_archives(tmp_path):
         got = list(records(File(data), lambda f: f["warc-record-id"] != "<urn:x:3>"))
         assert [None if p is None else len(p) for _, p in got] == [0, 9000, 18000, None, 36000, 45000]
         assert len(list(records(File(data), lambda f: True if f["warc-record-id"] == "<urn:x:4>" else None))) == 1
+    # Blank lines between records, as other writers leave them.
+    for gap in (b"\r\n", b"\r\n\r\n", b"\n" * 9000):
+        got = list(records(File(gap + gap.join(recs) + gap), lambda f: True))
+        assert [len(p) for _, p in got] == [0, 9000, 18000, 27000, 36000, 45000]
+    with pytest.raises(ValueError):
+        list(records(File(recs[0] + b"no record"), lambda f: True))
+
+
+def test_warc_reads_no_more_than_it_needs():
+    import io
+    import os
+    import struct
+    import zlib as z
+
+    from flowlens.llm.warc import gzip_member, record_bytes, records
+
+    recs = [record_bytes({"record_type": "response", "record_id": f"urn:x:{i}", "url": "u", "date": "d", "payload": os.urandom(200_000)}) for i in range(20)]
+
+    class File(io.BytesIO):
+        taken = 0
+
+        def size(self):
+            return len(self.getbuffer())
+
+        def read(self, n=-1):
+            out = super().read(n)
+            self.taken += len(out)
+            return out
+
+    f = File(b"".join(gzip_member(r) for r in recs))
+    assert len(list(records(f, lambda h: h["warc-record-id"] == "<urn:x:7>"))) == 20
+    assert f.taken < 500_000  # of four million
+    # A gzip header longer than what is read at first.
+    body = z.compressobj(6, z.DEFLATED, -15)
+    packed = body.compress(recs[0]) + body.flush()
+    extra = b"xx" + struct.pack("<H", 6000) + bytes(6000) + b"sl" + struct.pack("<HII", 8, 10 + 2 + 6016 + len(packed) + 8, len(recs[0]))
+    data = b"\x1f\x8b\x08\x04" + bytes(4) + b"\x00\xff" + struct.pack("<H", len(extra)) + extra + packed + struct.pack("<II", z.crc32(recs[0]), len(recs[0]))
+    assert [len(p) for _, p in records(File(data + gzip_member(recs[1])), lambda h: True)] == [200_000, 200_000]
 
 
 def test_components(spark):
