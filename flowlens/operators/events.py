@@ -81,14 +81,6 @@ def event_text(lines: DataFrame, line: str = "value", seq: str = "seq") -> DataF
     return e.select(seq, F.col("flow_id").cast("long").alias("flow_id"), "event_type", F.array_join(F.concat(head, body), ", ").alias("text"))
 
 
-def flatten(x: dict | list | str | float | None, key: str) -> dict:
-    """Nested keys joined by _, list items by their place."""
-    if isinstance(x, dict | list):
-        items = x.items() if isinstance(x, dict) else enumerate(x)
-        return {k: v for name, y in items for k, v in flatten(y, f"{key}_{name}").items()}
-    return {key: x}
-
-
 def with_flow(events: DataFrame, seq: str = "seq") -> DataFrame:
     """Events of flows with flow_seq: the place of the flow event that ends theirs, null if it never ends. Batch form of the assembly: an event belongs to the next flow event of its id."""
     later = Window.partitionBy("flow_id").orderBy(seq).rowsBetween(0, Window.unboundedFollowing)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,12 +13,14 @@ from pyspark.sql import functions as F
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str], slack: int = 0, cell: int = 86_400) -> DataFrame:
-    """left with the values of the last right row of its key at or before its time (+ slack); null if none. Ties on the right: the largest values.
+    """left with the values of the last right row of its key at or before its time (+ slack); null if none, as for left rows with a null key or time. Ties on the right: the largest values.
 
     Time is cut into cells, so that no key fills a task: within a cell both sides are sorted and the last right row is
     carried along; what earlier cells hand on comes from a table of one row for each key and cell.
     """
     place = lambda t: F.floor(t / cell).cast("long")
+    known = reduce(Column.__and__, [F.col(c).isNotNull() for c in keys], F.col(left_time).isNotNull())
+    given, left = left, left.where(known)
     one = right.groupBy(*keys, F.col(right_time).alias("_t")).agg(F.max(F.struct(F.col(right_time).alias("_rt"), *values)).alias("_v"))
     a = left.select(*keys, (F.col(left_time) + slack).alias("_t"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(one.schema["_v"].dataType).alias("_v"), F.lit(1).alias("_side"))
     b = one.select(*keys, "_t", F.lit(None).cast(a.schema["_l"].dataType).alias("_l"), "_v", F.lit(0).alias("_side"))
@@ -28,7 +31,8 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, ri
     earlier = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     handed = ends.withColumn("_from", F.last("_end", ignorenulls=True).over(earlier)).drop("_end")
     out = found.join(handed, [*keys, "_cell"]).withColumn("_last", F.coalesce("_last", "_from"))
-    return out.select("_l.*", F.col("_last._rt").alias(f"asof_{right_time}"), *[F.col(f"_last.{v}").alias(v) for v in values])
+    out = out.select("_l.*", F.col("_last._rt").alias(f"asof_{right_time}"), *[F.col(f"_last.{v}").alias(v) for v in values])
+    return out.unionByName(given.where(~known), allowMissingColumns=True)
 
 
 def as_of_match(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, length: str, values: list[str], same: dict[str, str], slack: int = 2, grace: int = 5) -> DataFrame:

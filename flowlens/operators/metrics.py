@@ -131,9 +131,9 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def rank_bins(df: DataFrame, score: str, bins: int, name: str = "bin") -> DataFrame:
-    """df with the score's rank as one of `bins` places; ties share one."""
-    steps = df.groupBy(F.col(score).alias("_s")).agg(F.count("*").alias("_c"))
+    """df with the score's rank as one of `bins` places; ties share one, null scores have none."""
+    steps = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("_s")).agg(F.count("*").alias("_c"))
     low = prefix_sum(steps, [], "_s", "_c", "_upto").withColumn("_rank", F.col("_upto") - F.col("_c"))
-    n = df.agg(F.count("*").alias("_n"))
+    n = df.agg(F.count(score).alias("_n"))
     placed = low.crossJoin(F.broadcast(n)).select("_s", F.floor(F.col("_rank") * bins / F.col("_n")).alias(name))
-    return df.withColumn("_s", F.col(score)).join(placed, "_s").drop("_s")
+    return df.withColumn("_s", F.col(score)).join(placed, "_s", "left").drop("_s")

@@ -29,14 +29,15 @@ def calibrated(df: DataFrame, component: str, role: str, whole: DataFrame, each:
 def rank_in(df: DataFrame, score: str, ref: DataFrame, ref_score: str, groups: list[str] | None = None) -> DataFrame:
     """df with at_most (reference scores <= the row's) and n (reference scores), by groups.
 
-    Both sides are reduced to distinct scores before the running count, which no task takes over a whole group.
+    Both sides are reduced to distinct scores before the running count, which no task takes over a whole group. Null
+    scores are not counted, and rows with one (or with a null group) get nulls.
     """
     groups = groups or []
     own = df.select(*groups, F.col(score).cast("double").alias("_s"), F.lit(0).cast("long").alias("_c"))
     other = ref.select(*groups, F.col(ref_score).cast("double").alias("_s"), F.lit(1).cast("long").alias("_c"))
-    steps = own.unionByName(other).groupBy(*groups, "_s").agg(F.sum("_c").alias("_c"))
+    steps = own.unionByName(other).where("_s IS NOT NULL").groupBy(*groups, "_s").agg(F.sum("_c").alias("_c"))
     counted = prefix_sum(steps, groups, "_s", "_c", "at_most", total="n").drop("_c")
-    return df.withColumn("_s", F.col(score).cast("double")).join(counted, [*groups, "_s"]).drop("_s")
+    return df.withColumn("_s", F.col(score).cast("double")).join(counted, [*groups, "_s"], "left").drop("_s")
 
 
 def tail(at_most: str | Column = "at_most", n: str | Column = "n") -> Column:

@@ -15,13 +15,14 @@ from flowlens.operators.quantiles import prefix_sum, quantiles
 def time_split(df: DataFrame, day: str, time: str, row_id: str, part: float, benign: str) -> DataFrame:
     """df with cutoff (of its day) and split: train before, val from the cutoff on; rows that are not benign get sup before it, else null.
 
-    The cutoff is the time of the benign row at place floor(n * (1 - part)), counted from 0.
+    The cutoff is the time of the benign row at place floor(n * (1 - part)), counted from 0. Rows of a day without
+    benign rows, and rows without a day or time, have neither cutoff nor split.
     """
-    steps = df.where(F.col(benign)).groupBy(day, time).agg(F.count("*").alias("_c"))
+    steps = df.where(F.col(benign) & F.col(time).isNotNull()).groupBy(day, time).agg(F.count("*").alias("_c"))
     placed = prefix_sum(steps, [day], time, "_c", "_upto", total="_n").withColumn("_place", F.floor(F.col("_n") * (1 - part)))
     cut = placed.where((F.col("_upto") - F.col("_c") <= F.col("_place")) & (F.col("_place") < F.col("_upto"))).select(day, F.col(time).alias("cutoff"))
     before = F.col(time) < F.col("cutoff")
-    return df.join(cut, day).withColumn("split", F.when(F.col(benign), F.when(before, "train").otherwise("val")).when(before, "sup"))
+    return df.join(cut, day, "left").withColumn("split", F.when(F.col(benign), F.when(before, "train").when(~before, "val")).when(before, "sup"))
 
 
 def cap(df: DataFrame, n: int, row_id: str, seed: int = 0) -> DataFrame:
@@ -36,8 +37,8 @@ def cap_per_class(df: DataFrame, label: str, n: int, row_id: str, seed: int = 0)
 
 
 def halves(df: DataFrame, label: str, time: str) -> DataFrame:
-    """df with late: whether a row lies at or after its label's median time."""
-    return df.join(quantiles(df, time, {"_m": 0.5}, [label]).drop("n"), label).withColumn("late", F.col(time) >= F.col("_m")).drop("_m")
+    """df with late: whether a row lies at or after its label's median time; null without a label or time."""
+    return df.join(quantiles(df, time, {"_m": 0.5}, [label]).drop("n"), label, "left").withColumn("late", F.col(time) >= F.col("_m")).drop("_m")
 
 
 def last_part(df: DataFrame, time: str, row_id: str, part: float = 0.2) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,39 +94,3 @@ def assemble_stream(events: DataFrame, time: str, late: str = "10 minutes", pati
     """events: flow_id, seq, event_type and a time. One row for each ended flow and each orphan. Needs the RocksDB state store."""
     keyed = events.withWatermark(time, late).select("flow_id", "seq", "event_type", time).groupBy("flow_id")
     return keyed.transformWithStateInPandas(statefulProcessor=Assembly(patience_ms), outputStructType=StructType.fromDDL(Assembly.SCHEMA), outputMode="append", timeMode="EventTime")
-
-
-class TrailingCount(StatefulProcessor):
-    """Rows of a key in the trailing window, from counts per second in state; seconds older than the window leave the state."""
-
-    SCHEMA = "key string, row_id long, sec long, n long"
-
-    def __init__(self, width: int):
-        self.width = width
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seconds = handle.getMapState("seconds", "sec long", "n long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows))
-        counts = {int(k[0]): int(v[0]) for k, v in self.seconds.iterator()}
-        for s, n in new.groupby("sec").size().items():
-            counts[int(s)] = counts.get(int(s), 0) + int(n)
-            self.seconds.updateValue((int(s),), (counts[int(s)],))
-        top = max(counts)
-        for s in [s for s in counts if s <= top - self.width - 3600]:
-            self.seconds.removeKey((s,))
-        seconds = np.array(sorted(counts), np.int64)
-        upto = np.concatenate([[0], np.cumsum([counts[int(s)] for s in seconds])])
-        t = new["sec"].to_numpy(np.int64)
-        n = upto[np.searchsorted(seconds, t, "right")] - upto[np.searchsorted(seconds, t - self.width, "right")]
-        yield pd.DataFrame({"key": key[0], "row_id": new["row_id"], "sec": new["sec"], "n": n})
-
-    def close(self) -> None:
-        pass
-
-
-def trailing_stream(df: DataFrame, key: str, sec: str, row_id: str, width: int) -> DataFrame:
-    """The trailing count of each row as it arrives; equal to the batch result if rows come in order of time and no second is split over micro-batches."""
-    keyed = df.select(F.col(key).cast("string").alias("key"), F.col(row_id).alias("row_id"), F.col(sec).alias("sec")).groupBy("key")
-    return keyed.transformWithStateInPandas(statefulProcessor=TrailingCount(width), outputStructType=StructType.fromDDL(TrailingCount.SCHEMA), outputMode="append", timeMode="None")

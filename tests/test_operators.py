@@ -226,7 +226,6 @@ def test_event_assembly(spark):
     assert (one.ts_fin, one.ts_syn, one.ts_rst, one.ts_ack, one.tc_syn, one.tls_v12, one.tls_self_signed, one.tls_valid_days, one.n_http) == (1, 1, 0, 1, 1, 1, 1, 30, 0)
     assert (one.bytes_per_pkt_ts, one.bytes_per_pkt_tc, one.dir_ratio) == (25, 0, 1 / 101)
     assert tuple(events.orphans(e).first()) == (1, 0) and events.last_counters(e).first().decoder_pkts == 12
-    assert events.flatten({"a": [1, {"b": 2}]}, "k") == {"k_a_0": 1, "k_a_1_b": 2}
     log = events.parse_log(spark.createDataFrame([("event_type: flow, flow_age: 3 ; event_type: dns, dns_id: 4",)], ["log"])).first()
     assert log.events == [{"event_type": "flow", "flow_age": "3"}, {"event_type": "dns", "dns_id": "4"}]
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from flowlens.operators import features, metrics
+from flowlens.operators import metrics
 from flowlens.streaming import stream
 
 
@@ -65,10 +65,3 @@ def test_assembly(spark, source, tmp_path, rocks):
         else:
             last[r.flow_id] = last.get(r.flow_id, 0) + 1
     assert {(r.flow_id, r.seq): r.n_events for r in got.collect()} == want
-
-
-def test_trailing(spark, source, tmp_path, rocks):
-    df, s = source
-    got = {r.row_id: r.n for r in run(spark, stream.trailing_stream(s, "flow_id", "sec", "seq", 200), "trailed", tmp_path).collect()}
-    want = {r.seq: r.n for r in features.trailing_count(df, ["flow_id"], "sec", {"n": 200}).collect()}
-    assert got == want
