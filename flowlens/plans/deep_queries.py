@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.operators import diagnostics, variants
-from flowlens.plans.views import query, r6, table
+from flowlens.operators import diagnostics, joins, networks, variants
+from flowlens.plans.views import flows, query, r6, table
 
 
 def _nested(spark: SparkSession, d: str) -> DataFrame:
@@ -77,3 +77,73 @@ def _hash(seed: int, c: str = "vec_id") -> str:
 def q22_distance_scales(spark: SparkSession, d: str) -> DataFrame:
     e = _vectors(spark, d).withColumn("moved", F.transform("x", lambda v, i: v + 0.05 * ((i + 1) % 3 - 1)))
     return r6(diagnostics.distance_scales(e.select("id", "x", "moved"), e.where("label < 7").select("id", "x"), "moved", most_refs=400))
+
+
+#: Flows between addresses of both versions, and a schedule of networks: the same in SQL, by the numbers that make up the addresses.
+NET = """nf AS (SELECT *, event_id AS row_id, user_id AS u, event_id AS e, CAST(floor(epoch(ts)) AS BIGINT) AS sec, CAST(ts AS DATE) AS day, CAST(json_extract_string(props, '$.k') AS INTEGER) % 7 AS port, event_type = 'error' AS alerted,
+  CASE WHEN e % 3 = 0 THEN 'fd00:' || format('{:x}', u % 50) || '::' || format('{:x}', e % 1000) ELSE '10.' || u % 4 || '.' || u % 50 || '.' || e % 250 END AS x, '192.168.' || e % 3 || '.' || u % 8 AS z FROM events),
+ nr AS (SELECT n_nationkey AS rule, 'A' || n_nationkey % 5 AS label, n_nationkey AS k, CAST((SELECT min(ts) FROM events) AS DATE) + CAST(n_nationkey // 2 AS INTEGER) AS rday, n_nationkey % 2 = 0 AS two_way, n_nationkey % 3 = 0 AS drops,
+  CAST(epoch(CAST((SELECT min(ts) FROM events) AS DATE) + CAST(n_nationkey // 2 AS INTEGER)) AS BIGINT) + (n_nationkey % 18) * 3600 + 300 + 10800 AS a, CAST(epoch(CAST((SELECT min(ts) FROM events) AS DATE) + CAST(n_nationkey // 2 AS INTEGER)) AS BIGINT) + (n_nationkey % 18 + 3) * 3600 + 59 * 60 + 10800 AS b FROM nation),
+ np AS (SELECT nf.*, nr.* FROM nf JOIN nr ON day = rday AND e % 3 = k % 3 AND (e % 2 = 1 OR two_way) AND CASE WHEN e % 3 = 0 THEN (u % 50) // 8 = (k * 8 % 48) // 8 ELSE u % 4 = k % 4 AND (u % 50) // 16 = (k * 16 % 48) // 16 END),
+ nh AS (SELECT row_id, min(CASE WHEN sec >= a - 600 AND sec < b + 660 THEN rule END) AS rule, bool_or(drops) AS drops FROM np GROUP BY row_id),
+ nl AS (SELECT nf.*, coalesce(nr.label, 'Benign') AS label, nh.rule, coalesce(NOT (sec >= nr.a AND sec < nr.b + 60), false) AS pad_zone, nh.rule IS NULL AND coalesce(nh.drops, false) AS dropped FROM nf LEFT JOIN nh USING (row_id) LEFT JOIN nr ON nr.rule = nh.rule)"""
+
+
+def _net_flows(spark: SparkSession, d: str) -> DataFrame:
+    e, u = F.col("row_id"), F.col("user_id")
+    s = lambda c: c.cast("string")
+    six = F.concat(F.lit("FD00:"), F.hex(u % 50), F.lit("::"), F.hex(e % 1000))
+    x = F.when(e % 3 == 0, F.lower(six)).otherwise(F.concat(F.lit("10."), s(u % 4), F.lit("."), s(u % 50), F.lit("."), s(e % 250)))
+    z = F.concat(F.lit("192.168."), s(e % 3), F.lit("."), s(u % 8))
+    f = flows(spark, d).select("row_id", "user_id", "sec", "day", (F.col("k") % 7).alias("port"), (F.col("event_type") == "error").alias("alerted"))
+    return f.withColumns({"src": F.when(e % 2 == 1, x).otherwise(z), "dst": F.when(e % 2 == 1, z).otherwise(x)}).drop("user_id")
+
+
+def _net_rules(spark: SparkSession, d: str) -> DataFrame:
+    k, s = F.col("n_nationkey"), lambda c: c.cast("string")
+    clock = lambda h, m: F.concat(F.lpad(s(h), 2, "0"), F.lit(f":{m:02d}"))
+    first = table(spark, d, "events").agg(F.min(F.to_date("ts")).alias("d0"))
+    attacker = F.concat(F.lit("10."), s(k % 4), F.lit("."), s(k * 16 % 48), F.lit(".7/20; nonsense;10.0.0.300;10.0.0.0/40; fd00:"), F.lower(F.hex(k * 8 % 48)), F.lit("::/29"))
+    victim = F.concat(F.lit("192.168."), s(k % 3), F.lit(".0/29; 192.168.9.1;::ffff:1.2.3.4"))
+    rules = table(spark, d, "nation").crossJoin(F.broadcast(first))  # one row
+    rules = rules.select(k.alias("rule"), F.expr("date_add(d0, CAST(floor(n_nationkey / 2) AS INT))").alias("day"), F.concat(F.lit("A"), s(k % 5)).alias("label"), attacker.alias("attacker"), victim.alias("victim"), clock(k % 18, 5).alias("start"), clock(k % 18 + 3, 59).alias("end"), F.when(k % 2 == 0, "any").otherwise("fwd").alias("direction"), F.when(k % 3 == 0, "drop").otherwise("benign").alias("outside"))
+    return rules.withColumns(joins.local_window(F.col("day"), "start", "end", "-03:00"))
+
+
+def _net_labels(spark: SparkSession, d: str) -> DataFrame:
+    return networks.label_by_networks(_net_flows(spark, d), _net_rules(spark, d), "src", "dst", "day", "sec", "row_id", 600)
+
+
+@query("e17_e18_network_labels", f"WITH {NET} SELECT row_id, label, rule, pad_zone, dropped FROM nl")
+def e17_e18_network_labels(spark: SparkSession, d: str) -> DataFrame:
+    """From lists of networks, a local clock, direction and drop side to labels."""
+    return _net_labels(spark, d).select("row_id", "label", "rule", "pad_zone", "dropped")
+
+
+@query("e20_e21_build", f"WITH {NET} SELECT CAST(day AS VARCHAR) AS day, label, count(*) AS n, count(*) FILTER (label <> 'Benign') AS attacks, count(*) FILTER (alerted) AS detected, min(sec) AS first, (SELECT count(*) FROM nl x WHERE x.dropped AND x.day = nl.day) AS dropped FROM nl WHERE NOT dropped GROUP BY nl.day, label")
+def e20_e21_build(spark: SparkSession, d: str) -> DataFrame:
+    """Class counts of all days' tables, and the rows that each day has dropped."""
+    kept, dropped = networks.day_build(_net_labels(spark, d), "sec", "row_id", "alerted")
+    gone = dropped.groupBy("day").agg(F.count("*").alias("dropped"))
+    n = kept.groupBy("day", "label").agg(F.count("*").alias("n"), F.count_if("truth").alias("attacks"), F.count_if("detected").alias("detected"), F.min("sec").alias("first"))
+    return n.join(gone, "day", "left").select(F.col("day").cast("string").alias("day"), "label", "n", "attacks", "detected", "first", F.coalesce("dropped", F.lit(0)).alias("dropped"))
+
+
+@query(
+    "q17_rule_audit",
+    f"""WITH {NET}, h AS (SELECT rule, count(*) AS flows, count(*) FILTER (pad_zone) AS in_pad, min(sec) AS first, max(sec) AS last, round(avg(CASE WHEN alerted THEN 1.0 ELSE 0.0 END), 6) AS alerted_share FROM nl WHERE rule IS NOT NULL GROUP BY rule),
+    p AS (SELECT rule, port, count(*) AS n, row_number() OVER (PARTITION BY rule ORDER BY count(*) DESC, port) AS r FROM nl WHERE rule IS NOT NULL GROUP BY rule, port), q AS (SELECT rule, string_agg(port || ':' || n, '; ' ORDER BY r) AS top_ports FROM p WHERE r <= 4 GROUP BY rule)
+    SELECT nr.rule, nr.label, coalesce(flows, 0) AS flows, coalesce(in_pad, 0) AS in_pad, first, last, alerted_share, top_ports FROM nr LEFT JOIN h USING (rule) LEFT JOIN q USING (rule)""",
+)
+def q17_rule_audit(spark: SparkSession, d: str) -> DataFrame:
+    return r6(networks.build_audit(_net_labels(spark, d), _net_rules(spark, d), "sec", "port", "alerted"))
+
+
+@query(
+    "q17_talkers",
+    f"""WITH {NET}, t AS (SELECT rule, CASE WHEN e % 2 = 1 THEN x ELSE z END AS src, CASE WHEN e % 2 = 1 THEN z ELSE x END AS dst FROM nf JOIN nr ON day = rday AND e % 3 = k % 3 AND sec >= a AND sec < b + 60),
+    n AS (SELECT rule, src, dst, count(*) AS n, row_number() OVER (PARTITION BY rule ORDER BY count(*) DESC, src, dst) AS r FROM t GROUP BY rule, src, dst) SELECT rule, string_agg(src || ' -> ' || dst || ': ' || n, '; ' ORDER BY r) AS talkers FROM n WHERE r <= 5 GROUP BY rule""",
+)
+def q17_talkers(spark: SparkSession, d: str) -> DataFrame:
+    """Who talks to each rule's victims in its window."""
+    return networks.talkers(_net_flows(spark, d), _net_rules(spark, d), "src", "dst", "day", "sec", "row_id")
