@@ -130,10 +130,10 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     return stats.join(F.broadcast(q), "name", "left").select("name", "n", "mean", "std", "min", "p25", "p50", "p75", "max")  # a row for each column
 
 
-def rank_bins(df: DataFrame, score: str, bins: int, name: str = "bin") -> DataFrame:
-    """df with the score's rank as one of `bins` places; ties share one, null scores have none."""
-    steps = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("_s")).agg(F.count("*").alias("_c"))
-    low = prefix_sum(steps, [], "_s", "_c", "_upto").withColumn("_rank", F.col("_upto") - F.col("_c"))
-    n = df.agg(F.count(score).alias("_n"))
-    placed = low.crossJoin(F.broadcast(n)).select("_s", F.floor(F.col("_rank") * bins / F.col("_n")).alias(name))
-    return df.withColumn("_s", F.col(score)).join(placed, "_s", "left").drop("_s")
+def rank_bins(df: DataFrame, score: str, bins: int, name: str = "bin", keys: list[str] | None = None) -> DataFrame:
+    """df with the score's rank (within keys) as one of `bins` places; ties share one, null scores have none."""
+    keys = keys or []
+    steps = df.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("_s")).agg(F.count("*").alias("_c"))
+    low = prefix_sum(steps, keys, "_s", "_c", "_upto", total="_n").withColumn("_rank", F.col("_upto") - F.col("_c"))
+    placed = low.select(*keys, "_s", F.floor(F.col("_rank") * bins / F.col("_n")).alias(name))
+    return df.withColumn("_s", F.col(score)).join(placed, [*keys, "_s"], "left").drop("_s")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.columns import row_hash
-from flowlens.operators.metrics import rank_bins, roc_auc
+from flowlens.operators.metrics import rank_bins
 from flowlens.operators.split import cap
 
 
@@ -21,14 +25,47 @@ def block_weights(blocks: DataFrame, day: str, block: str, resamples: int, seed:
     return hits.join(placed.select(day, block, F.col("_p").cast("long").alias("_p")), [day, "_p"]).select(day, block, "resample", "weight")
 
 
-def bootstrap_auc(df: DataFrame, day: str, time: str, y: str, score: str, method: str | None = None, width: int = 600, resamples: int = 200, bins: int = 2000, seed: int = 0) -> DataFrame:
-    """roc_auc of each (method,) resample. Rows are first counted by (block, score bin, class), so a resample only weighs counts; all methods share the draws."""
+def weight_vectors(weights: DataFrame, keys: list[str], resamples: int) -> DataFrame:
+    """keys and w: a vector with the weight of each resample (1 ..). One row for each block."""
+    at = F.map_from_entries(F.collect_list(F.struct("resample", F.col("weight").cast("double"))))  # at most one entry for each resample
+    w = weights.groupBy(*keys).agg(at.alias("_m"))
+    return w.select(*keys, array_to_vector(F.transform(F.sequence(F.lit(1), F.lit(resamples)), lambda r: F.coalesce(F.try_element_at("_m", r), F.lit(0.0)))).alias("w"))
+
+
+def auc_of_resamples(counts: DataFrame, keys: list[str], resamples: int) -> DataFrame:
+    """keys, resample, roc_auc (null if a class is missing). counts: keys, _s (score), _p (class, 0 or 1) and _v, how often each resample has them (a vector). A group has a row for each score and class, which the caller bounds."""
+    names = ", ".join(f"`{k}` {t}" for k, t in counts.select(*keys).dtypes)
+    number = "".join(keys) + "_g"
+
+    def areas(pdf: pd.DataFrame) -> pd.DataFrame:
+        score, place = np.unique(pdf["_s"].to_numpy(), return_inverse=True)
+        sums = np.zeros((2, len(score), resamples))
+        np.add.at(sums, (pdf["_p"].to_numpy(), place), np.stack([np.asarray(v, np.float64) for v in pdf["_v"]]))
+        below = np.cumsum(sums[0], 0) - sums[0] / 2
+        total = sums[0].sum(0) * sums[1].sum(0)
+        area = (sums[1] * below).sum(0)
+        out = pd.DataFrame({"resample": np.arange(1, resamples + 1), "roc_auc": [float(x / t) if t > 0 else None for x, t in zip(area, total, strict=True)]})
+        for k in reversed(keys):
+            out.insert(0, k, pdf[k].iloc[0])
+        return out
+
+    return counts.withColumn(number, F.lit(0)).groupBy(*keys, number).applyInPandas(areas, f"{names + ', ' if names else ''}resample int, roc_auc double")
+
+
+def bootstrap_auc(df: DataFrame, day: str, time: str, y: str, score: str, method: str | None = None, width: int = 600, resamples: int = 200, bins: int = 20_000, seed: int = 0) -> DataFrame:
+    """roc_auc of each (method,) resample of blocks of `width` seconds of a day. All methods share the draws.
+
+    Rows are counted by (block, score bin, class); each count is multiplied with the block's vector of weights, one for
+    each resample, and the vectors are added up by bin and class before they are shuffled. So neither rows nor counts
+    are repeated for the resamples, and what is shuffled is bounded by bins. Scores and times must not be null.
+    """
     keys = [method] if method else []
-    binned = rank_bins(df, score, bins) if not method else df.withColumn("bin", F.col(score))
-    counts = binned.withColumn("_b", F.floor(F.col(time) / width)).groupBy(*keys, day, "_b", "bin", y).agg(F.count("*").alias("n"))
-    weights = block_weights(df.select(day, F.floor(F.col(time) / width).alias("_b")).distinct(), day, "_b", resamples, seed)
-    weighed = counts.join(weights, [day, "_b"]).groupBy(*keys, "resample", "bin", y).agg(F.sum(F.col("n") * F.col("weight")).alias("w"))
-    return roc_auc(weighed, y, "bin", [*keys, "resample"], "w")
+    binned = rank_bins(df, score, bins, "bin", keys)
+    counts = binned.withColumn("_b", F.floor(F.col(time) / width)).groupBy(*keys, day, "_b", "bin", y).agg(F.count("*").alias("_n"))
+    blocks = df.select(day, F.floor(F.col(time) / width).alias("_b")).distinct()
+    vectors = weight_vectors(block_weights(blocks, day, "_b", resamples, seed), [day, "_b"], resamples)
+    weighed = counts.join(vectors, [day, "_b"]).groupBy(*keys, F.col("bin").alias("_s"), F.col(y).cast("int").alias("_p")).agg(vector_to_array(Summarizer.sum(F.col("w"), F.col("_n").cast("double"))).alias("_v"))
+    return auc_of_resamples(weighed, keys, resamples)
 
 
 def interval(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
@@ -44,21 +81,31 @@ def paired_difference(df: DataFrame, method: str, reference: str, value: str) ->
     return interval(df.where(F.col(method) != reference).join(ref, "resample").withColumn("difference", F.col("_r") - F.col(value)), "difference", [method])
 
 
-def drawn_rows(df: DataFrame, row_id: str, resamples: int, seed: int = 0) -> DataFrame:
-    """df once for each resample, with _w: a Poisson(1) weight by a hash of the row and the resample."""
-    u = (row_hash([row_id, "resample"], seed) + 0.5) / float(1 << 60)
+def row_weights(row_id: str, resamples: int, seed: int = 0) -> Column:
+    """A Poisson(1) weight for each resample, by a hash of the row and the resample: an array."""
     limits = [0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518, 0.99991675884]
-    weight = sum(((u > x).cast("int") for x in limits), F.lit(0))
-    return df.withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("_w", weight)
+
+    def weight(r: Column) -> Column:
+        text = F.concat_ws("|", F.coalesce(F.col(row_id).cast("string"), F.lit("")), r.cast("string"), F.lit(str(seed)))
+        u = (F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long") + 0.5) / float(1 << 60)
+        return F.size(F.filter(F.array(*[F.lit(x) for x in limits]), lambda x: u > x)).cast("double")
+
+    return F.transform(F.sequence(F.lit(1), F.lit(resamples)), weight)
 
 
-def row_bootstrap_auc(df: DataFrame, y: str, score: str, row_id: str, resamples: int = 200, most: int = 200_000, seed: int = 0) -> DataFrame:
-    """roc_auc of each resample of at most `most` rows (a sample by hash). Rows are counted by score and class before the area is taken."""
-    weighed = drawn_rows(cap(df.select(row_id, y, score), most, row_id, seed), row_id, resamples, seed).groupBy("resample", score, y).agg(F.sum("_w").alias("w"))
-    return roc_auc(weighed, y, score, ["resample"], "w")
+def row_bootstrap_auc(df: DataFrame, y: str, score: str, row_id: str, resamples: int = 200, most: int | None = None, bins: int = 20_000, seed: int = 0) -> DataFrame:
+    """roc_auc of each resample of the rows. Their weights are added up as vectors by score bin and class, in the tasks. most: only so many rows, a sample by hash; null scores are left out."""
+    rows = df.where(F.col(score).isNotNull()).select(row_id, y, score)
+    rows = cap(rows, most, row_id, seed) if most else rows
+    weighed = rank_bins(rows, score, bins).select(F.col("bin").alias("_s"), F.col(y).cast("int").alias("_p"), array_to_vector(row_weights(row_id, resamples, seed)).alias("w"))
+    return auc_of_resamples(weighed.groupBy("_s", "_p").agg(vector_to_array(Summarizer.sum(F.col("w"))).alias("_v")), [], resamples)
 
 
 def row_bootstrap_mean(df: DataFrame, value: str, row_id: str, resamples: int = 200, seed: int = 0) -> DataFrame:
-    """Mean of each resample under Poisson(1) weights by hash; null with under three rows."""
-    drawn = drawn_rows(df, row_id, resamples, seed)
-    return drawn.groupBy("resample").agg(F.when(F.count("*") >= 3, F.sum(F.col(value) * F.col("_w")) / F.sum("_w")).alias("mean"))
+    """Mean of each resample of the rows with a value; null with under three of them. One row of sums leaves each task."""
+    w = row_weights(row_id, resamples, seed)
+    v = F.col(value).cast("double")
+    both = df.where(v.isNotNull()).select(array_to_vector(w).alias("w"), array_to_vector(F.transform(w, lambda x: x * v)).alias("vw"))
+    sums = both.agg(F.count("*").alias("n"), vector_to_array(Summarizer.sum(F.col("w"))).alias("w"), vector_to_array(Summarizer.sum(F.col("vw"))).alias("vw"))
+    parts = sums.select("n", F.posexplode(F.arrays_zip("w", "vw")).alias("at", "x"))
+    return parts.select((F.col("at") + 1).alias("resample"), F.when((F.col("n") >= 3) & (F.col("x.w") > 0), F.col("x.vw") / F.col("x.w")).alias("mean"))

@@ -139,16 +139,25 @@ def e07_orphans(spark: SparkSession, d: str) -> DataFrame:
     return events.orphans(events.parse_events(event_lines(spark, d)))
 
 
-@query("b01_b04_bootstrap")
-def b01_b04_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return r6(resample.interval(resample.bootstrap_auc(flows(spark, d), "day", "sec", "y", "score", None, 3600, 100, 500), "roc_auc", []))
-
-
 #: A row's Poisson weight in a resample, from a hash.
 DRAWN = """d AS (SELECT *, (CASE WHEN u > 0.36787944117 THEN 1 ELSE 0 END) + (CASE WHEN u > 0.73575888234 THEN 1 ELSE 0 END) + (CASE WHEN u > 0.91969860293 THEN 1 ELSE 0 END) + (CASE WHEN u > 0.98101184312 THEN 1 ELSE 0 END) + (CASE WHEN u > 0.99634015317 THEN 1 ELSE 0 END) + (CASE WHEN u > 0.99940581518 THEN 1 ELSE 0 END) + (CASE WHEN u > 0.99991675884 THEN 1 ELSE 0 END) AS w FROM (SELECT *, (CAST('0x' || substr(md5(CAST(row_id AS VARCHAR) || '|' || CAST(resample AS VARCHAR) || '|0'), 1, 15) AS BIGINT) + 0.5::DOUBLE) / 1152921504606846976::DOUBLE AS u FROM %s, range(1, 51) r(resample)))"""
 INTERVAL = "round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, count(v) AS defined, count(*) AS resamples"
 
 
+@query(
+    "b01_b04_bootstrap",
+    """WITH {EV}, f AS (SELECT day, CAST(floor(sec / 600.0) AS BIGINT) AS b, y, (rank() OVER (ORDER BY score) - 1) * 20000 // count(*) OVER () AS s FROM ev),
+    k AS (SELECT day, b, row_number() OVER (PARTITION BY day ORDER BY b) - 1 AS p, count(*) OVER (PARTITION BY day) AS n FROM (SELECT DISTINCT day, b FROM f)),
+    h AS (SELECT day, resample, CAST('0x' || substr(md5(CAST(day AS VARCHAR) || '|' || CAST(p AS VARCHAR) || '|' || CAST(resample AS VARCHAR) || '|0'), 1, 15) AS BIGINT) % n AS p FROM k, range(1, 201) r(resample)),
+    w AS (SELECT day, b, resample, count(*) AS weight FROM h JOIN k USING (day, p) GROUP BY ALL),
+    g AS (SELECT resample, s, sum(CASE WHEN y = 1 THEN weight ELSE 0 END) AS p, sum(CASE WHEN y = 1 THEN 0 ELSE weight END) AS q FROM f JOIN w USING (day, b) GROUP BY 1, 2),
+    c AS (SELECT *, sum(q) OVER (PARTITION BY resample ORDER BY s) AS below FROM g), m AS (SELECT sum(p * (below - q * 0.5)) / nullif(sum(p) * sum(q), 0) AS v FROM c GROUP BY resample) SELECT """ + INTERVAL + " FROM m",
+)
+def b01_b04_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """Interval of the ROC area over 200 resamples of blocks of 600 s, with 20,000 score bins."""
+    return r6(resample.interval(resample.bootstrap_auc(flows(spark, d), "day", "sec", "y", "score"), "roc_auc", []))
+
+
 @query("b06_b07_row_bootstrap", "WITH {EV}, " + DRAWN % "(SELECT * FROM ev WHERE y = 1)" + ", m AS (SELECT resample, CASE WHEN count(*) >= 3 THEN sum(score * w) / sum(w) END AS v FROM d GROUP BY resample) SELECT " + INTERVAL + " FROM m")
 def b06_b07_row_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return r6(resample.interval(resample.row_bootstrap_mean(flows(spark, d).where("y = 1"), "score", "row_id", 50), "mean", []))
@@ -156,7 +165,7 @@ def b06_b07_row_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "b06_row_auc",
-    "WITH {EV}, " + DRAWN % "ev" + """, s AS (SELECT resample, score, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS p, sum(CASE WHEN y = 1 THEN 0 ELSE w END) AS q FROM d GROUP BY 1, 2),
+    "WITH {EV}, " + DRAWN % "(SELECT row_id, y, (rank() OVER (ORDER BY score) - 1) * 20000 // count(*) OVER () AS score FROM ev)" + """, s AS (SELECT resample, score, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS p, sum(CASE WHEN y = 1 THEN 0 ELSE w END) AS q FROM d GROUP BY 1, 2),
     b AS (SELECT *, sum(q) OVER (PARTITION BY resample ORDER BY score) AS below FROM s), m AS (SELECT sum(p * (below - q * 0.5)) / nullif(sum(p) * sum(q), 0) AS v FROM b GROUP BY resample) SELECT """ + INTERVAL + " FROM m",
 )
 def b06_row_auc(spark: SparkSession, d: str) -> DataFrame:
