@@ -13,19 +13,21 @@ from pyspark.sql import functions as F
 from flowlens.functions.columns import role_from_port, role_override, row_hash
 from flowlens.operators import audit, clean, detectors, features, metrics, scoring
 from flowlens.operators.quantiles import quantiles
+from flowlens.sources.scratch import written
 
 
 @dataclass
 class Model:
-    """A fitted latent detector: feature space, encoder, references, calibration."""
+    """A fitted nearest-neighbour detector: feature space, references in it, calibration; with an encoder, weights and slices, in whose codes the distances are taken."""
 
     space: list
-    weights: detectors.Weights
-    slices: dict[str, tuple[int, int]]
     refs: DataFrame
     med: float
     scale: float
     threshold: float
+    k: int = 5
+    weights: detectors.Weights | None = None
+    slices: dict[str, tuple[int, int]] | None = None
 
 
 def pseudo_time(df: DataFrame, row_id: str, seed: int = 0) -> DataFrame:
@@ -33,36 +35,47 @@ def pseudo_time(df: DataFrame, row_id: str, seed: int = 0) -> DataFrame:
     return df.withColumn("ts", F.pmod(row_hash([row_id], seed), F.lit(1 << 40)) / float(1 << 40))
 
 
-def fit_model(df: DataFrame, val: DataFrame, modalities: dict[str, list[str]], role: str, row_id: str, fpr: float = 0.01, **options) -> Model:
-    """Everything is fitted on benign rows: df for space, encoder and references, val for calibration."""
-    space = features.fit_space(df, modalities).orderBy("pos").collect()  # a row for each feature
-    cut = features.slices(space)
-    known = options.pop("min_ref", 500)
+def _coded(df: DataFrame, space: list, row_id: str, weights: detectors.Weights | None, slices: dict | None) -> DataFrame:
+    """row_id, x and role: standardised features, or their codes (then with the reconstruction's error of each feature)."""
     x = features.apply_space(df, space)
-    w, _ = detectors.train_encoder(x, cut, row_id, **options)
-    z = lambda d: detectors.encode(d, w, cut).select(row_id, F.col("z").alias("x"), role)
-    refs = detectors.fit_references(z(x), role, row_id, min_ref=known)
-    scores = detectors.latent_distance(z(features.apply_space(val, space)), refs, role, row_id)
-    stats = features.robust_stats(scores, F.col("score"), []).first()
-    limit = quantiles(scores.select(((F.col("score") - stats["med"]) / stats["scale"]).alias("z")), "z", {"limit": 1 - fpr}, []).first()["limit"]
-    return Model(space, w, cut, refs, stats["med"], stats["scale"], limit)
+    if weights is None:
+        return x.select(row_id, "x", "role")
+    return detectors.encode(x.select(row_id, "x", "role"), weights, slices).select(row_id, F.col("z").alias("x"), "role", "feat_err")
+
+
+def fit_model(df: DataFrame, val: DataFrame, modalities: dict[str, list[str]], role: str, row_id: str, fpr: float = 0.01, encoder: dict | None = None, min_ref: int = 500, k: int = 5, n_refs: int = 10_000, n_role: int = 5_000) -> Model:
+    """Everything is fitted on benign rows: df for space, encoder and references, val for calibration. encoder: options of detectors.train_encoder(); None: distances are taken in the feature space, and the model is the same for any partitions."""
+    space = features.fit_space(df, modalities).orderBy("pos").collect()  # a row for each feature
+    cut, w = features.slices(space), None
+    if encoder is not None:
+        w, _ = detectors.train_encoder(features.apply_space(df, space), cut, row_id, **encoder)
+    z = lambda d: _coded(d.withColumn("role", F.col(role)), space, row_id, w, cut)
+    refs = written(detectors.fit_references(z(df), "role", row_id, n_refs, n_role, min_ref), "references")
+    scores = written(detectors.knn_scores(z(val), refs, "role", row_id, k), "calibration")
+    stats = features.robust_stats(scores, F.col("distance"), []).first()
+    limit = quantiles(scores.select(((F.col("distance") - stats["med"]) / stats["scale"]).alias("z")), "z", {"limit": 1 - fpr}, []).first()["limit"]
+    return Model(space, refs, stats["med"], stats["scale"], limit, k, w, cut)
 
 
 def score_batch(df: DataFrame, m: Model, row_id: str, duration: str | None, protocol: str, port: str, given_role: str | None = None, top_k: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(scored, rejected): row_id, score, alert, role and the top features of alerts (top_k 0: none); or row_id and reason. A bad row never fails the batch."""
+    """(scored, rejected): row_id, score, alert, role and the top features of alerts (top_k 0: none); or row_id and reason. A bad row never fails the batch.
+
+    One pass checks, scales, encodes and scores the rows and is written once; both results read that table. A feature
+    is on top if it adds most to the squared distances to the neighbours, or with an encoder by its reconstruction.
+    """
     names = [r["name"] for r in m.space]
-    checked = df.withColumn("reason", clean.rejection(df, names, duration, protocol, port, given_role))
-    sound = clean.numeric(checked.where("reason IS NULL"), list(dict.fromkeys([*names, port])))
+    checked = df.withColumn("_reason", clean.rejection(df, names, duration, protocol, port, given_role))
+    sound = clean.numeric(checked.where("_reason IS NULL"), list(dict.fromkeys([*names, port])))
     role = role_from_port(port)
     sound = sound.withColumn("role", role_override(given_role, role) if given_role else role)
-    coded = detectors.encode(features.apply_space(sound, m.space).select(row_id, "x", "role"), m.weights, m.slices)
-    near = detectors.latent_distance(coded.select(row_id, F.col("z").alias("x"), "role"), m.refs, "role", row_id)
-    scored = coded.join(near, row_id).withColumn("score", (F.col("score") - m.med) / m.scale).withColumn("alert", F.col("score") > m.threshold)
-    items = F.transform(F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("feature"), F.col("feat_err").alias("error")), lambda p: F.struct((-p["error"]).alias("o"), p["feature"].alias("feature"), p["error"].alias("error")))
+    near = detectors.knn_scores(_coded(sound, m.space, row_id, m.weights, m.slices), m.refs, "role", row_id, m.k, m.med + m.scale * m.threshold if top_k else None)
+    z = (F.col("distance") - m.med) / m.scale
+    finite = z.isNotNull() & ~F.isnan(z) & (F.abs(z) != float("inf"))
+    items = F.transform(F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("feature"), F.col("errors").alias("error")), lambda p: F.struct((-p["error"]).alias("o"), p["feature"].alias("feature"), p["error"].alias("error")))
     top = F.transform(F.slice(F.array_sort(items), 1, max(1, top_k)), lambda p: F.struct(p["feature"].alias("feature"), p["error"].alias("error")))
-    finite = F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") != float("inf"))
-    rejected = checked.where("reason IS NOT NULL").select(row_id, "reason").unionByName(scored.where(~finite).select(row_id, F.lit("score is not finite").alias("reason")))
-    return scored.where(finite).select(row_id, "score", "alert", "role", *([F.when(F.col("alert"), top).alias("top_features")] if top_k else [])), rejected
+    good = near.select(row_id, z.alias("score"), (z > m.threshold).alias("alert"), "role", F.when(finite & (z > m.threshold), top).alias("top_features"), F.when(~finite, "score is not finite").alias("reason"))
+    both = written(good.unionByName(checked.where("_reason IS NOT NULL").select(row_id, F.col("_reason").alias("reason")), allowMissingColumns=True), "scored")
+    return both.where("reason IS NULL").select(row_id, "score", "alert", "role", *(["top_features"] if top_k else [])), both.where("reason IS NOT NULL").select(row_id, "reason")
 
 
 def run_methods(df: DataFrame, test: DataFrame, slices: dict[str, tuple[int, int]], row_id: str, seeds: list[int], specs: dict[str, dict] | None = None, **options) -> DataFrame:

@@ -389,3 +389,67 @@ def latent_distance(df: DataFrame, refs: DataFrame, role: str, row_id: str, k: i
     rows = df.select(F.col(row_id).alias("id"), "x", F.when(F.col(role).isin(known), F.col(role)).otherwise(-1).cast("int").alias("_role")) if known else df.select(F.col(row_id).alias("id"), "x", F.lit(-1).alias("_role"))
     near = nearest(rows, refs.withColumn("_role", F.coalesce("role", F.lit(-1)).cast("int")).drop("role"), k, "_role")
     return near.groupBy("id").agg(F.avg("distance").alias("score")).withColumnRenamed("id", row_id)
+
+
+def nearest_sums(x: np.ndarray, m: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The mean Euclidean distance of each row of x to its k nearest rows of m (ties: the smaller id), and the mean squared difference of each place.
+
+    The k-th least of the least values of blocks of references bounds the k-th distance, so only few are looked at.
+    """
+    n, wide = len(m), max(1, int(np.sqrt(len(m))))
+    k = min(k, n)
+    room = -n % wide
+    norm = np.concatenate([(m**2).sum(1), np.full(room, np.inf)])
+    table = np.vstack([m, np.zeros((room, m.shape[1]))]).T
+    mean, errors = np.full(len(x), np.nan), np.zeros((len(x), m.shape[1]))
+    for lo in range(0, len(x), 256):
+        part = x[lo : lo + 256]
+        d = norm[None] - 2 * part @ table
+        least = d.reshape(len(part), -1, wide).min(2)
+        bound = np.partition(least, k - 1, 1)[:, k - 1] if least.shape[1] >= k else np.full(len(part), np.inf)
+        own = (part**2).sum(1)
+        row, ref = np.nonzero(d <= (bound + 1e-9 * (np.abs(bound) + own + 1))[:, None])
+        row, ref = row[ref < n], ref[ref < n]
+        square = (part[row] - m[ref]) ** 2
+        dist = np.sqrt(square.sum(1))
+        order = np.lexsort((ids[ref], dist, row))
+        first = np.searchsorted(row, np.arange(len(part)))  # row is sorted, with and without the order
+        keep = order[(first[:, None] + np.arange(k)).ravel()]
+        mean[lo : lo + 256] = dist[keep].reshape(-1, k).mean(1)
+        errors[lo : lo + 256] = square[keep].reshape(len(part), k, -1).mean(1)
+    return mean, errors
+
+
+def knn_scores(df: DataFrame, refs: DataFrame, role: str, row_id: str, k: int = 5, limit: float | None = None) -> DataFrame:
+    """row_id, role, distance and errors: latent_distance() in one pass without a shuffle. df: row_id, x, role, and maybe feat_err.
+
+    errors (rows with a distance over limit; null for others and without a limit): feat_err, or the mean squared
+    difference of each place to the neighbours. Rows with a null or not finite place have a null distance. refs: the
+    bounded sample of fit_references(), which travels to every task.
+    """
+    pdf = refs.withColumn("_role", F.coalesce("role", F.lit(-1)).cast("int")).select("_role", F.col("id").cast("long").alias("id"), F.col("x").cast("array<double>").alias("x")).orderBy("id").toPandas()
+    held = df.sparkSession.sparkContext.broadcast({r: (g["id"].to_numpy(), np.stack(g["x"].to_list())) for r, g in pdf.groupby("_role")})
+    own = "feat_err" in df.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sets = held.value
+        for pdf in batches:
+            which = np.where(pdf["known"].isin(list(sets)), pdf["known"], -1)
+            distance, errors = np.full(len(pdf), np.nan), np.full(len(pdf), None, object)
+            for r in np.unique(which):
+                if r not in sets:
+                    continue
+                at = np.flatnonzero(which == r)
+                x = np.array([np.asarray(v, np.float64) for v in pdf["x"].to_numpy()[at]])
+                sound = np.isfinite(x).all(1)
+                at, x = at[sound], x[sound]
+                distance[at], e = nearest_sums(x, sets[r][1], sets[r][0], k)
+                if limit is not None:
+                    for i in np.flatnonzero(distance[at] > limit):
+                        errors[at[i]] = np.asarray(pdf["feat_err"].iloc[at[i]], np.float64) if own else e[i]
+            yield pd.DataFrame({row_id: pdf[row_id], "role": pdf["known"], "distance": distance, "errors": errors})
+
+    key = dict(df.select(row_id).dtypes)[row_id]
+    rows = df.select(row_id, F.col("x").cast("array<double>").alias("x"), F.coalesce(F.col(role), F.lit(-1)).cast("int").alias("known"), *(["feat_err"] if own else []))
+    out = rows.mapInPandas(run, f"`{row_id}` {key}, role int, distance double, errors array<double>")
+    return out.withColumn("distance", F.when(~F.isnan("distance"), F.col("distance"))).withColumn("role", F.nullif("role", F.lit(-1)))

@@ -238,13 +238,29 @@ def m10_m32_methods(spark: SparkSession, d: str) -> DataFrame:
     return r6(batch.run_methods(v.where("y = 0"), v, SLICES, "row_id", [0, 1], specs, epochs=1))
 
 
-@query("m26_batch_scoring")
+def _m26_sql() -> str:
+    names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    logs = ", ".join(f"sign({c}) * ln(1 + abs({c})) AS g{i}" for i, c in enumerate(names))
+    stats = ", ".join(f"avg(g{i}) AS m{i}, stddev_pop(g{i}) AS s{i}" for i in range(4))
+    clipped = ", ".join(f"greatest(-8, least(8, (g{i} - m{i}) / s{i})) AS x{i}" for i in range(4))
+    square = " + ".join(f"(f.x{i} - r.x{i}) * (f.x{i} - r.x{i})" for i in range(4))
+    return f"""WITH l AS (SELECT ((l_orderkey * 100000 + l_partkey) * 100000 + l_suppkey) * 10 + l_linenumber AS row_id, l_orderkey % 3 = 0 AS is_val, l_returnflag <> 'R' AS benign, l_linenumber = 7 AS bad, {logs} FROM lineitem),
+     s AS (SELECT {stats} FROM l WHERE benign AND NOT is_val), f AS (SELECT row_id, is_val, benign, bad, {clipped} FROM l, s),
+     r AS (SELECT * FROM f WHERE benign AND NOT is_val ORDER BY CAST('0x' || substr(md5(CAST(row_id AS VARCHAR) || '|0'), 1, 15) AS BIGINT), row_id LIMIT 5000),
+     d AS (SELECT f.row_id, f.is_val, f.benign, f.bad, list_avg(min(sqrt({square}), 5)) AS d FROM f, r GROUP BY ALL),
+     m AS (SELECT median(d) AS med FROM d WHERE benign AND is_val), k AS (SELECT med, 1.4826 * (SELECT median(abs(d - med)) FROM d, m WHERE benign AND is_val) + 1e-6 AS sc FROM m),
+     t AS (SELECT quantile_cont((d - med) / sc, 0.99) AS t FROM d, k WHERE benign AND is_val)
+     SELECT row_id, CASE WHEN NOT bad THEN round((d - med) / sc, 6) END AS score, CASE WHEN NOT bad THEN (d - med) / sc > t END AS alert, CASE WHEN bad THEN 'negative ' || chr(39) || 'proto' || chr(39) END AS reason FROM d, k, t"""
+
+
+@query("m26_batch_scoring", _m26_sql())
 def m26_batch_scoring(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").withColumn("row_id", F.col("l_orderkey") * 10 + F.col("l_linenumber")).withColumns({"port": F.lit(443), "proto": F.when(F.col("l_linenumber") == 7, -1).otherwise(6), "role": F.lit(0)})
+    """Scores, alerts and rejections of all line items, by distances in the feature space to 5,000 references of their role."""
+    li = table(spark, d, "lineitem").withColumn("row_id", ((F.col("l_orderkey") * 100_000 + F.col("l_partkey")) * 100_000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")).withColumns({"port": F.lit(443), "proto": F.when(F.col("l_linenumber") == 7, -1).otherwise(6), "role": F.lit(0)})
     fit, val = li.where("l_returnflag <> 'R' AND l_orderkey % 3 <> 0"), li.where("l_returnflag <> 'R' AND l_orderkey % 3 = 0")
-    model = batch.fit_model(fit, val, MODALITIES, "role", "row_id", epochs=1)
+    model = batch.fit_model(fit, val, MODALITIES, "role", "row_id")
     good, bad = batch.score_batch(li.drop("role"), model, "row_id", None, "proto", "port")
-    return good.select("row_id", F.round("score", 6).alias("score"), "alert").unionByName(bad.select("row_id"), allowMissingColumns=True)
+    return good.select("row_id", F.round("score", 6).alias("score"), "alert").unionByName(bad.select("row_id", "reason"), allowMissingColumns=True)
 
 
 @query("p10_families")

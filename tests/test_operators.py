@@ -286,11 +286,12 @@ def test_batch_scoring(spark):
     rows += [(1000 + i, *map(str, (x[i] * 100).tolist()), "6", "80") for i in range(10)] + [(2000, "x", "1", "1", "1", "6", "80"), (2001, "1", "1", "1", "1", "6", "70000")]
     df = spark.createDataFrame(rows, "row_id long, a string, b string, c string, d string, proto string, port string")
     num = clean.numeric(df.where("row_id < 400"), ["a", "b", "c", "d"]).withColumn("role", F.lit(0))
-    m = batch.fit_model(num.where("row_id < 300"), num.where("row_id >= 300"), {"p": ["a", "b"], "q": ["c", "d"]}, "role", "row_id", 0.05, epochs=4, min_ref=50, batch=64)
-    good, bad = batch.score_batch(df, m, "row_id", None, "proto", "port", None, 2)
-    got = {r.row_id: r for r in good.collect()}
-    assert len(got) == 410 and {r.row_id for r in bad.collect()} == {2000, 2001}
-    assert all(got[1000 + i].alert and len(got[1000 + i].top_features) == 2 for i in range(10)) and sum(got[i].alert for i in range(400)) < 60
+    for encoder in (None, {"epochs": 4, "batch": 64}):
+        m = batch.fit_model(num.where("row_id < 300"), num.where("row_id >= 300"), {"p": ["a", "b"], "q": ["c", "d"]}, "role", "row_id", 0.05, encoder, 50)
+        good, bad = batch.score_batch(df, m, "row_id", None, "proto", "port", None, 2)
+        got = {r.row_id: r for r in good.collect()}
+        assert len(got) == 410 and {r.row_id for r in bad.collect()} == {2000, 2001}
+        assert all(got[1000 + i].alert and len(got[1000 + i].top_features) == 2 for i in range(10)) and sum(got[i].alert for i in range(400)) < 60
     x4 = num.withColumn("x", F.array("a", "b", "c", "d")).select("row_id", "x")
     assert math.isclose(batch.linear_cka(x4, x4, "row_id").first().cka, 1, abs_tol=1e-9)
     assert {r.modality: r.share for r in batch.batch_duplicates(x4.unionByName(x4), {"p": (0, 2)}, "row_id").collect()}["p"] == 1
@@ -302,6 +303,19 @@ def test_batch_scoring(spark):
     assert 0 <= batch.pseudo_time(x4, "row_id").agg(F.min("ts")).first()[0] < 1
 
 
+@pytest.mark.parametrize("n", [1, 3, 7, 400])
+def test_nearest_sums(n):
+    from flowlens.operators.detectors import nearest_sums
+
+    rng = np.random.default_rng(n)
+    x, m = np.round(rng.normal(size=(300, 3)), 1), np.round(rng.normal(size=(n, 3)), 1)  # many ties
+    ids = rng.permutation(n)
+    got, errors = nearest_sums(x, m, ids, 5)
+    d = np.sqrt(((x[:, None] - m[None]) ** 2).sum(2))
+    near = np.array([np.lexsort((ids, row))[:5] for row in d])
+    assert np.allclose(got, np.take_along_axis(d, near, 1).mean(1)) and np.allclose(errors, ((x[:, None] - m[near]) ** 2).mean(1))
+
+
 def test_seen_and_unseen_families(spark):
     from flowlens.operators import batch
 
