@@ -14,6 +14,9 @@ from flowlens.operators.metrics import folded, roc_auc
 
 #: Parts of names that identify a record or leak its label.
 SUSPICIOUS = ("id", "ip", "addr", "label", "class", "attack", "truth", "timestamp")
+#: Names that would be identifiers, or leaks of a label or of a detector's decision, among the inputs.
+IDENTIFIERS = ["Flow ID", "Src IP", "Dst IP", "Src Port", "Dst Port", "Timestamp", "ts", "id", "src_ip", "dst_ip", "src_port", "dst_port", "start", "start_utc", "stcpb", "dtcpb"]
+LABEL_LIKE = ["Label", "label", "attack", "attack_cat", "class", "truth", "sig", "alerted", "rule", "n_engine_alerts", "event_type_alert", "pad_zone"]
 
 
 def alignment(a: DataFrame, b: DataFrame, key: str, label: str) -> DataFrame:
@@ -142,5 +145,5 @@ def participation_ratio(df: DataFrame, x: str) -> DataFrame:
 
 
 def suspicious_names(columns: list[str]) -> list[str]:
-    """Names with a part that identifies a record or its label."""
-    return [c for c in columns if reduce(lambda a, p: a or p in c.lower().replace("_", " ").split(), SUSPICIOUS, False)]
+    """Names that are listed as identifiers or labels, and others with a part that identifies a record or its label."""
+    return [c for c in columns if c in IDENTIFIERS or c in LABEL_LIKE or reduce(lambda a, p: a or p in c.lower().replace("_", " ").split(), SUSPICIOUS, False)]

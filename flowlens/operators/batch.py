@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.columns import role_from_port, role_override, row_hash
 from flowlens.operators import audit, clean, detectors, features, metrics, scoring
+from flowlens.operators.events import with_flow
 from flowlens.operators.quantiles import quantiles
 from flowlens.sources.scratch import written
 
@@ -202,7 +203,20 @@ def shuffled_weights(w: detectors.Weights, seed: int = 0) -> detectors.Weights:
     return {k: rng.normal(0, float(a.std()) + 1e-6, a.shape) for k, a in w.items()}
 
 
-def flow_context(alerts: DataFrame, assembled: DataFrame) -> DataFrame:
-    """Alerts with the endpoints and signatures of their flow, joined on the flow's id and place."""
+def flow_context(alerts: DataFrame, assembled: DataFrame, sensor: DataFrame | None = None, seq: str = "seq", most: int = 3) -> DataFrame:
+    """Alerts with the endpoints and signatures of their flow, joined on the flow's id and place; with sensor (the parsed events) also http and dns (the first `most` hosts with urls, and names, of the flow) and sni (its last)."""
     own = assembled.select("flow_id", "flow_seq", "flow_key", "src_ip", "dst_ip", "event_types", "signatures")
-    return alerts.join(own, ["flow_id", "flow_seq"], "left")
+    out = alerts.join(own, ["flow_id", "flow_seq"], "left")
+    if sensor is None:
+        return out
+    named = F.when(F.col("event_type") == "http", F.when(F.col("http.hostname").isNotNull() & F.col("http.url").isNotNull(), F.concat_ws("/", "http.hostname", "http.url"))).when(F.col("event_type") == "dns", F.nullif("dns.rrname", F.lit(""))).when(F.col("event_type") == "tls", F.col("tls.sni"))
+    seen = with_flow(sensor, seq).where(F.col("event_type").isin("http", "dns", "tls") & F.col("flow_seq").isNotNull()).select("flow_id", "flow_seq", "event_type", F.col(seq).alias("_seq"), named.alias("_name")).where("_name IS NOT NULL")
+    order = Window.partitionBy("flow_id", "flow_seq", "event_type")
+    late = F.row_number().over(order.orderBy(F.desc("_seq")))
+    first = seen.withColumn("_r", F.row_number().over(order.orderBy("_seq"))).where(F.col("_r") <= most)
+    last = seen.where("event_type = 'tls'").withColumn("_r", late).where("_r = 1")
+    listed = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("event_type") == kind, F.struct("_r", "_name")))), lambda x: x["_name"]).alias(kind)  # noqa: E731  at most `most`
+    lists = first.where("event_type <> 'tls'").groupBy("flow_id", "flow_seq").agg(listed("http"), listed("dns"))
+    out = out.join(lists, ["flow_id", "flow_seq"], "left").join(last.select("flow_id", "flow_seq", F.col("_name").alias("sni")), ["flow_id", "flow_seq"], "left")
+    none = F.array().cast("array<string>")
+    return out.withColumns({"http": F.coalesce("http", none), "dns": F.coalesce("dns", none)})

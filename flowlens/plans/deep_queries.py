@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.operators import diagnostics, joins, networks, variants
+from flowlens.operators import batch, diagnostics, events, explain, features, joins, networks, variants
 from flowlens.plans.views import flows, query, r6, table
 
 
@@ -147,3 +147,53 @@ def q17_rule_audit(spark: SparkSession, d: str) -> DataFrame:
 def q17_talkers(spark: SparkSession, d: str) -> DataFrame:
     """Who talks to each rule's victims in its window."""
     return networks.talkers(_net_flows(spark, d), _net_rules(spark, d), "src", "dst", "day", "sec", "row_id")
+
+
+@query(
+    "a14_flow_context",
+    """WITH l AS (SELECT *, min(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS f FROM events),
+    n AS (SELECT *, row_number() OVER (PARTITION BY user_id, f, event_type ORDER BY event_id) AS r, row_number() OVER (PARTITION BY user_id, f, event_type ORDER BY event_id DESC) AS back FROM l WHERE f IS NOT NULL)
+    SELECT user_id AS flow_id, f AS flow_seq, '10.0.0.' || user_id % 200 AS src_ip, count(*) FILTER (event_type = 'error') AS signatures, coalesce(string_agg(CASE WHEN event_type = 'view' AND r <= 3 THEN 'h' || event_id % 9 || '/u' || event_id END, ' ' ORDER BY event_id), '') AS http,
+     coalesce(string_agg(CASE WHEN event_type = 'click' AND r <= 3 THEN 'n' || event_id % 5 END, ' ' ORDER BY event_id), '') AS dns, max(CASE WHEN event_type = 'signup' AND back = 1 THEN 's' || event_id END) AS sni FROM n GROUP BY user_id, f""",
+)
+def a14_flow_context(spark: SparkSession, d: str) -> DataFrame:
+    """Flows with their signatures, first pages and names, and last server name."""
+    k, i = F.col("event_type"), F.col("event_id").cast("string")
+    name = F.when(k == "purchase", "flow").when(k == "view", "http").when(k == "click", "dns").when(k == "error", "alert").otherwise("tls")
+    parts = {
+        "event_type": name, "flow_id": F.col("user_id"), "proto": F.lit("TCP"), "src_ip": F.concat(F.lit("10.0.0."), (F.col("user_id") % 200).cast("string")), "dest_ip": F.lit("10.0.1.1"), "flow": F.when(name == "flow", F.struct(F.lit(3).alias("pkts_toserver"))),
+        "http": F.when(name == "http", F.struct(F.concat(F.lit("h"), (F.col("event_id") % 9).cast("string")).alias("hostname"), F.concat(F.lit("u"), i).alias("url"))), "dns": F.when(name == "dns", F.struct(F.lit("query").alias("type"), F.concat(F.lit("n"), (F.col("event_id") % 5).cast("string")).alias("rrname"))),
+        "tls": F.when(name == "tls", F.struct(F.concat(F.lit("s"), i).alias("sni"))), "alert": F.when(name == "alert", F.struct(F.lit(2000001).alias("signature_id"), F.lit("x").alias("signature"))),
+    }
+    sensor = events.parse_events(table(spark, d, "events").select(F.col("event_id").alias("seq"), F.to_json(F.struct(*[c.alias(n) for n, c in parts.items()])).alias("value")))
+    assembled = events.assemble(sensor)
+    out = batch.flow_context(assembled.select("flow_id", "flow_seq"), assembled, sensor)
+    return out.select("flow_id", "flow_seq", "src_ip", F.size("signatures").cast("long").alias("signatures"), F.array_join("http", " ").alias("http"), F.array_join("dns", " ").alias("dns"), "sni")
+
+
+@query(
+    "a11_a15_report",
+    """WITH li AS (SELECT l_orderkey * 10 + l_linenumber AS id, max(l_quantity) AS q, max(l_discount) AS d, max(l_tax) AS t, max(l_suppkey) % 3 AS role FROM lineitem GROUP BY 1),
+    v AS (SELECT id, role, q, unnest([{'f': 'quantity', 'v': q - 25, 'r': q, 'w': (q - 25) * 0.5}, {'f': 'discount', 'v': d * 300, 'r': d, 'w': d * 300 - 20}, {'f': 'tax', 'v': t * 200 - 5, 'r': t, 'w': (t * 200 - 5) * 2}]) AS x FROM li),
+    b AS (SELECT role, x.f AS f, quantile_cont(x.r, 0.5) AS t, quantile_cont(x.r, 0.95) AS hi FROM v GROUP BY 1, 2),
+    o AS (SELECT id, role, x.f AS f, x.v AS v, x.r AS r, row_number() OVER (PARTITION BY id ORDER BY x.v DESC, x.f) AS p, row_number() OVER (PARTITION BY id ORDER BY abs(x.w) DESC, x.f) AS again FROM v),
+    e AS (SELECT o.id, o.f, row_number() OVER (PARTITION BY o.id ORDER BY p) AS p, r, t, hi, again <= 2 AS stable FROM o JOIN b USING (role, f) WHERE v > 0 AND p <= 3),
+    h AS (SELECT id, string_agg(DISTINCT h, '; ' ORDER BY h) AS hypotheses FROM (SELECT id, CASE WHEN f = 'quantity' AND r > hi THEN 'bulk' WHEN f = 'discount' AND r > hi THEN 'bargain' WHEN f = 'tax' AND r < t * 0.5 THEN 'exempt' END AS h FROM e WHERE stable) WHERE h IS NOT NULL GROUP BY id),
+    n AS (SELECT id, count(*) AS n_evidence, count(*) FILTER (stable) AS n_stable, string_agg(f || ' ' || format('{:.2f}', r) || ' usually ' || format('{:.2f}', t), chr(10) ORDER BY p) AS lines FROM e GROUP BY id),
+    a AS (SELECT id, q / 15 AS ratio, CASE WHEN role = 0 THEN 1 ELSE 3 END AS severity, role <> 2 AS sig FROM li WHERE q > 30),
+    r AS (SELECT a.id, CASE WHEN sig THEN 'confirmed' ELSE 'anomaly_only' END AS verdict, CASE WHEN sig AND severity <= 2 THEN 'HIGH' WHEN sig OR ratio >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS priority, coalesce(n_evidence, 0) AS n_evidence, coalesce(n_stable, 0) AS n_stable, ratio, lines, hypotheses FROM a LEFT JOIN n USING (id) LEFT JOIN h USING (id))
+    SELECT id, verdict, priority, CASE WHEN n_stable >= 3 THEN 'high' WHEN n_stable >= 1 THEN 'medium' ELSE 'low' END AS confidence, n_evidence, n_stable, round(ratio, 6) AS ratio, coalesce(hypotheses, '') AS hypotheses, priority || ' ' || verdict || chr(10) || coalesce(lines, '') || chr(10) || coalesce(hypotheses, '') AS text FROM r""",
+)
+def a11_a15_report(spark: SparkSession, d: str) -> DataFrame:
+    """Reports with evidence against each role's usual values, what a second run confirms, hypotheses and text."""
+    names = ("quantity", "discount", "tax")
+    li = table(spark, d, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")).agg(*[F.max(f"l_{n}").alias(n) for n in names], (F.max("l_suppkey") % 3).cast("int").alias("role"))
+    value = {"quantity": F.col("quantity") - 25, "discount": F.col("discount") * 300, "tax": F.col("tax") * 200 - 5}
+    second = {"quantity": value["quantity"] * 0.5, "discount": value["discount"] - 20, "tax": value["tax"] * 2}
+    long = li.select("id", "role", "quantity", F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), value[n].alias("value"), second[n].alias("again"), F.col(n).alias("raw")) for n in names])).alias("x")).select("id", "role", "x.*")
+    again = explain.top_features(long.select("id", "feature", F.col("again").alias("value")), 2)
+    found = explain.evidence(long.select("id", "feature", "value"), long.select("id", "role", "feature", "raw"), features.raw_baseline(li, list(names), "role", 1), again, 3)
+    groups = spark.createDataFrame([("quantity", "high", "bulk"), ("discount", "high", "bargain"), ("tax", "low", "exempt")], "feature string, direction string, hypothesis string")
+    alerts = li.where("quantity > 30").select("id", F.col("quantity").alias("score"), F.lit(15.0).alias("threshold"), F.when(F.col("role") == 0, 1).otherwise(3).alias("severity"), (F.col("role") != 2).alias("has_signature"))
+    out = explain.report(alerts, found, explain.hypotheses(found, groups))
+    return out.withColumn("hypotheses", F.coalesce(F.array_join("hypotheses", "; "), F.lit(""))).withColumns({c: F.col(c).cast("long") for c in ("n_evidence", "n_stable")})

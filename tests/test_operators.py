@@ -246,6 +246,7 @@ def test_audit(spark):
         audit.check_aligned(a, a.where("k = 1"), "k", "label")
     audit.check_aligned(a, a, "k", "label")
     assert audit.suspicious_names(["src_ip", "bytes", "label_code"]) == ["src_ip", "label_code"]
+    assert audit.suspicious_names([*audit.IDENTIFIERS, *audit.LABEL_LIKE, "n_bytes"]) == [*audit.IDENTIFIERS, *audit.LABEL_LIKE]
 
 
 def test_sources(spark, tmp_path):
