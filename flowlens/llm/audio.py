@@ -140,13 +140,9 @@ def fingerprint_media(media: DataFrame, id_col: str = "rec_id", media_col: str =
 
 def align(query: np.ndarray, other: np.ndarray) -> tuple[int, int, int, float]:
     """Offset (place in other - place in query), equal integers there, overlap and share of differing bits. Of offsets with as many equal integers the smallest; without any: 0, 0, 0, 1."""
-    order = np.argsort(other, kind="stable")
-    lo, hi = np.searchsorted(other[order], query), np.searchsorted(other[order], query, "right")
-    n = hi - lo
-    if not n.sum():
+    _, offsets, votes = Queries([(0, query)]).votes(other)
+    if not len(votes):
         return 0, 0, 0, 1.0
-    at = order[np.repeat(lo, n) + ranges(n)]
-    offsets, votes = np.unique(at - np.repeat(np.arange(len(query)), n), return_counts=True)
     best = int(offsets[np.argmax(votes)])
     a, b = query[max(0, -best) :], other[max(0, best) :]
     m = min(len(a), len(b))
@@ -155,7 +151,14 @@ def align(query: np.ndarray, other: np.ndarray) -> tuple[int, int, int, float]:
 
 
 class Queries:
-    """The integers of some recordings, sorted, with their owners and places."""
+    """The integers of some recordings, sorted, with their owners and places.
+
+    An integer that recordings hold so often that its pairs of places would be over HEAVY (silence, a held tone) is
+    counted by a correlation of where it stands, for each query, in memory of their lengths; pairs of the others are
+    taken PAIRS at a time.
+    """
+
+    HEAVY, PAIRS = 1 << 18, 1 << 21
 
     def __init__(self, held: list[tuple[int, np.ndarray]]):
         self.ids, self.prints = [q for q, _ in held], [p for _, p in held]
@@ -165,22 +168,53 @@ class Queries:
         self.owner = np.repeat(np.arange(len(held)), [len(p) for p in self.prints])[order]
         self.place = np.concatenate([np.arange(len(p)) for p in self.prints])[order] if held else order
 
+    def votes(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, offset (place in own - place in the query) and equal integers there, by query and offset."""
+        value, group, count = np.unique(own, return_inverse=True, return_counts=True)
+        lo, hi = np.searchsorted(self.items, value), np.searchsorted(self.items, value, "right")
+        heavy = count * (hi - lo) > self.HEAVY
+        width = 1 << 32
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        place = np.flatnonzero(~heavy[group])
+        n = (hi - lo)[group[place]]
+        for part in np.split(place, np.flatnonzero(np.diff(np.cumsum(n) // self.PAIRS)) + 1) if len(place) else []:
+            first, m = lo[group[part]], (hi - lo)[group[part]]
+            at = np.repeat(first, m) + ranges(m)
+            found.append(np.unique(self.owner[at] * width + (np.repeat(part, m) - self.place[at] + (width >> 1)), return_counts=True))
+        spectra: dict[int, np.ndarray] = {}
+        room = {q: 1 << (len(own) + len(p)).bit_length() for q, p in enumerate(self.prints)}
+        for v in np.flatnonzero(heavy).tolist():
+            mine = np.flatnonzero(group == v)
+            for q in np.unique(self.owner[lo[v] : hi[v]]).tolist():
+                theirs = self.place[lo[v] : hi[v]][self.owner[lo[v] : hi[v]] == q]
+                a, b = np.zeros(room[q]), np.zeros(room[q])
+                a[mine], b[theirs] = 1, 1
+                both = np.fft.rfft(a) * np.conj(np.fft.rfft(b))
+                spectra[q] = spectra[q] + both if q in spectra else both
+        for q, s in spectra.items():
+            equal = np.rint(np.fft.irfft(s, room[q])).astype(np.int64)
+            at = np.flatnonzero(equal)
+            offset = np.where(at < len(own), at, at - room[q])
+            found.append((q * width + offset + (width >> 1), equal[at]))
+        if not found:
+            return (np.zeros(0, np.int64),) * 3
+        key, back = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+        total = np.bincount(back, np.concatenate([c for _, c in found]), len(key)).astype(np.int64)
+        return key // width, key % width - (width >> 1), total
+
     def match(self, rec: int, own: np.ndarray, hits: int, least: int, most_wrong: float) -> list[tuple]:
         """(query, offset, equal, overlap, bit error): of each query the offset that most equal integers agree on, if `hits` do."""
-        lo, hi = np.searchsorted(self.items, own), np.searchsorted(self.items, own, "right")
-        n = hi - lo
-        at = np.repeat(lo, n) + ranges(n)
-        width = 1 << 32
-        key, votes = np.unique(self.owner[at] * width + (np.repeat(np.arange(len(own)), n) - self.place[at] + (width >> 1)), return_counts=True)
+        owner, offsets, votes = self.votes(own)
         enough = votes >= hits
-        key, votes = key[enough], votes[enough]
+        owner, offsets, votes = owner[enough], offsets[enough], votes[enough]
+        edges = np.searchsorted(owner, np.arange(len(self.ids) + 1))
         out = []
-        for q in np.unique(key // width).tolist():
+        for q in np.unique(owner).tolist():
             if self.ids[q] == rec:
                 continue
-            mine = key // width == q
+            mine = slice(edges[q], edges[q + 1])
             best = int(np.argmax(votes[mine]))
-            offset = int(key[mine][best] % width) - (width >> 1)
+            offset = int(offsets[mine][best])
             a, b = self.prints[q][max(0, -offset) :], own[max(0, offset) :]
             m = min(len(a), len(b))
             wrong = int(np.bitwise_count(a[:m] ^ b[:m]).sum()) / (32 * m)

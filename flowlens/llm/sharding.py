@@ -75,7 +75,7 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     """Rows of docs (the columns in keep, or all) with shard_size, shard_crc32, shard and slot.
 
     The law is `bytes`: each row counts the UTF-8 bytes of its text plus 1 (null: 1), and the shards' sums differ by
-    about 2 * TOLERANCE or one row. slot numbers a shard's rows from 0 without gaps, in order of (hash of text, id).
+    about 2 * TOLERANCE or one row (or the rows of one id and text, which stay together). slot numbers a shard's rows from 0 without gaps, in order of (hash of text, id).
     Equal texts, however many, lie side by side and in one shard unless a boundary would miss the tolerance; null
     and empty texts count as equal. Ids may be null or repeat (null first; ties in any order). An empty table gives
     no row. Columns of docs named like the new ones are replaced.
