@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.operators import batch, diagnostics, events, explain, features, joins, networks, variants
+from flowlens.operators import batch, diagnostics, events, explain, features, joins, networks, simulate, variants
 from flowlens.plans.views import flows, query, r6, table
 
 
@@ -197,3 +197,14 @@ def a11_a15_report(spark: SparkSession, d: str) -> DataFrame:
     alerts = li.where("quantity > 30").select("id", F.col("quantity").alias("score"), F.lit(15.0).alias("threshold"), F.when(F.col("role") == 0, 1).otherwise(3).alias("severity"), (F.col("role") != 2).alias("has_signature"))
     out = explain.report(alerts, found, explain.hypotheses(found, groups))
     return out.withColumn("hypotheses", F.coalesce(F.array_join("hypotheses", "; "), F.lit(""))).withColumns({c: F.col(c).cast("long") for c in ("n_evidence", "n_stable")})
+
+
+@query("a09_simulatability")
+def a09_simulatability(spark: SparkSession, d: str) -> DataFrame:
+    """How well the size alone, and all columns, of line items tell their priority, and returned ones from others."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    li = table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    row = ((F.col("l_orderkey") * 100_000 + F.col("l_partkey")) * 100_000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")
+    kind = F.when(F.col("l_returnflag") == "R", F.col("o_orderpriority")).otherwise("Benign")
+    rows = li.select(row.alias("id"), kind.alias("label"), F.array("l_quantity").alias("score"), F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax").alias("x"))
+    return r6(simulate.simulatability(rows, ["score", "x"], "label", "id", floor="score"))
