@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.operators import batch, diagnostics, events, explain, features, joins, networks, simulate, variants
+from flowlens.operators import batch, diagnostics, errors, events, explain, features, joins, networks, scoring, simulate, variants
 from flowlens.plans.views import flows, query, r6, table
 
 
@@ -201,10 +201,135 @@ def a11_a15_report(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a09_simulatability")
 def a09_simulatability(spark: SparkSession, d: str) -> DataFrame:
-    """How well the size alone, and all columns, of line items tell their priority, and returned ones from others."""
+    """How well the size alone, and all columns, of alerts (large line items) tell their priority, and returned ones from others."""
     o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
     li = table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     row = ((F.col("l_orderkey") * 100_000 + F.col("l_partkey")) * 100_000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")
     kind = F.when(F.col("l_returnflag") == "R", F.col("o_orderpriority")).otherwise("Benign")
-    rows = li.select(row.alias("id"), kind.alias("label"), F.array("l_quantity").alias("score"), F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax").alias("x"))
+    rows = li.where("l_quantity > 44").select(row.alias("id"), kind.alias("label"), F.array("l_quantity").alias("score"), F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax").alias("x"))
     return r6(simulate.simulatability(rows, ["score", "x"], "label", "id", floor="score"))
+
+
+#: Decisions of two methods and seeds over line items, against the 0.95 quantile of benign validation scores.
+DEC = """dl AS (SELECT ((l_orderkey * 100000 + l_partkey) * 100000 + l_suppkey) * 10 + l_linenumber AS row_id, l_orderkey % 3 = 0 AS is_val, CASE l_returnflag WHEN 'N' THEN 'Benign' ELSE l_returnflag END AS label, CASE l_returnflag WHEN 'N' THEN 0 ELSE 1 END AS y, l_quantity, l_discount, l_tax, l_linestatus, l_shipdate, l_linenumber, l_suppkey % 9 AS role,
+   seed, method, CASE method WHEN 'price' THEN l_extendedprice / 1000 * (1 + seed * l_tax) ELSE l_quantity + seed * l_tax * 100 END AS score FROM lineitem, (VALUES (0), (1)) s(seed), (VALUES ('price'), ('quantity')) m(method)),
+ dv AS (SELECT method, seed, score, count(*) OVER (PARTITION BY method, seed) AS n, count(*) OVER (PARTITION BY method, seed ORDER BY score) AS upto FROM dl WHERE is_val AND y = 0), dt AS (SELECT method, seed, quantile_cont(score, 0.95) AS t FROM dv GROUP BY 1, 2),
+ dw AS (SELECT DISTINCT method, seed, score, n, upto FROM dv), dec AS (SELECT d.*, d.score > t AS flagged, 1 - coalesce(w.upto, 0) / (SELECT max(n) FROM dw x WHERE x.method = d.method AND x.seed = d.seed) AS p FROM dl d JOIN dt USING (method, seed) ASOF LEFT JOIN dw w ON w.method = d.method AND w.seed = d.seed AND d.score >= w.score)"""
+
+
+def _decisions(spark: SparkSession, d: str) -> DataFrame:
+    row = ((F.col("l_orderkey") * 100_000 + F.col("l_partkey")) * 100_000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")
+    items = F.array(*[F.struct(F.lit(s).alias("seed"), F.lit(m).alias("method")) for s in (0, 1) for m in ("price", "quantity")])
+    li = table(spark, d, "lineitem").withColumn("x", F.explode(items)).select("*", "x.*").drop("x")
+    score = F.when(F.col("method") == "price", F.col("l_extendedprice") / 1000 * (1 + F.col("seed") * F.col("l_tax"))).otherwise(F.col("l_quantity") + F.col("seed") * F.col("l_tax") * 100)
+    label = F.when(F.col("l_returnflag") == "N", "Benign").otherwise(F.col("l_returnflag"))
+    long = li.select(row.alias("row_id"), (F.col("l_orderkey") % 3 == 0).alias("is_val"), label.alias("label"), (F.col("l_returnflag") != "N").cast("int").alias("y"), "l_quantity", "l_discount", "l_tax", "l_linestatus", "l_shipdate", "l_linenumber", (F.col("l_suppkey") % 9).alias("role"), "seed", "method", score.alias("score"))
+    val = long.where("is_val AND y = 0")
+    limits = scoring.threshold(val, "score", 0.05, ["method", "seed"])
+    ranked = scoring.rank_in(long, "score", val, "score", ["method", "seed"])
+    return ranked.join(F.broadcast(limits), ["method", "seed"]).withColumns({"flagged": F.col("score") > F.col("threshold"), "p": 1 - F.col("at_most") / F.col("n")}).drop("at_most", "n", "threshold")  # a row for each detector
+
+
+@query(
+    "q18_per_attack",
+    f"""WITH {DEC}, k AS (SELECT DISTINCT l_quantity, l_discount, l_tax, role FROM dl WHERE y = 0), f AS (SELECT dec.*, k.role IS NOT NULL AS same FROM dec LEFT JOIN k USING (l_quantity, l_discount, l_tax, role))
+    SELECT method, seed, label, count(*) AS flows, round(avg(CASE WHEN flagged THEN 1.0 ELSE 0.0 END), 6) AS recall, count(*) FILTER (NOT flagged) AS misses, round(avg(CASE WHEN same THEN 1.0 ELSE 0.0 END) FILTER (NOT flagged), 6) AS misses_identical FROM f WHERE y = 1 GROUP BY 1, 2, 3""",
+)
+def q18_per_attack(spark: SparkSession, d: str) -> DataFrame:
+    """Recall and misses by attack, and how many misses are the copy of a benign row."""
+    dec = _decisions(spark, d).withColumn("x", F.array("l_quantity", "l_discount", "l_tax"))
+    known = dec.where("y = 0 AND method = 'price' AND seed = 0")
+    rows = dec.where("method = 'price' AND seed = 0")
+    flags = errors.benign_flags(rows.select("row_id", "x", "role", "y"), known.select("row_id", "x", "role"), "role", "row_id", n=1000)
+    out = errors.per_attack(dec.join(flags, "row_id"))
+    return r6(out.select("method", "seed", "label", "flows", "recall", "misses", "misses_identical"))
+
+
+@query(
+    "q18_misses_by_factor",
+    f"""WITH {DEC}, x AS (SELECT method, seed, label, flagged, 'role' AS factor, CAST(role AS VARCHAR) AS level FROM dec WHERE y = 1 UNION ALL SELECT method, seed, label, flagged, 'status', l_linestatus FROM dec WHERE y = 1
+     UNION ALL SELECT method, seed, label, flagged, 'size', CASE WHEN l_quantity <= 2 THEN '1-2' WHEN l_quantity <= 5 THEN '3-5' WHEN l_quantity <= 20 THEN '6-20' WHEN l_quantity <= 100 THEN '21-100' ELSE '>100' END FROM dec WHERE y = 1),
+    n AS (SELECT method, seed, factor, level, label, count(*) AS n, count(*) FILTER (NOT flagged) AS m, row_number() OVER (PARTITION BY method, seed, factor, level ORDER BY count(*) DESC, label) AS r FROM x GROUP BY method, seed, factor, level, label)
+    SELECT method, seed, factor, level, CAST(sum(n) AS BIGINT) AS attack_flows, round(sum(m) / sum(n), 6) AS miss_rate, string_agg(CASE WHEN r <= 3 THEN label END, ', ' ORDER BY r) AS attack_types FROM n GROUP BY 1, 2, 3, 4""",
+)
+def q18_misses_by_factor(spark: SparkSession, d: str) -> DataFrame:
+    dec = _decisions(spark, d).withColumns({"size": errors.size_bin("l_quantity"), "status": F.col("l_linestatus")})
+    return r6(errors.misses_by_factor(dec, ["role", "status", "size"]))
+
+
+@query(
+    "q18_alarms_by_factor",
+    f"""WITH {DEC}, x AS (SELECT method, seed, flagged, 'line' AS factor, CAST(l_linenumber AS VARCHAR) AS level FROM dec WHERE y = 0 UNION ALL SELECT method, seed, flagged, 'hour', CAST(hour(l_shipdate) AS VARCHAR) FROM dec WHERE y = 0),
+    n AS (SELECT method, seed, factor, level, count(*) AS b, count(*) FILTER (flagged) AS f FROM x GROUP BY ALL), t AS (SELECT *, sum(f) OVER (PARTITION BY method, seed, factor) AS s, row_number() OVER (PARTITION BY method, seed, factor ORDER BY f DESC, level) AS r FROM n)
+    SELECT method, seed, factor, level, b AS benign_flows, f AS false_alarms, round(f / b, 6) AS rate, round(f / greatest(s, 1), 6) AS share FROM t WHERE r <= 5""",
+)
+def q18_alarms_by_factor(spark: SparkSession, d: str) -> DataFrame:
+    dec = _decisions(spark, d).withColumns({"hour": F.hour("l_shipdate"), "line": F.col("l_linenumber")})
+    return r6(errors.alarms_by_factor(dec, ["line", "hour"], 5))
+
+
+@query(
+    "q19_detectors",
+    f"""WITH {DEC}, g AS (SELECT row_id, label, count(*) FILTER (flagged) AS c, max(CASE WHEN flagged THEN method || '/' || seed END) AS o FROM dec WHERE y = 1 GROUP BY 1, 2), w AS (SELECT label, count(*) AS flows, avg(CASE WHEN c > 0 THEN 1.0 ELSE 0.0 END) AS a, avg(CASE WHEN c = 4 THEN 1.0 ELSE 0.0 END) AS b, avg(CASE WHEN c = 0 THEN 1.0 ELSE 0.0 END) AS z FROM g GROUP BY label),
+    n AS (SELECT DISTINCT method || '/' || seed AS detector FROM dec) SELECT w.label, detector, flows, round(a, 6) AS "any", round(b, 6) AS "all", round(z, 6) AS "none", round((SELECT count(*) FROM g WHERE g.label = w.label AND c = 1 AND o = detector) / flows, 6) AS "only" FROM w, n""",
+)
+def q19_detectors(spark: SparkSession, d: str) -> DataFrame:
+    return r6(errors.complementarity(_decisions(spark, d)))
+
+
+@query("q20_flips", f"WITH {DEC}, g AS (SELECT method, row_id, label, bool_or(flagged) AND NOT bool_and(flagged) AS flip FROM dec GROUP BY 1, 2, 3), m AS (SELECT method, label, quantile_cont(p, 0.5) AS p FROM dec JOIN g USING (method, row_id, label) WHERE flip GROUP BY 1, 2) SELECT method, label, count(*) AS flows, round(avg(CASE WHEN flip THEN 1.0 ELSE 0.0 END), 6) AS flip_share, round(any_value(m.p), 6) AS median_p FROM g LEFT JOIN m USING (method, label) GROUP BY 1, 2")
+def q20_flips(spark: SparkSession, d: str) -> DataFrame:
+    return r6(errors.seed_flips(_decisions(spark, d)))
+
+
+@query("q20_near_misses", f"WITH {DEC} SELECT method, seed, label, count(*) AS misses, round(avg(CASE WHEN p <= 0.05 THEN 1.0 ELSE 0.0 END), 6) AS p_low, round(avg(CASE WHEN p > 0.5 THEN 1.0 ELSE 0.0 END), 6) AS p_high, round(quantile_cont(p, 0.5), 6) AS median_p FROM dec WHERE y = 1 AND NOT flagged GROUP BY 1, 2, 3")
+def q20_near_misses(spark: SparkSession, d: str) -> DataFrame:
+    return r6(errors.near_misses(_decisions(spark, d)))
+
+
+@query("q20_capture_end", f"WITH {DEC} SELECT method, seed, count(*) FILTER (flagged) AS false_alarms, round(avg(CASE WHEN l_linestatus = 'O' THEN 1.0 ELSE 0.0 END) FILTER (flagged), 6) AS end_share, round(avg(CASE WHEN flagged THEN 1.0 ELSE 0.0 END) FILTER (l_linestatus = 'O'), 6) AS rate_end, round(avg(CASE WHEN flagged THEN 1.0 ELSE 0.0 END) FILTER (l_linestatus <> 'O'), 6) AS rate_other FROM dec WHERE y = 0 GROUP BY 1, 2")
+def q20_capture_end(spark: SparkSession, d: str) -> DataFrame:
+    return r6(errors.capture_end(_decisions(spark, d).withColumn("open", F.col("l_linestatus") == "O"), "open"))
+
+
+@query(
+    "q20_deviations",
+    f"""WITH {DEC}, x AS (SELECT y, flagged, 'l_quantity' AS feature, abs(l_quantity) AS v FROM dec WHERE method = 'price' AND seed = 0 UNION ALL SELECT y, flagged, 'l_discount', abs(l_discount) FROM dec WHERE method = 'price' AND seed = 0),
+    m AS (SELECT feature, quantile_cont(v, 0.5) FILTER (y = 1 AND flagged) AS tp, quantile_cont(v, 0.5) FILTER (y = 1 AND NOT flagged) AS fn, quantile_cont(v, 0.5) FILTER (y = 0 AND flagged) AS fp, quantile_cont(v, 0.5) FILTER (y = 0 AND NOT flagged) AS tn FROM x GROUP BY feature)
+    SELECT feature, round(tp, 6) AS tp, round(fn, 6) AS fn, round(fp, 6) AS fp, round(tn, 6) AS tn, round(fp - tn, 6) AS fp_minus_tn, round(fn - tp, 6) AS fn_minus_tp FROM m""",
+)
+def q20_deviations(spark: SparkSession, d: str) -> DataFrame:
+    return r6(errors.deviations(_decisions(spark, d).where("method = 'price' AND seed = 0"), ["l_quantity", "l_discount"]))
+
+
+@query(
+    "q07_same_as_benign",
+    "WITH x AS (SELECT CASE l_returnflag WHEN 'N' THEN 'Benign' ELSE l_returnflag END AS label, l_linenumber AS day, round(l_quantity, 4) AS a, round(l_discount, 4) AS b, round(l_tax, 4) AS c FROM lineitem), k AS (SELECT DISTINCT day, a, b, c FROM x WHERE label = 'Benign') SELECT label, count(*) AS n, count(k.a) AS identical FROM x LEFT JOIN k USING (day, a, b, c) WHERE label <> 'Benign' GROUP BY label",
+)
+def q07_same_as_benign(spark: SparkSession, d: str) -> DataFrame:
+    """Attack rows that are the copy of a benign row of their day."""
+    li = table(spark, d, "lineitem").withColumn("label", F.when(F.col("l_returnflag") == "N", "Benign").otherwise(F.col("l_returnflag")))
+    return errors.same_as_benign(li, "label", ["l_quantity", "l_discount", "l_tax"], ["l_linenumber"])
+
+
+@query(
+    "m19_late_fusion",
+    """WITH {EV}, s AS (SELECT median(score) AS a, median(k) AS b FROM ev WHERE y = 0), m AS (SELECT 1.4826 * median(abs(score - a)) + 1e-6 AS c, 1.4826 * median(abs(k - b)) + 1e-6 AS e FROM ev, s WHERE y = 0) SELECT row_id, round(greatest((score - a) / c, (k - b) / e), 6) AS score FROM ev, s, m""",
+)
+def m19_late_fusion(spark: SparkSession, d: str) -> DataFrame:
+    """The largest robust z of two modalities' scores, each against its benign rows."""
+    f = flows(spark, d)
+    parts = [f.select("row_id", "y", F.col("score")), f.select("row_id", "y", F.col("k").cast("double").alias("score"))]
+    return r6(batch.late_fusion([p.drop("y") for p in parts], [p.where("y = 0") for p in parts], "row_id"))
+
+
+@query(
+    "m29_label_free",
+    """WITH {EV}, c AS (SELECT 'value' AS name, score AS s, CASE event_type WHEN 'error' THEN 'swap' WHEN 'signup' THEN 'extreme' ELSE 'benign' END AS kind FROM ev UNION ALL SELECT 'k', k, CASE event_type WHEN 'error' THEN 'swap' WHEN 'signup' THEN 'extreme' ELSE 'benign' END FROM ev),
+    a AS (SELECT name, s, 'swap' AS t, count(*) FILTER (kind = 'swap') AS p, count(*) FILTER (kind = 'benign') AS q FROM c WHERE kind IN ('swap', 'benign') GROUP BY ALL UNION ALL SELECT name, s, 'extreme', count(*) FILTER (kind = 'extreme'), count(*) FILTER (kind = 'benign') FROM c WHERE kind IN ('extreme', 'benign') GROUP BY ALL),
+    b AS (SELECT *, sum(q) OVER (PARTITION BY name, t ORDER BY s) AS below FROM a), u AS (SELECT name, t, sum(p * (below - q * 0.5)) / (sum(p) * sum(q)) AS auc FROM b GROUP BY 1, 2) SELECT name, round(avg(auc), 6) AS auc FROM u GROUP BY name""",
+)
+def m29_label_free(spark: SparkSession, d: str) -> DataFrame:
+    """Two candidates by how well they tell benign rows from two kinds of anomalies."""
+    f = flows(spark, d).withColumn("kind", F.when(F.col("event_type") == "error", "swap").when(F.col("event_type") == "signup", "extreme").otherwise("benign"))
+    return r6(batch.select_without_labels({"value": f.select("score", "kind"), "k": f.select(F.col("k").cast("double").alias("score"), "kind")}).select("name", "auc"))
