@@ -7,15 +7,25 @@ from pyspark.sql import functions as F
 
 from flowlens.operators.features import robust_stats
 from flowlens.operators.quantiles import prefix_sum, quantiles
+from flowlens.sources.scratch import written
 
 EPS = 1e-8
 
 
 def calibrator(df: DataFrame, component: str, role: str, min_n: int = 500, floor: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """Robust statistics of ln(component): over all rows, and of each role with min_n rows (its scale at least floor times the global one)."""
-    v = F.log(F.col(component) + EPS)
-    whole = robust_stats(df, v, []).select(F.col("med").alias("g_med"), F.col("scale").alias("g_scale"))
-    each = robust_stats(df, v, [role]).where(F.col("n") >= min_n).crossJoin(F.broadcast(whole))
+    # Values are counted once by role; the counts serve the roles and, without them, the whole.
+    counted = df.select(F.col(role).alias("_role"), F.log(F.col(component) + EPS).alias("_v")).where("_v IS NOT NULL").groupBy("_role", "_v").agg(F.count("*").alias("_c"))
+    rows = counted.where("_role IS NOT NULL").withColumn("_all", F.lit(False)).unionByName(counted.withColumns({"_all": F.lit(True), "_role": F.lit(None).cast(counted.schema["_role"].dataType)}))
+    rows, keys = written(rows, "counted"), ["_all", "_role"]
+    med = quantiles(rows, "_v", {"_med": 0.5}, keys, "_c").drop("n").withColumnsRenamed({k: f"{k}_of" for k in keys})  # a row for each role
+    off = rows.join(F.broadcast(med), F.col("_all").eqNullSafe(F.col("_all_of")) & F.col("_role").eqNullSafe(F.col("_role_of"))).withColumn("_d", F.abs(F.col("_v") - F.col("_med")))
+    size = rows.groupBy(*keys).agg(F.sum("_c").alias("n"))
+    dev = quantiles(off, "_d", {"_s": 0.5}, keys, "_c").drop("n")
+    found = med.join(dev, F.col("_all").eqNullSafe(F.col("_all_of")) & F.col("_role").eqNullSafe(F.col("_role_of"))).drop("_all_of", "_role_of").join(size.withColumnsRenamed({k: f"{k}_of" for k in keys}), F.col("_all").eqNullSafe(F.col("_all_of")) & F.col("_role").eqNullSafe(F.col("_role_of")))
+    stats = written(found.select("_all", F.col("_role").alias(role), F.col("_med").alias("med"), (F.col("_s") * 1.4826 + 1e-6).alias("scale"), "n"), "calibrator")
+    whole = stats.where("_all").select(F.col("med").alias("g_med"), F.col("scale").alias("g_scale"))
+    each = stats.where(~F.col("_all") & (F.col("n") >= min_n)).crossJoin(F.broadcast(whole))
     return whole, each.select(role, "med", F.greatest("scale", F.col("g_scale") * floor).alias("scale"))
 
 
@@ -74,6 +84,14 @@ def threshold(df: DataFrame, score: str, fpr: float, keys: list[str] | None = No
     return quantiles(df, score, {"threshold": 1 - fpr}, keys or []).drop("n")
 
 
+def robust_threshold(df: DataFrame, value: str, fpr: float) -> DataFrame:
+    """One row: med, scale, and threshold, the (1 - fpr) quantile of the robust z, which rises with the value: so the median and that quantile come from one count."""
+    q = quantiles(df, value, {"med": 0.5, "high": 1 - fpr}, []).drop("n")
+    off = df.select(F.col(value).cast("double").alias("_v")).crossJoin(F.broadcast(q)).select(F.abs(F.col("_v") - F.col("med")).alias("_d"))  # one row
+    dev = quantiles(off, "_d", {"_s": 0.5}, []).select((F.col("_s") * 1.4826 + 1e-6).alias("scale"))
+    return q.crossJoin(F.broadcast(dev)).select("med", "scale", ((F.col("high") - F.col("med")) / F.col("scale")).alias("threshold"))
+
+
 def adapt_by_day(df: DataFrame, day: str, time: str, score: str, window: int, fpr: float) -> DataFrame:
     """Rows after each day's first `window` seconds, with adapted (robust z under these seconds) and threshold (their quantile)."""
     first = df.groupBy(day).agg(F.min(time).alias("_t0"))
@@ -96,7 +114,8 @@ def tail_ensemble(long: DataFrame, ref: DataFrame, knn: str) -> DataFrame:
     all_rows = long.withColumn("_is_ref", F.lit(False)).unionByName(ref.withColumn("_is_ref", F.lit(True)))
     t = tail_score(all_rows, "score", ref, "score", "t", seeded)
     levels = t.groupBy("seed", "_is_ref", "row_id").agg(F.max(F.when(F.col("method") == knn, F.col("t"))).alias("knn"), F.max(F.when(F.col("method") != knn, F.col("t"))).alias("experts"))
-    levels = tail_score(levels, "experts", levels.where("_is_ref"), "experts", "te", ["seed"]).withColumn("both", F.greatest("knn", "te"))
+    levels = written(levels, "levels")  # each level is read as rows and as its own reference
+    levels = written(tail_score(levels, "experts", levels.where("_is_ref"), "experts", "te", ["seed"]).withColumn("both", F.greatest("knn", "te")), "levels")
     final = tail_score(levels, "both", levels.where("_is_ref"), "both", "score", ["seed"])
     return final.where("NOT _is_ref").groupBy("row_id").agg(F.avg("score").alias("score"))
 

@@ -9,6 +9,7 @@ from flowlens.functions import columns as C
 from flowlens.operators import audit, features, joins, metrics, scoring, split
 from flowlens.operators.quantiles import quantiles
 from flowlens.plans.views import connections, flows, order_flows, query, r6, schedule, scores, table
+from flowlens.sources.scratch import written
 
 # --- scores ---------------------------------------------------------------------------------------------------------
 
@@ -527,10 +528,7 @@ FLAG = """WITH {EV}, {CUT}, x AS (SELECT ev.*, cutoff, count(*) OVER (PARTITION
 @query("flagship_alerts", FLAG.replace("{CUT}", "r AS (SELECT day, sec, row_number() OVER (PARTITION BY day ORDER BY sec, row_id) - 1 AS p, count(*) OVER (PARTITION BY day) AS n FROM ev WHERE y = 0), c AS (SELECT day, sec AS cutoff FROM r WHERE p = CAST(floor(n * 0.8) AS BIGINT))"))
 def flagship_alerts(spark: SparkSession, d: str) -> DataFrame:
     f = features.trailing_count(flows(spark, d), ["day", "event_type"], "sec", {"load": 3600}).withColumn("benign", F.col("y") == 0)
-    f = split.time_split(f, "day", "sec", "row_id", 0.2, "benign")
-    val = f.where("split = 'val'")
-    stats = features.robust_stats(val, F.col("load").cast("double"), []).select("med", "scale")
-    z = (F.col("load") - F.col("med")) / F.col("scale")
-    limit = scoring.threshold(val.crossJoin(F.broadcast(stats)).withColumn("z", z), "z", 0.05)
-    scored = f.crossJoin(F.broadcast(stats)).withColumn("z", z).crossJoin(F.broadcast(limit))
+    f = written(split.time_split(f, "day", "sec", "row_id", 0.2, "benign").select("user_id", "sec", "load", "split", "y"), "flagship")
+    limit = scoring.robust_threshold(f.where("split = 'val'"), "load", 0.05)
+    scored = f.crossJoin(F.broadcast(limit)).withColumn("z", (F.col("load") - F.col("med")) / F.col("scale"))  # one row
     return metrics.alert_groups(scored, "user_id", "sec", 3600, F.col("z") > F.col("threshold"), "y")
