@@ -28,19 +28,20 @@ CHUNK = 64
 class Examples:
     """The labelled examples' vectors under an index, and the calibration of their votes.
 
-    vocabulary: sorted hashes of the terms; frequency: documents (of n_docs) that have each.
-    bags: for each example the terms' places in the vocabulary, and how often it has them.
+    vocabulary: sorted hashes of the terms; frequency: documents (of n_docs) that have each. place, count: the examples'
+    terms, one example after the other, as places in the vocabulary, and how often each has them; size: terms of each.
     """
 
-    def __init__(self, ids: list[int], labels: list[int], bags: list[tuple[np.ndarray, np.ndarray]], vocabulary: np.ndarray, frequency: np.ndarray, n_docs: int, k: int):
+    def __init__(self, ids: list[int], labels: list[int], place: np.ndarray, count: np.ndarray, size: np.ndarray, vocabulary: np.ndarray, frequency: np.ndarray, n_docs: int, k: int):
         self.ids, self.labels, self.k, self.vocabulary = np.array(ids, np.int64), np.array(labels, np.float64), k, vocabulary
         self.idf = np.log(1 + n_docs / np.maximum(frequency, 1))
         self.a, self.b = 0.0, 0.0
-        rows = [self.vector(*b) for b in bags]
-        ident = np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows]).astype(np.int64)
-        term, impact = (np.concatenate([r[i] for r in rows]) if rows else np.zeros(0) for i in (0, 1))
-        order = np.argsort(term, kind="stable")
-        self.index = BlockMaxIndex(term[order].astype(np.int64), ident[order], impact[order], len(vocabulary), len(rows))
+        ident = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        impact = (1 + np.log(count)) * self.idf[place]
+        impact /= np.maximum(np.sqrt(np.bincount(ident, impact * impact, len(size))), 1e-300)[ident]
+        order = np.argsort(place, kind="stable")
+        ident, impact = ident[order], impact[order]
+        self.index = BlockMaxIndex(place[order], ident, impact, len(vocabulary), len(size))
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights (1 + ln tf) * idf, of length 1."""
@@ -102,12 +103,18 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2_000, k: int = 50)
         for batch in pieces(batches, 3):
             row, term, n = term_counts(Words(batch.column(3), plain=True), STEMS)
             edges = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            blobs = [[x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)] for x in (term, n.astype(np.int64))]
+            blobs = [[x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)] for x in (term, n.astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *(pa.array(b, pa.binary()) for b in blobs)], names=["place", "doc_id", "toxic", "terms", "counts"])
 
     rows = one.select("place", "doc_id", "toxic", "text").mapInArrow(bags, "place string, doc_id long, toxic int, terms binary, counts binary").orderBy("place", "toxic").collect()  # at most 2 * per_class
-    terms = [np.frombuffer(r["terms"], np.uint64) for r in rows]
-    vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *terms]))
+    ids, marks = [r["doc_id"] for r in rows], [r["toxic"] for r in rows]
+    size = np.array([len(r["terms"]) // 8 for r in rows], np.int64)
+    count = np.frombuffer(b"".join(r["counts"] for r in rows), np.int32)
+    every = np.frombuffer(b"".join(r["terms"] for r in rows), np.uint64)
+    del rows  # what is kept is flat: the driver's memory is bounded by the examples
+    vocabulary = np.unique(every)
+    place = np.searchsorted(vocabulary, every).astype(np.int32)
+    del every
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # of the examples' terms
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,11 +133,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2_000, k: int = 50)
     at, n = (counted.column(c).to_numpy() for c in ("term", "n"))
     frequency = np.zeros(len(vocabulary), np.int64)
     frequency[at[at >= 0]] = n[at >= 0]
-    own = [(np.searchsorted(vocabulary, t), np.frombuffer(r["counts"], np.int64)) for t, r in zip(terms, rows, strict=True)]
-    model = Examples([r["doc_id"] for r in rows], [r["toxic"] for r in rows], own, vocabulary, frequency, int(n[at < 0].sum()), k)
+    model = Examples(ids, marks, place, count, size, vocabulary, frequency, int(n[at < 0].sum()), k)
     toxic = int(model.labels.sum())
-    clean = len(rows) - toxic
+    clean = len(ids) - toxic
     if toxic and clean:
+        ends = np.cumsum(size)
+        own = [(place[e - m : e], count[e - m : e]) for e, m in zip(ends, size, strict=True)]
         share = np.array([s for s, _, _ in model.votes(own, True)])
         model.calibrate(share, np.where(model.labels == 1, known[1] / toxic, known[0] / clean))  # as often as in all labelled rows
     else:
