@@ -247,7 +247,7 @@ def _m26_sql() -> str:
     return f"""WITH l AS (SELECT ((l_orderkey * 100000 + l_partkey) * 100000 + l_suppkey) * 10 + l_linenumber AS row_id, l_orderkey % 3 = 0 AS is_val, l_returnflag <> 'R' AS benign, l_linenumber = 7 AS bad, {logs} FROM lineitem),
      s AS (SELECT {stats} FROM l WHERE benign AND NOT is_val), f AS (SELECT row_id, is_val, benign, bad, {clipped} FROM l, s),
      r AS (SELECT * FROM f WHERE benign AND NOT is_val ORDER BY CAST('0x' || substr(md5(CAST(row_id AS VARCHAR) || '|0'), 1, 15) AS BIGINT), row_id LIMIT 5000),
-     d AS (SELECT f.row_id, f.is_val, f.benign, f.bad, list_avg(min(sqrt({square}), 5)) AS d FROM f, r GROUP BY ALL),
+     d AS (SELECT f.row_id, f.is_val, f.benign, f.bad, f.x1, list_avg(min(sqrt({square}), 5)) AS d FROM f, r GROUP BY ALL),
      m AS (SELECT median(d) AS med FROM d WHERE benign AND is_val), k AS (SELECT med, 1.4826 * (SELECT median(abs(d - med)) FROM d, m WHERE benign AND is_val) + 1e-6 AS sc FROM m),
      t AS (SELECT quantile_cont((d - med) / sc, 0.99) AS t FROM d, k WHERE benign AND is_val)
      SELECT row_id, CASE WHEN NOT bad THEN round((d - med) / sc, 6) END AS score, CASE WHEN NOT bad THEN (d - med) / sc > t END AS alert, CASE WHEN bad THEN 'negative ' || chr(39) || 'proto' || chr(39) END AS reason FROM d, k, t"""
