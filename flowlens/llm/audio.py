@@ -170,10 +170,16 @@ class Queries:
 
     def votes(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Query, offset (place in own - place in the query) and equal integers there, by query and offset."""
+        width = 1 << 32
+        lo, hi = np.searchsorted(self.items, own), np.searchsorted(self.items, own, "right")
+        n = hi - lo
+        if n.sum() <= min(self.HEAVY, self.PAIRS):  # few pairs: all at once
+            at = np.repeat(lo, n) + ranges(n)
+            key, total = np.unique(self.owner[at] * width + (np.repeat(np.arange(len(own)), n) - self.place[at] + (width >> 1)), return_counts=True)
+            return key // width, key % width - (width >> 1), total
         value, group, count = np.unique(own, return_inverse=True, return_counts=True)
         lo, hi = np.searchsorted(self.items, value), np.searchsorted(self.items, value, "right")
         heavy = count * (hi - lo) > self.HEAVY
-        width = 1 << 32
         found: list[tuple[np.ndarray, np.ndarray]] = []
         place = np.flatnonzero(~heavy[group])
         n = (hi - lo)[group[place]]
