@@ -7,6 +7,7 @@ its size is bounded by the examples. Cosines weigh the votes, and a logistic cur
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ from flowlens.llm.common import written
 from flowlens.llm.kernels import Words, pieces, term_counts
 
 #: Terms are whole words and, for longer words, their first characters, so many: forms of a word share these.
-STEMS = (4, 6)
+STEMS = (5,)
 #: Texts that are asked together.
 CHUNK = 64
 
@@ -115,6 +116,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2_000, k: int = 50)
     vocabulary = np.unique(every)
     place = np.searchsorted(vocabulary, every).astype(np.int32)
     del every
+    gc.collect()
+    pa.default_memory_pool().release_unused()
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # of the examples' terms
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
