@@ -82,8 +82,9 @@ def visits(rows: DataFrame, index: Cells, k: int, exclude_self: bool = False) ->
                 if r not in roles:
                     continue
                 b = roles[r]
-                for lo in range(0, len(g), 512):
-                    part = g.iloc[lo : lo + 512]
+                step = max(1, 2_000_000 // len(b))  # rows at a time, so that rows times blocks stay bounded
+                for lo in range(0, len(g), step):
+                    part = g.iloc[lo : lo + step]
                     d = distances(np.stack(part["x"].to_list()), pivots)
                     cells, home = b["cell"].to_numpy(), d.min(1)
                     mine = d[:, cells]
