@@ -54,12 +54,12 @@ def profile(df: DataFrame, label: str, duration: str, port: str, columns: list[s
 
 
 def quality(df: DataFrame, columns: list[str]) -> DataFrame:
-    """missing, negative, zero_share, n_distinct and is_constant of each column. Values are counted by (column, value) first, so distinct ones need no further pass."""
+    """missing, infinite, negative, zero_share, n_distinct and is_constant of each column. Values are counted by (column, value) first, so distinct ones need no further pass."""
     pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns])
     counts = df.select(F.explode(pairs).alias("x")).groupBy("x.name", "x.v").agg(F.count("*").alias("n"))
     n = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
     v = F.col("v")
-    out = counts.groupBy("name").agg(n(v.isNull()).alias("missing"), n(v < 0).alias("negative"), (n(v == 0) / F.nullif(n(v.isNotNull()), F.lit(0))).alias("zero_share"), F.count("v").alias("n_distinct"))
+    out = counts.groupBy("name").agg(n(v.isNull()).alias("missing"), n(F.abs(v) == float("inf")).alias("infinite"), n(v < 0).alias("negative"), (n(v == 0) / F.nullif(n(v.isNotNull()), F.lit(0))).alias("zero_share"), F.count("v").alias("n_distinct"))
     return out.withColumn("is_constant", F.col("n_distinct") <= 1)
 
 

@@ -429,7 +429,7 @@ def q01_profile(spark: SparkSession, d: str) -> DataFrame:
     return audit.profile(dirty(spark, d), "label", "duration", "port", ["label", "duration", "port", "proto", "stamp"])
 
 
-@query("q02_q03_quality", " UNION ALL ".join(f"SELECT '{c}' AS name, count(*) FILTER ({c} IS NULL) AS missing, count(*) FILTER ({c} < 0) AS negative, round(avg(CASE WHEN {c} = 0 THEN 1.0 ELSE 0.0 END), 6) AS zero_share, count(DISTINCT {c}) AS n_distinct, count(DISTINCT {c}) <= 1 AS is_constant FROM lineitem" for c in ("l_quantity", "l_discount", "l_tax")))
+@query("q02_q03_quality", " UNION ALL ".join(f"SELECT '{c}' AS name, count(*) FILTER ({c} IS NULL) AS missing, count(*) FILTER (isinf({c})) AS infinite, count(*) FILTER ({c} < 0) AS negative, round(avg(CASE WHEN {c} = 0 THEN 1.0 ELSE 0.0 END), 6) AS zero_share, count(DISTINCT {c}) AS n_distinct, count(DISTINCT {c}) <= 1 AS is_constant FROM lineitem" for c in ("l_quantity", "l_discount", "l_tax")))
 def q02_q03_quality(spark: SparkSession, d: str) -> DataFrame:
     return r6(audit.quality(table(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax"]))
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowlens.operators import plausible, summaries
+from flowlens.operators import audit, plausible, summaries
 
 
 def test_best_with_ties(spark):
@@ -83,3 +83,9 @@ def test_modalities(spark):
     expected = spark.createDataFrame([("a", "m"), ("a", "m"), ("z", "n")], "label string, modality string")
     labels = spark.createDataFrame([(1, "a"), (2, "a"), (3, "q")], "id long, label string")
     assert [tuple(r) for r in plausible.plausibility(top, labels, expected, 2).collect()] == [("a", 2, 0.5, 0.5)]
+
+
+def test_quality_counts_infinite(spark):
+    df = spark.createDataFrame([(1.0,), (float("inf"),), (float("-inf"),), (float("nan"),), (None,), (0.0,)], "a double")
+    row = audit.quality(df, ["a"]).first()
+    assert (row.missing, row.infinite, row.negative, row.n_distinct, row.is_constant) == (1, 2, 1, 5, False)
