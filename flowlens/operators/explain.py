@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.functions.columns import jaccard
+from flowlens.functions.columns import correlation, jaccard
 from flowlens.operators.detectors import matrix
 
 Score = Callable[[np.ndarray], np.ndarray]
@@ -126,14 +126,14 @@ def modality_share(values: DataFrame, modalities: DataFrame) -> DataFrame:
 
 
 def rank_correlation(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Spearman's correlation of absolute values, for each id."""
+    """Spearman's correlation of absolute values, for each id; NaN where a side's values are all equal."""
     both = a.select("id", "feature", F.abs("value").alias("_a")).join(b.select("id", "feature", F.abs("value").alias("_b")), ["id", "feature"])
 
     def mean_rank(c: str) -> Column:
         w = Window.partitionBy("id").orderBy(c)
         return F.rank().over(w) + (F.count("*").over(Window.partitionBy("id", c)) - 1) / 2
 
-    return both.withColumn("_ra", mean_rank("_a")).withColumn("_rb", mean_rank("_b")).groupBy("id").agg(F.corr("_ra", "_rb").alias("spearman"))
+    return both.withColumn("_ra", mean_rank("_a")).withColumn("_rb", mean_rank("_b")).groupBy("id").agg(correlation("_ra", "_rb").alias("spearman"))
 
 
 def evidence(values: DataFrame, rows: DataFrame, baseline: DataFrame, top_again: DataFrame, k: int = 8) -> DataFrame:

@@ -215,7 +215,7 @@ def w09_trailing_distinct(spark: SparkSession, d: str) -> DataFrame:
 def q16_future_check(spark: SparkSession, d: str) -> DataFrame:
     out = features.distinct_per_bucket(flows(spark, d), ["day"], "dst_port", "sec", 3600, "n")
     out = features.trailing_distinct(out, ["day"], "dst_port", "sec", 3600, "t")
-    return r6(out.agg(F.avg((F.col("n") != F.col("t")).cast("double")).alias("differs"), F.corr("n", "t").alias("correlation")))
+    return r6(out.agg(F.avg((F.col("n") != F.col("t")).cast("double")).alias("differs"), C.correlation("n", "t").alias("correlation")))
 
 
 @query("e17_e19_schedule", """WITH {EV}, {SCHED}, p AS (SELECT e.row_id, e.sec, r.* FROM ev e JOIN rules r ON (e.user_id BETWEEN a_lo AND a_hi AND e.dst_port BETWEEN v_lo AND v_hi) OR (direction = 'any' AND e.dst_port BETWEEN a_lo AND a_hi AND e.user_id BETWEEN v_lo AND v_hi)),
