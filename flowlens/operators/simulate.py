@@ -111,7 +111,7 @@ def _pass(rows: DataFrame, tasks: list[_Models], what: str) -> dict[tuple[int, t
         sums: dict[tuple, np.ndarray] = {}
         for pdf in batches:
             for t, models in enumerate(shared.value):
-                own = pdf[pdf[f"in{t}"]].assign(y=pdf[f"y{t}"])
+                own = pdf.assign(y=pdf[f"y{t}"])[pdf[f"in{t}"]]
                 if not len(own):
                     continue
                 y, folds, xs = models.rows(own)
@@ -159,7 +159,7 @@ def simulatability(df: DataFrame, inputs: list[str], label: str, row_id: str, be
         def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for t, models in enumerate(shared.value):
-                    own = pdf[pdf[f"in{t}"]].assign(y=pdf[f"y{t}"])
+                    own = pdf.assign(y=pdf[f"y{t}"])[pdf[f"in{t}"]]
                     if not len(own):
                         continue
                     y, folds, xs = models.rows(own)
