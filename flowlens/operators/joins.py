@@ -129,22 +129,30 @@ def label_by_schedule(flows: DataFrame, rules: DataFrame, src: str, dst: str, ti
 
 
 def closest(x: np.ndarray, own: np.ndarray, m: np.ndarray, ids: np.ndarray, k: int, exclude_self: bool) -> pd.DataFrame:
-    """id, ref_id and distance of the k nearest rows of m to each row of x; ties: the smaller ref_id."""
-    out, norm = [], (m**2).sum(1)
-    for lo in range(0, len(x), 1024):
-        part, who = x[lo : lo + 1024], own[lo : lo + 1024]
-        d = norm[None] - 2 * part @ m.T
+    """id, ref_id and distance of the k nearest rows of m to each row of x, all ties compared by exact distance and ref_id."""
+    out = [pd.DataFrame({"id": np.zeros(0, np.int64), "ref_id": np.zeros(0, np.int64), "distance": np.zeros(0)})]
+    shift = m.mean(0) if len(m) else 0.0
+    mc = m - shift
+    norm = (mc**2).sum(1)
+    wide = np.c_[-2 * mc, norm].T
+    rows = min(256, max(1, 2_000_000 // max(1, len(m))))  # rows at a time, so that rows times references stay bounded
+    few = max(1, len(m) // max(1024, 8 * k))  # the k-th of some of the references bounds the k-th of all
+    for lo in range(0, len(x), rows):
+        part, who = x[lo : lo + rows], own[lo : lo + rows]
+        pc = part - shift
+        d = np.c_[pc, np.ones(len(pc))] @ wide  # squared distances but for a term of the row
         if exclude_self:
             d[who[:, None] == ids[None]] = np.inf
-        n = min(len(m), k + 8)  # some more than k, whose distances are then taken exactly
-        near = np.argpartition(d, n - 1, axis=1)[:, :n] if n < len(m) else np.broadcast_to(np.arange(len(m)), d.shape)
-        exact = np.sqrt(((part[:, None, :] - m[near]) ** 2).sum(2))
-        exact[np.isinf(np.take_along_axis(d, near, 1))] = np.inf
-        order = np.lexsort((ids[near], exact), axis=1)[:, :k]
-        dist, ref = np.take_along_axis(exact, order, 1).ravel(), np.take_along_axis(ids[near], order, 1).ravel()
-        real = np.isfinite(dist)
-        out.append(pd.DataFrame({"id": np.repeat(who, order.shape[1])[real], "ref_id": ref[real], "distance": dist[real]}))
-    return pd.concat(out) if out else pd.DataFrame({"id": np.zeros(0, np.int64), "ref_id": np.zeros(0, np.int64), "distance": np.zeros(0)})
+        some = d[:, ::few]
+        top = np.partition(some, k - 1, axis=1)[:, k - 1] if k < some.shape[1] else np.full(len(d), np.inf)
+        bar = np.minimum(top + 1e-9 * (1 + (pc**2).sum(1) + norm.max(initial=0.0)), np.finfo(float).max)
+        at, ref = np.nonzero(d <= bar[:, None])
+        exact = np.concatenate([np.zeros(0), *[np.sqrt(((part[at[s : s + 100_000]] - m[ref[s : s + 100_000]]) ** 2).sum(1)) for s in range(0, len(at), 100_000)]])
+        order = np.lexsort((ids[ref], exact, at))
+        at, ref, exact = at[order], ref[order], exact[order]
+        keep = np.arange(len(at)) - np.searchsorted(at, at) < k
+        out.append(pd.DataFrame({"id": who[at[keep]], "ref_id": ids[ref[keep]], "distance": exact[keep]}))
+    return pd.concat(out)
 
 
 FOUND = "id long, ref_id long, distance double"
@@ -180,8 +188,8 @@ def nearest(rows: DataFrame, refs: DataFrame, k: int, role: str | None = None, e
 def nearest_of_all(rows: DataFrame, refs: DataFrame, k: int, role: str | None = None, exclude_self: bool = False, block: int = 20_000) -> DataFrame:
     """nearest() with references of any number, which stay on Spark: blocks of rows meet blocks of references, and the blocks' best merge. Exact, so the work grows with rows times references; the k * blocks best of a row are what is shuffled."""
     spark = rows.sparkSession
-    q = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // block))
     r = max(1, -(-refs.count() // block))
+    q = max(-(-int(spark.conf.get("spark.sql.shuffle.partitions")) // r), -(-rows.count() // block))
     deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     a = _points(rows, role).withColumn("_q", deal(q)).withColumn("_r", every(r))
