@@ -120,9 +120,12 @@ def deletion(alerts: DataFrame, top: DataFrame, median: list[float], score: Scor
 
 def modality_share(values: DataFrame, modalities: DataFrame) -> DataFrame:
     """Share of each modality in the absolute values of an id. modalities: feature, modality."""
-    total = values.groupBy("id").agg(F.sum(F.abs("value")).alias("_t"))
-    part = values.join(F.broadcast(modalities), "feature").groupBy("id", "modality").agg(F.sum(F.abs("value")).alias("_v"))
-    return part.join(total, "id").select("id", "modality", (F.col("_v") / F.greatest("_t", F.lit(1e-12))).alias("share"))
+    of = modalities.groupBy("feature").agg(F.collect_list("modality").alias("_of"))
+    whole = F.array(F.lit(None).cast("string"))  # every value counts once for no modality: that is the total
+    long = values.join(F.broadcast(of), "feature", "left").select("id", F.abs("value").alias("_a"), F.explode(F.concat(whole, F.coalesce("_of", F.array().cast("array<string>")))).alias("modality"))
+    part = long.groupBy("id", "modality").agg(F.sum("_a").alias("_v"))
+    total = F.max(F.when(F.col("modality").isNull(), F.col("_v"))).over(Window.partitionBy("id"))  # a row for each modality
+    return part.withColumn("_t", total).where("modality IS NOT NULL").select("id", "modality", (F.col("_v") / F.greatest("_t", F.lit(1e-12))).alias("share"))
 
 
 def rank_correlation(a: DataFrame, b: DataFrame) -> DataFrame:
