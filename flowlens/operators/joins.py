@@ -46,9 +46,9 @@ def as_of_match(left: DataFrame, right: DataFrame, keys: list[str], left_time: s
 
 
 def within(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, most: int) -> DataFrame:
-    """Pairs of one key whose times differ by at most `most`: the time axis is cut into such widths, and a left row meets its own cell and the two beside it."""
-    a = left.withColumn("_cell", F.explode(F.array(*[F.floor(F.col(left_time) / most) + d for d in (-1, 0, 1)])))
-    b = right.withColumn("_cell", F.floor(F.col(right_time) / most))
+    """Pairs of one key whose times differ by at most `most`: the time axis is cut into such widths, and a right row meets its own cell and the two beside it. So the side with more rows belongs left."""
+    a = left.withColumn("_cell", F.floor(F.col(left_time) / most))
+    b = right.withColumn("_cell", F.explode(F.array(*[F.floor(F.col(right_time) / most) + d for d in (-1, 0, 1)])))
     return a.join(b, [*keys, "_cell"]).where(F.abs(F.col(left_time) - F.col(right_time)) <= most).drop("_cell")
 
 
