@@ -114,8 +114,12 @@ def drift(df: DataFrame, order: str, flagged: Column, design: float, size: int =
     """Alert rate of the last `size` rows against the design rate. order: a dense row number from 0, by which rows are dealt to blocks of `size`; a block needs the one before it."""
     block = F.floor(F.col(order) / size)
     both = df.withColumn("_f", flagged.cast("double")).withColumn("_b", F.explode(F.array(block, block + 1)))
-    w = Window.partitionBy("_b").orderBy(order).rowsBetween(-(size - 1), 0)
-    rated = both.withColumn("_n", F.count("*").over(w)).withColumn("_rate", F.avg("_f").over(w)).where(F.col("_b") == block)
+    # Running sums, less those of `size` rows before: a sliding frame would add up `size` rows for each row.
+    w = Window.partitionBy("_b").orderBy(order)
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    sums = both.withColumns({"_row": F.count("*").over(run), "_sum": F.coalesce(F.sum("_f").over(run), F.lit(0.0)), "_set": F.count("_f").over(run)})
+    gone = {c: F.col(c) - F.coalesce(F.lag(c, size).over(w), F.lit(0)) for c in ("_sum", "_set")}
+    rated = sums.withColumns(gone).where(F.col("_b") == block).withColumns({"_n": F.least("_row", F.lit(size)), "_rate": F.col("_sum") / F.nullif("_set", F.lit(0))})
     state = F.when(F.col("_n") < least, "insufficient").when(F.col("_rate") > 3 * design, "drifting").otherwise("ok")
     return rated.select(order, state.alias("state"), (F.col("_rate") / design).alias("ratio"))
 
