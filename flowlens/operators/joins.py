@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlens.sources.scratch import dealt
+
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str], slack: int = 0, cell: int = 86_400) -> DataFrame:
     """left with the values of the last right row of its key at or before its time (+ slack); null if none, as for left rows with a null key or time. Ties on the right: the largest values.
@@ -24,7 +26,7 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, ri
     one = right.groupBy(*keys, F.col(right_time).alias("_t")).agg(F.max(F.struct(F.col(right_time).alias("_rt"), *values)).alias("_v"))
     a = left.select(*keys, (F.col(left_time) + slack).alias("_t"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(one.schema["_v"].dataType).alias("_v"), F.lit(1).alias("_side"))
     b = one.select(*keys, "_t", F.lit(None).cast(a.schema["_l"].dataType).alias("_l"), "_v", F.lit(0).alias("_side"))
-    both = a.unionByName(b).withColumn("_cell", place(F.col("_t")))
+    both = dealt(a.unionByName(b).withColumn("_cell", place(F.col("_t"))), left.count() + right.count(), *keys, "_cell")
     inside = Window.partitionBy(*keys, "_cell").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("_last", F.last("_v", ignorenulls=True).over(inside)).where("_side = 1")
     ends = both.groupBy(*keys, "_cell").agg(F.max("_v").alias("_end"))  # values begin with their time: the last one
