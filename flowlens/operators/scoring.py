@@ -10,6 +10,8 @@ from flowlens.operators.quantiles import prefix_sum, quantiles
 from flowlens.sources.scratch import written
 
 EPS = 1e-8
+#: Distinct scores of a group that count as few.
+FEW = 5_000
 
 
 def calibrator(df: DataFrame, component: str, role: str, min_n: int = 500, floor: float = 0.5) -> tuple[DataFrame, DataFrame]:
@@ -40,14 +42,23 @@ def rank_in(df: DataFrame, score: str, ref: DataFrame, ref_score: str, groups: l
     """df with at_most (reference scores <= the row's) and n (reference scores), by groups.
 
     Both sides are reduced to distinct scores before the running count, which no task takes over a whole group. Null
-    scores are not counted, and rows with one (or with a null group) get nulls.
+    scores are not counted, and rows with one (or with a null group) get nulls. With groups, rows of those with few
+    distinct scores, many rows each, are told apart from the others: their small table is left to Spark to broadcast.
     """
     groups = groups or []
     own = df.select(*groups, F.col(score).cast("double").alias("_s"), F.lit(0).cast("long").alias("_c"))
     other = ref.select(*groups, F.col(ref_score).cast("double").alias("_s"), F.lit(1).cast("long").alias("_c"))
     steps = own.unionByName(other).where("_s IS NOT NULL").groupBy(*groups, "_s").agg(F.sum("_c").alias("_c"))
-    counted = prefix_sum(steps, groups, "_s", "_c", "at_most", total="n").drop("_c")
-    return df.withColumn("_s", F.col(score).cast("double")).join(counted, [*groups, "_s"], "left").drop("_s")
+    ranks = lambda s: prefix_sum(s, groups, "_s", "_c", "at_most", total="n").drop("_c")
+    rows = df.withColumn("_s", F.col(score).cast("double"))
+    if not groups:
+        return rows.join(ranks(steps), "_s", "left").drop("_s")
+    steps = written(steps, "steps")
+    few = written(steps.groupBy(*groups).agg(F.count("*").alias("_d")).where(F.col("_d") <= FEW).drop("_d"), "groups")
+    small = written(ranks(steps.join(few, groups, "left_semi")), "ranks")
+    large = ranks(steps.join(few, groups, "left_anti"))
+    apart = rows.join(few, groups, "left_semi").join(small, [*groups, "_s"], "left")
+    return apart.unionByName(rows.join(few, groups, "left_anti").join(large, [*groups, "_s"], "left")).drop("_s")
 
 
 def tail(at_most: str | Column = "at_most", n: str | Column = "n") -> Column:
