@@ -6,6 +6,8 @@ scores above the row's).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,12 @@ def same_as_benign(df: DataFrame, label: str, columns: list[str], within: list[s
     return counts.join(known, "_key", "left").groupBy(label).agg(F.sum("_n").alias("n"), F.coalesce(F.sum(F.when(F.col("_b") == 1, F.col("_n"))), F.lit(0)).alias("identical"))
 
 
+def with_identical(rows: DataFrame, benign: DataFrame, columns: list[str]) -> DataFrame:
+    """rows with identical: whether a benign row has the same columns; a null equals nothing. The benign rows' distinct values are written, so Spark knows whether they are few enough to travel to the rows."""
+    known = written(benign.select(*columns).distinct(), "benign").withColumn("_same", F.lit(True))
+    return rows.join(known, columns, "left").withColumn("identical", F.coalesce("_same", F.lit(False))).drop("_same")
+
+
 def benign_flags(rows: DataFrame, benign: DataFrame, role: str, row_id: str, near: float = 0.1, n: int = 50_000, seed: int = 0) -> DataFrame:
     """row_id, identical (x and role are those of a benign row) and near (identical, or an attack within `near` of the closest of n benign rows, a sample by hash). rows: row_id, x, role, y; benign: row_id, x, role."""
     known = benign.select(F.to_json(F.struct("x", F.col(role).alias("r"))).alias("_k")).distinct().withColumn("_same", F.lit(True))
@@ -47,11 +55,11 @@ def benign_flags(rows: DataFrame, benign: DataFrame, role: str, row_id: str, nea
 
 
 def per_attack(decisions: DataFrame) -> DataFrame:
-    """method, seed, label: flows, recall, misses, the shares of the misses that are identical to and near benign rows (null without misses), and of all flows that are near. decisions with identical and near."""
+    """method, seed, label: flows, recall, misses, the shares of the misses that are identical to and near benign rows (null without misses), and of all flows that are near. decisions with identical and, for the last two, near."""
     miss = ~F.col("flagged")
+    close = [F.avg(F.when(miss, F.col("near").cast("double"))).alias("misses_near"), F.avg(F.col("near").cast("double")).alias("near_share")] if "near" in decisions.columns else []
     return decisions.where("y = 1").groupBy("method", "seed", "label").agg(
-        F.count("*").alias("flows"), F.avg(F.col("flagged").cast("double")).alias("recall"), F.count_if(miss).alias("misses"), F.avg(F.when(miss, F.col("identical").cast("double"))).alias("misses_identical"),
-        F.avg(F.when(miss, F.col("near").cast("double"))).alias("misses_near"), F.avg(F.col("near").cast("double")).alias("near_share"),
+        F.count("*").alias("flows"), F.avg(F.col("flagged").cast("double")).alias("recall"), F.count_if(miss).alias("misses"), F.avg(F.when(miss, F.col("identical").cast("double"))).alias("misses_identical"), *close,
     )
 
 
@@ -81,26 +89,35 @@ def complementarity(decisions: DataFrame) -> DataFrame:
     """label, method: flows, the shares caught by any, by all and by none of the detectors (the same in all rows of a label) and only by this one. Detectors are the method and seed pairs of decisions, each with every row."""
     k = decisions.select("method", "seed").distinct().count()  # some detectors
     rows = decisions.where("y = 1").groupBy("row_id", "label").agg(F.count_if("flagged").alias("_c"), F.max(F.when(F.col("flagged"), F.concat_ws("/", "method", F.col("seed").cast("string")))).alias("_one"))
-    whole = rows.groupBy("label").agg(F.count("*").alias("flows"), F.avg((F.col("_c") > 0).cast("double")).alias("any"), F.avg((F.col("_c") == k).cast("double")).alias("all"), F.avg((F.col("_c") == 0).cast("double")).alias("none"))
-    only = rows.where("_c = 1").groupBy("label", F.col("_one").alias("detector")).agg(F.count("*").alias("_o"))
+    counts = written(rows.groupBy("label", "_c", "_one").agg(F.count("*").alias("_n")), "caught")  # rows are grouped once
+    share = lambda c: F.sum(F.when(c, F.col("_n")).otherwise(0)) / F.sum("_n")
+    whole = counts.groupBy("label").agg(F.sum("_n").alias("flows"), share(F.col("_c") > 0).alias("any"), share(F.col("_c") == k).alias("all"), share(F.col("_c") == 0).alias("none"))
+    only = counts.where("_c = 1").groupBy("label", F.col("_one").alias("detector")).agg(F.sum("_n").alias("_o"))
     names = decisions.select(F.concat_ws("/", "method", F.col("seed").cast("string")).alias("detector")).distinct()
     grid = whole.crossJoin(F.broadcast(names))  # labels and detectors
     return grid.join(only, ["label", "detector"], "left").select("label", "detector", "flows", "any", "all", "none", (F.coalesce("_o", F.lit(0)) / F.col("flows")).alias("only"))
 
 
-def seed_flips(decisions: DataFrame) -> DataFrame:
-    """method, label: flows, flip_share (rows that some seeds flag and others don't) and the median p of these rows over all seeds."""
-    whole = decisions.groupBy("method", "row_id", "label").agg((F.max("flagged") & ~F.min("flagged")).alias("flip"))
+def seed_flips(decisions: DataFrame, with_p: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """method, label: flows, flip_share (rows that some seeds flag and others don't) and the median p of these rows over all seeds. with_p: adds p to the rows that need it, if decisions have none."""
+    whole = written(decisions.groupBy("method", "row_id", "label").agg((F.max("flagged") & ~F.min("flagged")).alias("flip")), "flips")
     share = whole.groupBy("method", "label").agg(F.count("*").alias("flows"), F.avg(F.col("flip").cast("double")).alias("flip_share"))
-    p = decisions.join(whole.where("flip").select("method", "row_id"), ["method", "row_id"])
+    p = decisions.select("method", "seed", "row_id", "label", *(["score"] if with_p else ["p"])).join(whole.where("flip").select("method", "row_id", "label"), ["method", "row_id", "label"])
+    p = with_p(written(p, "flipped")) if with_p else p
     median = quantiles(p, "p", {"median_p": 0.5}, ["method", "label"]).drop("n")
     return share.join(median, ["method", "label"], "left")
 
 
-def near_misses(decisions: DataFrame) -> DataFrame:
-    """method, seed, label: misses, the shares with p up to 0.05 and over 0.5, and their median p."""
+def near_misses(decisions: DataFrame, with_p: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """method, seed, label: misses, the shares with p up to 0.05 and over 0.5, and their median p. with_p: adds p to the rows that need it, if decisions have none."""
     keys = ["method", "seed", "label"]
     missed = decisions.where("y = 1 AND NOT flagged")
+    if with_p:  # each score is ranked once
+        counted = missed.groupBy(*keys, "score").agg(F.count("*").alias("_n"))
+        missed = written(with_p(written(counted, "missed")), "missed")
+        share = lambda c: F.sum(F.when(c, F.col("_n")).otherwise(0)) / F.sum("_n")
+        stats = missed.groupBy(*keys).agg(F.sum("_n").alias("misses"), share(F.col("p") <= 0.05).alias("p_low"), share(F.col("p") > 0.5).alias("p_high"))
+        return stats.join(quantiles(missed, "p", {"median_p": 0.5}, keys, "_n").drop("n"), keys)
     stats = missed.groupBy(*keys).agg(F.count("*").alias("misses"), F.avg((F.col("p") <= 0.05).cast("double")).alias("p_low"), F.avg((F.col("p") > 0.5).cast("double")).alias("p_high"))
     return stats.join(quantiles(missed, "p", {"median_p": 0.5}, keys).drop("n"), keys)
 
