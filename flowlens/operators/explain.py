@@ -75,23 +75,39 @@ def group_shapley(alerts: DataFrame, background: DataFrame, score: Score, slices
 
 
 def local_surrogate(alerts: DataFrame, background: DataFrame, score: Score, d: int, samples: int = 200, ridge: float = 1.0, seed: int = 0) -> DataFrame:
-    """A weighted ridge regression of the score on which features were kept, around each alert: id, feature, value."""
-    refs = background.withColumn("_p", F.row_number().over(Window.orderBy("id")) - 1).select("_p", F.col("x").alias("_b"))
-    n = refs.count()
-    draws = alerts.select("id", "x", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("draw")).withColumn("_p", F.pmod(F.xxhash64("id", "draw", F.lit(seed)), F.lit(n)).cast("int"))
-    keep = F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.when(F.col("draw") == 0, 1).otherwise(F.pmod(F.xxhash64(F.col("id"), F.col("draw"), i, F.lit(seed + 1)), F.lit(2))).cast("int"))
-    near = draws.join(F.broadcast(refs), "_p").withColumn("keep", keep)
-    near = near.withColumn("_x", F.zip_with(F.zip_with("x", "_b", lambda v, b: F.struct(v.cast("double").alias("v"), b.cast("double").alias("b"))), "keep", lambda p, k: F.when(k == 1, p["v"]).otherwise(p["b"])))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        k, y = matrix(pdf["keep"]), pdf["s"].to_numpy()
-        w = np.exp(-(((1 - k.mean(1)) / 0.5) ** 2))
-        a = np.c_[np.ones(len(k)), k]
-        m = a.T @ (a * w[:, None]) + ridge * np.diag([0.0] + [1.0] * k.shape[1])
-        c = np.linalg.solve(m, a.T @ (w * y))[1:]
-        return pd.DataFrame({"id": int(pdf["id"].iloc[0]), "feature": np.arange(len(c), dtype=np.int32), "value": c})
+    """A weighted ridge regression of the score on which features were kept, around each alert: id, feature, value.
 
-    return scored(near, score, "_x", "s").select("id", "keep", "s").groupBy("id").applyInPandas(fit, "id long, feature int, value double")
+    An alert stays one row: its draws are hashed natively, then mixed with the background (a sample that the caller
+    bounds, which travels to every task), scored and solved in Arrow batches. Alerts of one id share a regression.
+    """
+    refs = background.select("id", "x").orderBy("id").toPandas()
+    held = alerts.sparkSession.sparkContext.broadcast(matrix(refs["x"]))
+    n, key = len(refs), F.col("id")
+    draw = F.sequence(F.lit(0), F.lit(samples - 1))
+    place = F.transform(draw, lambda r: F.pmod(F.xxhash64(key, r, F.lit(seed)), F.lit(n)).cast("int"))
+    kept = lambda i: F.transform(draw, lambda r: F.when(r == 0, 1).otherwise(F.pmod(F.xxhash64(key, r, F.lit(i), F.lit(seed + 1)), F.lit(2))).cast("int"))
+    rows = alerts.groupBy("id").agg(F.flatten(F.collect_list(F.col("x").cast("array<double>"))).alias("x"))  # an id's few alerts
+    rows = rows.select("id", "x", place.alias("p"), F.concat(*[kept(i) for i in range(d)]).alias("keep"))
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        back = held.value
+        for pdf in batches:
+            for lo in range(0, len(pdf), 1000):
+                part = pdf.iloc[lo : lo + 1000]
+                ids, size = part["id"].to_numpy(), part["x"].map(len).to_numpy() // d
+                x, of = np.concatenate(part["x"].to_list()).reshape(-1, d), np.repeat(np.arange(len(ids)), size)
+                p, keep = np.stack(part["p"].to_list()), np.stack(part["keep"].to_list()).reshape(len(ids), d, samples).transpose(0, 2, 1)
+                w = np.exp(-(((1 - keep.mean(2)) / 0.5) ** 2))
+                a = np.concatenate([np.ones((*keep.shape[:2], 1)), keep], 2)
+                aw = a * w[:, :, None]
+                mixed = np.where(keep[of] == 1, x[:, None], back[p[of]])
+                y = np.zeros(w.shape)
+                np.add.at(y, of, np.asarray(score(mixed.reshape(-1, d)), np.float64).reshape(len(x), -1))
+                m = (aw.transpose(0, 2, 1) @ a) * size[:, None, None] + ridge * np.diag([0.0] + [1.0] * d)
+                c = np.linalg.solve(m, (aw * y[:, :, None]).sum(1)[:, :, None])[:, 1:, 0]
+                yield pd.DataFrame({"id": np.repeat(ids, d), "feature": np.tile(np.arange(d, dtype=np.int32), len(ids)), "value": c.ravel()})
+
+    return rows.mapInPandas(fit, "id long, feature int, value double")
 
 
 def top_features(values: DataFrame, k: int) -> DataFrame:
@@ -139,12 +155,13 @@ def rank_correlation(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.withColumn("_ra", mean_rank("_a")).withColumn("_rb", mean_rank("_b")).groupBy("id").agg(correlation("_ra", "_rb").alias("spearman"))
 
 
-def evidence(values: DataFrame, rows: DataFrame, baseline: DataFrame, top_again: DataFrame, k: int = 8) -> DataFrame:
-    """The k features that push an id's score up most, with value, typical, p5, p95 and stable (also in the second run's top). rows: id, role, feature, raw. baseline: role (null: all), feature, typical, p5, p95."""
+def evidence(values: DataFrame, rows: DataFrame | None, baseline: DataFrame, top_again: DataFrame, k: int = 8) -> DataFrame:
+    """The k features that push an id's score up most, with value, typical, p5, p95 and stable (also in the second run's top). rows: id, role, feature, raw; None: values have role and raw, so no join is needed. baseline: role (null: all), feature, typical, p5, p95."""
     order = Window.partitionBy("id").orderBy(F.desc("value"), "feature")
-    best = values.where("value > 0").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("id", "feature", "place")
+    best = values.where("value > 0").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("value")
     own, whole = baseline.where("role IS NOT NULL").select("role", "feature", *[F.col(c).alias(f"r_{c}") for c in ("typical", "p5", "p95")]), baseline.where("role IS NULL").select("feature", "typical", "p5", "p95")
-    j = best.join(rows, ["id", "feature"]).join(F.broadcast(whole), "feature").join(F.broadcast(own), ["role", "feature"], "left").join(top_again, "id", "left")
+    own_rows = best if rows is None else best.select("id", "feature", "place").join(rows, ["id", "feature"])
+    j = own_rows.join(F.broadcast(whole), "feature").join(F.broadcast(own), ["role", "feature"], "left").join(top_again, "id", "left")
     pick = lambda c: F.coalesce(f"r_{c}", c).alias(c)
     return j.select("id", "place", "feature", F.col("raw").alias("value"), pick("typical"), pick("p5"), pick("p95"), F.coalesce(F.array_contains("top", F.col("feature")), F.lit(False)).alias("stable"))
 
