@@ -3,12 +3,14 @@
 1. Rows with the same words are one class, which is a node of the graph of links.
 2. Of each class the shingles with the smallest hashes go to buckets, so many that a similar pair must share a known
    number of them. Classes that share fewer with all others together have no partner and leave.
-3. Among those that stay the frequencies of these shingles are counted exactly. A pair must share one of the shingles
-   that are left when each class drops the most frequent ones, one fewer than the known number; classes with such a
-   shingle in common make up candidate groups.
+3. Among those that stay the frequencies of all their shingles are counted exactly. A class that shares fewer than a
+   similar pair must leaves. A pair must share one of the shingles that are left when each class drops the most frequent
+   ones, one fewer than that number; classes of fitting sizes with such a shingle in common make up candidate groups.
+   (With the shingles of step 2 alone, groups grow together to one as the corpus grows, and blocks of it are all pairs.)
 4. Within a group each text asks an inverted index which texts have at least the required number of its shingles:
    short lists are merged by a heap that skips ahead, long ones probed by binary search. What links already join is not
-   looked at again, so a text that is linked with one in the index stays out of the index.
+   looked at again, so a text that is linked with one in the index stays out of the index. In groups with long lists
+   many texts ask together: short lists are merged by counting, long ones are columns of a matrix.
 
 A piece of text sends each shingle once, however many of its classes have it (a map-side combine), so a shingle that
 a third of all rows have reaches its bucket once for each piece. What buckets send back is packed by receiver. Groups
@@ -32,6 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.llm.blockmax import spread
 from flowlens.llm.common import partitions, written
 from flowlens.llm.graph import components
 from flowlens.llm.kernels import Words, grams, mix, pieces
@@ -40,6 +43,8 @@ from flowlens.llm.kernels import Words, grams, mix, pieces
 BLOCK = 2_000_000
 #: The weight of probing against merging in the choice of long lists.
 MU = 0.01
+#: The sum of the squares of a group's lists over which its texts ask together. Then a list that a LONG-th of the texts are in is a column of a matrix, and ROWS texts ask WIDE at a time.
+TOGETHER, LONG, ROWS, WIDE = 20_000, 64, 256, 8192
 
 
 def need(n: np.ndarray | int, percent: int):
@@ -193,11 +198,11 @@ COUNTED = ["bucket", "piece", "tokens", "counts"]
 COUNTED_KINDS = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
 
 
-def _counted(batches: Iterator[pa.RecordBatch], size: int, percent: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """How many classes of each piece have each of its prefixes' shingles."""
+def _counted(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """How many classes of each piece have each of its shingles."""
     for batch in pieces(batches, 1):
         own = batch.column(0).to_numpy()
-        sets = [prefix(s, percent) for s in shingle_sets(Words(batch.column(1), lower=True), size)]
+        sets = shingle_sets(Words(batch.column(1), lower=True), size)
         for piece in np.unique(own).tolist():
             token, n = np.unique(np.concatenate([sets[i] for i in np.flatnonzero(own == piece)]), return_counts=True)
             place = (mix(token) % np.uint64(buckets)).astype(np.int64)
@@ -219,9 +224,18 @@ def _frequent(group: pa.Table) -> pa.Table:
     return _table(rows, ["piece", "tokens", "counts"], [pa.int64(), pa.binary(), pa.binary()])
 
 
-#: To a bucket of shingles (from 0): shingles and for each the smallest node of a piece. Below 0: edges, in `tokens` and `nodes`.
-RARE = ["bucket", "tokens", "nodes"]
-RARE_KINDS = [pa.int32(), pa.binary(), pa.binary()]
+#: To a bucket of shingles (from 0): for each chain of a piece the shingle, the first node, and the least and the largest size. Below 0: edges, in `tokens` and `nodes`.
+RARE = ["bucket", "tokens", "nodes", "low", "high"]
+RARE_KINDS = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+
+
+def _chains(token: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -> np.ndarray:
+    """Start flags of the chains: runs of one token, in order of low, that are cut where all sets before are too small for the next. A similar pair is in one chain: its sizes fit, and so do those between them."""
+    head = np.ones(len(token), bool)
+    new = token[1:] != token[:-1]
+    run = np.append(0, np.cumsum(new)) << 40  # sizes are smaller, so the running maximum starts anew with each token
+    head[1:] = new | (np.maximum.accumulate(high + run[: len(high)])[:-1] - run[1 : len(high)] < need(low[1:], percent))
+    return head
 
 
 def _edges(head: np.ndarray, node: np.ndarray) -> np.ndarray:
@@ -231,41 +245,42 @@ def _edges(head: np.ndarray, node: np.ndarray) -> np.ndarray:
 
 
 def _rare(texts: pa.Table, frequent: pa.Table, size: int, percent: int, buckets: int) -> pa.Table:
-    """Each node's shared shingles without the most frequent ones, of which a partner has one more. Nodes of the piece that have one in common get edges."""
+    """Each node's shared shingles without the most frequent ones, of which a partner has one more. Nodes of the piece that have one in common, and sizes that fit, get edges."""
     token, count = _joined(frequent, "tokens", np.uint64), _joined(frequent, "counts", "<i8")
     order = np.argsort(token)
     token, count = token[order], count[order]
-    kept, nodes = [], []
+    kept, nodes, sizes = [], [], []
     if texts.num_rows and len(token):
-        n = texts.column("n").to_pylist()
         for i, s in enumerate(shingle_sets(Words(_array(texts.column("text")), lower=True), size)):
-            s = prefix(s, percent)
             at = np.minimum(np.searchsorted(token, s), len(token) - 1)
             at = at[token[at] == s]
-            spare = int(extra(need(n[i], percent)))
+            spare = int(need(len(s), percent)) - 1
             if len(at) > spare:
                 kept.append(token[at[np.lexsort((token[at], count[at]))[: len(at) - spare]]])
                 nodes.append(i)
+                sizes.append(len(s))
     rows = []
     if kept:
-        node = np.repeat(texts.column("node").to_numpy()[nodes], [len(k) for k in kept])
+        each = [len(k) for k in kept]
+        node, n = np.repeat(texts.column("node").to_numpy()[nodes], each), np.repeat(np.array(sizes, np.int64), each)
         token = np.concatenate(kept)
-        order = np.lexsort((node, token))
-        token, node = token[order], node[order]
-        head, _ = _heads(token)
-        rows = list(_split((mix(token[head]) % np.uint64(buckets)).astype(np.int64), buckets, token[head], node[head]))
+        order = np.lexsort((node, n, token))
+        token, node, n = token[order], node[order], n[order]
+        head, last = (h := _chains(token, n, n, percent)), np.append(h[1:], True)
+        rows = list(_split((mix(token[head]) % np.uint64(buckets)).astype(np.int64), buckets, token[head], node[head], n[head], n[last]))
         edges = _edges(head, node)
-        rows += [(-1 - b, u, v) for b, u, v in _split(edges[:, 1] % buckets, buckets, edges[:, 0], edges[:, 1])]
+        rows += [(-1 - b, u, v, b"", b"") for b, u, v in _split(edges[:, 1] % buckets, buckets, edges[:, 0], edges[:, 1])]
     return _table(rows, RARE, RARE_KINDS)
 
 
-def _stars(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-    """Edges between the smallest node of each shingle and the others."""
+def _stars(key: tuple[pa.Scalar, ...], group: pa.Table, percent: int) -> pa.Table:
+    """Edges between the first node of each chain of a shingle and the others."""
     token, node = _joined(group, "tokens", np.uint64), _joined(group, "nodes", "<i8")
     if key[0].as_py() < 0:
         return pa.table({"u": pa.array(token.view(np.int64)), "v": pa.array(node)})
-    order = np.lexsort((node, token))
-    pairs = _edges(_heads(token[order])[0], node[order])
+    low, high = _joined(group, "low", "<i8"), _joined(group, "high", "<i8")
+    order = np.lexsort((node, low, token))
+    pairs = _edges(_chains(token[order], low[order], high[order], percent), node[order])
     return pa.table({"u": pa.array(pairs[:, 0]), "v": pa.array(pairs[:, 1])})
 
 
@@ -319,6 +334,37 @@ def occurrences(lists: list[list[int]], least: int, low: int, high: int, skip, e
                 advance(k, bisect_left(short[k][3], heap[0][0], at, short[k][2]))
 
 
+class Overlaps:
+    """How many elements sets share, for many pairs at once. Set i has token[first[i] : first[i + 1]]."""
+
+    def __init__(self, first: np.ndarray, token: np.ndarray, n_tokens: int):
+        k = len(first) - 1
+        long = np.flatnonzero(np.bincount(token, minlength=n_tokens) * LONG >= k)
+        column = np.full(n_tokens, -1)
+        column[long] = np.arange(len(long))
+        row, at = np.repeat(np.arange(k), np.diff(first)), column[token]
+        self.matrix = np.zeros((k, len(long)), np.uint8)  # LONG bytes for each element of the sets at most
+        self.matrix[row[at >= 0], at[at >= 0]] = 1
+        self.kind = np.float32 if np.diff(first).max() < 1 << 24 else np.float64  # counts are exact
+        row, self.token = row[at < 0], token[at < 0]
+        self.first = np.searchsorted(row, np.arange(k + 1))
+        order = np.argsort(self.token, kind="stable")
+        self.sets, self.lists = row[order], np.searchsorted(self.token[order], np.arange(n_tokens + 1))
+        self.place = np.empty(k, np.int64)
+
+    def of(self, rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """The numbers of common elements, rows x others."""
+        out = self.matrix[rows].astype(self.kind) @ self.matrix[others].astype(self.kind).T
+        self.place[:] = -1
+        self.place[others] = np.arange(len(others))
+        n = self.first[rows + 1] - self.first[rows]
+        token = self.token[spread(self.first[rows], n)]
+        m = self.lists[token + 1] - self.lists[token]
+        other = self.place[self.sets[spread(self.lists[token], m)]]
+        asks = np.repeat(np.repeat(np.arange(len(rows)), n), m)
+        return out + np.bincount((asks * len(others) + other)[other >= 0], minlength=out.size).reshape(out.shape)
+
+
 def links(sets: list[np.ndarray], percent: int, label: list[int] | None = None, asked: list[int] | None = None) -> list[tuple[int, int]]:
     """Links that join what the similar pairs of sets join (a spanning forest), as places in sets.
 
@@ -334,7 +380,8 @@ def links(sets: list[np.ndarray], percent: int, label: list[int] | None = None,
     _, token, n = np.unique(flat, return_inverse=True, return_counts=True)
     several = n[token] > 1
     ends = np.cumsum(size)
-    own = [token[e - s : e][several[e - s : e]].tolist() for s, e in zip(size, ends.tolist(), strict=True)]
+    together = int((n[n > 1] ** 2).sum()) > TOGETHER
+    own = [] if together else [token[e - s : e][several[e - s : e]].tolist() for s, e in zip(size, ends.tolist(), strict=True)]
     root = list(range(len(order)))
     found: list[tuple[int, int]] = []
 
@@ -364,12 +411,43 @@ def links(sets: list[np.ndarray], percent: int, label: list[int] | None = None,
         for t in own[x]:
             index[t].append(x)
 
+    def join(x: int, y: int) -> None:
+        if find(x) != find(y):
+            found.append((order[x], order[y]))
+            unite(x, y)
+
+    def similar(xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+        return overlaps.of(xs, ys) >= -(-percent * (sizes[xs][:, None] + sizes[ys]) // (100 + percent))
+
+    def ask_together(xs: np.ndarray, index: np.ndarray) -> np.ndarray:
+        """Link each of xs with what the index has, once for each component. Both are in order. Whether each has a similar set there."""
+        hit = np.zeros(len(xs), bool)
+        for lo in range(0, len(xs), ROWS):
+            part = xs[lo : lo + ROWS]
+            a, b = np.searchsorted(sizes[index], need(sizes[part[0]], percent)), np.searchsorted(sizes[index], sizes[part[-1]] * 100 // percent, "right")
+            for at in range(a, b, WIDE):
+                some = index[at : min(at + WIDE, b)]
+                x, y = np.nonzero(similar(part, some))
+                hit[lo + x] = True
+                names = np.array([find(v) for v in some.tolist()])
+                for i in np.unique(x * len(root) + names[y], return_index=True)[1].tolist():
+                    join(int(part[x[i]]), int(some[y[i]]))
+        return hit
+
+    if together:
+        sizes = np.array(size)
+        overlaps = Overlaps(np.append(0, np.cumsum(np.add.reduceat(several, ends - sizes))), token[several], len(n))
+
     largest = lambda x: bisect_left(size, size[x] * 100 // percent + 1)
     if asked is not None:
         first: dict[int, int] = {}
         place = {i: x for x, i in enumerate(order)}
         for i, x in place.items():
             unite(x, first.setdefault(label[i], x))
+        if together:
+            asks = np.isin(order, asked)
+            ask_together(np.flatnonzero(asks), np.flatnonzero(~asks))
+            return found
         index, questions = defaultdict(list), set(asked)
         for x, i in enumerate(order):
             if i not in questions:
@@ -379,7 +457,22 @@ def links(sets: list[np.ndarray], percent: int, label: list[int] | None = None,
                 ask(place[i], index, largest(place[i]))
         return found
     leaders, members, rest = defaultdict(list), defaultdict(list), []
-    for x in range(len(order)):
+    heads = np.zeros(0, np.int64)
+    for lo in range(0, len(order), ROWS) if together else ():
+        part = np.arange(lo, min(lo + ROWS, len(order)))
+        hit = ask_together(part, heads)
+        alone, new = part[~hit], []
+        near = similar(alone, alone)
+        rest += part[hit].tolist()
+        for i, x in enumerate(alone.tolist()):
+            if len(to := np.flatnonzero(near[i, new])):
+                rest.append(x)
+                for j in to.tolist():
+                    join(x, int(alone[new[j]]))
+            else:
+                new.append(i)
+        heads = np.append(heads, alone[new])
+    for x in () if together else range(len(order)):
         if ask(x, leaders, x):
             rest.append(x)
         else:
@@ -390,7 +483,10 @@ def links(sets: list[np.ndarray], percent: int, label: list[int] | None = None,
             weight[find(x)] += size[x]
         top = max(weight, key=lambda r: (weight[r], r))
         others = [x for x in range(len(order)) if find(x) != top]
-        if others:
+        if together:
+            ask_together(np.array(others, np.int64), np.sort(rest))
+            ask_together(np.array(sorted({*others} & {*rest}), np.int64), heads)
+        elif others:
             for x in rest:
                 add(x, members)
             joined = set(rest)
@@ -480,10 +576,10 @@ def _labelled_rows(docs: DataFrame, size: int, percent: int, id_col: str, text_c
     met = named.join(chosen, "doc_id").groupBy("doc_id", "text_key", "node", "n", "c1", "c2").agg(F.first("text").alias("text"))  # equal rows once
     texts = written(met.select("node", "n", "text", "c1", "c2").mapInArrow(_of_class, "node long, n long, text string, piece long"), "candidates")
 
-    counts = texts.select("piece", "text").mapInArrow(lambda b: _counted(b, size, percent, buckets), "bucket int, piece long, tokens binary, counts binary")
+    counts = texts.select("piece", "text").mapInArrow(lambda b: _counted(b, size, buckets), "bucket int, piece long, tokens binary, counts binary")
     frequent = counts.groupBy("bucket").applyInArrow(_frequent, "piece long, tokens binary, counts binary")
-    rare = texts.groupBy("piece").cogroup(frequent.groupBy("piece")).applyInArrow(lambda t, f: _rare(t, f, size, percent, buckets), "bucket int, tokens binary, nodes binary")
-    stars = rare.groupBy("bucket").applyInArrow(_stars, LINKS)
+    rare = texts.groupBy("piece").cogroup(frequent.groupBy("piece")).applyInArrow(lambda t, f: _rare(t, f, size, percent, buckets), "bucket int, tokens binary, nodes binary, low binary, high binary")
+    stars = rare.groupBy("bucket").applyInArrow(lambda k, g: _stars(k, g, percent), LINKS)
     groups = written(components(stars, "candidate_groups"), "candidate_groups")
 
     grouped = texts.select("node", "n", "text").join(groups, "node")
