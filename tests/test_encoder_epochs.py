@@ -13,7 +13,7 @@ class Called(Exception):
     pass
 
 
-@pytest.mark.parametrize("name", ["m01_m06_encoder"])
+@pytest.mark.parametrize("name", ["m01_m06_encoder", "m10_m32_methods"])
 def test_all_epochs(spark, monkeypatch, name):
     signature = inspect.signature(detectors.train_encoder)
 
