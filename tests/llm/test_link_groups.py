@@ -78,3 +78,17 @@ def test_texts_that_share_passages_with_others_are_no_group(spark, monkeypatch,
     got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(docs).collect()}
     assert got == {i: i % 100 if i >= 100 else i for i, _ in rows}
     assert max(collections.Counter(r.component for r in groups[0].collect()).values()) <= 4
+
+
+def test_the_pipelines_stage_has_small_groups(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    passages = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(40)]
+    rows = [(i, f"{passages[i]} {' '.join(f'u{i}x{j}' for j in range(80))} {passages[i + 1]}") for i in range(39)]
+    rows += [(100 + i, rows[i][1] + " end") for i in range(0, 30, 6)]
+    groups, keep = [], ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda df, name: groups.append(keep(df, name)) or groups[-1] if name == "candidate_groups" else keep(df, name))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == list(range(39))
+    assert max(collections.Counter(r.component for r in groups[0].collect()).values()) <= 4
